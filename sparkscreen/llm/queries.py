@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_rules, token_counts
+from . import mixing, packing, quality_rules, token_counts, token_store, warc_archive
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_warc_archive": warc_archive.op2_warc_archive,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op7_token_store": token_store.op7_token_store,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
+    "op1_mixing": mixing.ORACLE_SQL,
+    "op2_warc_archive": warc_archive.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
 }
