@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, token_counts, token_store, warc_archive
+from . import minhash_dedup, mixing, packing, quality_rules, token_counts, token_store, warc_archive
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_warc_archive": warc_archive.op2_warc_archive,
+    "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_token_store": token_store.op7_token_store,
     "op9_token_counts": token_counts.op9_token_counts,
