@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, mixing, packing, quality_rules, token_counts, token_store, warc_archive
+from . import minhash_dedup, mixing, packing, quality_rules, secret_scan, token_counts, token_store, warc_archive
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_token_store": token_store.op7_token_store,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_warc_archive": warc_archive.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_secret_scan": secret_scan.ORACLE_SQL,
 }
