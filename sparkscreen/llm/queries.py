@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_search, minhash_dedup, mixing, packing, quality_rules, secret_scan, token_counts, token_store, warc_archive
+from . import ann_search, lm_scoring, minhash_dedup, mixing, packing, quality_rules, secret_scan, token_counts, token_store, warc_archive
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_ann_search": ann_search.op5_ann_search,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_token_store": token_store.op7_token_store,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_token_counts": token_counts.op9_token_counts,
