@@ -1,6 +1,653 @@
-"""Registered queries of the engine itself and their SQL."""
+"""Registered queries: each applies operators to the views of the given tables. Oracles are in oracles.py.
+
+Values that come out of long sums are rounded to 6 decimals after a nudge, here and in the oracle alike.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import ScreenConfig
+from ..functions.exprs import date_text, rounded, safe_float
+from ..operators import filings, fundamentals, history, legacy, quality, report, scoring, splits, tables
+from ..operators import technicals as tech
+from ..operators.liquidity import liquidity
+from ..operators.prefilter import prefilter
+from ..sources.views import sql, view
+from . import screen as plan
+from .oracles import ORACLE_SQL as ORACLE_SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The given tables' prices are in other units than the default thresholds.
+CONFIG = ScreenConfig(min_trading_value=30_000.0, min_price=1100.0)
+TODAY, SINCE = "2001-12-01", "1999-01-01"
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def out(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """The columns, doubles rounded."""
+    kinds = dict(df.dtypes)
+    return df.select(*[rounded(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c) for c in columns or df.columns])
+
+
+class Given:
+    """Views of one set of tables by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return view(self.spark, self.dir, name)
+
+    def sql(self, text: str) -> DataFrame:
+        return sql(self.spark, self.dir, text)
+
+
+def snapshot(g: Given) -> DataFrame:
+    """One row a code: its latest bar with stored facts, before repair."""
+    newest = tech.latest(g.bars)
+    return tables.join_fundamentals(tables.join_master(g.stocks, newest), g.fundamentals)
+
+
+def scored_inputs(g: Given) -> DataFrame:
+    """Scoring inputs that cover every branch: stored and repaired facts with indicators made from keys."""
+    k = F.col("code").cast("bigint")
+    d = fundamentals.repair(snapshot(g))
+    made = {
+        "roe": (k * 7 % 60) - 12.5, "pbr": (k * 13 % 90) / 20.0 - 0.2, "per": (k * 17 % 120) / 2.0 - 3, "equity_ratio": F.when(k % 9 == 0, None).otherwise((k * 29 % 115) - 5.0),
+        "dividend_yield": F.when(k % 8 == 0, None).otherwise((k * 3 % 66) / 10.0), "macd_hist": F.when(k % 10 == 0, None).otherwise((k * 5 % 41) / 5.0 - 4),
+        "rsi_14": F.when(k % 11 == 0, 50.0).otherwise((k * 19 % 200) / 2.0), "ma_divergence": F.when(k % 11 == 0, 0.0).otherwise((k * 23 % 140) / 2.0 - 35), "macd_status": F.when(k % 6 == 0, "").otherwise(F.lit(None)),
+    }
+    return d.withColumns({c: v.cast("string" if c == "macd_status" else "double") for c, v in made.items()})
+
+
+@query
+def src_bars(spark, d):
+    g = Given(spark, d)
+    wide = g.sql("SELECT concat(code, '.T') AS symbol, entry_date, open, high, low, CASE WHEN volume % 7 = 0 THEN NULL ELSE price END AS price, volume FROM {bars}")
+    return out(wide.filter("price is not null").select(F.split("symbol", "[.]")[0].alias("code"), "entry_date", "open", "high", "low", "price", "volume"))
+
+
+@query
+def src_listing(spark, d):
+    raw = Given(spark, d).sql("SELECT concat(CAST(1000 + c_custkey % 700 AS STRING), 'X') AS raw_code, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN '-' ELSE c_mktsegment END AS sector, CASE c_custkey % 4 WHEN 0 THEN 'プライム（内国株式）' WHEN 1 THEN 'スタンダード' WHEN 2 THEN NULL ELSE 'PRO Market' END AS market, c_custkey AS ordinal FROM {customer}")
+    m = F.col("market")
+    kind = F.when(m.isNull(), "Unknown").when(m.contains("プライム"), "Prime").when(m.contains("スタンダード"), "Standard").when(m.contains("グロース"), "Growth").otherwise("Other")
+    rows = raw.filter("sector <> '-'").select(F.substring("raw_code", 1, 4).alias("code"), "name", "sector", kind.alias("market"), "ordinal")
+    return rows.groupBy("code").agg(F.min_by(F.struct("name", "sector", "market"), "ordinal").alias("r")).select("code", "r.*")
+
+
+@query
+def src_code_map(spark, d):
+    raw = Given(spark, d).sql("SELECT concat('E', lpad(CAST(c_custkey AS STRING), 5, '0')) AS filer, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN concat(CAST(1000 + c_custkey AS STRING), '0') ELSE CAST(1000 + c_custkey AS STRING) END AS sec_code FROM {customer}")
+    return raw.filter("sec_code is not null").select("filer", F.when(F.length("sec_code") == 5, F.substring("sec_code", 1, 4)).otherwise(F.col("sec_code")).alias("code"))
+
+
+@query
+def src_doc_index(spark, d):
+    return filings.document_index(Given(spark, d).doc_index)
+
+
+@query
+def doc_period(spark, d):
+    i = Given(spark, d).doc_index
+    return i.select("doc_id", filings.clean_code(F.col("sec_code")).alias("code"), filings.period_end(F.col("period_end"), F.col("description")).alias("period_end"))
+
+
+@query
+def select_docs(spark, d):
+    return filings.select_documents(filings.document_index(Given(spark, d).doc_index), "2001-06-30")
+
+
+@query
+def scan_recent(spark, d):
+    g = Given(spark, d)
+    return out(history.recent(g.bars, TODAY, 200, g.stocks.filter("market = 'ASIA'")), "code", "entry_date", "price", "volume")
+
+
+@query
+def scan_history(spark, d):
+    return out(history.warm_up(Given(spark, d).bars, TODAY, 12))
+
+
+@query
+def scan_active(spark, d):
+    return Given(spark, d).stocks.filter(F.coalesce("is_active", F.lit(True))).select("code", "name", "status")
+
+
+@query
+def lookup_status(spark, d):
+    return Given(spark, d).bars.groupBy("entry_date").agg(F.countDistinct("code").alias("n_codes"))
+
+
+@query
+def scan_calendar(spark, d):
+    days = Given(spark, d).bars.agg(F.min("entry_date").alias("a"), F.max("entry_date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    return days.filter(F.weekday("day") < 5).filter(F.col("day").between(SINCE, TODAY))
+
+
+@query
+def upsert_partial(spark, d):
+    g = Given(spark, d)
+    source = g.sql("SELECT code, price * 2 AS price, entry_date FROM {new_bars} WHERE volume % 3 = 0")
+    return out(tables.upsert(g.old_bars, source, ["code", "entry_date"]))
+
+
+@query
+def upsert_replace(spark, d):
+    g = Given(spark, d)
+    return out(tables.replace_rows(g.old_bars, g.new_bars, ["code", "entry_date"], "volume"))
+
+
+@query
+def upsert_ignore(spark, d):
+    g = Given(spark, d)
+    return tables.insert_missing(g.old_bars.select("entry_date").distinct(), g.new_bars.select("entry_date"), ["entry_date"])
+
+
+@query
+def alerts_open(spark, d):
+    a = Given(spark, d).sql("SELECT event_id AS alert_id, lpad(CAST(user_id AS STRING), 8, '0') AS code, event_type AS alert_type, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN CAST(NULL AS BOOLEAN) ELSE false END AS processed FROM {events}")
+    return tables.open_alerts(tables.mark_processed(a, a.filter("alert_type = 'error'").select("alert_id"))).select("alert_id", "code", "alert_type")
+
+
+@query
+def normalize_bars(spark, d):
+    raw = Given(spark, d).sql("SELECT code, concat(CAST(entry_date AS STRING), 'T00:00') AS Date, price AS Close, CASE WHEN volume % 5 = 0 THEN NULL ELSE concat(CAST(volume AS STRING), '.0') END AS Volume FROM {bars}")
+    return out(tech.normalize_bars(raw), "code", "entry_date", "price", "volume")
+
+
+@query
+def conform_schema(spark, d):
+    return out(tech.conform_schema(Given(spark, d).bars), "code", "entry_date", "price", "volume", "macd_status", "trend_score")
+
+
+@query
+def union_diagonal(spark, d):
+    g = Given(spark, d)
+    return out(history.union_diagonal(g.old_bars.filter("volume > 50"), g.bars_ev.select("code", "entry_date", "price", "trading_value")))
+
+
+@query
+def weekday_guard(spark, d):
+    return out(tech.weekday_guard(Given(spark, d).bars), "code", "entry_date", "price")
+
+
+@query
+def purge_weekend(spark, d):
+    return out(tech.purge_weekend(Given(spark, d).bars_ev), "code", "entry_date", "price")
+
+
+@query
+def drop_unsettled(spark, d):
+    return out(history.drop_unsettled(Given(spark, d).bars_ev, "2024-01-30", "14:00"), "code", "entry_date", "price")
+
+
+@query
+def select_targets(spark, d):
+    return tables.select_targets(Given(spark, d).stocks, TODAY).select("code")
+
+
+@query
+def pending_docs(spark, d):
+    i = Given(spark, d).doc_index
+    done = i.select("doc_id", F.when(F.substring("doc_id", 2, 8).cast("int") % 3 == 0, 2).when(F.substring("doc_id", 2, 8).cast("int") % 3 == 1, 1).alias("parser_version"))
+    return tables.pending(i, done, 2).select("doc_id")
+
+
+@query
+def join_master(spark, d):
+    g = Given(spark, d)
+    return out(tables.join_master(g.stocks, tech.latest(g.bars.filter("volume > 20"))), "code", "name", "sector", "market", "entry_date", "price")
+
+
+@query
+def join_fundamentals(spark, d):
+    return out(snapshot(Given(spark, d)), "code", "name", "price", "sales", "net_assets", "shares_outstanding")
+
+
+@query
+def liquidity_metrics(spark, d):
+    return out(liquidity(Given(spark, d).bars))
+
+
+@query
+def liquidity_events(spark, d):
+    return out(liquidity(Given(spark, d).bars_ev))
+
+
+@query
+def adjust_mismatch(spark, d):
+    g = Given(spark, d)
+    return out(history.adjust_mismatch(g.old_bars, g.new_bars).select("code", F.abs(F.col("ratio") - 1).alias("off"), "mismatch"))
+
+
+@query
+def split_factor(spark, d):
+    g = Given(spark, d)
+    return out(fundamentals.split_factor(g.fundamentals.select("code", F.col("submitted_at").alias("basis_date")), g.splits))
+
+
+@query
+def split_jump(spark, d):
+    g = Given(spark, d)
+    return out(splits.split_jump(g.bars, g.events_split))
+
+
+@query
+def latest_bar(spark, d):
+    return out(tech.latest(Given(spark, d).bars), "code", "entry_date", "price", "volume")
+
+
+@query
+def latest_batch(spark, d):
+    g = Given(spark, d)
+    joined = tech.latest(g.bars).join(g.stocks.select("code", "name"), "code").join(g.fundamentals.select("code", "sales"), "code", "left")
+    return out(joined, "code", "entry_date", "price", "name", "sales")
+
+
+@query
+def master_diff(spark, d):
+    g = Given(spark, d)
+    return tables.master_diff(g.stocks, g.sql("SELECT lpad(CAST(s_suppkey * 2 AS STRING), 8, '0') AS code FROM {supplier}"))
+
+
+@query
+def restore_missing(spark, d):
+    g = Given(spark, d)
+    seed = g.results.withColumn("equity_ratio", F.coalesce("equity_ratio", F.lit(33.0)))
+    return out(fundamentals.restore_missing(g.fundamentals, seed, ["equity_ratio", "eps", "bps"]), "code", "equity_ratio", "eps", "bps")
+
+
+@query
+def assemble_seed(spark, d):
+    g = Given(spark, d)
+    parsed = g.results.filter("kind = 'annual'").select("code", "sales", "equity_ratio")
+    return out(fundamentals.assemble_seed(parsed, g.fundamentals.select("code", "sales", "equity_ratio"), g.stocks.filter("status = 'active'")))
+
+
+@query
+def backfill_growth(spark, d):
+    g = Given(spark, d)
+    seed = g.fundamentals.select("code", (F.col("sales") / 1e6).alias("sales_growth"))
+    return out(fundamentals.backfill_growth(g.fundamentals.withColumn("sales_growth", F.lit(None).cast("double")), seed), "code", "sales_growth")
+
+
+@query
+def refresh_seed(spark, d):
+    g = Given(spark, d)
+    seed = g.results.select("code", "sales", "net_profit", "eps", "roe", "net_assets", "equity_ratio", "period_end", F.col("submit_date").alias("submitted_at"), F.col("period_end").alias("bs_period_end"), F.col("submit_date").alias("bs_submitted_at"), F.lit(None).cast("double").alias("sales_growth"))
+    return out(fundamentals.refresh_from_seed(g.fundamentals, seed), "code", "sales", "net_profit", "eps", "roe", "net_assets", "equity_ratio", "period_end", "bs_period_end", "sales_growth")
+
+
+@query
+def bridge_filings(spark, d):
+    g = Given(spark, d)
+    return out(filings.bridge(g.results, g.fundamentals), "code", "sales", "net_assets", "equity_ratio", "roe", "operating_margin", "shares_outstanding", "eps", "bps", "period_end", "bs_period_end", "sales_growth", "annual_status", "interim_status")
+
+
+@query
+def filing_kind(spark, d):
+    return filings.filing_kind(Given(spark, d).facts)
+
+
+@query
+def filing_fields(spark, d):
+    return out(filings.filing_fields(Given(spark, d).facts), "doc_id", "kind", "sales", "net_profit", "prev_net_profit", "total_assets", "net_assets", "equity_ratio", "dps", "shares_outstanding", "operating_income")
+
+
+@query
+def filing_sanity(spark, d):
+    return out(filings.sane(Given(spark, d).results), "code", "eps", "bps", "dps", "shares_outstanding", "equity_ratio")
+
+
+@query
+def scan_window(spark, d):
+    log = Given(spark, d).sql("SELECT CAST(o_orderdate AS DATE) AS scan_date, max(CASE WHEN o_orderkey % 997 = 1 THEN 0 ELSE 1 END) = 1 AS ok FROM {orders} GROUP BY 1")
+    return tables.scan_window(log, TODAY, 7)
+
+
+@query
+def profile_history(spark, d):
+    return quality.history_profile(Given(spark, d).bars)
+
+
+@query
+def profile_nulls(spark, d):
+    return out(quality.profile(Given(spark, d).fundamentals, ["roe", "equity_ratio", "eps", "pbr", "dps", "sales_growth", "total_assets"]))
+
+
+@query
+def integrity_check(spark, d):
+    g = Given(spark, d)
+    return quality.integrity(g.stocks, g.fundamentals, g.bars)
+
+
+@query
+def null_policy(spark, d):
+    g = Given(spark, d)
+    policy = g.sql("SELECT n_name AS sector, 'equity_ratio' AS column FROM {nation} WHERE n_nationkey % 2 = 0")
+    return quality.null_policy(tables.join_master(g.stocks, g.fundamentals.drop("name")), policy, ["equity_ratio", "roe", "dps"])
+
+
+@query
+def contract_check(spark, d):
+    return quality.contract_check(scoring.score(scored_inputs(Given(spark, d))), ("code", "price", "verdict", "equity_ratio", "not_there"))
+
+
+@query
+def scrub_text(spark, d):
+    return Given(spark, d).documents.select("doc_id", F.md5(quality.scrub(F.col("text"))).alias("scrubbed"))
+
+
+@query
+def row_hash(spark, d):
+    c = Given(spark, d).customer
+    return c.select("c_custkey", quality.row_hash([F.col("c_custkey"), F.col("c_nationkey"), F.when(F.col("c_custkey") % 3 == 0, None).otherwise(F.floor("c_acctbal"))]).alias("row_hash"))
+
+
+@query
+def table_fingerprint(spark, d):
+    return quality.table_fingerprint(Given(spark, d).supplier)
+
+
+@query
+def parity_diff(spark, d):
+    g = Given(spark, d)
+    a = g.old_bars.groupBy("code").agg(F.count("*").alias("n"), F.max("entry_date").alias("last"))
+    b = g.bars.groupBy("code").agg(F.count_if(F.col("entry_date") < "2001-08-01").alias("n"), F.max("entry_date").alias("last"))
+    return quality.parity_diff(a, b, "code", ["n", "last"])
+
+
+@query
+def text_numbers(spark, d):
+    t = Given(spark, d).sql("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN concat(CAST(c_custkey AS STRING), ',000') WHEN 1 THEN concat(CAST(c_custkey AS STRING), '.5%') WHEN 2 THEN 'nan' WHEN 3 THEN ' - ' WHEN 4 THEN 'None' ELSE 'abc' END AS t FROM {customer}")
+    return t.select("c_custkey", safe_float(F.col("t")).alias("number"))
+
+
+@query
+def date_normalize(spark, d):
+    t = Given(spark, d).sql("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '/') WHEN 2 THEN replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '') ELSE 'soon' END AS t FROM {orders}")
+    return t.select("o_orderkey", date_text(F.col("t")).alias("day"))
+
+
+def _priced(spark, d):
+    return tech.priced(Given(spark, d).bars)
+
+
+@query
+def tech_ma_bb(spark, d):
+    return out(tech.add_bands(_priced(spark, d)), "code", "entry_date", "ma25", "ma75", "bb_sigma", "bb_p2sig", "bb_m1sig", digits=4)
+
+
+@query
+def tech_rsi(spark, d):
+    return out(tech.add_rsi(_priced(spark, d)), "code", "entry_date", "rsi_14", digits=4)
+
+
+@query
+def tech_macd(spark, d):
+    return out(tech.add_macd(_priced(spark, d)), "code", "entry_date", "macd", "macd_signal", "macd_hist", "macd_status", digits=4)
+
+
+@query
+def tech_trend(spark, d):
+    return out(tech.indicators(Given(spark, d).bars), "code", "entry_date", "ma_divergence", "trend_score", "trend_signal", "trend_up", "trading_value", digits=4)
+
+
+@query
+def clean_prices(spark, d):
+    return out(tech.clean_prices(Given(spark, d).bars), "code", "entry_date", "price", "volume")
+
+
+@query
+def tech_sma_rsi(spark, d):
+    return out(tech.simple_rsi(_priced(spark, d)), "code", "entry_date", "rsi_sma", digits=4)
+
+
+@query
+def volume_ratio(spark, d):
+    return out(tech.volume_ratio(_priced(spark, d)), "code", "entry_date", "volume_ratio")
+
+
+@query
+def hist_vol(spark, d):
+    return out(tech.historical_volatility(_priced(spark, d)))
+
+
+@query
+def price_limit(spark, d):
+    return out(Given(spark, d).bars.select("code", "entry_date", splits.price_limit(F.col("price")).alias("most_change")))
+
+
+@query
+def impossible_jump(spark, d):
+    return splits.impossible_jump(Given(spark, d).bars).select("code", "entry_date", "impossible")
+
+
+@query
+def infer_splits(spark, d):
+    return out(splits.infer_splits(Given(spark, d).bars))
+
+
+@query
+def apply_split(spark, d):
+    g = Given(spark, d)
+    first = g.events_split.groupBy("code").agg(F.min(F.struct("split_date", "ratio")).alias("e")).select("code", "e.split_date", "e.ratio")
+    return out(splits.apply_once(g.bars, first), "code", "entry_date", "price", "volume")
+
+
+@query
+def apply_splits(spark, d):
+    g = Given(spark, d)
+    return out(splits.apply_splits(g.bars, g.events_split), "code", "entry_date", "price", "volume")
+
+
+@query
+def dedup_events(spark, d):
+    return out(splits.dedup_events(Given(spark, d).sql("SELECT code, entry_date AS split_date, CASE WHEN volume % 13 = 0 THEN 1.0 ELSE 2.0 + volume % 3 END AS ratio FROM {bars}")))
+
+
+@query
+def adjust_history(spark, d):
+    g = Given(spark, d)
+    return out(splits.adjust_history(g.bars, g.events_split), "code", "entry_date", "price", "volume", "changed")
+
+
+@query
+def load_plan(spark, d):
+    g = Given(spark, d)
+    return history.load_plan(g.bars, g.sql("SELECT lpad(CAST(s_suppkey * 2 AS STRING), 8, '0') AS code FROM {supplier}"), "2001-11-06")
+
+
+@query
+def merge_history(spark, d):
+    g = Given(spark, d)
+    return out(history.merge_history(g.old_bars, g.new_bars), "code", "entry_date", "price", "volume")
+
+
+@query
+def route_history(spark, d):
+    g = Given(spark, d)
+    again = g.sql("SELECT code, entry_date, price * 0.5 AS price, volume FROM {bars} WHERE CAST(code AS BIGINT) % 12 = 0")
+    return out(history.route_history(g.old_bars, g.new_bars, again, SINCE), "code", "entry_date", "price", "volume")
+
+
+@query
+def repair_equity(spark, d):
+    return out(fundamentals.repair_equity(Given(spark, d).fundamentals), "code", "equity_ratio")
+
+
+@query
+def repair_valuation(spark, d):
+    return out(fundamentals.repair_valuation(snapshot(Given(spark, d))), "code", "eps", "bps", "per", "pbr", "dividend_yield", "market_cap")
+
+
+@query
+def profit_status(spark, d):
+    return out(fundamentals.profit_status(Given(spark, d).fundamentals), "code", "turnaround_status", "is_turnaround", "profit_growth_raw")
+
+
+@query
+def repair_clip(spark, d):
+    return out(fundamentals.repair_clip(fundamentals.repair_valuation(fundamentals.repair_equity(snapshot(Given(spark, d))))), "code", "per", "equity_ratio")
+
+
+@query
+def split_adjust_fund(spark, d):
+    g = Given(spark, d)
+    return out(fundamentals.split_adjust(g.fundamentals, g.splits), "code", "eps", "bps", "dps", "shares_outstanding")
+
+
+def _filtered(spark, d):
+    g = Given(spark, d)
+    return prefilter(fundamentals.repair(snapshot(g)), liquidity(g.bars), CONFIG)
+
+
+@query
+def prefilter_all(spark, d):
+    return _filtered(spark, d).select("code", "filter_reason", "filter_detail")
+
+
+@query
+def prefilter_passed(spark, d):
+    return out(_filtered(spark, d).filter("filter_reason is null"), "code", "price", "avg_trading_value_20d")
+
+
+@query
+def prefilter_rejected(spark, d):
+    return _filtered(spark, d).filter("filter_reason is not null").select("code", "filter_reason")
+
+
+@query
+def reason_counts(spark, d):
+    return _filtered(spark, d).groupBy("filter_reason").agg(F.count("*").alias("n"))
+
+
+def _scored(spark, d):
+    return scoring.score(scored_inputs(Given(spark, d)))
+
+
+@query
+def score_roe(spark, d):
+    return out(_scored(spark, d), "code", "score_roe")
+
+
+@query
+def score_value(spark, d):
+    return out(_scored(spark, d), "code", "score_pbr", "score_per")
+
+
+@query
+def score_safety(spark, d):
+    return out(_scored(spark, d), "code", "score_equity")
+
+
+@query
+def score_dividend(spark, d):
+    return out(_scored(spark, d), "code", "score_dividend")
+
+
+@query
+def score_tech(spark, d):
+    return out(_scored(spark, d), "code", "score_macd", "score_rsi", "score_divergence")
+
+
+@query
+def quant_score(spark, d):
+    return out(_scored(spark, d), "code", "quant_score")
+
+
+@query
+def grade(spark, d):
+    return _scored(spark, d).select("code", "verdict", F.expr(scoring.verdict("legacy")).alias("legacy_verdict"))
+
+
+@query
+def grade_counts(spark, d):
+    return _scored(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query
+def grade_map(spark, d):
+    rows = _scored(spark, d).withColumn("old", F.expr(scoring.verdict("legacy")))
+    return rows.select("code", report.grade_map(F.col("old")).alias("grade"))
+
+
+@query
+def score_by_preset(spark, d):
+    return out(scoring.score_by_preset(scored_inputs(Given(spark, d))), "code", "preset", "quant_score", "verdict")
+
+
+@query
+def top_candidates(spark, d):
+    return out(report.top_candidates(_scored(spark, d)), "code", "quant_score", "verdict")
+
+
+@query
+def report_sources(spark, d):
+    s = report.with_sources(fundamentals.repair_valuation(snapshot(Given(spark, d))).withColumn("pbr", F.when(F.col("code").cast("bigint") % 6 == 0, F.col("pbr") + 1).otherwise(F.col("pbr"))))
+    return out(s, "code", "per_value", "per_src", "pbr_value", "pbr_src", "div_yield_value", "div_yield_src", "market_cap_src", "roe_value", "roe_src")
+
+
+@query
+def report_ranks(spark, d):
+    return out(report.ranked(_scored(spark, d)), "rank", "code", "quant_score", "verdict")
+
+
+@query
+def report_rows(spark, d):
+    return report.report_rows(_scored(spark, d))
+
+
+@query
+def master_sync(spark, d):
+    g = Given(spark, d)
+    live = g.sql("SELECT lpad(CAST(s_suppkey + CASE WHEN s_suppkey % 23 = 0 THEN 5000 ELSE 0 END AS STRING), 8, '0') AS code, s_name AS name, 'Other' AS sector, 'Prime' AS market FROM {supplier}")
+    return tables.master_sync(g.stocks, live, least=1)
+
+
+@query
+def nodata_tracking(spark, d):
+    g = Given(spark, d)
+    asked = g.stocks.select("code")
+    return tables.track_no_data(g.stocks, asked, asked.filter("CAST(code AS BIGINT) % 6 <> 0"), asked.filter("CAST(code AS BIGINT) % 12 = 0"), TODAY)
+
+
+@query
+def suspend_codes(spark, d):
+    g = Given(spark, d)
+    return tables.suspend(g.stocks, g.stocks.filter("status = 'delisted'"), "2002-06-01").select("code", "excluded_until")
+
+
+@query
+def legacy_filter(spark, d):
+    return out(legacy.filter_candidates(snapshot(Given(spark, d)), min_price=1100, min_volume=20, n=50), "code", "price", "volume", "equity_ratio")
+
+
+@query
+def legacy_score(spark, d):
+    return out(legacy.legacy_score(fundamentals.profit_status(scored_inputs(Given(spark, d)))))
+
+
+@query
+def legacy_rank(spark, d):
+    return out(legacy.legacy_rank(scored_inputs(Given(spark, d)), {"roe": ("min", 5.0), "per": ("max", 30.0), "equity_ratio": ("min", 10.0)}, "roe"), "code", "rank", "roe")
+
+
+@query
+def legacy_dividend(spark, d):
+    return out(legacy.dividend_quality(scored_inputs(Given(spark, d))), "code", "dividend_points")
+
+
+@query
+def screen(spark, d):
+    g = Given(spark, d)
+    return out(plan.screen(g.bars, g.stocks, g.fundamentals, g.splits, CONFIG), "code", "price", "filter_reason", "quant_score", "verdict", digits=4)
