@@ -1,18 +1,28 @@
-"""Encoding whole texts with a public tokenizer inside tasks, each distinct word once.
+"""Encoding whole texts with a public tokenizer inside tasks, each distinct piece once.
 
-word_bpe_49k drops white space, so an encoded text is the concatenation of its blank-separated words' ids. A worker
-keeps the ids of words it has met in a bounded table and gives only new ones to the library, in batches.
+word_bpe_49k folds case, cuts a text into pieces (letters, single digits, other marks; white space is dropped) and
+encodes each piece by itself. For texts within Latin-1, where folding and Unicode composition change no lengths, a worker
+cuts pieces by the same pattern, keeps the ids of pieces it has met in a bounded table, and gives only new ones to the
+library's model. Any other text, and one that may hold a special token's string, goes to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from .common import single_threaded
 
-#: Bounds of a worker's table: longer words are encoded each time, and a full table starts anew.
-LONGEST_KEPT, MOST_KEPT = 40, 700_000
-_PUNCTUATION = frozenset(".,!?;:")
+#: Bounds of a worker's table: longer pieces are encoded each time, and a full table starts anew.
+LONGEST_KEPT, MOST_KEPT = 40, 1_200_000
+_LETTER, _NUMBER, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
 class WordEncoder:
@@ -23,65 +33,39 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\Z\A")
         self.kept: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        import numpy as np
 
-        for at in range(0, len(words), 2000):
-            for x in self.tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False):
-                yield np.array(x.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str], into: dict[str, bytes]) -> None:
-        """A word of Latin letters with a mark behind it is its letters, folded, then the mark: the tokenizer's own first cut."""
-        parts, ask = {}, set()
-        for w in words:
-            stem = w[:-1] if w[-1] in _PUNCTUATION else w
-            low = stem.lower()
-            if low.isalpha() and max(low) < "Ā":
-                parts[w] = (low, w[len(stem) :])
-                ask.add(low)
-                ask.add(w[len(stem) :])
-            else:
-                parts[w] = (w, "")
-                ask.add(w)
-        ask = [x for x in ask if x and x not in self.cores]
-        self.cores.update(zip(ask, self._encode(ask), strict=True))
-        cores = self.cores
-        for w, (a, b) in parts.items():
-            into[w] = cores[a] + cores[b] if b else cores[a]
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() or not piece.isprintable():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """In batches of a bounded number of characters; a single longer text is a batch of its own."""
-        batch, size = [], 0
+        import numpy as np
+
         for t in texts:
-            if batch and size + len(t) > 1_000_000:
-                yield from self._batch(batch)
-                batch, size = [], 0
-            batch.append(t)
-            size += len(t)
-        if batch:
-            yield from self._batch(batch)
-
-    def _batch(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.kept) > MOST_KEPT or len(self.cores) > MOST_KEPT:
-            self.kept, self.cores = {}, {}
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*split)
-        new.discard("")
-        new -= self.kept.keys()
-        here: dict[str, bytes] = {"": b""}
-        long = {w for w in new if len(w) > LONGEST_KEPT}
-        self._learn(new - long, self.kept)
-        here.update(zip(long, self._encode(list(long)), strict=True))
-        kept = self.kept
-        kept[""] = b""
-        for words in split:
-            if here.keys() == {""}:
-                yield b"".join(map(kept.__getitem__, words))
-            else:
-                yield b"".join([kept[w] if w in kept else here[w] for w in words])
+            try:
+                t.encode("latin-1")
+                plain = not self.special.search(t)
+            except UnicodeEncodeError:
+                plain = False
+            if not plain:
+                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            kept = self.kept
+            if len(kept) > MOST_KEPT:
+                kept = self.kept = {}
+            pieces = _PIECE.findall(t.lower())
+            long = {}
+            for p in set(pieces).difference(kept):
+                if len(p) <= LONGEST_KEPT:
+                    kept[p] = self._piece(p)
+                else:
+                    long[p] = self._piece(p)
+            yield b"".join([kept[p] if p in kept else long[p] for p in pieces] if long else map(kept.__getitem__, pieces))
 
 
 _encoders: dict[str, WordEncoder] = {}
