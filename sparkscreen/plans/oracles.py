@@ -331,6 +331,8 @@ _SQL = {
     "legacy_filter": f"SELECT code, {r('price')}, volume, {r('equity_ratio')} FROM {{snap}} t WHERE coalesce(t.price >= 1100, true) AND coalesce(volume >= 20, true) AND coalesce(t.equity_ratio >= 10, true) ORDER BY volume DESC NULLS LAST, code LIMIT 50",
     "legacy_rank": f"SELECT code, CAST(row_number() OVER (ORDER BY t.roe DESC, code) AS INTEGER) AS rank, {r('roe')} FROM {{inputs}} t WHERE t.roe >= 5 AND per <= 30 AND equity_ratio >= 10",
     "legacy_dividend": f"SELECT code, {r('CASE WHEN operating_cf < 0 THEN 0.0 ELSE CASE WHEN dividend_yield >= 3 THEN 20.0 ELSE 0.0 END - CASE WHEN payout_ratio > 100 THEN 20.0 ELSE 0.0 END END', name='dividend_points')} FROM {{inputs}}",
+    "stream_settled_bars": f"""SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS code, CAST(ts AS DATE) AS entry_date, {r('avg(value)', name='price')}, count(*) AS volume, {r('sum(value)', name='trading_value')}
+        FROM {{events}} WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(date_trunc('millisecond', ts)) FROM {{events}}) - INTERVAL 1 DAY GROUP BY user_id, CAST(ts AS DATE)""",
 }
 
 ORACLE_SQL = {k: oracle(v, MORE) for k, v in _SQL.items()}

@@ -17,6 +17,7 @@ from ..operators import technicals as tech
 from ..operators.liquidity import liquidity
 from ..operators.prefilter import prefilter
 from ..sources.views import sql, view
+from ..streaming import events as streams
 from . import screen as plan
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -651,3 +652,10 @@ def legacy_dividend(spark, d):
 def screen(spark, d):
     g = Given(spark, d)
     return out(plan.screen(g.bars, g.stocks, g.fundamentals, g.splits, CONFIG), "code", "price", "filter_reason", "quant_score", "verdict", digits=4)
+
+
+@query
+def stream_settled_bars(spark, d):
+    """A stream over the events, run to its end: days that the watermark has closed."""
+    bars = streams.settled_bars(streams.read_events(spark, f"{d}/events*.parquet"))
+    return out(streams.run_to_table(bars, streams.shared_path(spark, "stream")), "code", "entry_date", "price", "volume", "trading_value")
