@@ -140,6 +140,14 @@ MORE = {
     "index2": r"""SELECT doc_id, code, doc_type IN ('120', '130') AS is_annual, period_end, submitted FROM (
         SELECT doc_id, doc_type, submitted, CASE WHEN regexp_full_match(substr(trim(sec_code), 1, 4), '[0-9A-Za-z]{4}') AND substr(trim(sec_code), 1, 4) <> '0000' THEN substr(trim(sec_code), 1, 4) END AS code,
           coalesce(nullif(substr(period_end, 1, 10), ''), replace(list_extract(regexp_extract_all(description, '(\d{4}/\d{2}/\d{2})'), -1), '/', '-'), '') AS period_end FROM {doc_index})""",
+    "s_ind": _indicators("{cleaned}"),
+    "s_last": "SELECT * FROM {s_ind} WHERE isodow(entry_date) < 6 QUALIFY row_number() OVER (PARTITION BY code ORDER BY entry_date DESC) = 1",
+    "s_fund": f"""SELECT * EXCLUDE (p, q) REPLACE (eps / p AS eps, bps / p AS bps, dps / p AS dps, shares_outstanding * q AS shares_outstanding) FROM (
+        SELECT f.*, {_factor('submitted_at')} AS p, {_factor('bs_submitted_at')} AS q FROM {{fundamentals}} f, (SELECT 1 FROM {{splits}} LIMIT 1))""",
+    "s_snap": _STOCK_JOIN + f", b.rsi_14, b.macd_hist, b.ma_divergence, b.macd_status, {_F} FROM {{stocks}} s LEFT JOIN {{s_last}} b ON s.code = b.code LEFT JOIN {{s_fund}} f ON s.code = f.code",
+    "s_fixed": "SELECT * REPLACE (" + _CLIP + ") FROM (" + _valuation("(SELECT * REPLACE (" + _EQUITY + " AS equity_ratio) FROM {s_snap})") + ")",
+    "s_filtered": f"SELECT f.*, l.* EXCLUDE (code), {_REASONS} AS filter_reason, {_PARTS} FROM {{s_fixed}} f LEFT JOIN {{liq}} l ON f.code = l.code",
+    "s_scored": f"SELECT *, CAST({scoring.total(PRESETS['balanced'])} AS DOUBLE) AS quant_score FROM {{s_filtered}}",
     "seedrows": "SELECT *, period_end AS bs_period_end, submit_date AS submitted_at, submit_date AS bs_submitted_at, CAST(NULL AS DOUBLE) AS sales_growth FROM {results}",
     "sane": """SELECT * REPLACE (CASE WHEN few OR off THEN NULL ELSE eps END AS eps, CASE WHEN few OR off THEN NULL ELSE bps END AS bps, CASE WHEN few OR off THEN NULL ELSE dps END AS dps,
         CASE WHEN few THEN NULL ELSE shares_outstanding END AS shares_outstanding, CASE WHEN equity_ratio BETWEEN -1000 AND 100 THEN equity_ratio END AS equity_ratio) FROM (
@@ -331,6 +339,18 @@ _SQL = {
     "legacy_filter": f"SELECT code, {r('price')}, volume, {r('equity_ratio')} FROM {{snap}} t WHERE coalesce(t.price >= 1100, true) AND coalesce(volume >= 20, true) AND coalesce(t.equity_ratio >= 10, true) ORDER BY volume DESC NULLS LAST, code LIMIT 50",
     "legacy_rank": f"SELECT code, CAST(row_number() OVER (ORDER BY t.roe DESC, code) AS INTEGER) AS rank, {r('roe')} FROM {{inputs}} t WHERE t.roe >= 5 AND per <= 30 AND equity_ratio >= 10",
     "legacy_dividend": f"SELECT code, {r('CASE WHEN operating_cf < 0 THEN 0.0 ELSE CASE WHEN dividend_yield >= 3 THEN 20.0 ELSE 0.0 END - CASE WHEN payout_ratio > 100 THEN 20.0 ELSE 0.0 END END', name='dividend_points')} FROM {{inputs}}",
+    "screen": f"""SELECT code, {r('price', 4)}, filter_reason, {r('CASE WHEN filter_reason IS NULL THEN quant_score END', 4, 'quant_score')},
+        CASE WHEN filter_reason IS NULL THEN v END AS verdict FROM (SELECT *, {scoring.verdict()} AS v FROM {{s_scored}})""",
+    "legacy_score": f"""WITH p AS (SELECT code, sector, rsi_14, ma_divergence, CASE WHEN roe IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, roe / 20)) * 25 END AS quality_points,
+          CASE WHEN per IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (per - 40) / -32)) * 20 END + CASE WHEN pbr <= 1 THEN 15.0 ELSE 0.0 END AS value_points,
+          CASE WHEN equity_ratio IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (equity_ratio - 10) / 50)) * 20 END AS safety_points,
+          CASE WHEN dividend_yield >= 3 THEN 20.0 ELSE 0.0 END * CASE WHEN payout_ratio >= 100 THEN 0.5 ELSE 1.0 END AS income_points,
+          CASE WHEN macd_hist > 0 THEN 10.0 ELSE 0.0 END + CASE WHEN rsi_14 BETWEEN 40 AND 65 THEN 10.0 ELSE 0.0 END + CASE WHEN turnaround_status = 'turnaround_black' THEN 5.0 ELSE 0.0 END AS trend,
+          count(*) OVER (PARTITION BY sector) AS n FROM {{inputs}}),
+        q AS (SELECT *, greatest(0.0, least(100.0, (income_points + quality_points + safety_points + value_points + trend) / 120 * 100 * CASE WHEN n >= 100 THEN 1.0 WHEN n >= 30 THEN 0.8 ELSE 0.5 END)) AS s FROM p),
+        t AS (SELECT *, round(CASE WHEN {scoring.DEAD} THEN least(50.0, s) ELSE s END + 1e-7, 2) AS score FROM q)
+        SELECT code, sector, {rs('income_points, quality_points, safety_points, value_points')}, {r('score', name='legacy_score')},
+          CAST(rank() OVER (PARTITION BY sector ORDER BY score DESC, code) AS INTEGER) AS sector_rank FROM t""",
     "stream_settled_bars": f"""SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS code, CAST(ts AS DATE) AS entry_date, {r('avg(value)', name='price')}, count(*) AS volume, {r('sum(value)', name='trading_value')}
         FROM {{events}} WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(date_trunc('millisecond', ts)) FROM {{events}}) - INTERVAL 1 DAY GROUP BY user_id, CAST(ts AS DATE)""",
 }
