@@ -90,18 +90,23 @@ def apply_splits(bars: DataFrame, events: DataFrame) -> DataFrame:
         import numpy as np
 
         own = own.sort_values("entry_date", ignore_index=True)
-        days = pd.to_datetime(own["entry_date"])
+        days = pd.to_datetime(own["entry_date"]).to_numpy().astype("datetime64[D]")
+        money = own[prices].to_numpy(float, copy=True)
+        p = money[:, prices.index("price")]  # a view: it follows what is done to money
+        volume = own["volume"].to_numpy(float, copy=True) if "volume" in own else None
         for day, ratio in ev.sort_values(["split_date", "ratio"])[["split_date", "ratio"]].itertuples(index=False):
             if not (0.02 <= ratio <= 100) or ratio == 1 or abs(np.log(ratio)) < np.log(LIKELY):
                 continue
-            p = own["price"].to_numpy(float)
-            lo, hi = pd.Timestamp(day) - pd.Timedelta(days=BEFORE), pd.Timestamp(day) + pd.Timedelta(days=AFTER)
-            best = min(((abs(np.log(p[i - 1] / p[i]) - np.log(ratio)), i) for i in np.flatnonzero((days >= lo) & (days <= hi)) if i and _impossible(p, i)), default=None)
+            day = np.datetime64(day, "D")
+            lo, hi = np.searchsorted(days, day - BEFORE, "left"), np.searchsorted(days, day + AFTER, "right")
+            best = min(((abs(np.log(p[i - 1] / p[i]) - np.log(ratio)), i) for i in range(max(lo, 1), hi) if _impossible(p, i)), default=None)
             if best and best[0] <= MATCH:
-                before = np.arange(len(own)) < best[1]
-                own.loc[before, prices] = own.loc[before, prices] / ratio
-                if "volume" in own:
-                    own.loc[before, "volume"] = own.loc[before, "volume"] * ratio
+                money[: best[1]] /= ratio
+                if volume is not None:
+                    volume[: best[1]] *= ratio
+        own[prices] = money
+        if volume is not None:
+            own["volume"] = volume
         return own
 
     ev = events.select(F.concat("code", F.lit("")).alias("ev_code"), F.col("split_date").alias("split_date"), F.col("ratio").alias("ratio"))
