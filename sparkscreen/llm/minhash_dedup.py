@@ -9,8 +9,9 @@ in a whole band are candidates, and a pair is linked if its exact probability Ja
 
 Hot groups: equal texts are one node from the start. In each band's bucket the member that meets most others is the
 centre, and every member is verified against it, which takes as many pairs as the bucket has members. Links make
-classes. Buckets that still hold several classes are rare; all their pairs of members of different classes are verified
-then, so no link between candidates is lost, and within a class no pair is expanded.
+classes. In buckets that still hold several classes, members outside the centre's class are verified against all members
+of other classes, so no link between candidates is lost: pair by pair in small buckets, in blocks of members in larger
+ones, where one matrix product rules out most pairs. Within the centre's class no pair is expanded.
 
 Defined cases: texts without words are classes of their own; null ids are kept and count as smallest; repeated rows
 give a row each; an empty table gives an empty result; other columns aren't read. A class is named by its smallest id.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 from .components import components
 
-WORDS, THRESHOLD, REGISTERS, BANDS, BAND = 5, 0.8, 128, 25, 5
+WORDS, THRESHOLD, REGISTERS, BANDS, BAND, BLOCK = 5, 0.8, 128, 25, 5, 128
+SLACK = 1e-12  # sums of fractions that are the threshold exactly may come out a little below it
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -135,12 +137,10 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(sign, "id long, fp binary, bands array<long>")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b: nodes) whose exact similarity reaches the threshold. nodes: node, id, fp."""
-    pairs = materialize(pairs, "pairs")
-    part = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = nodes.join(part, "node").select("node", F.col("id").alias("_id"), F.col("fp").alias("_fp"))
-    texts = docs.join(asked, docs["id"].eqNullSafe(asked["_id"])).select("node", "_fp", "text")
+def _features(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """node, s, c: hashes and counts of the shingles, as bytes, of the asked nodes. nodes: node, id, fp."""
+    wanted = nodes.join(asked, "node").select("node", F.col("id").alias("_id"), F.col("fp").alias("_fp"))
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"])).select("node", "_fp", "text")
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -152,23 +152,87 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: fl
                     rows.append((node, s.tobytes(), c.astype("<u4").tobytes()))
             yield pd.DataFrame(rows, columns=["node", "s", "c"])
 
-    found = materialize(texts.mapInPandas(features, "node long, s binary, c binary"), "shingles")
+    return materialize(texts.mapInPandas(features, "node long, s binary, c binary"), "shingles")
+
+
+def _set(s: bytes, c: bytes) -> tuple:
+    import numpy as np
+
+    return np.frombuffer(s, "<u8"), np.frombuffer(c, "<u4")
+
+
+def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """pairs (a, b: nodes) whose exact similarity reaches the threshold. found: features."""
     left = found.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca"))
     right = found.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for pdf in frames:
-            ok = [
-                probability_jaccard((np.frombuffer(sa, "<u8"), np.frombuffer(ca, "<u4")), (np.frombuffer(sb, "<u8"), np.frombuffer(cb, "<u4"))) >= threshold
-                for sa, ca, sb, cb in zip(pdf["sa"], pdf["ca"], pdf["sb"], pdf["cb"], strict=True)
-            ]
+            ok = [probability_jaccard(_set(sa, ca), _set(sb, cb)) >= threshold - SLACK for sa, ca, sb, cb in zip(pdf["sa"], pdf["ca"], pdf["sb"], pdf["cb"], strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
     return materialize(pairs.join(right, "b").join(left, "a").mapInPandas(linked, "a long, b long"), "verified")
 
 
+def block_links(x: list[tuple], y: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Places (i, j) of the pairs of two blocks of weighted sets that reach the threshold. One matrix product counts the
+    common shingles of all pairs. Where no shingle of a pair repeats, that gives the similarity itself; else the share of
+    a set's weight on common shingles bounds it from above, and what the bound leaves is computed."""
+    import numpy as np
+
+    known = np.unique(np.concatenate([s for s, _ in x]))
+    both = known[np.isin(known, np.concatenate([s for s, _ in y]))]
+
+    def matrix(sets: list[tuple]):
+        weights, here = np.zeros((len(sets), len(both)), np.float32), np.zeros((len(sets), len(both)), np.float32)
+        for i, (s, c) in enumerate(sets):
+            at = np.searchsorted(both, s)
+            at[at == len(both)] = 0
+            on = both[at] == s if len(both) else np.zeros(len(s), bool)
+            weights[i, at[on]], here[i, at[on]] = c[on] / c.sum(), 1
+        plain = np.array([c.max() == 1 for _, c in sets])
+        return weights, here, plain, np.array([len(s) for s, _ in sets], np.float64)
+
+    (wx, hx, px, nx), (wy, hy, py, ny) = matrix(x), matrix(y)
+    common = (hx @ hy.T).astype(np.float64)
+    sure = np.outer(px, py)
+    exact = common / (nx[:, None] + ny[None, :] - common)
+    bound = np.where(sure, exact, np.minimum(wx @ hy.T, (wy @ hx.T).T) + 1e-5)
+    return [(i, j) for i, j in np.argwhere(bound >= threshold - SLACK).tolist() if sure[i, j] or probability_jaccard(x[i], y[j]) >= threshold - SLACK]
+
+
+def _block_verified(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """rows: bucket, node, cls, side (0: the bucket's main class, 1: others), n0, n1. Links (a, b) between members of
+    different classes of one bucket. Members are dealt by hash into blocks of about BLOCK; a block of others meets every
+    block of its bucket, so nothing but links comes out, and no task holds more than two blocks at a time."""
+    spark = rows.sparkSession
+    n = F.ceil(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")) / BLOCK)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), n)).select("bucket", "side", "block", "node", "cls").join(found, "node")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = [*pdf[["bucket", "side", "block"]].iloc[0].tolist(), pdf["node"].tolist(), pdf["cls"].tolist(), pdf["s"].tolist(), pdf["c"].tolist()]
+        return pd.DataFrame([one], columns=["bucket", "side", "block", "nodes", "classes", "s", "c"])
+
+    cols = "bucket long, side int, block long, nodes array<long>, classes array<long>, s array<binary>, c array<binary>"
+    blocks = materialize(dealt.groupBy("bucket", "side", "block").applyInPandas(pack, cols), "blocks")
+    x = blocks.filter("side = 1").select("bucket", F.col("block").alias("xb"), *[F.col(c).alias(f"x_{c}") for c in ("nodes", "classes", "s", "c")])
+    meet = x.join(blocks, "bucket").filter("side = 0 or xb <= block")
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples():
+                pairs = block_links([_set(*z) for z in zip(r.x_s, r.x_c, strict=True)], [_set(*z) for z in zip(r.s, r.c, strict=True)], threshold)
+                yield pd.DataFrame([(r.x_nodes[i], r.nodes[j]) for i, j in pairs if r.x_classes[i] != r.classes[j]], columns=["a", "b"], dtype="int64")
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")  # a row is two blocks
+    try:
+        return materialize(meet.mapInPandas(link, "a long, b long").distinct(), "block-links")
+    finally:
+        spark.conf.set(key, before)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (the smallest id of its class), n_links (verified links of its text to other texts)."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -183,19 +247,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     degree = live.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = live.join(degree, "node").select("bucket", "node", F.struct("degree", (-F.col("node")).alias("o")).alias("by"))
     centres = ranked.groupBy("bucket").agg((-F.max("by")["o"]).alias("centre"))
-    star = live.join(centres, "bucket").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(plain, nodes, star, threshold)
+    star = materialize(live.join(centres, "bucket").filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    found = _features(plain, nodes, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct())
+    links = _verified(star, found, threshold)
     classes = materialize(components(links), "classes")
 
-    # What the centres couldn't decide: members of different classes in one bucket.
+    # What the centres couldn't decide: members of other classes than their bucket's centre.
     classed = live.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("cls"))
-    mixed = classed.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = materialize(classed.join(mixed, "bucket"), "mixed-buckets")
-    a, b = rest.select("bucket", F.col("node").alias("a"), F.col("cls").alias("ca")), rest.select("bucket", F.col("node").alias("b"), F.col("cls").alias("cb"))
-    cross = a.join(b, "bucket").filter("ca < cb").select("a", "b").distinct()
-    tested = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    cross = cross.join(tested, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    more = _verified(plain, nodes, cross, threshold)
+    main = centres.join(classes.withColumnRenamed("node", "centre"), "centre", "left").select("bucket", F.coalesce("component", "centre").alias("main"))
+    sided = classed.join(main, "bucket").select("bucket", "node", "cls", (F.col("cls") != F.col("main")).cast("int").alias("side"))
+    counts = sided.groupBy("bucket").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")).filter("n1 > 0")
+    rest = materialize(sided.join(counts, "bucket"), "mixed-buckets")
+    few = rest.filter(F.col("n0") + F.col("n1") <= BLOCK // 2)
+    a, b = few.filter("side = 1").select("bucket", F.col("node").alias("a"), F.col("cls").alias("ca")), few.select("bucket", F.col("node").alias("b"), F.col("cls").alias("cb"), "side")
+    cross = a.join(b, "bucket").filter("ca <> cb and (side = 0 or ca < cb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = _verified(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), found, threshold)
+    more = more.unionByName(_block_verified(rest.filter(F.col("n0") + F.col("n1") > BLOCK // 2), found, threshold))
     if more.limit(1).count():
         links = links.unionByName(more)
         classes = materialize(components(links), "classes")
