@@ -18,13 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = _state(edges)
     while seen[0]:
+        files = max(1, seen[0] // 200_000)  # steps leave no more edges than there were
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large.coalesce(files), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "small-star")
+        edges = materialize(small.coalesce(files), "small-star")
         now = _state(edges)
         if now == seen:
             break

@@ -119,7 +119,7 @@ def probability_jaccard(a: tuple, b: tuple) -> float:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, fp (digest of the word list; null without words), bands."""
+    """id, key, fp (digest of the word list; null without words), bands."""
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -132,9 +132,9 @@ def _signed(docs: DataFrame) -> DataFrame:
                 if some:
                     for i, row in zip(some, band_keys(signatures([shingles(lists[i]) for i in some])), strict=True):
                         keys[i] = row
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "fp": fps, "bands": keys})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "key": part["key"].to_numpy(), "fp": fps, "bands": keys})
 
-    return docs.mapInPandas(sign, "id long, fp binary, bands array<long>")
+    return docs.mapInPandas(sign, "id long, key long, fp binary, bands array<long>")
 
 
 def _features(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -234,8 +234,9 @@ def _block_verified(rows: DataFrame, found: DataFrame, threshold: float) -> Data
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (the smallest id of its class), n_links (verified links of its text to other texts)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    """Per row: id, key (a hash of the text), class_id (the smallest id of its class), n_links (verified links of its text
+    to other texts), kept (whether the row has its class's id and, of that id's texts in the class, the first)."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).alias("text"))
     signed = materialize(_signed(plain), "signed")
     reps = signed.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are fixed by writing them
@@ -263,27 +264,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     cross = a.join(b, "bucket").filter("ca <> cb and (side = 0 or ca < cb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), found, threshold)
     more = more.unionByName(_block_verified(rest.filter(F.col("n0") + F.col("n1") > BLOCK // 2), found, threshold))
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        classes = materialize(components(links), "classes")
+    # The new links join classes: components of classes, not of all nodes again.
+    of = classes.select("node", "component")
+    joins = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    wider = components(joins).toDF("cls", "wider")
+    links = links.unionByName(more)
+    ids = classes.unionByName(joins.select(F.col("a").alias("node")).unionByName(joins.select(F.col("b").alias("node"))).distinct().join(classes.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
+    classes = materialize(ids.withColumnRenamed("component", "cls").join(wider, "cls", "left").select("node", F.coalesce("wider", "cls").alias("component")), "all-classes")
 
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     n_links = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.join(classes, "node", "left").join(n_links, "node", "left").select("id", "fp", F.coalesce("component", "node").alias("cls"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    names = named.groupBy("cls").agg(F.min("id").alias("class_id"))
-    texts = materialize(named.join(names, "cls").select("fp", "class_id", "n_links"), "text-classes")
-    known = signed.filter("fp is not null").select("id", "fp").join(texts, "fp").select("id", "class_id", "n_links")
-    alone = signed.filter("fp is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = nodes.join(classes, "node", "left").join(n_links, "node", "left").select("node", "id", "fp", F.coalesce("component", "node").alias("cls"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    names = named.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")).alias("first"))
+    texts = named.join(names, "cls").select("fp", F.col("first.id").alias("class_id"), "n_links", (F.col("node") == F.col("first.node")).alias("first"))
+    known = signed.filter("fp is not null").select("id", "key", "fp").join(materialize(texts, "text-classes"), "fp")
+    known = known.select("id", "key", "class_id", "n_links", (F.col("first") & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    alone = signed.filter("fp is null").select("id", "key", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return known.unionByName(alone)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the row with the smallest id stays; of rows that repeat that id, one."""
-    losers = near_duplicates(docs).filter("not (id <=> class_id)").select("id").distinct()
-    kept = docs.join(losers, docs["doc_id"] == losers["id"], "left_anti")
+    """Pipeline stage: of each class the row with the smallest id stays; of rows that repeat that id and text, one."""
+    losers = near_duplicates(docs).filter("not kept").select("id", "key").distinct()
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["id"]) & (text == losers["key"]), "left_anti")
     own = [F.col(f"`{c}`") for c in docs.columns]
     return kept.dropDuplicates(["doc_id", "text"]).select(*own)
