@@ -41,11 +41,12 @@ def cut_points(ids) -> list[int]:
         return [n]
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
     x ^= x >> np.uint64(29)
-    h, factor = np.zeros(n, np.uint64), 1
-    for k in range(WINDOW):  # the sum of the last WINDOW mixed ids, each times a power of the step
-        h[k:] += x[: n - k] * np.uint64(factor)
-        factor = factor * _STEP % 2**64
-    h ^= h >> np.uint64(32)
+    h, reach, factor = x, 1, _STEP
+    while reach < WINDOW:  # the sum of the last WINDOW mixed ids, each times a power of the step, by doubling
+        longer = h.copy()
+        longer[reach:] += h[:-reach] * np.uint64(factor)
+        h, reach, factor = longer, 2 * reach, factor * factor % 2**64
+    h = h ^ (h >> np.uint64(32))
     ends, last = [], 0
     for e in (np.flatnonzero((h * np.uint64(_MIX)) >> np.uint64(40) & np.uint64(MEAN - 1) == 0) + 1).tolist():
         while e - last > MOST:
@@ -74,13 +75,15 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
     """Write the store of docs to path; width: bytes of an id."""
     spark, end = docs.sparkSession, end_id.to_bytes(4, "little")
 
-    def chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunked(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
         enc = encoder(vocabulary)
-        for pdf in frames:
-            rows = []
-            for key, data in zip(pdf["id"], enc.encode(pdf["text"].tolist()), strict=True):
+        schema = pa.schema([("id", pa.string()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("parts", pa.list_(pa.binary()))])
+        for batch in batches:
+            sizes, roots, all_digests, all_parts = [], [], [], []
+            for data in enc.encode(batch.column(1).to_pylist()):
                 ids = np.frombuffer(data + end, "<u4")
                 if width == 2 and int(ids.max()) > 65535:
                     raise ValueError("an id doesn't fit two bytes; write the store with width=4")
@@ -88,12 +91,15 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
                 cuts = [0, *cut_points(ids)]
                 parts = [raw[a * width : b * width] for a, b in zip(cuts, cuts[1:], strict=False)]
                 digests = [hashlib.sha256(p).digest() for p in parts]
-                rows.append((key, len(ids), merkle_root(digests), digests, parts))
-            yield pd.DataFrame(rows, columns=["id", "n_tokens", "root", "digests", "parts"])
+                sizes.append(len(ids))
+                roots.append(merkle_root(digests))
+                all_digests.append(digests)
+                all_parts.append(parts)
+            yield pa.record_batch([batch.column(0), sizes, roots, pa.array(all_digests, schema.field(3).type), pa.array(all_parts, schema.field(4).type)], schema=schema)
 
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     text = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
-    staged = text.mapInPandas(chunked, "id string, n_tokens long, root binary, digests array<binary>, parts array<binary>")
+    staged = text.mapInArrow(chunked, "id string, n_tokens long, root binary, digests array<binary>, parts array<binary>")
     staged.withColumn("id", F.col("id").cast(kind)).write.option("compression", "zstd").parquet(f"{path}/staging")
     staging = spark.read.parquet(f"{path}/staging")
 
@@ -132,8 +138,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         import numpy as np
 
         for pdf in frames:
-            four = [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in pdf["ids"]]
-            yield pd.DataFrame({"digest": pdf["digest"], "n": [len(x) // 4 for x in four], "crc": [zlib.crc32(x) for x in four]})
+            ends = np.cumsum([len(x) // width for x in pdf["ids"]])
+            four = memoryview(np.frombuffer(b"".join(pdf["ids"]), f"<u{width}").astype("<u4").tobytes())
+            starts = np.concatenate([[0], ends[:-1]])
+            crc = [zlib.crc32(four[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pd.DataFrame({"digest": pdf["digest"], "n": ends - starts, "crc": crc})
 
     known = _stored(spark, path).mapInPandas(facts, "digest binary, n long, crc long")
     found = _lines(recipes).join(known, "digest").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc", "digest"))).alias("c"))
