@@ -140,7 +140,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go. The verdict is a column of the row itself, so nothing is joined."""
     judged = quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty("text").alias("_t")), id_col="_row", text_col="_t")
-    return judged.filter("kept").select("_row.*")
+    # A filter isn't pushed below a column that isn't deterministic; pushed down, it would count each measure anew for
+    # every rule that names it.
+    return judged.withColumn("_n", F.monotonically_increasing_id()).filter("kept and _n >= 0").select("_row.*")
 
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
