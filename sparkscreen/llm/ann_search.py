@@ -8,9 +8,11 @@ width is one that probe queries needed. Candidates are verified by the exact inn
 given vectors lie almost evenly in 64 dimensions, where nearest neighbours are little nearer than others; SHARE is what
 a recall over 0.9 takes there.
 
-Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |v|^2), M the largest norm; it is 0
-for queries. Vectors are dealt by hash into segments of about SEGMENT, each with its own sorted arrays; queries come in
-blocks, and each pair of block and segment is one step, which keeps at most k rows a query. A pair holds a few MB
+Vectors are dealt into ranges of norm, in each of which norms differ by a factor of at most RANGE, and a range by hash
+into segments of about SEGMENT, each with its own sorted arrays. Largest inner product becomes smallest distance by one
+more coordinate, sqrt(M^2 - |v|^2), M the largest norm of the segment, so that a long vector says nothing about other
+ranges; it is 0 for queries, which are brought to norm M (that changes no order). Every segment is searched. Queries come
+in blocks, and each pair of block and segment is one step, which keeps at most k rows a query. A pair holds a few MB
 however large the table is.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no part;
@@ -20,6 +22,7 @@ scores go by the smaller id; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 K, PROJECTIONS, THRESHOLD, SHARE, SEGMENT, BLOCK, SEED = 20, 96, 77, 0.20, 8192, 512, 5
-WIDEN, PROBES, LEAST = 1.05, 2, 1200
+WIDEN, PROBES, LEAST, RANGE = 1.05, 2, 1200, 1.25
 
 
 def directions(dim: int, m: int = PROJECTIONS, seed: int = SEED):
@@ -92,6 +95,13 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.coalesce(fine, F.lit(False))).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
+def _norm_range(v: Column) -> Column:
+    """The number of a vector's range of norms; norm 1 is in the middle of range 0. Squares are of parts of the longest component."""
+    longest = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x / longest) * (x / longest))
+    return F.round((F.ln(longest) + 0.5 * F.ln(squares)) / math.log(RANGE)).cast("int")
+
+
 def _index(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """One row a segment: dim, seg, ids, vectors, order, values, as bytes."""
 
@@ -99,12 +109,14 @@ def _index(rows: DataFrame, stats: DataFrame) -> DataFrame:
         import numpy as np
 
         v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        rest = np.sqrt(np.maximum(pdf["longest"].iloc[0] - (v * v).sum(axis=1), 0.0))
-        order, values = sorted_arrays(np.column_stack([v, rest]), directions(v.shape[1] + 1))
+        unit = v / np.abs(v).max()
+        unit /= np.sqrt((unit * unit).sum(axis=1).max())
+        rest = np.sqrt(np.maximum(1.0 - (unit * unit).sum(axis=1), 0.0))
+        order, values = sorted_arrays(np.column_stack([unit, rest]), directions(v.shape[1] + 1))
         one = [pdf["dim"].iloc[0], pdf["seg"].iloc[0], pdf["id"].to_numpy(np.int64).tobytes(), v.tobytes(), order.tobytes(), values.astype("<f4").tobytes()]
         return pd.DataFrame([one], columns=["dim", "seg", "ids", "vectors", "order", "values"])
 
-    dealt = rows.join(stats, "dim").withColumn("seg", F.pmod(F.xxhash64("id"), F.col("segments")))
+    dealt = rows.join(stats, ["dim", "norms"]).withColumn("seg", F.col("first") + F.pmod(F.xxhash64("id"), F.col("segments")))
     return dealt.groupBy("dim", "seg").applyInPandas(build, "dim int, seg long, ids binary, vectors binary, order binary, values binary")
 
 
@@ -123,13 +135,14 @@ def _blocks(queries: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query its k nearest found: query_id, rank, vec_id, score. is_query: a condition on the column id."""
     spark = vectors.sparkSession
-    rows = materialize(_usable(vectors, id_col, vector_col), "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    stats = materialize(
-        rows.groupBy("dim").agg(F.max(norm).alias("longest"), F.ceil(F.count("*") / SEGMENT).alias("segments"), F.greatest(F.lit(1), F.ceil(F.count_if(is_query) / BLOCK)).alias("blocks")), "vector-stats"
-    )
-    index = materialize(_index(rows, stats), "vector-index")
-    blocks = _blocks(rows.filter(is_query).join(stats.select("dim", "blocks"), "dim")).join(stats.select("dim", "segments", "longest"), "dim")
+    rows = materialize(_usable(vectors, id_col, vector_col).withColumn("norms", _norm_range(F.col("v"))), "vectors")
+    # One row a dimension and range; a double's exponents bound the ranges. Segments of a dimension are numbered through.
+    ranges = materialize(rows.groupBy("dim", "norms").agg(F.ceil(F.count("*") / SEGMENT).alias("segments"), F.count_if(is_query).alias("queries")), "vector-ranges")
+    before = Window.partitionBy("dim").orderBy("norms").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranges.select("dim", "norms", "segments", F.coalesce(F.sum("segments").over(before), F.lit(0)).alias("first"))
+    index = materialize(_index(rows, numbered), "vector-index")
+    stats = ranges.groupBy("dim").agg(F.sum("segments").alias("segments"), F.greatest(F.lit(1), F.ceil(F.sum("queries") / BLOCK)).alias("blocks"))
+    blocks = _blocks(rows.filter(is_query).join(stats.select("dim", "blocks"), "dim")).join(stats.select("dim", "segments"), "dim")
     # A pair goes wherever its hash says, so that neither a segment nor a block is tied to one task.
     meet = blocks.withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1))).join(index, ["dim", "seg"])
 
@@ -142,7 +155,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHA
                 v, qs = np.frombuffer(r.vectors).reshape(len(ids), -1), np.frombuffer(r.qs).reshape(len(qids), -1)
                 order = np.frombuffer(r.order, np.int32).reshape(-1, len(ids))
                 values = np.frombuffer(r.values, "<f4").reshape(order.shape)
-                projected = np.column_stack([qs, np.zeros(len(qs))]) @ directions(r.dim + 1).T
+                unit = qs / np.abs(qs).max(axis=1)[:, None]
+                unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+                projected = np.column_stack([unit, np.zeros(len(qs))]) @ directions(r.dim + 1).T
                 want = int(max(k + 1, LEAST, share * len(ids)))
                 out_q, out_v, out_s = [], [], []
                 for qid, q, c in zip(qids, qs, collide(projected.astype("<f4"), order, values, want, THRESHOLD), strict=True):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,29 @@ def test_odd_vectors(spark):
     assert ann_search.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def recall(spark, v):
+    ids = np.arange(len(v))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": v.tolist()}))
+    got = defaultdict(set)
+    for r in ann_search.nearest(df, F.col("id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    best = {q: set(sorted(ids[ids != q], key=lambda i, s=v @ v[q]: -s[i])[:20]) for q in ids[::100]}
+    assert set(got) == set(best)
+    return np.mean([len(best[q] & got[q]) / 20 for q in best])
+
+
+@pytest.mark.parametrize("norms", ["one long", "one very long", "log-normal"])
+def test_recall_where_norms_differ(spark, norms):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((6000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if norms == "log-normal":
+        v *= np.exp(0.5 * rng.standard_normal(len(v)))[:, None]
+    else:
+        v[17] *= {"one long": 3, "one very long": 100}[norms]
+    assert recall(spark, v) >= 0.9
+
+
 DEPTH = 2
 
 
