@@ -8,9 +8,11 @@ What a decision then gets is the chance that the trained tree gives to one more
 depth's estimate with the weight KT / (KT + product of children) of its node, the rest to the next depth. A context not
 seen in training says 1/2.
 
-For scoring, nodes go to tables of a fixed size, whatever the corpus: depths 0 and 1 have a place for each node, deeper
-ones are hashed to SLOTS places each, where nodes that meet add their counts and log weights. That is 18 million numbers
-at most, the bound on what is broadcast. A task scores each distinct (context, byte) of a batch once.
+Scoring is by the exact nodes. Contexts and bytes of texts that aren't trained on are in the tree with counts of zero,
+which change no sum. From the root down each node gets what its path says so far, by a join of each depth with the one
+above, and so each distinct (context, byte) of the corpus, a gram, its chance. The most frequent grams, at most HOT,
+are broadcast, a fixed number; a task looks up each distinct gram of a batch once. The others are joined with their
+chances, text by text; as they are less frequent than any of those, none is a hot key.
 
 The unigram base is exact: the KNOWN most frequent words are broadcast (a fixed number), the others are joined with
 their counts; as they are less frequent than any of those, none is a hot key.
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
 
-DEPTH, SLOTS, KNOWN, BLOCK = 4, 2**21, 131_072, 2**16
+DEPTH, HOT, KNOWN = 4, 2**21, 131_072
+SLOTS, BLOCK = 2**21, 2**16  # of tables that log_chances reads; scored() uses none
 START, END = 0xFE, 0xFF  # bytes that UTF-8 doesn't use
 BATCH, MOST_WORDS = 4_000_000, 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -78,7 +81,8 @@ def slots_of(ctx, node, d: int):
 
 
 def log_chances(grams, tables: list) -> object:
-    """log10 of the model's chance of each gram's byte after its context. tables: (estimate of 1, weight) by depth."""
+    """log10 of the model's chance of each gram's byte after its context, from nodes hashed into tables of a fixed size:
+    (estimate of 1, weight) by depth. An approximation that scored() doesn't use: nodes that meet in a place are mixed."""
     import numpy as np
 
     byte, ctx = grams & np.uint64(255), grams >> np.uint64(8)
@@ -101,41 +105,50 @@ def _is_training(id_col: Column) -> Column:
 
 
 def _partial_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """gram or word, and a count: what each task of the training texts has seen. Tables in a task are emptied when full."""
+    """gram or word, n and, for grams, times: what each task has seen in training texts and in all. Tables in a task are emptied when full.
+
+    texts: text, training."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        seen, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        seen, many = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
         words: Counter = Counter()
 
         def grams_out():
-            return pd.DataFrame({"gram": seen.astype(np.int64), "word": None, "n": many})
+            return pd.DataFrame({"gram": seen.astype(np.int64), "word": None, "n": many[1], "times": many.sum(axis=0)})
 
         def words_out():
-            return pd.DataFrame({"gram": pd.array([None] * len(words), "Int64"), "word": list(words.keys()), "n": list(words.values())})
+            return pd.DataFrame({"gram": pd.array([None] * len(words), "Int64"), "word": list(words.keys()), "n": list(words.values()), "times": 0})
 
-        def batches() -> Iterator[list[bytes]]:
-            batch, size = [], 0
+        def batches() -> Iterator[tuple[list[bytes], int]]:
+            """Folded texts, and whether they are trained on (1) or not (0)."""
+            batch, size = ([], []), [0, 0]
             for pdf in frames:
-                for t in pdf["text"]:
-                    batch.append(folded(t))
-                    size += len(batch[-1])
-                    if size > BATCH:
-                        yield batch
-                        batch, size = [], 0
-            if batch:
-                yield batch
-
-        for batch in batches():
+                for t, i in zip(pdf["text"], pdf["training"].astype(int), strict=True):
+                    batch[i].append(folded(t))
+                    size[i] += len(batch[i][-1])
+                    if size[i] > BATCH:
+                        yield list(batch[i]), i
+                        batch[i].clear()
+                        size[i] = 0
+            for i in (0, 1):
+                if batch[i]:
+                    yield batch[i], i
+
+        for batch, training in batches():
             g, _ = grams_of(batch, depth)
             u, n = np.unique(g, return_counts=True)
             both, where = np.unique(np.concatenate([seen, u]), return_inverse=True)
-            many = np.bincount(where, np.concatenate([many, n]), len(both)).astype(np.int64)
-            seen = both
+            sums = np.zeros((2, len(both)), np.int64)
+            sums[:, where[: len(seen)]] = many
+            sums[training, where[len(seen) :]] += n
+            seen, many = both, sums
             if len(seen) > 2_000_000:
                 yield grams_out()
-                seen, many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                seen, many = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
+            if not training:
+                continue
             for t in batch:
                 words.update(t.split())
             words[bytes([END])] += len(batch)
@@ -145,7 +158,7 @@ def _partial_counts(texts: DataFrame, depth: int) -> DataFrame:
         yield grams_out()
         yield words_out()
 
-    return texts.mapInPandas(count, "gram long, word binary, n long")
+    return texts.mapInPandas(count, "gram long, word binary, n long, times long")
 
 
 def _lgamma(x: Column) -> Column:
@@ -158,60 +171,79 @@ def _lgamma(x: Column) -> Column:
 
 def _kt(n0: Column, n1: Column) -> Column:
     """ln of the Krichevsky-Trofimov chance of a sequence with these counts."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - F.lit(1.1447298858494002) - _lgamma(n0 + n1 + 1.0)
+    chance = _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - F.lit(1.1447298858494002) - _lgamma(n0 + n1 + 1.0)
+    return F.when(n0 + n1 > 0, chance).otherwise(0.0)
+
 
+def _decisions(counts: DataFrame) -> DataFrame:
+    """The eight decisions of each gram: gram, ctx, node, bit, n."""
+    split = counts.select("gram", F.expr("shiftrightunsigned(gram, 8)").alias("ctx"), F.expr("gram & 255").alias("b"), "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    return split.select("gram", "ctx", F.expr("shiftleft(1L, k) | shiftright(b, 8 - k)").alias("node"), F.expr("shiftright(b, 7 - k) & 1").alias("bit"), "n")
 
-def context_trees(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """counts: gram, n. All nodes: d, ctx, node, n0, n1, own (ln KT), below (ln of the children's product)."""
-    decisions = counts.select(F.expr("shiftrightunsigned(gram, 8)").alias("ctx"), F.expr("gram & 255").alias("b"), "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    decisions = decisions.select("ctx", F.expr("shiftleft(1L, k) | shiftright(b, 8 - k)").alias("node"), F.expr("shiftright(b, 7 - k) & 1").alias("bit"), "n")
-    level = decisions.groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    level = level.withColumn("own", _kt(F.col("n0"), F.col("n1"))).withColumn("below", F.col("own")).withColumn("all", F.col("own")).withColumn("d", F.lit(depth))
+
+def context_trees(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
+    """counts: gram, n. The nodes of each depth, from 0: ctx, node, n0, n1, own (ln KT), below (ln of the children's product), all."""
+    level = _decisions(counts).groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    level = level.withColumn("own", _kt(F.col("n0"), F.col("n1"))).withColumn("below", F.col("own")).withColumn("all", F.col("own"))
     level = materialize(level, f"ctw-{depth}")
     levels = [level]
     for d in range(depth - 1, -1, -1):
         up = level.groupBy(F.expr(f"ctx & {256**d - 1}L").alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("all").alias("below"))
         up = up.withColumn("own", _kt(F.col("n0"), F.col("n1")))
         top = F.greatest("own", "below")
-        up = up.withColumn("all", top + F.ln(F.exp(F.col("own") - top) + F.exp(F.col("below") - top)) - F.ln(F.lit(2.0))).withColumn("d", F.lit(d))
+        up = up.withColumn("all", top + F.ln(F.exp(F.col("own") - top) + F.exp(F.col("below") - top)) - F.ln(F.lit(2.0)))
         level = materialize(up.select(*level.columns), f"ctw-{d}")
         levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.drop("all")
-
-
-def pack_tables(nodes: DataFrame, depth: int = DEPTH) -> list:
-    """The scoring tables, of fixed size, as numpy arrays on the driver."""
+    return levels[::-1]
+
+
+def gram_chances(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """counts: gram, n, times. gram, times, chance: log10 of the model's chance of each gram's byte after its context.
+
+    What a path says of a bit is linear in what its deeper part says: said + left * deeper. A node has at most 256 children.
+    """
+    kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
+    weight = 1.0 / (1.0 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("below") - F.col("own")))))
+    path = None
+    for d, level in enumerate(context_trees(counts, depth)):
+        nodes = level.select("ctx", "node", kt.alias("kt"), (weight if d < depth else F.lit(1.0)).alias("w"))
+        if path is None:
+            path = nodes.select("ctx", "node", (F.col("w") * F.col("kt")).alias("said"), (1.0 - F.col("w")).alias("left"))
+            continue
+        above = path.select(F.col("ctx").alias("up"), "node", "said", "left")
+        path = nodes.withColumn("up", F.expr(f"ctx & {256 ** (d - 1) - 1}L")).join(above, ["up", "node"]).select(
+            "ctx", "node", (F.col("said") + F.col("left") * F.col("w") * F.col("kt")).alias("said"), (F.col("left") * (1.0 - F.col("w"))).alias("left")
+        )
+    bits = _decisions(counts.select("gram", F.col("times").alias("n"))).join(path.select("ctx", "node", "said"), ["ctx", "node"])
+    chance = F.sum(F.log10(F.when(F.col("bit") == 1, F.col("said")).otherwise(1.0 - F.col("said"))))
+    return materialize(bits.groupBy("gram").agg(F.first("n").alias("times"), chance.alias("chance")), "lm-chances")
+
+
+def hot_grams(chances: DataFrame, most: int) -> tuple:
+    """Of the most frequent grams at most so many, as sorted numbers, and their chances: those of at least a number of times, so ties go together."""
     import numpy as np
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            at = np.zeros(len(pdf), np.int64)
-            for d in range(depth + 1):
-                on = (pdf["d"] == d).to_numpy()
-                at[on] = slots_of(pdf["ctx"].to_numpy(np.int64)[on].astype(np.uint64), pdf["node"].to_numpy(np.int64)[on].astype(np.uint64), d)
-            yield pdf[["d", "n0", "n1", "own", "below"]].assign(slot=at)
-
-    summed = nodes.mapInPandas(place, "d int, n0 long, n1 long, own double, below double, slot long").groupBy("d", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.col("own") - F.col("below")).alias("odds"))
-    kt = ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).alias("kt")
-    weight = F.when(F.col("d") == depth, F.lit(1.0)).otherwise(1.0 / (1.0 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("odds")))))).alias("weight")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.empty((2, BLOCK), "<f4")
-        a[0], a[1] = 0.5, 1.0
-        at = pdf["slot"].to_numpy() % BLOCK
-        a[0, at], a[1, at] = pdf["kt"].to_numpy(), pdf["weight"].to_numpy()
-        return pd.DataFrame({"d": pdf["d"].iloc[:1], "block": pdf["block"].iloc[:1], "data": [a.tobytes()]})
-
-    packed = summed.select("d", "slot", kt, weight, F.floor(F.col("slot") / BLOCK).cast("int").alias("block")).groupBy("d", "block").applyInPandas(pack, "d int, block int, data binary")
-    tables = [(np.full(max(n, BLOCK), 0.5, np.float32), np.ones(max(n, BLOCK), np.float32)) for n in slot_sizes(depth)]
-    for r in packed.toLocalIterator():
-        a = np.frombuffer(bytes(r["data"]), "<f4").reshape(2, BLOCK)
-        for i in (0, 1):
-            tables[r["d"]][i][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = a[i]
-    return tables
+    # Classes of times, finer than one in 64: a bounded number of rows.
+    kind = F.floor(F.ln("times") * 64).cast("int")
+    taken, least = 0, None
+    for r in sorted(chances.groupBy(kind.alias("kind")).count().collect(), key=lambda r: -r["kind"]):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["kind"]
+    grams, logs = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    if least is not None:
+
+        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                yield pd.DataFrame({"gram": [pdf["gram"].to_numpy(np.int64).tobytes()], "chance": [pdf["chance"].to_numpy(np.float64).tobytes()]})
+
+        for r in chances.filter(kind >= least).select("gram", "chance").mapInPandas(pack, "gram binary, chance binary").toLocalIterator():
+            grams.append(np.frombuffer(bytes(r["gram"]), np.uint64))
+            logs.append(np.frombuffer(bytes(r["chance"])))
+    grams, logs = np.concatenate(grams), np.concatenate(logs)
+    order = np.argsort(grams)
+    return grams[order], logs[order]
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,8 +253,10 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"), _is_training(F.col(id_col)).alias("training"))
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    part = materialize(_partial_counts(rows.filter("training").select("text"), depth), "lm-counts")
-    tables = spark.sparkContext.broadcast(pack_tables(context_trees(part.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), depth), depth))
+    part = materialize(_partial_counts(rows.select("text", "training"), depth), "lm-counts")
+    counts = materialize(part.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times")), "lm-grams")
+    chances = gram_chances(counts, depth)
+    hot_chances = spark.sparkContext.broadcast(hot_grams(chances, HOT))
     words = materialize(part.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     frequent = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(KNOWN).toLocalIterator()}
@@ -233,12 +267,20 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        model, hot = tables.value, known.value
+        (grams, logs), hot = hot_chances.value, known.value
 
         def out(keys: list, ids: list, training: list, texts: list[bytes]) -> pd.DataFrame:
             g, starts = grams_of(texts, depth)
             u, where = np.unique(g, return_inverse=True)
-            chance = np.add.reduceat(log_chances(u, model)[where], starts)
+            at = np.minimum(np.searchsorted(grams, u), max(len(grams) - 1, 0))
+            found_hot = grams[at] == u if len(grams) else np.zeros(len(u), bool)
+            of_u = np.zeros(len(u))
+            of_u[found_hot] = logs[at[found_hot]]
+            chance = np.add.reduceat(of_u[where], starts)
+            # Grams that aren't broadcast, by text: for the join.
+            places = np.flatnonzero(~found_hot[where])
+            pairs, times = np.unique((np.searchsorted(starts, places, side="right") - 1) * len(u) + where[places], return_counts=True)
+            c = pd.DataFrame({"key": np.array(keys)[pairs // len(u)], "gram": u[pairs % len(u)].astype(np.int64), "n": times})
             own, rest = [], []
             for key, i, tr, t, s in zip(keys, ids, training, texts, chance, strict=True):
                 found = t.split()
@@ -252,7 +294,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
                 own.append((key, i, not tr, len(found) + 1, n_known, base, float(s), len(t)))
             a = pd.DataFrame(own, columns=["key", "id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"])
             b = pd.DataFrame(rest, columns=["key", "word", "n"])
-            return pd.concat([a, b], ignore_index=True).astype({"held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "n_bytes": "Int64", "n": "Int64"})
+            return pd.concat([a, b, c], ignore_index=True)[names].astype({"held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "n_bytes": "Int64", "gram": "Int64", "n": "Int64"})
 
         for pdf in frames:
             at, size = 0, 0
@@ -264,17 +306,21 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
                     yield out(pdf["key"].iloc[part].tolist(), pdf["id"].iloc[part].tolist(), pdf["training"].iloc[part].tolist(), texts[part])
                     at, size = i + 1, 0
 
-    schema = "key long, id string, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, word binary, n long"
+    schema = "key long, id string, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, word binary, gram long, n long"
+    names = [x.split()[0] for x in schema.split(", ")]
     once = materialize(rows.withColumn("key", F.monotonically_increasing_id()).mapInPandas(score, schema), "lm-scores")
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = once.filter("word is not null").select("key", "word", "n").join(words, "word", "left")
     rest = rest.select("key", F.when(c > 0, F.col("n")).otherwise(0).alias("more_known"), (F.col("n") * F.log10(c + 0.5)).alias("more")).groupBy("key").agg(F.sum("more_known").alias("more_known"), F.sum("more").alias("more"))
-    joined = once.filter("word is null").join(rest, "key", "left")
+    rare = once.filter("gram is not null").select("key", "gram", "n").join(chances.select("gram", "chance"), "gram")
+    rare = rare.groupBy("key").agg(F.sum(F.col("n") * F.col("chance")).alias("more_score"))
+    joined = once.filter("word is null and gram is null").join(rest, "key", "left").join(rare, "key", "left")
+    score_all = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     per_token = math.log10(total["n"] + 0.5 * (total["v"] + 1))
     return joined.select(
         F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), "score", "n_bytes",
-        (-F.col("score") / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), score_all.alias("score"), "n_bytes",
+        (-score_all / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
 
 

@@ -91,6 +91,37 @@ def steps(text):
             yield b[i - DEPTH : i], (1 << k) | (b[i] >> (8 - k)), (b[i] >> (7 - k)) & 1
 
 
+def exact(docs):
+    """The training texts, and a function of a text's score by trees in plain Python."""
+    training = [t for i, t in docs if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
+    counts: dict = defaultdict(lambda: [0, 0])
+    for t in training:
+        for x, node, bit in steps(t):
+            for d in range(DEPTH + 1):
+                counts[d, x[DEPTH - d :], node][bit] += 1
+    below: dict = defaultdict(float)
+    weight = {}
+    for d in range(DEPTH, -1, -1):
+        for k in [k for k in counts if k[0] == d]:
+            a, b = counts[k]
+            own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+            weight[k] = 1.0 if d == DEPTH else 1 / (1 + math.exp(min(700, below[k] - own)))
+            if d:
+                below[d - 1, k[1][1:], k[2]] += own if d == DEPTH else np.logaddexp(own, below[k]) - math.log(2)
+
+    def score(t):
+        s = 0.0
+        for x, node, bit in steps(t):
+            p = 0.5
+            for d in range(DEPTH, -1, -1):
+                if (k := (d, x[DEPTH - d :], node)) in counts:
+                    p = weight[k] * (counts[k][1] + 0.5) / (sum(counts[k]) + 1) + (1 - weight[k]) * p
+            s += math.log10(p if bit else 1 - p)
+        return s
+
+    return training, score
+
+
 def test_scores_against_exact_trees(spark, docs):
     df = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, word string")
     got = lm_scoring.scored(df, DEPTH).collect()
@@ -134,6 +165,19 @@ def test_scores_against_exact_trees(spark, docs):
         assert r["held_out"] == (zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1)
 
 
+@pytest.mark.parametrize("hot", [0, 4, 2**21])
+def test_colliding_places_and_rare_grams_keep_scores_exact(spark, monkeypatch, hot):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm_scoring, "SLOTS", 2**8)
+    monkeypatch.setattr(lm_scoring, "HOT", hot, raising=False)
+    got = {r["id"]: r["score"] for r in lm_scoring.scored(df, DEPTH).collect()}
+    _, score = exact([(i, t) for i, t in enumerate(texts)])
+    assert len(got) == len(texts)
+    assert all(got[i] == pytest.approx(score(t), rel=1e-9) for i, t in enumerate(texts))
+
+
 def test_rare_words_come_from_the_join(spark, docs, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     key = lambda r: str(r["id"])
