@@ -52,11 +52,11 @@ def test_odd_vectors(spark):
     assert ann_search.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def recall(spark, v):
+def recall(spark, v, **how):
     ids = np.arange(len(v))
     df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": v.tolist()}))
     got = defaultdict(set)
-    for r in ann_search.nearest(df, F.col("id") % 100 == 0).collect():
+    for r in ann_search.nearest(df, F.col("id") % 100 == 0, **how).collect():
         got[r["query_id"]].add(r["vec_id"])
     best = {q: set(sorted(ids[ids != q], key=lambda i, s=v @ v[q]: -s[i])[:20]) for q in ids[::100]}
     assert set(got) == set(best)
@@ -75,6 +75,15 @@ def test_recall_where_norms_differ(spark, norms):
     assert recall(spark, v) >= 0.9
 
 
+def test_recall_over_segments_where_windows_decide(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "SEGMENT", 2000)
+    monkeypatch.setattr(ann_search, "LEAST", 50)
+    v = np.random.default_rng(4).standard_normal((8000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert recall(spark, v) >= 0.9
+    assert recall(spark, v, share=0.03) < 0.9
+
+
 DEPTH = 2
 
 
