@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +58,15 @@ MORE = (
     Rule("login_url", r"[a-z]{3,10}://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.%-]{1,64}@"),
 )
 RULES = BASE + MORE
+#: What the pipeline replaces: a private key to its END line or, without one, to the end of its base64 lines; any length of
+#: user and password. The query keeps the rules of its SQL.
+_KEY_LINE, _KEY_BODY = r"PRIVATE KEY-----", r"(?:\s+[A-Z][A-Za-z-]{1,30}: [^\r\n]{1,200}){0,20}[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,30}"
+_KEY_LINES = r"(?:\s+[A-Za-z0-9+/=]{40,}){1,1000}(?:\s+[A-Za-z0-9+/]+=*(?=\s*(?:[\r\n]|$)))?"
+WHOLE = {
+    "private_key": rf"-----BEGIN [A-Z ]{{0,30}}{_KEY_LINE}(?:{_KEY_BODY}{_KEY_LINE}|{_KEY_LINES})?",
+    "login_url": r"[a-z]{3,10}://[A-Za-z0-9_.-]+:[A-Za-z0-9_.%-]+@",
+}
+REPLACED = tuple(replace(r, pattern=WHOLE.get(r.kind, r.pattern)) for r in RULES)
 
 
 def _ways(parsed) -> list[list[str | None]]:
@@ -191,7 +200,7 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets in texts are replaced by a mark, and n_chars follows; all documents stay."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    found = scan(rows, F.col("_row.doc_id"), F.coalesce(F.col("_row.text"), F.lit("")))
+    found = scan(rows, F.col("_row.doc_id"), F.coalesce(F.col("_row.text"), F.lit("")), REPLACED)
     new = found.withColumn("_new", F.when(F.size("spans") > 0, redacted(F.col("_row.text"), F.col("spans"))).otherwise(F.col("_row.text")))
     value = {"text": F.col("_new"), "n_chars": F.when(F.size("spans") > 0, F.length("_new").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("_row")["n_chars"])} if "n_chars" in docs.columns else {"text": F.col("_new")}
     return new.select(*[value.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -71,3 +71,21 @@ def test_stage_redacts(spark):
     assert got[2]["text"] == "clean" and got[3]["text"] is None and got[4]["text"] == "[secret]"
     assert s.stage(spark, docs, "").columns == docs.columns
     assert s.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_replaces_whole_keys_and_long_logins(spark):
+    body = "\n".join(["Ab3/" * 16] * 25 + ["Zz9+"])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"a {begin}\n{body}\n{end} b": "a [secret] b",
+        f"a {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n{end} b": "a [secret] b",
+        f"a {begin}\\n{body[:64]}\\n{end} b": "a [secret] b",
+        f"a {begin}\n{body}\n\nplain text": "a [secret]\n\nplain text",
+        f"a {begin} starts a key": "a [secret] starts a key",
+        f"{begin}\n{body}\n{end} mid {begin}\n{body}\n{end}": "[secret] mid [secret]",
+        "see https://user:" + "x%41" * 60 + "@host": "see [secret]host",
+        "see https://" + "u" * 90 + ":pw@host": "see [secret]host",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in s.stage(spark, docs, "").collect()}
+    assert got == dict(enumerate(texts.values()))
