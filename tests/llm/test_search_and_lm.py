@@ -30,18 +30,24 @@ def test_search(spark, data):
 
 
 def test_windows_recall():
+    """A segment of evenly spread vectors: windows leave most of them out, also where no bound is known before."""
     rng = np.random.default_rng(1)
     v = rng.standard_normal((6000, 64))
     v /= np.linalg.norm(v, axis=1)[:, None]
-    a = ann_search.directions(65)
-    order, values = ann_search.sorted_arrays(np.column_stack([v, np.zeros(len(v))]), a)
-    q = v[:20]
-    hits = []
-    for i, c in enumerate(ann_search.collide((np.column_stack([q, np.zeros(20)]) @ a.T), order, values, 1200, ann_search.THRESHOLD)):
-        best = np.argsort(-(v @ q[i]))[1:21]
-        assert len(c) >= 1200
-        hits.append(len(set(best) & set(c)) / 20)
-    assert np.mean(hits) >= 0.9
+    ids = np.arange(len(v))
+    order, values = ann_search.sorted_arrays(np.column_stack([v, np.zeros(len(v))]), ann_search.directions(65))
+    best = {i: np.lexsort((ids, -np.where(ids == i, -9.0, (v * v[i]).sum(axis=1))))[:20] for i in range(20)}
+    for bounds in (np.full(20, -np.inf), np.array([(v[best[i][-1]] * v[i]).sum() for i in range(20)])):
+        q, found, score, verified = ann_search.search_segment(ids[:20], v[:20], bounds, ids, v, 1.0, order, values)
+        assert np.mean([len(set(best[i]) & set(found[q == i])) / 20 for i in range(20)]) >= 0.9
+        assert all(s == (v[a] * v[b]).sum() for a, b, s in zip(q, found, score, strict=True))
+        assert verified < 0.7 * 20 * len(v)
+
+
+def test_reach_is_what_the_binomial_asks():
+    rng = np.random.default_rng(0)
+    collide = (np.abs(rng.standard_normal((20000, ann_search.PROJECTIONS))) <= ann_search.reach()).sum(axis=1) >= ann_search.THRESHOLD
+    assert abs(collide.mean() - ann_search.SURE) < 0.01
 
 
 def test_odd_vectors(spark):
@@ -52,15 +58,16 @@ def test_odd_vectors(spark):
     assert ann_search.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def recall(spark, v, **how):
+def recall(spark, v, every=100, **how):
+    """Mean recall at 20 of each so many-th vector, and the share of all vectors that a query verified."""
     ids = np.arange(len(v))
     df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": v.tolist()}))
-    got = defaultdict(set)
-    for r in ann_search.nearest(df, F.col("id") % 100 == 0, **how).collect():
-        got[r["query_id"]].add(r["vec_id"])
-    best = {q: set(sorted(ids[ids != q], key=lambda i, s=v @ v[q]: -s[i])[:20]) for q in ids[::100]}
-    assert set(got) == set(best)
-    return np.mean([len(best[q] & got[q]) / 20 for q in best])
+    found = ann_search.found_by_segment(df, F.col("id") % every == 0, **how).toPandas()
+    best = {q: set(np.lexsort((ids, -np.where(ids == q, -np.inf, (v * v[q]).sum(axis=1))))[:20].tolist()) for q in ids[::every].tolist()}
+    top = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(20)
+    got = top.groupby("query_id")["vec_id"].apply(set).to_dict()
+    assert set(got) == set(best) and not found.duplicated(["query_id", "vec_id"]).any()
+    return np.mean([len(best[q] & got[q]) / 20 for q in best]), found["verified"].sum() / len(best) / len(v)
 
 
 @pytest.mark.parametrize("norms", ["one long", "one very long", "log-normal"])
@@ -72,16 +79,36 @@ def test_recall_where_norms_differ(spark, norms):
         v *= np.exp(0.5 * rng.standard_normal(len(v)))[:, None]
     else:
         v[17] *= {"one long": 3, "one very long": 100}[norms]
-    assert recall(spark, v) >= 0.9
+    assert recall(spark, v)[0] >= 0.9
 
 
-def test_recall_over_segments_where_windows_decide(spark, monkeypatch):
-    monkeypatch.setattr(ann_search, "SEGMENT", 2000)
-    monkeypatch.setattr(ann_search, "LEAST", 50)
-    v = np.random.default_rng(4).standard_normal((8000, 64))
+def test_recall_of_many_vectors_and_the_share_verified(spark, monkeypatch):
+    """20,000 evenly spread vectors in several segments; the share falls as the table grows, by the same rule."""
+    monkeypatch.setattr(ann_search, "SEGMENT", 4096)
+    v = np.random.default_rng(4).standard_normal((20_000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    large, small = recall(spark, v, 200), recall(spark, v[:1000], 20)
+    print("recall and share verified of 20,000:", large, "of 1,000:", small)
+    assert large[0] >= 0.9 and small[0] >= 0.9
+    assert large[1] < 0.3 and large[1] < 0.6 * small[1]
+
+
+def test_clusters_meet_only_what_is_near(spark, monkeypatch):
+    """Clustered vectors: most pairs of a block and a segment are never formed, and recall holds."""
+    monkeypatch.setattr(ann_search, "SEGMENT", 256)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 64)) * 4
+    v = centres[rng.integers(0, 40, 5000)] + 0.3 * rng.standard_normal((5000, 64))
     v /= np.linalg.norm(v, axis=1)[:, None]
-    assert recall(spark, v) >= 0.9
-    assert recall(spark, v, share=0.03) < 0.9
+    got = recall(spark, v, 50)
+    assert got[0] >= 0.9 and got[1] < 0.1
+
+
+def test_copies_of_a_third_of_all(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((900, 8))
+    v[::3] = v[0]
+    assert recall(spark, v, 30)[0] >= 0.9
 
 
 DEPTH = 2
