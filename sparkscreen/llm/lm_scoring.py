@@ -14,17 +14,20 @@ above, and so each distinct (context, byte) of the corpus, a gram, its chance. T
 are broadcast, a fixed number; a task looks up each distinct gram of a batch once. The others are joined with their
 chances, text by text; as they are less frequent than any of those, none is a hot key.
 
-The unigram base is exact: the KNOWN most frequent words are broadcast (a fixed number), the others are joined with
-their counts; as they are less frequent than any of those, none is a hot key.
+The unigram base is exact: the end and the KNOWN most frequent words are broadcast, a fixed number of at most LONGEST
+bytes each, as longer words go by a digest. The others are joined with their counts; as they are less frequent than any
+of those, none is a hot key.
 
 A-Z are lower-cased; a text starts after DEPTH bytes that no text has and ends with another, so lengths are comparable.
 Defined cases: a null text is empty and has the end only; a null id counts as the empty string for the split; repeated
-rows are scored alike (and counted each time in training); an empty table gives an empty result; without training texts
-each bit gets 1/2; other columns aren't read.
+rows are scored alike (and counted each time in training); a text of any length is scored whole, and a word of any
+length counted as one; an empty table gives an empty result; without training texts each bit gets 1/2; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,12 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
 
-DEPTH, HOT, KNOWN = 4, 2**21, 131_072
-SLOTS, BLOCK = 2**21, 2**16  # of tables that log_chances reads; scored() uses none
+DEPTH, HOT, KNOWN, LONGEST = 4, 2**21, 131_072, 64
 START, END = 0xFE, 0xFF  # bytes that UTF-8 doesn't use
 BATCH, MOST_WORDS = 4_000_000, 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ODD = 0x9E3779B97F4A7C15
 
 
 def folded(text: str) -> bytes:
@@ -64,40 +65,9 @@ def grams_of(texts: list[bytes], depth: int = DEPTH):
     return g[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def slot_sizes(depth: int = DEPTH) -> list[int]:
-    return [256, 65536, *[SLOTS] * (depth - 1)][: depth + 1]
-
-
-def slots_of(ctx, node, d: int):
-    """The place of node (context of d bytes, decision) in its depth's table."""
-    import numpy as np
-
-    x = (ctx << np.uint64(8)) | node
-    if d < 2:
-        return x.astype(np.int64)
-    x = (x + np.uint64(d * _ODD % 2**64)) * np.uint64(_ODD)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(29))) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def log_chances(grams, tables: list) -> object:
-    """log10 of the model's chance of each gram's byte after its context, from nodes hashed into tables of a fixed size:
-    (estimate of 1, weight) by depth. An approximation that scored() doesn't use: nodes that meet in a place are mixed."""
-    import numpy as np
-
-    byte, ctx = grams & np.uint64(255), grams >> np.uint64(8)
-    out = np.zeros(len(grams))
-    for k in range(8):
-        node = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-        p = np.full(len(grams), 0.5)
-        for d in range(len(tables) - 1, -1, -1):
-            kt, weight = tables[d]
-            at = slots_of(ctx & np.uint64(256**d - 1), node, d)
-            w = weight[at].astype(np.float64)
-            p = w * kt[at] + (1.0 - w) * p
-        out += np.log10(np.where(one, p, 1.0 - p))
-    return out
+def word_key(word: bytes) -> bytes:
+    """A word itself, or for one of over LONGEST bytes a digest, which no word equals; so keys are of bounded size."""
+    return word if len(word) <= LONGEST else b"\0" + hashlib.sha512(word).digest()
 
 
 def _is_training(id_col: Column) -> Column:
@@ -150,7 +120,7 @@ def _partial_counts(texts: DataFrame, depth: int) -> DataFrame:
             if not training:
                 continue
             for t in batch:
-                words.update(t.split())
+                words.update(map(word_key, t.split()))
             words[bytes([END])] += len(batch)
             if len(words) > MOST_WORDS:
                 yield words_out()
@@ -259,9 +229,10 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
     hot_chances = spark.sparkContext.broadcast(hot_grams(chances, HOT))
     words = materialize(part.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(KNOWN).toLocalIterator()}
-    known = spark.sparkContext.broadcast({w: (math.log10(c + 0.5), 1) for w, c in frequent.items()})
     end = bytes([END])
+    is_end = F.col("word") == F.lit(end)
+    frequent = {bytes(r["word"]): r["c"] for r in words.filter(is_end).unionByName(words.filter(~is_end).orderBy(F.desc("c"), "word").limit(KNOWN)).toLocalIterator()}
+    known = spark.sparkContext.broadcast({w: (math.log10(c + 0.5), 1) for w, c in frequent.items()})
     unseen_end = (math.log10(0.5), 0)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,7 +240,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
 
         (grams, logs), hot = hot_chances.value, known.value
 
-        def out(keys: list, ids: list, training: list, texts: list[bytes]) -> pd.DataFrame:
+        def out(keys: list, ids: list, training: list, texts: list[bytes]) -> list[pd.DataFrame]:
             g, starts = grams_of(texts, depth)
             u, where = np.unique(g, return_inverse=True)
             at = np.minimum(np.searchsorted(grams, u), max(len(grams) - 1, 0))
@@ -285,7 +256,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
             for key, i, tr, t, s in zip(keys, ids, training, texts, chance, strict=True):
                 found = t.split()
                 base, n_known = hot.get(end, unseen_end)
-                for w, n in Counter(found).items():
+                for w, n in Counter(map(word_key, found)).items():
                     if x := hot.get(w):
                         base += n * x[0]
                         n_known += n
@@ -294,7 +265,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
                 own.append((key, i, not tr, len(found) + 1, n_known, base, float(s), len(t)))
             a = pd.DataFrame(own, columns=["key", "id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"])
             b = pd.DataFrame(rest, columns=["key", "word", "n"])
-            return pd.concat([a, b, c], ignore_index=True)[names].astype({"held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "n_bytes": "Int64", "gram": "Int64", "n": "Int64"})
+            return [x.reindex(columns=names).astype(kinds) for x in (a, b, c) if len(x)]
 
         for pdf in frames:
             at, size = 0, 0
@@ -303,11 +274,12 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
                 size += len(t) + 1
                 if size > BATCH or i + 1 == len(texts):
                     part = slice(at, i + 1)
-                    yield out(pdf["key"].iloc[part].tolist(), pdf["id"].iloc[part].tolist(), pdf["training"].iloc[part].tolist(), texts[part])
+                    yield from out(pdf["key"].iloc[part].tolist(), pdf["id"].iloc[part].tolist(), pdf["training"].iloc[part].tolist(), texts[part])
                     at, size = i + 1, 0
 
     schema = "key long, id string, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, word binary, gram long, n long"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"held_out": "boolean", **dict.fromkeys(("n_tokens", "n_known", "n_bytes", "gram", "n"), "Int64"), **dict.fromkeys(("base", "score"), "float64"), **dict.fromkeys(("id", "word"), "object")}
     once = materialize(rows.withColumn("key", F.monotonically_increasing_id()).mapInPandas(score, schema), "lm-scores")
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = once.filter("word is not null").select("key", "word", "n").join(words, "word", "left")

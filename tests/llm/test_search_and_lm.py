@@ -202,33 +202,44 @@ def test_scores_against_exact_trees(spark, docs):
 
 
 @pytest.mark.parametrize("hot", [0, 4, 2**21])
-def test_colliding_places_and_rare_grams_keep_scores_exact(spark, monkeypatch, hot):
+def test_rare_grams_keep_scores_exact(spark, monkeypatch, hot):
     rng = np.random.default_rng(3)
     texts = ["".join(map(chr, rng.integers(97, 123, 40))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(lm_scoring, "SLOTS", 2**8)
-    monkeypatch.setattr(lm_scoring, "HOT", hot, raising=False)
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
     got = {r["id"]: r["score"] for r in lm_scoring.scored(df, DEPTH).collect()}
     _, score = exact([(i, t) for i, t in enumerate(texts)])
     assert len(got) == len(texts)
     assert all(got[i] == pytest.approx(score(t), rel=1e-9) for i, t in enumerate(texts))
 
 
-def test_rare_words_come_from_the_join(spark, docs, monkeypatch):
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    key = lambda r: str(r["id"])
-    a = sorted(lm_scoring.scored(df, DEPTH).collect(), key=key)
-    monkeypatch.setattr(lm_scoring, "KNOWN", 2)
-    b = sorted(lm_scoring.scored(df, DEPTH).collect(), key=key)
-    assert [(x["n_known"], round(x["base_score"], 9)) for x in a] == [(x["n_known"], round(x["base_score"], 9)) for x in b]
+def base_of(docs):
+    """(n_tokens, n_known, base score) of a text by the unigram rule in plain Python, and the number of training tokens."""
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lm_scoring.folded(t or "").decode()), None]
+    c = Counter(w for i, t in docs if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1 for w in words(t))
+    n, v = sum(c.values()), len(c)
+    return lambda t: (len(words(t)), sum(c[w] > 0 for w in words(t)), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t)))
+
+
+@pytest.mark.parametrize("known", [0, 1, 2])
+def test_rare_words_come_from_the_join(spark, monkeypatch, known):
+    """The end is never among the most frequent words here, and words longer than any key occur."""
+    docs = [(i, f"same same word{i} {'long' * 40} {'y' * 3000 if i % 2 else 'z' * 70}") for i in range(6)]
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
+    base = base_of(docs)
+    got = {r["id"]: r for r in lm_scoring.scored(spark.createDataFrame(docs, "doc_id long, text string"), DEPTH).collect()}
+    for i, t in docs:
+        want = base(t)
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == want[:2] and got[i]["base_score"] == pytest.approx(want[2])
 
 
 def test_empty(spark):
     assert lm_scoring.scored(spark.createDataFrame([], "doc_id long, text string"), DEPTH).count() == 0
 
 
-def test_chances_are_a_distribution():
+def test_chances_are_a_distribution(spark):
+    """Of one context, the chances of all 256 bytes, seen or not, add up to 1."""
     rng = np.random.default_rng(0)
-    tables = [(rng.random(max(n, lm_scoring.BLOCK)).astype(np.float32), rng.random(max(n, lm_scoring.BLOCK)).astype(np.float32)) for n in lm_scoring.slot_sizes(DEPTH)]
-    grams = (np.uint64(0x4142) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert (10 ** lm_scoring.log_chances(grams, tables)).sum() == pytest.approx(1.0)
+    grams = [(0x4142 << 8 | b, int(rng.integers(0, 5)), 1) for b in range(256)] + [(0x4342 << 8 | b, 3, 3) for b in range(9)]
+    got = lm_scoring.gram_chances(spark.createDataFrame(grams, "gram long, n long, times long"), DEPTH).filter("shiftright(gram, 8) = 16706").collect()
+    assert len(got) == 256 and sum(10 ** r["chance"] for r in got) == pytest.approx(1.0)
