@@ -1,7 +1,8 @@
 """Near-duplicates by ProbMinHash over weighted word shingles, banding and verification.
 
-A text's shingles (five lower-cased words; a shorter text is one shingle) are weighted by their counts. Each shingle
-sends its arrivals to the m registers of the signature: the t-th arrival comes after an exponential gap of rate
+A text's shingles (five lower-cased words; a shorter text is one shingle) are weighted by 1 + ln of their counts, so that
+a passage that one copy repeats doesn't part it from the others, and a line that two texts repeat doesn't join them. Each
+shingle sends its arrivals to the m registers of the signature: the t-th arrival comes after an exponential gap of rate
 weight * (m - t) and hits a register that this shingle hasn't hit before, so a register's first arrival is exponential
 with the shingle's weight as rate. A shingle stops as soon as its next arrival is later than every register's first.
 Two texts agree in a register with their probability Jaccard similarity. Registers are cut into bands; texts that agree
@@ -13,8 +14,12 @@ classes. In buckets that still hold several classes, members outside the centre'
 of other classes, so no link between candidates is lost: pair by pair in small buckets, in blocks of members in larger
 ones, where one matrix product rules out most pairs. Within the centre's class no pair is expanded.
 
-Defined cases: texts without words are classes of their own; null ids are kept and count as smallest; repeated rows
-give a row each; an empty table gives an empty result; other columns aren't read. A class is named by its smallest id.
+Work is by node, a distinct word list: its shingles are computed once, from one row that is chosen by hashes of its id
+and text, however many rows repeat it. Rows are reduced to one an id and text before they are shuffled.
+
+Defined cases: texts without words are classes of their own; null ids are kept and name a class only if it has no other;
+repeated rows give a row each; a text of any length is one set of shingles; an empty table gives an empty result; other
+columns, whatever their names, aren't read. A class is named by its smallest id.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ def words(text: str) -> list[bytes]:
 
 
 def shingles(found: list[bytes], n: int = WORDS):
-    """(hashes, counts) of a word list's shingles, by hash."""
+    """(hashes, weights) of a word list's shingles, by hash."""
     import numpy as np
     import xxhash
 
@@ -58,11 +63,12 @@ def shingles(found: list[bytes], n: int = WORDS):
     for i in range(k):
         out += h[i : len(h) - k + 1 + i] * np.uint64(mult)
         mult = mult * _ODD[0] % 2**64
-    return np.unique(_mixed(out), return_counts=True)
+    found, times = np.unique(_mixed(out), return_counts=True)
+    return found, (1 + np.log(times)).astype("<f4")
 
 
 def signatures(sets: list, m: int = REGISTERS):
-    """The signature (m shingles) of each of several weighted sets (hashes, counts)."""
+    """The signature (m shingles) of each of several weighted sets (hashes, weights)."""
     import numpy as np
 
     n = len(sets)
@@ -101,13 +107,14 @@ def band_keys(sig, bands: int = BANDS, size: int = BAND):
 
 
 def probability_jaccard(a: tuple, b: tuple) -> float:
-    """Exact, of two weighted sets (sorted hashes, counts)."""
+    """Exact, of two weighted sets (sorted hashes, weights)."""
     import numpy as np
 
+    a, b = (a[0], a[1].astype(np.float64)), (b[0], b[1].astype(np.float64))
     at = np.searchsorted(b[0], a[0])
     at[at == len(b[0])] = 0
     both = b[0][at] == a[0]
-    x, y = a[1][both].astype(np.float64), b[1][at[both]].astype(np.float64)
+    x, y = a[1][both], b[1][at[both]]
     if not len(x):
         return 0.0
     order = np.argsort(y / x, kind="stable")
@@ -119,7 +126,7 @@ def probability_jaccard(a: tuple, b: tuple) -> float:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, key, fp (digest of the word list; null without words), bands."""
+    """id, key, row (hashes of the text, and of id and text), fp (digest of the word list; null without words), bands."""
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -132,43 +139,38 @@ def _signed(docs: DataFrame) -> DataFrame:
                 if some:
                     for i, row in zip(some, band_keys(signatures([shingles(lists[i]) for i in some])), strict=True):
                         keys[i] = row
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "key": part["key"].to_numpy(), "fp": fps, "bands": keys})
+                yield part[["id", "key", "row"]].assign(fp=fps, bands=keys)
 
-    return docs.mapInPandas(sign, "id long, key long, fp binary, bands array<long>")
+    return docs.mapInPandas(sign, "id long, key long, row long, fp binary, bands array<long>")
 
 
 def _features(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """node, s, c: hashes and counts of the shingles, as bytes, of the asked nodes. nodes: node, id, fp."""
-    wanted = nodes.join(asked, "node").select("node", F.col("id").alias("_id"), F.col("fp").alias("_fp"))
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"])).select("node", "_fp", "text")
+    """node, s, w: hashes and weights of the shingles, as bytes, of the asked nodes, one row each. nodes: node, key, row."""
+    texts = docs.groupBy("key", "row").agg(F.first("text").alias("text"))
+    wanted = nodes.join(asked, "node").select("node", "key", "row")
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for node, fp, text in zip(pdf["node"], pdf["_fp"], pdf["text"], strict=True):
-                found = words(text)
-                if hashlib.blake2b(b" ".join(found), digest_size=16).digest() == bytes(fp):  # else another text of that id
-                    s, c = shingles(found)
-                    rows.append((node, s.tobytes(), c.astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "s", "c"])
+            found = [shingles(words(t)) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "s": [s.tobytes() for s, _ in found], "w": [w.tobytes() for _, w in found]})
 
-    return materialize(texts.mapInPandas(features, "node long, s binary, c binary"), "shingles")
+    return materialize(texts.join(wanted, ["key", "row"]).select("node", "text").mapInPandas(features, "node long, s binary, w binary"), "shingles")
 
 
-def _set(s: bytes, c: bytes) -> tuple:
+def _set(s: bytes, w: bytes) -> tuple:
     import numpy as np
 
-    return np.frombuffer(s, "<u8"), np.frombuffer(c, "<u4")
+    return np.frombuffer(s, "<u8"), np.frombuffer(w, "<f4")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b: nodes) whose exact similarity reaches the threshold. found: features."""
-    left = found.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca"))
-    right = found.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
+    left = found.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
+    right = found.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ok = [probability_jaccard(_set(sa, ca), _set(sb, cb)) >= threshold - SLACK for sa, ca, sb, cb in zip(pdf["sa"], pdf["ca"], pdf["sb"], pdf["cb"], strict=True)]
+            ok = [probability_jaccard(_set(sa, wa), _set(sb, wb)) >= threshold - SLACK for sa, wa, sb, wb in zip(pdf["sa"], pdf["wa"], pdf["sb"], pdf["wb"], strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
     return materialize(pairs.join(right, "b").join(left, "a").mapInPandas(linked, "a long, b long"), "verified")
@@ -205,42 +207,38 @@ def _block_verified(rows: DataFrame, found: DataFrame, threshold: float) -> Data
     """rows: bucket, node, cls, side (0: the bucket's main class, 1: others), n0, n1. Links (a, b) between members of
     different classes of one bucket. Members are dealt by hash into blocks of about BLOCK; a block of others meets every
     block of its bucket, so nothing but links comes out, and no task holds more than two blocks at a time."""
-    spark = rows.sparkSession
     n = F.ceil(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")) / BLOCK)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), n)).select("bucket", "side", "block", "node", "cls").join(found, "node")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = [*pdf[["bucket", "side", "block"]].iloc[0].tolist(), pdf["node"].tolist(), pdf["cls"].tolist(), pdf["s"].tolist(), pdf["c"].tolist()]
-        return pd.DataFrame([one], columns=["bucket", "side", "block", "nodes", "classes", "s", "c"])
+        one = [*pdf[["bucket", "side", "block"]].iloc[0].tolist(), pdf["node"].tolist(), pdf["cls"].tolist(), pdf["s"].tolist(), pdf["w"].tolist()]
+        return pd.DataFrame([one], columns=["bucket", "side", "block", "nodes", "classes", "s", "w"])
 
-    cols = "bucket long, side int, block long, nodes array<long>, classes array<long>, s array<binary>, c array<binary>"
+    cols = "bucket long, side int, block long, nodes array<long>, classes array<long>, s array<binary>, w array<binary>"
     blocks = materialize(dealt.groupBy("bucket", "side", "block").applyInPandas(pack, cols), "blocks")
-    x = blocks.filter("side = 1").select("bucket", F.col("block").alias("xb"), *[F.col(c).alias(f"x_{c}") for c in ("nodes", "classes", "s", "c")])
+    x = blocks.filter("side = 1").select("bucket", F.col("block").alias("xb"), *[F.col(c).alias(f"x_{c}") for c in ("nodes", "classes", "s", "w")])
     meet = x.join(blocks, "bucket").filter("side = 0 or xb <= block")
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples():
-                pairs = block_links([_set(*z) for z in zip(r.x_s, r.x_c, strict=True)], [_set(*z) for z in zip(r.s, r.c, strict=True)], threshold)
+                pairs = block_links([_set(*z) for z in zip(r.x_s, r.x_w, strict=True)], [_set(*z) for z in zip(r.s, r.w, strict=True)], threshold)
                 yield pd.DataFrame([(r.x_nodes[i], r.nodes[j]) for i, j in pairs if r.x_classes[i] != r.classes[j]], columns=["a", "b"], dtype="int64")
 
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "16")  # a row is two blocks
-    try:
-        return materialize(meet.mapInPandas(link, "a long, b long").distinct(), "block-links")
-    finally:
-        spark.conf.set(key, before)
+    # A row is two blocks, a few MB; Arrow batches are bounded in bytes too.
+    return materialize(meet.mapInPandas(link, "a long, b long").distinct(), "block-links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, key (a hash of the text), class_id (the smallest id of its class), n_links (verified links of its text
-    to other texts), kept (whether the row has its class's id and, of that id's texts in the class, the first)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).alias("text"))
+    """Per row: id, key (a hash of the text), class_id (the smallest id of its class), kept (whether the row has its
+    class's id and, of that id's texts in the class, the first)."""
+    text = text_or_empty(text_col)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
     signed = materialize(_signed(plain), "signed")
-    reps = signed.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "row"))
+    reps = signed.filter("fp is not null").groupBy("fp").agg(first.alias("one"), F.first("bands").alias("bands")).select("fp", "one.id", "one.key", "one.row", "bands")
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are fixed by writing them
-    nodes = reps.select("node", "id", "fp")
+    nodes = reps.select("node", "id", "key", "row", "fp")
 
     rows = reps.select("node", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -268,27 +266,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     of = classes.select("node", "component")
     joins = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     wider = components(joins).toDF("cls", "wider")
-    links = links.unionByName(more)
     ids = classes.unionByName(joins.select(F.col("a").alias("node")).unionByName(joins.select(F.col("b").alias("node"))).distinct().join(classes.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
     classes = materialize(ids.withColumnRenamed("component", "cls").join(wider, "cls", "left").select("node", F.coalesce("wider", "cls").alias("component")), "all-classes")
 
-    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    n_links = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.join(classes, "node", "left").join(n_links, "node", "left").select("node", "id", "fp", F.coalesce("component", "node").alias("cls"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = nodes.join(classes, "node", "left").select("node", "id", "fp", F.coalesce("component", "node").alias("cls"))
     names = named.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")).alias("first"))
-    texts = named.join(names, "cls").select("fp", F.col("first.id").alias("class_id"), "n_links", (F.col("node") == F.col("first.node")).alias("first"))
+    texts = named.join(names, "cls").select("fp", F.col("first.id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("first"))
     known = signed.filter("fp is not null").select("id", "key", "fp").join(materialize(texts, "text-classes"), "fp")
-    known = known.select("id", "key", "class_id", "n_links", (F.col("first") & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
-    alone = signed.filter("fp is null").select("id", "key", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    known = known.select("id", "key", "class_id", (F.col("first") & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    alone = signed.filter("fp is null").select("id", "key", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
     return known.unionByName(alone)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the row with the smallest id stays; of rows that repeat that id and text, one."""
+    """Pipeline stage: of each class the row with the smallest id stays; of rows that repeat that id and text, one.
+
+    A row without words is a class of its own and stays; so does one with a null id, unless its class has another id.
+    Columns, also nulls and any with clashing names, are kept as they are; an empty table stays empty."""
     losers = near_duplicates(docs).filter("not kept").select("id", "key").distinct()
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["id"]) & (text == losers["key"]), "left_anti")

@@ -75,8 +75,8 @@ def test_hot_group_keeps_all_links(spark, monkeypatch, block):
 def test_repeats_nulls_and_empty(spark):
     t = "one two three four five six"
     df = spark.createDataFrame([(5, t), (5, t), (9, t), (None, "other words that are here now"), (7, None)], "doc_id long, text string")
-    got = sorted([(r["id"], r["class_id"], r["n_links"]) for r in m.near_duplicates(df).collect()], key=str)
-    assert got == sorted([(5, 5, 0), (5, 5, 0), (9, 5, 0), (None, None, 0), (7, 7, 0)], key=str)
+    got = sorted([(r["id"], r["class_id"]) for r in m.near_duplicates(df).collect()], key=str)
+    assert got == sorted([(5, 5), (5, 5), (9, 5), (None, None), (7, 7)], key=str)
     assert m.near_duplicates(df.limit(0)).count() == 0
     kept = m.stage(spark, df, "")
     assert sorted([r["doc_id"] for r in kept.collect()], key=str) == [5, 7, None] and kept.columns == df.columns
@@ -90,6 +90,29 @@ def test_an_id_with_two_texts(spark):
     assert len(kept) == 2 and kept[0] == (3, rows[1][1]) and kept[1] in ((5, t), (5, t + " end"))
 
 
+def test_repeated_rows_make_one_feature_and_one_pair(spark, monkeypatch):
+    """Forty equal rows of each of two near texts, with an id and without: one feature row a node, one verified pair."""
+    base = [f"w{i}" for i in range(80)]
+    a, b = " ".join(base), " ".join(base + ["end"])
+    rows = [(1, a)] * 40 + [(2, b)] * 40 + [(None, a + " of nobody")] * 40
+    asked, pairs = [], []
+    features, verified = m._features, m._verified
+    monkeypatch.setattr(m, "_features", lambda *x: asked.append(features(*x)) or asked[-1])
+    monkeypatch.setattr(m, "_verified", lambda p, *x: pairs.append(p.count()) or verified(p, *x))
+    got = {(r["id"], r["class_id"]) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (None, 1)}
+    assert asked[0].count() == 3 and asked[0].select("node").distinct().count() == 3 and sum(pairs) <= 3
+
+
+def test_a_repeated_passage_parts_no_copies_and_joins_no_strangers(spark):
+    base = [f"w{i}" for i in range(200)]
+    once, often = " ".join(base), " ".join(base[:24] * 5 + base[24:])
+    line = "all rights reserved by nobody at all here "
+    rows = [(1, once), (2, often), (3, line * 40 + " ".join(f"a{i}" for i in range(60))), (4, line * 40 + " ".join(f"b{i}" for i in range(60)))]
+    got = {r["id"]: r["class_id"] for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_given_texts(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()
     got = {r["doc_id"]: r["class_id"] for r in m.op3_minhash_dedup(spark, data).collect()}
