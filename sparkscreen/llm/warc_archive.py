@@ -2,16 +2,20 @@
 
 Two tables in the shared folder make an archive: headers, with the exact header bytes of every record and the strong
 digest (SHA-256) of its payload, and payloads, each distinct payload's bytes once under that digest. Reading joins them
-again. A payload's digest is computed anew from the bytes read; a mismatch stops the job, so a record never gets other
-bytes than it was written with.
+again and rebuilds every record's bytes. A payload's digest is computed anew from the bytes read, and what a header says
+of its block is held against the rebuilt record; a mismatch stops the job, so a record never gets other bytes than it was
+written with.
 
 A payload of at least min_revisit bytes that several records share belongs to the record with the largest id, the
 response; the others are revisits that name it in WARC-Refers-To. Smaller payloads make responses only. The choice is a
-grouped maximum, combined before the shuffle, so a payload that a third of all pages share is no hot group.
+grouped maximum, combined before the shuffle. A payload that a third of all pages share is no hot group: its narrow facts
+reach the records by broadcast (at most a thousand such payloads), and on reading its bytes are copied once for each
+SPREAD of its records, so that a task joins about that many at most.
 
 Defined cases: a null payload is empty; a null id counts as smaller than any other and is read back as null; rows that
-repeat the largest id are all responses; a null target is read back as null; line ends in a target are percent-encoded;
-an empty table makes an empty archive; other columns of the input aren't read.
+repeat the largest id are all responses, and where all ids are null, all are; a null target has no line and is read back
+as null, an empty one as empty; line ends in a target are percent-encoded; payloads and targets of any length are kept
+whole; an empty table makes an empty archive; other columns of the input, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import join_skewed, materialize, new_path, table
 
-MIN_REVISIT = 1000
+MIN_REVISIT, SPREAD = 1000, 1000
 END = "\r\n"
 
 
@@ -53,47 +57,55 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", target_c
     hashed = pages.select(F.col(id_col).alias("id"), F.col(target_col).alias("target"), payload.alias("payload")).select(
         "id", "target", "payload", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest")
     )
-    store = hashed.groupBy("digest").agg(F.first("payload").alias("payload"))
+    store = hashed.groupBy("digest").agg(F.first("payload").alias("payload"), F.count("*").alias("uses"))
     store.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    records = hashed.select("id", "target", "n_bytes", "digest", F.sha1("payload").alias("sha1"))
-    keepers = records.filter(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    typed = records.join(keepers, "digest", "left")
+    records = materialize(hashed.select("id", "target", "n_bytes", "digest", F.sha1("payload").alias("sha1")), "warc-records")
+    keepers = records.groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("uses"))
+    typed = join_skewed(records, keepers, "digest", "uses")
     shared = (F.col("n_bytes") >= min_revisit) & F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     typed = typed.withColumn("record_type", F.when(shared, "revisit").otherwise("response"))
-    typed.select("digest", _header().alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    typed.select("digest", "uses", _header().alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
 
 
 def _verified(store: DataFrame) -> DataFrame:
     right = F.sha2("payload", 256) == F.col("digest")
-    return store.select("digest", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload doesn't match its digest "), F.col("digest")))).alias("payload"))
+    return store.select("digest", "uses", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload doesn't match its digest "), F.col("digest")))).alias("payload"))
 
 
 def _parsed(headers: DataFrame) -> DataFrame:
+    """Adds what a header says."""
     text = F.decode("header", "UTF-8")
     get = lambda name, pattern: F.regexp_extract(text, rf"(?md)^{name}: {pattern}\r\n", 1)
     number = lambda s: F.expr(f"try_cast({s} AS BIGINT)")
     found = headers.select(
-        "digest", "header", get("WARC-Type", "(.*?)").alias("record_type"), get("WARC-Record-ID", "<urn:page:(.*?)>").alias("_id"), get("WARC-Refers-To", "<urn:page:(.*?)>").alias("_to"),
-        F.nullif(get("WARC-Target-URI", "(.*?)"), F.lit("")).alias("target"), get("WARC-Payload-Digest", "sha1:(.*?)").alias("sha1"),
+        "*", get("WARC-Type", "(.*?)").alias("record_type"), get("WARC-Record-ID", "<urn:page:(.*?)>").alias("_id"), get("WARC-Refers-To", "<urn:page:(.*?)>").alias("_to"),
+        F.when(F.contains(text, F.lit(f"{END}WARC-Target-URI: ")), get("WARC-Target-URI", "(.*?)")).alias("target"), get("WARC-Payload-Digest", "sha1:(.*?)").alias("sha1"), get("Content-Length", "([0-9]+)").cast("long").alias("length"),
     )
-    return found.select("digest", "header", number("_id").alias("id"), "target", "sha1", "record_type", number("_to").alias("refers_to"))
+    return found.withColumns({"id": number("_id"), "refers_to": number("_to")}).drop("_id", "_to")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Per record what its header says, with the size and SHA-1 of its full payload as read back. Payloads are hashed
-    where they lie and only the hashes are joined; a SHA-1 that the header states otherwise stops the job."""
-    facts = _verified(spark.read.parquet(f"{path}/payloads")).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    joined = _parsed(spark.read.parquet(f"{path}/headers")).join(facts, "digest", "left")
-    right = F.col("payload_digest").eqNullSafe(F.col("sha1"))
-    return joined.withColumn("payload_digest", F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's payload is missing or differs from its header"))))
+def reconstruct(spark: SparkSession, path: str) -> DataFrame:
+    """Per record: what its header says, its original bytes (header, block, two line ends) and its full payload."""
+    copies = lambda uses: F.ceil(F.col(uses) / SPREAD)
+    headers = spark.read.parquet(f"{path}/headers").withColumn("copy", F.pmod(F.xxhash64("header"), copies("uses")))
+    payloads = _verified(spark.read.parquet(f"{path}/payloads")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies("uses") - 1))).drop("uses")
+    joined = _parsed(headers.join(payloads, ["digest", "copy"], "left"))
+    lost = F.raise_error(F.lit("a record's payload is missing"))
+    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.coalesce("payload", lost.cast("binary")))
+    return joined.select("id", "target", "record_type", "refers_to", "sha1", "length", F.octet_length("header").alias("_head"), F.concat("header", block, F.lit((END + END).encode())).alias("record"), F.coalesce("payload", lost.cast("binary")).alias("payload"))
 
 
-def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: id, the record's original bytes (header, block, two line ends) and its full payload."""
-    joined = _parsed(spark.read.parquet(f"{path}/headers")).join(_verified(spark.read.parquet(f"{path}/payloads")), "digest", "left")
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("id", "record_type", F.concat("header", block, F.lit((END + END).encode())).alias("record"), "payload")
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Per record, from its rebuilt bytes: id, target, record_type, refers_to, payload_bytes and payload_digest (SHA-1) of
+    its full payload. A response's payload is cut out of the record again; a length or SHA-1 that its header states
+    otherwise stops the job."""
+    rebuilt = reconstruct(spark, path)
+    block = F.expr("substring(record, _head + 1, octet_length(record) - _head - 4)")
+    whole = rebuilt.withColumn("_block", block).withColumn("_full", F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("_block")))
+    facts = whole.select("id", "target", "record_type", "refers_to", "sha1", (F.octet_length("_block") == F.col("length")).alias("_fits"), F.octet_length("_full").cast("long").alias("payload_bytes"), F.sha1("_full").alias("_sha1"))
+    right = F.col("_fits") & (F.col("_sha1") == F.col("sha1"))
+    return facts.select("id", "target", "record_type", "refers_to", "payload_bytes", F.when(right, F.col("_sha1")).otherwise(F.raise_error(F.lit("a record differs from what its header says"))).alias("payload_digest"))
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +118,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest, sha256(b) AS strong FROM p),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY strong) AS keeper FROM h)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM k
 """

@@ -43,12 +43,40 @@ def test_records_are_exact(spark, pages):
             assert b"http://a%0D%0AWARC-Type: x" in head
 
 
+@pytest.mark.parametrize("spread", [1, 3, 1000])
+def test_a_payload_of_a_third_of_all_is_dealt_to_tasks(spark, monkeypatch, spread):
+    monkeypatch.setattr(w, "SPREAD", spread)
+    rows = [(i, f"u{i}", BIG if i % 3 == 0 else f"{i} " * 600) for i in range(90)] + [(90, "u", "long " * 500_000)]
+    path = w.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), new_path(spark, "w"))
+    got = {r["id"]: r for r in w.reconstruct(spark, path).collect()}
+    assert len(got) == 91 and all(bytes(got[i]["payload"]).decode() == t and got[i]["target"] == u for i, u, t in rows)
+    assert {i for i, r in got.items() if r["record_type"] == "revisit"} == {i for i in range(0, 90, 3) if i != 87}
+    assert w.read_records(spark, path).count() == 91
+
+
+def test_targets_and_ids_that_are_null_or_empty(spark):
+    rows = [(None, None, BIG), (None, "", BIG), (3, "", "x" * 1500), (None, "n", "x" * 1500)]
+    path = w.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), new_path(spark, "w"))
+    got = sorted([(r["id"], r["target"], r["record_type"], r["refers_to"]) for r in w.read_records(spark, path).collect()], key=str)
+    assert got == sorted([(None, None, "response", None), (None, "", "response", None), (3, "", "response", None), (None, "n", "revisit", 3)], key=str)
+
+
 def test_damage_is_noticed(spark, pages):
-    path = w.write_archive(pages, new_path(spark, "w"))
-    bad = [(r["digest"], b"other") for r in spark.read.parquet(f"{path}/payloads").collect()]
-    spark.createDataFrame(bad, "digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    from pyspark.sql import functions as F
+
+    def damaged(table, column, new):
+        path = w.write_archive(pages, new_path(spark, "w"))
+        df = spark.read.parquet(f"{path}/{table}")
+        rows = df.withColumn(column, new).collect() if new is not None else df.collect()[1:]
+        spark.createDataFrame(rows, df.schema).write.mode("overwrite").parquet(f"{path}/{table}")
+        return w.read_records(spark, path).collect()
+
     with pytest.raises(Exception, match="digest"):
-        w.read_records(spark, path).collect()
+        damaged("payloads", "payload", F.encode(F.lit("other"), "UTF-8"))
+    with pytest.raises(Exception, match="missing"):
+        damaged("payloads", "payload", None)
+    with pytest.raises(Exception, match="header says"):
+        damaged("headers", "header", F.encode(F.regexp_replace(F.decode("header", "UTF-8"), "Length: [1-9]", "Length: 77"), "UTF-8"))
 
 
 def test_empty(spark, pages):
