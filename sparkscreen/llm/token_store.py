@@ -2,16 +2,23 @@
 
 A document's ids are cut where a hash over the last WINDOW ids meets a mask, so equal passages give equal chunks
 wherever they stand. The store has three tables in the shared folder: chunks (each distinct chunk's ids once, under its
-SHA-256), recipes (per document, in ascending id order, the digests of its chunks, their Merkle root and the place of
-its ids) and manifest (per part of the recipes: documents, ids, where its ids start, and the Merkle root over its
-documents' roots). Ids are little-endian, in two bytes where the vocabulary allows, else four.
+SHA-256, and how often recipes name it), recipes (per document, in ascending id order, the digests of its chunks, their
+Merkle root and its place) and manifest. Ids are little-endian, in two bytes where the vocabulary allows, else four.
 
-Texts are encoded once, to a staging table. Only narrow columns are sorted by id; chunk bytes are shuffled once, to
-store each once, combined before the shuffle. Reading back hashes each stored chunk where it lies, joins only digests,
-counts and checksums, and combines checksums in recipe order; a digest or root that differs stops the job.
+The manifest is a tree over places: a node of level 1 covers up to 2^FAN documents, one of a higher level as many nodes,
+up to one at the top; each holds its documents, ids, where its ids start, and the Merkle root over its children's. No
+node gathers more than 2^FAN children, and starts come from parents, so no task sees all documents.
+
+Texts are encoded once, to a work table outside of the store that is deleted when the store is written; a batch keeps
+the bytes of each of its chunks once. Only narrow columns are sorted by id; chunk bytes are shuffled once, to store each
+once, combined before the shuffle. Reading first rebuilds the manifest from the recipes and stops at any difference, so
+a recipe that is lost, changed or moved is noticed. It hashes each stored chunk where it lies, joins only digests, counts
+and checksums (chunks that many documents share by broadcast, at most a thousand), and combines checksums in recipe
+order; a digest or root that differs stops the job. read_documents rebuilds the ids themselves.
 
 Defined cases: a null text is empty and has only the end id; rows with the same id are ordered by their roots, and
-equal rows in any order; null ids come first; an empty table makes an empty store; other columns aren't read.
+equal rows in any order; null ids come first; a text of any length is cut into chunks of at most MOST ids; an empty table
+makes an empty store; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -21,14 +28,15 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, text_or_empty, tokenizer_path
+from .common import join_skewed, materialize, new_path, remove, table, text_or_empty, tokenizer_path
 from .token_encoding import encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
+FAN = 16  # bits: a node of the manifest has at most 65,536 children
 _MIX, _STEP = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 
 
@@ -82,7 +90,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
         enc = encoder(vocabulary)
         schema = pa.schema([("id", pa.string()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("parts", pa.list_(pa.binary()))])
         for batch in batches:
-            sizes, roots, all_digests, all_parts = [], [], [], []
+            sizes, roots, all_digests, all_parts, met = [], [], [], [], set()
             for data in enc.encode(batch.column(1).to_pylist()):
                 ids = np.frombuffer(data + end, "<u4")
                 if width == 2 and int(ids.max()) > 65535:
@@ -94,35 +102,73 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
                 sizes.append(len(ids))
                 roots.append(merkle_root(digests))
                 all_digests.append(digests)
-                all_parts.append(parts)
+                all_parts.append([p if d not in met else None for d, p in zip(digests, parts, strict=True)])
+                met.update(digests)
             yield pa.record_batch([batch.column(0), sizes, roots, pa.array(all_digests, schema.field(3).type), pa.array(all_parts, schema.field(4).type)], schema=schema)
 
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     text = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
     staged = text.mapInArrow(chunked, "id string, n_tokens long, root binary, digests array<binary>, parts array<binary>")
-    staged.withColumn("id", F.col("id").cast(kind)).write.option("compression", "zstd").parquet(f"{path}/staging")
-    staging = spark.read.parquet(f"{path}/staging")
+    work = new_path(spark, "token-staging")
+    staged.withColumn("id", F.col("id").cast(kind)).write.option("compression", "zstd").parquet(work)
+    staging = spark.read.parquet(work)
 
     chunks = staging.select(F.explode(F.arrays_zip("digests", "parts")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.parts").alias("ids"))
-    chunks.groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunks.groupBy("digest").agg(F.first("ids", ignorenulls=True).alias("ids"), F.count("*").alias("uses")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     recipes = staging.select("id", "n_tokens", "root", "digests").repartitionByRange(F.col("id").asc_nulls_first(), F.col("root")).sortWithinPartitions(F.col("id").asc_nulls_first(), "root")
-    recipes.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes.withColumn("place", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    manifest_of(spark.read.parquet(f"{path}/recipes"), width).write.parquet(f"{path}/manifest")
+    remove(spark, work)
+    return path
 
-    def manifest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "docs": [len(pdf)], "tokens": [pdf["n_tokens"].sum()], "root": [merkle_root(pdf["root"].tolist())]})
 
-    parts = spark.read.parquet(f"{path}/recipes").select("part", "place", "n_tokens", "root").groupBy("part").applyInPandas(manifest, "part int, docs long, tokens long, root binary")
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
-    return path
+def _root_of(children: Column) -> Column:
+    """The Merkle root over the roots of children, an array of struct(node, root) in any order."""
+
+    @F.pandas_udf("binary")
+    def root(s: pd.Series) -> pd.Series:
+        return s.map(lambda roots: merkle_root([bytes(r) for r in roots]))
+
+    return root(F.transform(F.sort_array(children), lambda x: x["root"]))
+
+
+def manifest_of(recipes: DataFrame, width: int) -> DataFrame:
+    """recipes: place, n_tokens, root. level, node, docs, tokens, start, root, width."""
+    children = F.collect_list(F.struct("node", "root"))
+    level = recipes.select(F.col("place").alias("node"), F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), "root")
+    levels = []
+    while not levels or levels[-1].filter("node > 0").limit(1).count():
+        up = level.groupBy(F.expr(f"shiftright(node, {FAN})").alias("node")).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), children.alias("_c"))
+        level = materialize(up.select("node", "docs", "tokens", _root_of(F.col("_c")).alias("root")), "manifest")
+        levels.append(level)
+    among = Window.partitionBy("_up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    placed, out = None, None
+    for n in range(len(levels), 0, -1):
+        own = levels[n - 1].withColumn("_up", F.expr(f"shiftright(node, {FAN})")).withColumn("start", F.coalesce(F.sum("tokens").over(among), F.lit(0)))
+        if placed is not None:
+            own = own.join(placed.select(F.col("node").alias("_up"), F.col("start").alias("_from")), "_up").withColumn("start", F.col("start") + F.col("_from"))
+        placed = own.select(F.lit(n).alias("level"), "node", "docs", "tokens", "start", "root", F.lit(width).alias("width"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def checked_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The stored manifest. An error, if it isn't the one that the recipes give."""
+    stored = spark.read.parquet(f"{path}/manifest")
+    width = stored.agg(F.coalesce(F.max("width"), F.lit(2))).first()[0]
+    found = manifest_of(spark.read.parquet(f"{path}/recipes"), width)
+    same = F.struct(*[F.col(f"a.{c}") for c in ("docs", "tokens", "start", "root", "width")]).eqNullSafe(F.struct(*[F.col(f"b.{c}") for c in ("docs", "tokens", "start", "root", "width")]))
+    both = stored.alias("a").join(found.alias("b"), (F.col("a.level") == F.col("b.level")) & (F.col("a.node") == F.col("b.node")), "full")
+    if bad := both.filter(~same).select(F.coalesce("a.level", "b.level"), F.coalesce("a.node", "b.node")).first():
+        raise ValueError(f"the recipes don't give the manifest: level {bad[0]}, node {bad[1]}")
+    return stored
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     """Chunks whose bytes agree with their digest."""
     right = F.sha2("ids", 256) == F.lower(F.hex("digest"))
-    return spark.read.parquet(f"{path}/chunks").select("digest", F.when(right, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk doesn't match its digest"))).alias("ids"))
+    return spark.read.parquet(f"{path}/chunks").select("digest", "uses", F.when(right, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk doesn't match its digest"))).alias("ids"))
 
 
 def _lines(recipes: DataFrame) -> DataFrame:
@@ -131,8 +177,8 @@ def _lines(recipes: DataFrame) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the stored chunks: id, start, n_tokens, ids_crc32 (of the ids in four bytes)."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    width = spark.read.parquet(f"{path}/manifest").agg(F.coalesce(F.max("width"), F.lit(2))).first()[0]
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), checked_manifest(spark, path)
+    width = manifest.agg(F.coalesce(F.max("width"), F.lit(2))).first()[0]
 
     def facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -142,11 +188,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             four = memoryview(np.frombuffer(b"".join(pdf["ids"]), f"<u{width}").astype("<u4").tobytes())
             starts = np.concatenate([[0], ends[:-1]])
             crc = [zlib.crc32(four[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pd.DataFrame({"digest": pdf["digest"], "n": ends - starts, "crc": crc})
+            yield pd.DataFrame({"digest": pdf["digest"], "uses": pdf["uses"], "n": ends - starts, "crc": crc})
 
-    known = _stored(spark, path).mapInPandas(facts, "digest binary, n long, crc long")
-    found = _lines(recipes).join(known, "digest").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc", "digest"))).alias("c"))
-    joined = recipes.select("id", "part", "place", F.col("n_tokens").alias("said"), "root").join(found, "place", "left")
+    known = materialize(_stored(spark, path).mapInPandas(facts, "digest binary, uses long, n long, crc long"), "chunk-facts")
+    found = join_skewed(_lines(recipes), known, "digest", "uses").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc", "digest"))).alias("c"))
+    joined = recipes.select("id", "place", F.col("n_tokens").alias("said"), "root").join(found, "place", "left")
 
     @F.pandas_udf("n long, crc long, root binary")
     def combined(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -168,17 +214,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n", "crc", "root"])
 
     got = joined.withColumn("got", combined("c")).withColumn("ok", (F.col("got.n") == F.col("said")) & (F.col("got.root") == F.col("root")))
-    checked = got.select("id", "part", "place", F.when(F.col("ok"), F.col("got.n")).otherwise(F.raise_error(F.lit("a document doesn't match its recipe"))).alias("n_tokens"), F.col("got.crc").alias("ids_crc32"))
-    starts = spark.read.parquet(f"{path}/manifest").select("part", "start")
-    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return checked.withColumn("_in", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(starts, "part").select("id", (F.col("start") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
+    checked = got.select("id", "place", F.when(F.col("ok"), F.col("got.n")).otherwise(F.raise_error(F.lit("a document doesn't match its recipe"))).alias("n_tokens"), F.col("got.crc").alias("ids_crc32"))
+    checked = checked.withColumn("node", F.expr(f"shiftright(place, {FAN})"))
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = manifest.filter("level = 1").select("node", "start")
+    return checked.withColumn("_in", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(starts, "node").select("id", (F.col("start") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document its ids as an array, rebuilt from chunks."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    width = spark.read.parquet(f"{path}/manifest").agg(F.coalesce(F.max("width"), F.lit(2))).first()[0]
-    whole = _lines(recipes).join(_stored(spark, path), "digest").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("c"))
+    width = checked_manifest(spark, path).agg(F.coalesce(F.max("width"), F.lit(2))).first()[0]
+    whole = join_skewed(_lines(recipes), _stored(spark, path), "digest", "uses").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("c"))
 
     @F.pandas_udf("array<int>")
     def ids(s: pd.Series) -> pd.Series:
