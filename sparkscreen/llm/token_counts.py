@@ -2,11 +2,12 @@
 
 A text is cut at safe boundaries, a single blank or line feed between two characters that are not white space. There
 the byte-level tokenizer always starts a new piece (a blank goes to the word behind it, a line feed stands alone), so
-counts of pieces add up to the count of the text, however long it is. Batches hold about the same number of bytes; a
-piece that the worker has met before is looked up in a bounded table and not encoded again.
+counts of pieces add up to the count of the text, however long it is. Batches hold about the same number of UTF-8 bytes;
+a piece that the worker has met before is looked up in a bounded table and not encoded again.
 
-Defined cases: a null text is empty and has 0 tokens; special strings inside a text count as the library's default
-has them (one token); repeated rows give repeated results; an empty table gives an empty result.
+Defined cases: a null text is empty and has 0 tokens; null ids are kept; special strings inside a text count as the
+library's default has them (one token); repeated rows give repeated results; an empty table gives an empty result; other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 BATCH_BYTES, LONGEST_KEPT, MOST_KEPT = 1_000_000, 40, 1_500_000
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
+_BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
+
+
+def _cut(line: str) -> list[str]:
+    """A line's pieces, each but the first with the blank before it."""
+    return _BLANK.sub("\x00 ", line).split("\x00") if "\x00" not in line else _BEFORE_BLANK.split(line)
 
 
 class PieceCounter:
@@ -40,21 +47,22 @@ class PieceCounter:
         batch, size = [], 0
         for p in pieces:
             batch.append(p)
-            size += len(p) + 8
+            size += len(p.encode("utf-8", "surrogatepass")) + 8
             if size > BATCH_BYTES:
                 yield from (len(x) for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
                 batch, size = [], 0
         if batch:
             yield from (len(x) for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[str], n_bytes: list[int]) -> list[int]:
+        """Token counts of texts, given how many bytes each has: in batches of at most BATCH_BYTES, or of one text."""
         out, batch, size = [], [], 0
-        for t in texts:
-            if batch and size + len(t) > BATCH_BYTES:
+        for t, n in zip(texts, n_bytes, strict=True):
+            if batch and size + n > BATCH_BYTES:
                 out += self._batch(batch)
                 batch, size = [], 0
             batch.append(t)
-            size += len(t)
+            size += n
         return out + self._batch(batch)
 
     def _batch(self, texts: list[str]) -> list[int]:
@@ -63,8 +71,7 @@ class PieceCounter:
         kept, cut = self.kept, []
         for t in texts:
             lines = _LINE.split(t)
-            # One blank before each piece but a line's first; the cut holds the pieces and the number of line feeds.
-            cut.append(([p for line in lines for p in _BLANK.sub("\x00 ", line).split("\x00")] if "\x00" not in t else [t], len(lines) - 1 if "\x00" not in t else 0))
+            cut.append(([p for line in lines for p in _cut(line)], len(lines) - 1))
         new = set().union(*(p for p, _ in cut)) - kept.keys()
         here = dict(zip(new, self._lengths(list(new)), strict=True)) if new else {}
         long = {p: n for p, n in here.items() if len(p) > LONGEST_KEPT}
@@ -81,14 +88,15 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Per row: the id, n_bytes, n_tokens, over_limit. One scan, no shuffle."""
 
     @F.pandas_udf(T.LongType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         if path not in _counters:
             _counters[path] = PieceCounter(path)
-        for s in batches:
-            yield pd.Series(_counters[path].count(s.tolist()), dtype="int64")
+        for texts, n_bytes in batches:
+            yield pd.Series(_counters[path].count(texts.tolist(), n_bytes.tolist()), dtype="int64")
 
     text = text_or_empty(text_col)
-    counted = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
+    n_bytes = F.octet_length(text).cast("long")
+    counted = docs.select(F.col(id_col), n_bytes.alias("n_bytes"), count(text, n_bytes).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
 
 

@@ -3,11 +3,13 @@
 word_bpe_49k folds case, cuts a text into pieces (letters, single digits, other marks; white space is dropped) and
 encodes each piece by itself. For texts within Latin-1, where folding and Unicode composition change no lengths, a worker
 cuts pieces by the same pattern, keeps the ids of pieces it has met in a bounded table, and gives only new ones to the
-library's model. Any other text, and one that may hold a special token's string, goes to the library whole.
+library's model. Any other text, and one that may hold a special token's string, goes to the library whole; so does every
+text, if the file's own steps aren't the ones that are written here.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -15,6 +17,17 @@ from .common import single_threaded
 
 #: Bounds of a worker's table: longer pieces are encoded each time, and a full table starts anew.
 LONGEST_KEPT, MOST_KEPT = 40, 1_200_000
+#: The steps of word_bpe_49k that pieces are cut for.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _LETTER, _NUMBER, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
@@ -34,6 +47,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        own = json.loads(self.tokenizer.to_str())
+        self.by_piece = all(own.get(k) == v for k, v in _STEPS.items())
         self.letters = _byte_letters()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\Z\A")
         self.kept: dict[str, bytes] = {}
@@ -49,7 +64,7 @@ class WordEncoder:
         for t in texts:
             try:
                 t.encode("latin-1")
-                plain = not self.special.search(t)
+                plain = self.by_piece and not self.special.search(t)
             except UnicodeEncodeError:
                 plain = False
             if not plain:
