@@ -153,37 +153,48 @@ def bridge(results: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def archive_facts(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the archive's name), element, context, value, period of the largest public .xbrl of each zip under path.
-    Spark lists and deals the archives; each task reads the XML of one after the other. First facts of a kind win."""
+    """The facts of each zip under path. Spark lists and deals the archives; the file's name is the document."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return facts_of_archives(files.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("doc_id"), "content"))
+
+
+def facts_of_archives(archives: DataFrame) -> DataFrame:
+    """archives: doc_id, content (a zip). doc_id, element, context, value, period of the largest public .xbrl of each (of any
+    .xbrl, if none is public). The first fact of an element and context counts, also one that is no number, which has no
+    value. An archive or a document that can't be read gives no facts. A task reads one archive after the other."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield facts_of(name.rsplit("/", 1)[-1].removesuffix(".zip"), bytes(content))
+            for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+                yield facts_of(doc, bytes(content))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(read, "doc_id string, element string, context string, value double, period string")
+    return archives.select("doc_id", "content").mapInPandas(read, "doc_id string, element string, context string, value double, period string")
 
 
 def facts_of(doc_id: str, archive: bytes) -> pd.DataFrame:
-    with zipfile.ZipFile(io.BytesIO(archive)) as z:
-        names = [i for i in z.infolist() if i.filename.endswith(".xbrl") and "PublicDoc" in i.filename]
-        root = ElementTree.fromstring(z.read(max(names, key=lambda i: i.file_size))) if names else ElementTree.Element("none")
     local = lambda tag: tag.rsplit("}", 1)[-1]
     periods, found = {}, {}
+    try:
+        with zipfile.ZipFile(io.BytesIO(archive)) as z:
+            every = [i for i in z.infolist() if i.filename.endswith(".xbrl")]
+            names = [i for i in every if "PublicDoc" in i.filename] or every
+            root = ElementTree.fromstring(z.read(max(names, key=lambda i: i.file_size))) if names else ElementTree.Element("none")
+    except (zipfile.BadZipFile, EOFError, ElementTree.ParseError):
+        root = ElementTree.Element("none")
     for e in root.iter():
         if local(e.tag) == "context":
-            ends = [x.text for x in e.iter() if local(x.tag) in ("instant", "endDate")]
-            periods[e.get("id")] = ends[0] if ends else None
+            ends = {local(x.tag): x.text for x in reversed(list(e.iter())) if local(x.tag) in ("instant", "endDate")}
+            end = ends.get("instant") or ends.get("endDate")
+            periods[e.get("id")] = end.strip() if end else None
         elif (ref := e.get("contextRef")) and (local(e.tag), ref) not in found:
             try:
                 found[local(e.tag), ref] = float((e.text or "").strip())
             except ValueError:
-                continue
-    return pd.DataFrame([(doc_id, t, c, v, periods.get(c)) for (t, c), v in found.items()], columns=["doc_id", "element", "context", "value", "period"])
+                found[local(e.tag), ref] = None
+    return pd.DataFrame([(doc_id, t, c, v, periods.get(c)) for (t, c), v in found.items()], columns=["doc_id", "element", "context", "value", "period"]).astype({"value": "float64"})
 
 
-def parsed_results(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """Landed JSON results of the current parser version; the code is the file's name."""
-    df = spark.read.option("multiLine", "true").json(path).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), r"^([^_.]+)", 1))
+def parsed_results(spark: SparkSession, path: str, version: int, code: str = r"([^/_.]+)[^/]*\.json$") -> DataFrame:
+    """Landed JSON results of the current parser version; the code is a part of the file's path, by default how its name begins."""
+    df = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true").json(path).withColumn("code", F.regexp_extract(F.col("_metadata.file_path"), code, 1))
     return df.filter(F.col("parser_version") == version)

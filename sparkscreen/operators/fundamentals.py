@@ -69,19 +69,23 @@ def repair(df: DataFrame) -> DataFrame:
     return repair_clip(profit_status(repair_valuation(repair_equity(df))))
 
 
-def split_factor(basis: DataFrame, splits: DataFrame) -> DataFrame:
-    """basis: code, basis_date. The product of plausible ratios of splits after the basis; 1 without any; no change for
-    an unknown basis. An equi-join on code with the date as the rest of the condition, then one aggregate."""
+def _with_factors(df: DataFrame, splits: DataFrame, factors: dict[str, str]) -> DataFrame:
+    """df with a factor for each date column of factors (new column -> date column): the product of the plausible ratios of
+    splits after that date; 1 without any or for an unknown date. A code's splits, a handful, come to its row by one join."""
     plausible = splits.filter(F.col("ratio").between(0.02, 100) & (F.col("ratio") != 1))
-    later = basis.join(plausible, "code").filter(F.col("split_date") > F.try_to_date("basis_date"))
-    return basis.join(later.groupBy("code").agg(F.product("ratio").alias("_f")), "code", "left").select(*basis.columns, F.coalesce("_f", F.lit(1.0)).alias("factor"))
+    own = plausible.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("split_date", F.col("ratio").cast("double").alias("ratio")))).alias("_splits"))
+    product = lambda day: F.aggregate(F.filter("_splits", lambda s: F.coalesce(s["split_date"] > F.try_to_date(day), F.lit(False))), F.lit(1.0), lambda acc, s: acc * s["ratio"])
+    return df.join(own, "code", "left").withColumns({name: F.coalesce(product(day), F.lit(1.0)) for name, day in factors.items()}).drop("_splits")
+
+
+def split_factor(basis: DataFrame, splits: DataFrame) -> DataFrame:
+    """basis: code, basis_date. Adds factor."""
+    return _with_factors(basis, splits, {"factor": "basis_date"})
 
 
 def split_adjust(df: DataFrame, splits: DataFrame) -> DataFrame:
     """Per-share facts after their filing's date are divided by the factor, the share count multiplied."""
-    pl = split_factor(df.select("code", F.col("submitted_at").alias("basis_date")), splits).select("code", F.col("factor").alias("_pl"))
-    bs = split_factor(df.select("code", F.col("bs_submitted_at").alias("basis_date")), splits).select("code", F.col("factor").alias("_bs"))
-    out = df.join(pl, "code", "left").join(bs, "code", "left")
+    out = _with_factors(df, splits, {"_pl": "submitted_at", "_bs": "bs_submitted_at"})
     return out.withColumns({**{c: F.col(c) / F.col("_pl") for c in ("eps", "bps", "dps")}, "shares_outstanding": F.col("shares_outstanding") * F.col("_bs")}).drop("_pl", "_bs")
 
 
@@ -128,3 +132,15 @@ def assemble_seed(parsed: DataFrame, base: DataFrame, listed: DataFrame) -> Data
     b = base.select("code", *[F.col(c).alias(f"_{c}") for c in columns])
     out = parsed.join(b, "code", "full").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).select("code", *columns)
     return out.join(listed.select("code").distinct(), "code", "left_semi")
+
+
+#: Columns of a seed whose origin isn't verified.
+UNVERIFIED = (
+    "operating_cf", "free_cf", "payout_ratio", "payout_status", "current_ratio", "quick_ratio", "debt_equity_ratio", "sales_status", "profit_status", "is_turnaround", "turnaround_status",
+    "profit_growth", "profit_growth_raw", "sales_growth", "repair_metadata", "fetch_status",
+)
+
+
+def drop_unverified(seed: DataFrame, columns: tuple[str, ...] = UNVERIFIED) -> DataFrame:
+    """The seed with those columns null, of their own types."""
+    return seed.withColumns({c: F.lit(None).cast(kind) for c, kind in seed.dtypes if c in columns})

@@ -24,7 +24,7 @@ def _number(c: Column, digits: int = 0) -> Column:
 
 
 def rejection(config: ScreenConfig, columns: list[str]) -> Column:
-    """struct(reason, detail), null for a code that passes. The texts are the users' contract."""
+    """struct(reason, detail), null for a code that passes. The texts are fixed values, the users' contract."""
     c = lambda name: F.col(name) if name in columns else F.lit(None)
     out = lambda reason, detail: F.struct(F.lit(reason).alias("reason"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
     stale, illiquid, broke = "データ鮮度不足 (取引停止)", "極小流動性トラップ", "構造的破綻 (債務超過)"

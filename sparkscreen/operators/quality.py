@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import safe_float
+
 ESSENTIAL = ("code", "price", "verdict")
 
 
@@ -40,6 +42,29 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def status_counts(df: DataFrame, column: str = "status") -> DataFrame:
+    return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
+#: Headers of listing and screening files, and which of the names are numbers.
+HEADERS = {
+    "コード": "code", "コード/ティッカー": "code", "銘柄名": "name", "売上高": "sales", "市場": "market", "業種": "sector", "現在値": "current_price", "現値": "current_price",
+    "PER(株価収益率)": "per", "予想PER": "per", "PER": "per", "PBR(株価純資産倍率)": "pbr", "実績PBR": "pbr", "PBR": "pbr", "ROE(自己資本利益率)": "roe", "配当利回り": "dividend_yield",
+    "予想配当利回り": "dividend_yield", "売上高変化率": "sales_growth", "経常利益変化率": "profit_growth", "流動比率": "current_ratio", "当座比率": "quick_ratio", "平均売買代金": "trading_value", "売買代金": "trading_value", "RSI": "rsi",
+}
+NUMBERS = ("per", "pbr", "roe", "dividend_yield", "sales_growth", "profit_growth", "current_ratio", "quick_ratio", "trading_value", "rsi", "current_price")
+
+
+def named(df: DataFrame, headers: dict[str, str] = HEADERS, numbers: tuple[str, ...] = NUMBERS) -> DataFrame:
+    """df with known headers renamed and numbers parsed. Of several headers of one name the first column that has a value
+    counts; other columns stay."""
+    groups: dict[str, list[str]] = {}
+    for c in df.columns:
+        groups.setdefault(headers.get(c, c), []).append(c)
+    value = lambda name, c: safe_float(F.col(f"`{c}`").cast("string")) if name in numbers else F.col(f"`{c}`")
+    return df.select(*[F.coalesce(*[value(name, c) for c in columns]).alias(name) for name, columns in groups.items()])
+
+
 def history_profile(bars: DataFrame) -> DataFrame:
     return bars.agg(F.count("*").alias("n_rows"), F.countDistinct("code").alias("n_codes"), F.countDistinct("entry_date").alias("n_days"), F.min("entry_date").alias("first_day"), F.max("entry_date").alias("last_day"))
 
@@ -65,9 +90,24 @@ def scrub(text: Column) -> Column:
     return text
 
 
-def row_hash(columns: list[Column]) -> Column:
-    """md5 of the values' texts between bars; a missing value is NaN, a whole number has no fraction."""
-    text = lambda c: F.coalesce(F.when(c.cast("double") == F.floor(c.cast("double")), c.cast("double").cast("bigint").cast("string")).otherwise(c.cast("string")), F.lit("NaN"))
+#: What identifies a scored row.
+HASHED = ("code", "name", "per", "pbr", "roe", "dividend_yield", "current_ratio", "rsi", "quant_score")
+
+
+def row_hash(df: DataFrame, columns: tuple[str, ...] = HASHED) -> Column:
+    """md5 of the values' texts between bars. Texts are taken as they are; a whole double has no fraction; what is missing,
+    also as a column, is NaN."""
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        if c not in kinds:
+            return F.lit("NaN")
+        plain = F.col(c).cast("string")
+        if kinds[c] in ("double", "float"):
+            x = F.col(c).cast("double")
+            plain = F.when(~F.isnan(x), F.when((x == F.floor(x)) & (F.abs(x) < 1e18), x.cast("bigint").cast("string")).otherwise(plain))
+        return F.coalesce(plain, F.lit("NaN"))
+
     return F.md5(F.concat_ws("|", *[text(c) for c in columns]))
 
 

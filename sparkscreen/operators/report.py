@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _either(*cols: Column) -> Column:
-    """The first value that isn't null or 0; else the last."""
-    out = cols[-1]
-    for c in reversed(cols[:-1]):
-        out = F.when(c.isNotNull() & (c != 0), c).otherwise(out)
-    return out
+from ..functions.exprs import rounded
 
 
 def with_sources(df: DataFrame) -> DataFrame:
@@ -43,17 +37,32 @@ def ranked(df: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
-def report_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Text rows with - for what is missing."""
-    text = lambda c, f: F.coalesce(F.format_string(f, c), F.lit("-"))
-    show = lambda c, f: F.when(F.col(c).isNull(), "-").otherwise(text(c, f)).alias(c)
+#: The columns of a report.
+COLUMNS = (
+    "Rank", "Code", "Name", "Sector", "Market", "Market_Cap_Src", "Market_Cap", "Verdict", "Score", "Price", "Price_Date", "PER_Src", "PER", "PBR_Src", "PBR", "Div_Yield_Src", "Div_Yield",
+    "ROE_Src", "ROE", "Sales_Growth", "Profit_Growth", "Operating_Margin", "Equity_Ratio", "RSI", "Trend", "Report_Timestamp",
+)
+
+
+def report_rows(df: DataFrame, limit: int | None = None, now: str | None = None) -> DataFrame:
+    """Text rows with - for what is missing. Ratios have two decimals, other numbers four; the growth of profit is the one
+    computed from filings if there is one; now: the report's time."""
     r = ranked(with_sources(df), limit)
-    return r.select(
-        "rank", "code", F.coalesce("name", F.lit("-")).alias("name"), F.coalesce("sector", F.lit("-")).alias("sector"), F.coalesce("market", F.lit("-")).alias("market"), show("price", "%.1f"), show("quant_score", "%.1f"), "verdict",
-        show("per_value", "%.2f"), "per_src", show("pbr_value", "%.2f"), "pbr_src", show("div_yield_value", "%.2f"), "div_yield_src", show("market_cap_value", "%.0f"), "market_cap_src", show("roe_value", "%.2f"), "roe_src",
-        show("rsi_14", "%.1f"), F.coalesce("macd_status", F.lit("-")).alias("macd_status"), show("ma_divergence", "%.2f"), show("equity_ratio", "%.1f"), F.coalesce("turnaround_status", F.lit("-")).alias("turnaround_status"),
-        show("profit_growth_raw", "%.1f"), show("sales", "%.0f"), show("net_profit", "%.0f"),
-    )
+    there = lambda *names: [F.col(c) for c in names if c in r.columns]
+    first = lambda *names: F.coalesce(*there(*names)) if there(*names) else F.lit(None).cast("double")
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    number = lambda c, digits: dash(F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.format_string(f"%.{digits}f", rounded(c.cast("double"), digits))))
+    label = lambda c: dash(F.when(~F.lower(F.trim(c)).isin("", "nan", "none"), c))
+    out = {
+        "Rank": F.col("rank"), "Code": F.col("code"), "Name": F.coalesce("name", F.lit("")), "Sector": label(first("sector_17", "sector").cast("string")), "Market": label(F.col("market")),
+        "Market_Cap": dash(F.col("market_cap_value").cast("bigint").cast("string")), "Verdict": dash(F.col("verdict")), "Score": F.format_string("%.2f", rounded(F.coalesce("quant_score", F.lit(0.0)), 2)),
+        "Price": number(F.col("price"), 4), "Price_Date": dash(F.substring(first("entry_date").cast("string"), 1, 10)),
+        **{n: number(F.col(f"{n.lower()}_value"), 2) for n in ("PER", "PBR", "Div_Yield", "ROE")}, **{f"{n}_Src": F.col(f"{n.lower()}_src") for n in ("Market_Cap", "PER", "PBR", "Div_Yield", "ROE")},
+        "Sales_Growth": number(first("sales_growth"), 4), "Profit_Growth": number(first("profit_growth_raw", "profit_growth"), 4), "Operating_Margin": number(first("operating_margin"), 4),
+        "Equity_Ratio": number(first("equity_ratio"), 4), "RSI": number(first("rsi_14"), 1), "Trend": dash(first("score_trend", "trend_score").cast("string")),
+        "Report_Timestamp": F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"),
+    }
+    return r.select(*[out[c].alias(c) for c in COLUMNS])
 
 
 GRADE_NAMES = {"STRONG_BUY": "Grade S", "BUY": "Grade A", "WATCH": "Grade B", "PASS": "Grade C"}
@@ -73,13 +82,20 @@ def top_candidates(df: DataFrame, n: int = 10) -> DataFrame:
     return df.crossJoin(F.broadcast(any_top)).filter(top | (F.col("_any") == 0)).orderBy(F.desc("quant_score"), "code").limit(n).drop("_any")
 
 
-def write_reports(df: DataFrame, path: str) -> None:
-    """Two CSV folders: what passed, as report rows, and what was rejected, with reason and detail."""
-    report_rows(df.filter("filter_reason is null")).coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/passed")
-    df.filter("filter_reason is not null").coalesce(1).write.mode("overwrite").option("header", "true").option("nullValue", "-").csv(f"{path}/rejected")
+def write_reports(df: DataFrame, path: str, now: str | None = None) -> None:
+    """Two CSV folders of one file each, in UTF-8 with a byte order mark before the header: what passed, as report rows, and
+    what was rejected, all columns with reason and detail."""
+
+    def write(rows: DataFrame, name: str) -> None:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+        rows.coalesce(1).write.mode("overwrite").option("header", "true").option("nullValue", "-").option("encoding", "UTF-8").csv(f"{path}/{name}")
+
+    write(report_rows(df.filter("filter_reason is null"), now=now), "passed")
+    write(df.filter("filter_reason is not null"), "rejected")
 
 
 def read_report(spark, path: str) -> DataFrame:
     """Report rows with the null marks read as nulls."""
     raw = spark.read.option("header", "true").csv(path)
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     return raw.select(*[F.when(~F.trim(c).isin("-", "None", "null", ""), F.col(c)).alias(c) for c in raw.columns])

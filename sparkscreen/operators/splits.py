@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import shared_path
+
 #: Fixed values: (price below, most change in a day).
 PRICE_LIMITS = (
     (100, 30), (200, 50), (500, 80), (700, 100), (1_000, 150), (1_500, 300), (2_000, 400), (3_000, 500), (5_000, 700), (7_000, 1_000), (10_000, 1_500), (15_000, 3_000),
@@ -128,22 +130,37 @@ def _impossible(p, i: int) -> bool:
     return not (i >= 3 and hit(i - 1) != 0 and hit(i - 1) == hit(i - 2))
 
 
-def dedup_events(events: DataFrame) -> DataFrame:
-    """Per code, in date order, an event is kept if no kept one lies within ten days: a fold over the code's sorted
-    events (a handful), not a session window."""
+def dedup_events(events: DataFrame, known: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """The plausible events that are to be recorded: of a code's, in order of arrival (a column order, else by date), each
+    that no recorded one lies within ten days of, be it known before (code, split_date) or kept now. A fold over a code's
+    events, not a session window. By date an event is held against the last kept one alone."""
     plausible = events.filter(F.col("ratio").between(0.02, 100) & (F.col("ratio") != 1))
     one = "struct<split_date:date,ratio:double>"
-    folded = plausible.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("split_date", F.col("ratio").cast("double").alias("ratio")))).alias("e")).withColumn(
-        "e",
-        F.aggregate("e", F.array().cast(f"array<{one}>"), lambda acc, x: F.when(F.exists(acc, lambda k: F.abs(F.datediff(k["split_date"], x["split_date"])) <= APART), acc).otherwise(F.concat(acc, F.array(x.cast(one))))),
-    )
-    return folded.select("code", F.explode("e").alias("e")).select("code", "e.split_date", "e.ratio")
+    at = F.col(order) if order else F.lit(0)
+    folded = plausible.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "split_date", F.col("ratio").cast("double").alias("ratio")))).alias("e"))
+    if known is None:
+        folded = folded.withColumn("known", F.array().cast("array<date>"))
+    else:
+        folded = folded.join(known.groupBy("code").agg(F.collect_set("split_date").alias("known")), "code", "left").withColumn("known", F.coalesce("known", F.array().cast("array<date>")))
+    near = lambda a, b: F.abs(F.datediff(a, b)) <= APART
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))["split_date"]
+        met = F.exists(acc, lambda k: near(k["split_date"], x["split_date"])) if order else F.coalesce(near(last, x["split_date"]), F.lit(False))
+        return F.when(met, acc).otherwise(F.concat(acc, F.array(F.struct(x["split_date"].alias("split_date"), x["ratio"].alias("ratio")))))
+
+    free = F.filter("e", lambda x: ~F.exists("known", lambda k: near(k, x["split_date"])))
+    kept = folded.select("code", F.aggregate(free, F.array().cast(f"array<{one}>"), step).alias("e"))
+    return kept.select("code", F.explode("e").alias("e")).select("code", "e.split_date", "e.ratio")
 
 
 def adjust_history(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Recorded events, then those inferred from the result, then the result's own adjustment; changed tells codes whose
-    prices moved."""
-    first = apply_splits(bars, dedup_events(events)).persist()  # read four times below
+    prices moved. What the recorded events leave is written once, as three steps read it."""
+    spark, path = bars.sparkSession, shared_path(bars.sparkSession, "adjusted")
+    first = apply_splits(bars, dedup_events(events))
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
     second = apply_splits(first, infer_splits(first))
     old = bars.select("code", "entry_date", F.col("price").alias("_old"))
     both = second.join(old, ["code", "entry_date"])

@@ -16,7 +16,6 @@ def by_code():
     return Window.partitionBy("code").orderBy("entry_date")
 
 
-
 def normalize_bars(df: DataFrame) -> DataFrame:
     """Alias columns to the engine's names, dates from text or timestamps, volume to long with null as 0."""
     names = {"Close": "price", "Price": "price", "Open": "open", "High": "high", "Low": "low", "Volume": "volume", "Adj Close": "adj_close"}
@@ -71,18 +70,38 @@ def rolling(c: str, n: int, f=F.avg) -> Column:
     return F.when(F.count(c).over(w) == n, f(c).over(w))
 
 
-def ewm(df: DataFrame, source: str, target: str, alpha: float) -> DataFrame:
-    """y0 = x0, y = (1 - alpha) y + alpha x, by code in date order; source has no nulls.
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds a code's row number _i, its block _b and its place there _p. Blocks are in date order, so every window after
+    this one orders by block and date: one sort serves them all."""
+    if "_i" in df.columns:
+        return df
+    df = df.withColumn("_i", F.row_number().over(by_code()) - 1)
+    return df.withColumn("_b", F.floor(F.col("_i") / BLOCK)).withColumn("_p", F.pmod(F.col("_i"), F.lit(BLOCK)))
+
+
+def _by_block():
+    return Window.partitionBy("code").orderBy("_b", "entry_date")
+
+
+def ewms(df: DataFrame, averages: dict[str, tuple[str, float]]) -> DataFrame:
+    """averages: new column -> (source, alpha). y0 = x0, y = (1 - alpha) y + alpha x, by code in date order; sources have no
+    nulls. df is numbered.
 
     Within blocks of BLOCK rows as (1-a)^p * sum of w x (1-a)^-p; the block before enters with its last value, which
-    holds what is older to less than a double's last place."""
-    decay = 1.0 - alpha
-    df = df.withColumn("_i", F.row_number().over(by_code()) - 1).withColumn("_b", F.floor(F.col("_i") / BLOCK)).withColumn("_p", F.pmod(F.col("_i"), F.lit(BLOCK)))
+    holds what is older to less than a double's last place. All averages of a call share two windows."""
     in_block = Window.partitionBy("code", "_b").orderBy("entry_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    df = df.withColumn("_s", F.pow(F.lit(decay), "_p") * F.sum(weight * F.col(source) * F.pow(F.lit(decay), -F.col("_p"))).over(in_block))
-    before = F.last(F.when(F.col("_p") == BLOCK - 1, F.col("_s")), ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn(target, F.col("_s") + F.coalesce(before * F.pow(F.lit(decay), F.col("_p") + 1), F.lit(0.0))).drop("_i", "_b", "_p", "_s")
+    before = _by_block().rowsBetween(Window.unboundedPreceding, -1)
+    power = lambda a, e: F.pow(F.lit(1.0 - a), e)
+    weight = lambda a: F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(a))
+    df = df.withColumns({f"_s_{y}": power(a, F.col("_p")) * F.sum(weight(a) * F.col(x) * power(a, -F.col("_p"))).over(in_block) for y, (x, a) in averages.items()})
+    df = df.withColumns({f"_l_{y}": F.last(F.when(F.col("_p") == BLOCK - 1, F.col(f"_s_{y}")), ignorenulls=True).over(before) for y in averages})
+    out = {y: F.col(f"_s_{y}") + F.coalesce(F.col(f"_l_{y}") * power(a, F.col("_p") + 1), F.lit(0.0)) for y, (_, a) in averages.items()}
+    return df.withColumns(out).drop(*[f"_{k}_{y}" for k in "sl" for y in averages])
+
+
+def ewm(df: DataFrame, source: str, target: str, alpha: float) -> DataFrame:
+    """One recursive average."""
+    return ewms(numbered(df), {target: (source, alpha)}).drop("_i", "_b", "_p")
 
 
 def add_bands(df: DataFrame) -> DataFrame:
@@ -91,27 +110,45 @@ def add_bands(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.col("ma25") + n * F.col("bb_sigma") for k, n in bands.items()})
 
 
-def add_rsi(df: DataFrame, alpha: float = 1 / 14, stable: int = 30) -> DataFrame:
-    """Wilder's index, null for a code's first rows; 50 without moves, 100 without losses."""
-    move = F.col("price") - F.lag("price").over(by_code())
-    df = df.withColumn("_move", F.coalesce(move, F.lit(0.0)))
-    df = df.withColumn("_gain", F.greatest("_move", F.lit(0.0))).withColumn("_loss", F.greatest(-F.col("_move"), F.lit(0.0)))
-    df = ewm(ewm(df, "_gain", "_g", alpha), "_loss", "_l", alpha)
-    n = F.count("price").over(by_code().rowsBetween(-(stable - 1), 0))
+def _moves(df: DataFrame, stable: int) -> DataFrame:
+    """Adds gains, losses and the number of the last stable rows."""
+    move = F.coalesce(F.col("price") - F.lag("price").over(by_code()), F.lit(0.0))
+    df = df.withColumns({"_move": move, "_n": F.count("price").over(by_code().rowsBetween(-(stable - 1), 0))})
+    return df.withColumns({"_gain": F.greatest("_move", F.lit(0.0)), "_loss": F.greatest(-F.col("_move"), F.lit(0.0))}).drop("_move")
+
+
+def _rsi(df: DataFrame, stable: int) -> DataFrame:
     index = F.when(F.col("_l") == 0, F.when(F.col("_g") == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.try_divide("_g", "_l")))
-    return df.withColumn("rsi_14", F.when(n >= stable, index)).drop("_move", "_gain", "_loss", "_g", "_l")
+    return df.withColumn("rsi_14", F.when(F.col("_n") >= stable, index)).drop("_n", "_gain", "_loss", "_g", "_l")
 
 
-def add_macd(df: DataFrame) -> DataFrame:
-    """MACD 12/26/9; a histogram that is 0 but for rounding is Neutral."""
-    df = ewm(ewm(df, "price", "_e12", 2 / 13), "price", "_e26", 2 / 27)
-    df = df.withColumn("macd", F.col("_e12") - F.col("_e26"))
-    df = ewm(df, "macd", "macd_signal", 0.2)
+def _macd(df: DataFrame) -> DataFrame:
+    df = ewms(df.withColumn("macd", F.col("_e12") - F.col("_e26")), {"macd_signal": ("macd", 0.2)})
     h = F.col("macd") - F.col("macd_signal")
     df = df.withColumn("macd_hist", F.when(F.abs(h) < 1e-9 * F.col("price"), 0.0).otherwise(h)).drop("_e12", "_e26")
     return df.withColumn("macd_status", F.when(F.col("macd_hist") > 0, "Bullish").when(F.col("macd_hist") < 0, "Bearish").otherwise("Neutral"))
 
 
+WILDER, FAST, SLOW, STABLE = 1 / 14, 2 / 13, 2 / 27, 30
+_GAINS = {"_g": ("_gain", WILDER), "_l": ("_loss", WILDER)}
+_PRICES = {"_e12": ("price", FAST), "_e26": ("price", SLOW)}
+
+
+def add_rsi(df: DataFrame, stable: int = STABLE) -> DataFrame:
+    """Wilder's index, null for a code's first rows; 50 without moves, 100 without losses."""
+    return _rsi(ewms(numbered(_moves(df, stable)), _GAINS), stable).drop("_i", "_b", "_p")
+
+
+def add_macd(df: DataFrame) -> DataFrame:
+    """MACD 12/26/9; a histogram that is 0 but for rounding is Neutral."""
+    return _macd(ewms(numbered(df), _PRICES)).drop("_i", "_b", "_p")
+
+
+def add_rsi_and_macd(df: DataFrame, stable: int = STABLE) -> DataFrame:
+    """Both, with the averages of prices and moves in one pass."""
+    return _macd(_rsi(ewms(numbered(_moves(df, stable)), _GAINS | _PRICES), stable)).drop("_i", "_b", "_p")
+
+
 def add_trend(df: DataFrame) -> DataFrame:
     """Divergence from ma25 in percent, a score of four conditions, and the traded value."""
     holds = [F.col("ma25") > F.col("ma75"), F.col("price") > F.col("ma25"), F.col("macd_hist") > 0, F.col("rsi_14") > 50]
@@ -124,7 +161,7 @@ def add_trend(df: DataFrame) -> DataFrame:
 
 def indicators(bars: DataFrame) -> DataFrame:
     """All indicators of priced bars; Saturdays and Sundays go after they have counted."""
-    return weekday_guard(add_trend(add_macd(add_rsi(add_bands(priced(bars))))))
+    return weekday_guard(add_trend(add_rsi_and_macd(add_bands(priced(bars)))))
 
 
 def weekday_guard(df: DataFrame) -> DataFrame:
@@ -158,3 +195,16 @@ def historical_volatility(df: DataFrame, least: int = 20) -> DataFrame:
     """Per code the yearly volatility of log returns in percent, null for fewer than least rows."""
     moves = df.withColumn("_r", F.ln(F.col("price") / F.lag("price").over(by_code())))
     return moves.groupBy("code").agg(F.count("*").alias("n_rows"), F.when(F.count("*") >= least, F.stddev_samp("_r") * F.sqrt(F.lit(252.0)) * 100).alias("volatility"))
+
+
+def summary(df: DataFrame, least: int = 30) -> DataFrame:
+    """Per code of at least so many bars its latest values, in the simple form: RSI over plain means, volume ratio, yearly
+    volatility, trend score, and bands, which are 0 where a code has too few bars for them."""
+    d = volume_ratio(simple_rsi(add_macd(add_bands(priced(df)))))
+    d = d.withColumn("_n", F.count("*").over(Window.partitionBy("code"))).filter(F.col("_n") >= least)
+    holds = [F.col("ma25") > F.col("ma75"), F.col("price") > F.col("ma25"), F.col("macd_hist") > 0, F.col("rsi_sma") > 50]
+    score = sum((F.coalesce(c, F.lit(False)).cast("int") for c in holds), F.lit(0))
+    d = latest(d.withColumn("trend_score", score)).join(historical_volatility(priced(df)).select("code", F.col("volatility").alias("real_volatility")), "code")
+    bands = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("bb_p1sig", "bb_p2sig", "bb_m1sig", "bb_m2sig")]
+    ratio = F.when(F.col("price") != 0, (F.col("price") - F.col("ma25")) / F.col("ma25") * 100)
+    return d.select("code", "entry_date", "macd_hist", F.col("rsi_sma").alias("rsi_14"), F.when(F.col("trend_score") >= 3, 1.0).otherwise(0.0).alias("trend_up"), "trend_score", ratio.alias("ma_divergence"), "volume_ratio", "real_volatility", *bands)

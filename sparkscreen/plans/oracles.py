@@ -182,7 +182,7 @@ _upd = lambda ok, v, c: f"CASE WHEN {ok} THEN coalesce({v}, f.{c}) ELSE f.{c} EN
 _scrubbed = "text"
 for _p, _put in SCRUBS:
     _scrubbed = f"regexp_replace({_scrubbed}, '{_p.replace(chr(39), chr(39) * 2)}', '{_put.replace('$1', chr(92) + '1')}', 'g')"
-_text = lambda c: f"coalesce(CAST(CAST({c} AS BIGINT) AS VARCHAR), 'NaN')"
+_text = lambda c: f"coalesce(CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END, 'NaN')"
 _APPLIED = """SELECT b.code, b.entry_date, CASE WHEN j.jump_date IS NOT NULL AND b.entry_date < j.jump_date THEN b.price / j.ratio ELSE b.price END AS price,
     CASE WHEN j.jump_date IS NOT NULL AND b.entry_date < j.jump_date THEN b.volume * j.ratio ELSE CAST(b.volume AS DOUBLE) END AS volume FROM {bars} b LEFT JOIN (
     SELECT f.* FROM {found} f JOIN (SELECT code, min(split_date) AS split_date FROM {events_split} GROUP BY code) m USING (code, split_date)) j ON b.code = j.code"""
@@ -226,8 +226,6 @@ _SQL = {
     "split_jump": f"SELECT code, split_date, {r('ratio')}, jump_date FROM {{found}}",
     "latest_bar": f"SELECT code, entry_date, {r('price')}, volume FROM {{lastbar}}",
     "latest_batch": f"SELECT b.code, b.entry_date, {r('b.price')}, s.name, {r('f.sales')} FROM {{lastbar}} b JOIN {{stocks}} s ON b.code = s.code LEFT JOIN {{fundamentals}} f ON b.code = f.code",
-    "master_diff": """SELECT coalesce(s.code, l.code) AS code, CASE WHEN s.code IS NULL THEN 'new' WHEN l.code IS NULL THEN CASE WHEN coalesce(is_active, true) THEN 'gone' ELSE 'inactive' END WHEN NOT coalesce(is_active, true) THEN 'relisted' ELSE 'kept' END AS change
-        FROM {stocks} s FULL JOIN (SELECT lpad(CAST(s_suppkey * 2 AS VARCHAR), 8, '0') AS code FROM {supplier}) l ON s.code = l.code""",
     "restore_missing": f"SELECT f.code, {r('coalesce(f.equity_ratio, s.equity_ratio, 33.0)', name='equity_ratio')}, {r('coalesce(f.eps, s.eps)', name='eps')}, {r('coalesce(f.bps, s.bps)', name='bps')} FROM {{fundamentals}} f LEFT JOIN {{results}} s ON f.code = s.code",
     "assemble_seed": f"SELECT code, {rs('sales, equity_ratio')} FROM (SELECT coalesce(p.code, f.code) AS code, coalesce(p.sales, f.sales) AS sales, coalesce(p.equity_ratio, f.equity_ratio) AS equity_ratio FROM (SELECT * FROM {{results}} WHERE kind = 'annual') p FULL JOIN {{fundamentals}} f ON p.code = f.code) WHERE code IN (SELECT code FROM {{stocks}} WHERE status = 'active')",
     "backfill_growth": f"SELECT code, {r('sales / 1e6', name='sales_growth')} FROM {{fundamentals}}",
@@ -256,9 +254,6 @@ _SQL = {
         SELECT k.doc_id, k.kind, {', '.join(r(f"max(CASE WHEN field = '{n}' THEN v * {100 if n in RATIOS else 1} END)", name=n) for n in ('sales', 'net_profit', 'prev_net_profit', 'total_assets', 'net_assets', 'equity_ratio', 'dps', 'shares_outstanding', 'operating_income'))}
         FROM {{kinds}} k LEFT JOIN b ON k.doc_id = b.doc_id WHERE k.kind IS NOT NULL GROUP BY k.doc_id, k.kind""",
     "filing_sanity": f"SELECT code, {rs('eps, bps, dps, shares_outstanding, equity_ratio')} FROM {{sane}}",
-    "scan_window": f"""SELECT mark, CAST(least(365, greatest(7, coalesce(DATE '{TODAY}' - mark + 1, 365))) AS INTEGER) AS days FROM (
-        SELECT CASE WHEN bad IS NULL THEN good ELSE least(good, bad - 1) END AS mark FROM (SELECT max(CASE WHEN ok THEN d END) AS good, min(CASE WHEN NOT ok THEN d END) AS bad FROM (
-        SELECT CAST(o_orderdate AS DATE) AS d, bool_or(o_orderkey % 997 <> 1) AS ok FROM {{orders}} GROUP BY 1)))""",
     "profile_history": "SELECT count(*) AS n_rows, count(DISTINCT code) AS n_codes, count(DISTINCT entry_date) AS n_days, min(entry_date) AS first_day, max(entry_date) AS last_day FROM {bars}",
     "profile_nulls": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n_filled, {r(f'count({c}) / count(*)', name='share')} FROM {{fundamentals}}" for c in ("roe", "equity_ratio", "eps", "pbr", "dps", "sales_growth", "total_assets")),
     "integrity_check": """SELECT 'stocks' AS "check", count(*) AS value, count(*) >= 1000 AS ok FROM {stocks} UNION ALL SELECT 'fundamentals', count(*), count(*) >= 1000 FROM {fundamentals}
@@ -268,7 +263,6 @@ _SQL = {
         WHERE n > 0 AND NOT (c = 'equity_ratio' AND sector IN (SELECT n_name FROM {nation} WHERE n_nationkey % 2 = 0))""",
     "contract_check": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_bad FROM {{graded}}" for c in ("code", "price", "verdict", "equity_ratio")) + " UNION ALL SELECT 'not_there', count(*) FROM {graded}",
     "scrub_text": f"SELECT doc_id, md5({_scrubbed}) AS scrubbed FROM {{documents}}".replace("{32,}", "{{32,}}").replace("{{32,}}", "{32,}"),
-    "row_hash": f"SELECT c_custkey, md5({_text('c_custkey')} || '|' || {_text('c_nationkey')} || '|' || {_text('CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE floor(c_acctbal) END')}) AS row_hash FROM {{customer}}",
     "parity_diff": """SELECT code, d AS difference FROM (SELECT coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NULL THEN 'missing' WHEN b.code IS NULL THEN 'extra'
         ELSE concat_ws(',', CASE WHEN a.n IS DISTINCT FROM b.n THEN 'n' END, CASE WHEN a.last IS DISTINCT FROM b.last THEN 'last' END) END AS d
         FROM (SELECT code, count(*) AS n, max(entry_date) AS last FROM {old_bars} GROUP BY code) a FULL JOIN (SELECT code, count(*) FILTER (entry_date < DATE '2001-08-01') AS n, max(entry_date) AS last FROM {bars} GROUP BY code) b ON a.code = b.code) WHERE d <> ''""",
@@ -323,36 +317,148 @@ _SQL = {
           CASE WHEN market_cap > 0 THEN CASE WHEN abs(market_cap - c4) <= abs(c4) * 0.001 + 1 THEN 'calc' ELSE 'stored' END WHEN c4 IS NOT NULL THEN 'calc' ELSE '-' END AS market_cap_src,
           {r('coalesce(roe, CASE WHEN bps > 0 THEN eps / bps * 100 END)', name='roe_value')}, CASE WHEN roe IS NOT NULL THEN 'stored' WHEN bps > 0 AND eps IS NOT NULL THEN 'calc' ELSE '-' END AS roe_src FROM w""",
     "report_ranks": f"SELECT CAST(row_number() OVER (ORDER BY g.quant_score DESC NULLS LAST, code) AS INTEGER) AS rank, code, {r('quant_score')}, verdict FROM {{graded}} g",
-    "master_sync": """WITH live AS (SELECT lpad(CAST(s_suppkey + CASE WHEN s_suppkey % 23 = 0 THEN 5000 ELSE 0 END AS VARCHAR), 8, '0') AS code, s_name AS name FROM {supplier}),
-        d AS (SELECT coalesce(s.code, l.code) AS code, CASE WHEN s.code IS NULL THEN 'new' WHEN l.code IS NULL THEN CASE WHEN coalesce(is_active, true) THEN 'gone' ELSE 'inactive' END WHEN NOT coalesce(is_active, true) THEN 'relisted' ELSE 'kept' END AS change,
-          s.name AS n0, s.sector AS s0, s.market AS m0, s.status AS st, s.is_active AS ac, l.name AS n1, l.code IS NOT NULL AS live FROM {stocks} s FULL JOIN live l ON s.code = l.code),
-        o AS (SELECT *, count(*) FILTER (change IN ('new', 'kept', 'relisted')) OVER () >= 1 AND count(*) FILTER (change = 'gone') OVER () <= 0.1 * count(*) FILTER (change <> 'new') OVER () AS ok FROM d)
-        SELECT code, CASE WHEN ok THEN coalesce(n1, n0) ELSE n0 END AS name, CASE WHEN ok AND live THEN 'Other' ELSE s0 END AS sector, CASE WHEN ok AND live THEN 'Prime' ELSE m0 END AS market,
-          CASE WHEN ok AND change = 'gone' THEN 'delisted' WHEN ok AND change IN ('relisted', 'new') THEN 'active' ELSE st END AS status,
-          CASE WHEN ok AND change = 'gone' THEN false WHEN ok AND change IN ('relisted', 'new') THEN true ELSE ac END AS is_active, change FROM o WHERE ok OR change <> 'new'""",
-    "nodata_tracking": f"""WITH o AS (SELECT *, {_K} % 6 <> 0 AS got, {_K} % 12 = 0 AS hist, avg(CASE WHEN {_K} % 6 <> 0 THEN 1.0 ELSE 0 END) OVER () >= 0.7 AS ok FROM {{stocks}}),
-        f AS (SELECT *, ok AND got AS win, ok AND NOT got AND NOT hist AND NOT coalesce(last_fail_date = '{TODAY}', false) AS fail FROM o)
-        SELECT code, CAST(CASE WHEN win THEN 0 WHEN fail THEN coalesce(fail_count, 0) + 1 ELSE fail_count END AS INTEGER) AS fail_count,
-          CASE WHEN win THEN NULL WHEN fail THEN '{TODAY}' ELSE last_fail_date END AS last_fail_date,
-          CASE WHEN win THEN NULL WHEN fail AND coalesce(fail_count, 0) + 1 >= 3 THEN '2001-12-31' ELSE excluded_until END AS excluded_until FROM f""",
-    "suspend_codes": "SELECT code, CASE WHEN status = 'delisted' THEN '2002-06-01' ELSE excluded_until END AS excluded_until FROM {stocks}",
-    "legacy_filter": f"SELECT code, {r('price')}, volume, {r('equity_ratio')} FROM {{snap}} t WHERE coalesce(t.price >= 1100, true) AND coalesce(volume >= 20, true) AND coalesce(t.equity_ratio >= 10, true) ORDER BY volume DESC NULLS LAST, code LIMIT 50",
     "legacy_rank": f"SELECT code, CAST(row_number() OVER (ORDER BY t.roe DESC, code) AS INTEGER) AS rank, {r('roe')} FROM {{inputs}} t WHERE t.roe >= 5 AND per <= 30 AND equity_ratio >= 10",
-    "legacy_dividend": f"SELECT code, {r('CASE WHEN operating_cf < 0 THEN 0.0 ELSE CASE WHEN dividend_yield >= 3 THEN 20.0 ELSE 0.0 END - CASE WHEN payout_ratio > 100 THEN 20.0 ELSE 0.0 END END', name='dividend_points')} FROM {{inputs}}",
     "screen": f"""SELECT code, {r('price', 4)}, filter_reason, {r('CASE WHEN filter_reason IS NULL THEN quant_score END', 4, 'quant_score')},
         CASE WHEN filter_reason IS NULL THEN v END AS verdict FROM (SELECT *, {scoring.verdict()} AS v FROM {{s_scored}})""",
-    "legacy_score": f"""WITH p AS (SELECT code, sector, rsi_14, ma_divergence, CASE WHEN roe IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, roe / 20)) * 25 END AS quality_points,
-          CASE WHEN per IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (per - 40) / -32)) * 20 END + CASE WHEN pbr <= 1 THEN 15.0 ELSE 0.0 END AS value_points,
-          CASE WHEN equity_ratio IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (equity_ratio - 10) / 50)) * 20 END AS safety_points,
-          CASE WHEN dividend_yield >= 3 THEN 20.0 ELSE 0.0 END * CASE WHEN payout_ratio >= 100 THEN 0.5 ELSE 1.0 END AS income_points,
-          CASE WHEN macd_hist > 0 THEN 10.0 ELSE 0.0 END + CASE WHEN rsi_14 BETWEEN 40 AND 65 THEN 10.0 ELSE 0.0 END + CASE WHEN turnaround_status = 'turnaround_black' THEN 5.0 ELSE 0.0 END AS trend,
-          count(*) OVER (PARTITION BY sector) AS n FROM {{inputs}}),
-        q AS (SELECT *, greatest(0.0, least(100.0, (income_points + quality_points + safety_points + value_points + trend) / 120 * 100 * CASE WHEN n >= 100 THEN 1.0 WHEN n >= 30 THEN 0.8 ELSE 0.5 END)) AS s FROM p),
-        t AS (SELECT *, round(CASE WHEN {scoring.DEAD} THEN least(50.0, s) ELSE s END + 1e-7, 2) AS score FROM q)
-        SELECT code, sector, {rs('income_points, quality_points, safety_points, value_points')}, {r('score', name='legacy_score')},
-          CAST(rank() OVER (PARTITION BY sector ORDER BY score DESC, code) AS INTEGER) AS sector_rank FROM t""",
     "stream_settled_bars": f"""SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS code, CAST(ts AS DATE) AS entry_date, {r('avg(value)', name='price')}, count(*) AS volume, {r('sum(value)', name='trading_value')}
         FROM {{events}} WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(date_trunc('millisecond', ts)) FROM {{events}}) - INTERVAL 1 DAY GROUP BY user_id, CAST(ts AS DATE)""",
 }
 
+_BATCH = """SELECT l_linenumber AS n, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice) / sum(l_quantity) AS price, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+    CAST(sum(l_quantity) AS BIGINT) AS volume FROM {lineitem} GROUP BY ALL"""
+_LIVE = "SELECT lpad(CAST(s_suppkey + CASE WHEN s_suppkey % 23 = 0 THEN 5000 ELSE 0 END AS VARCHAR), 8, '0') AS code, s_name AS name FROM {supplier}"
+_CHANGE = """CASE WHEN s.code IS NULL THEN 'new' WHEN l.code IS NULL THEN CASE WHEN is_active IS NOT FALSE THEN 'gone' ELSE 'inactive' END WHEN is_active IS FALSE AND status = 'delisted' THEN 'relisted' ELSE 'kept' END"""
+_NO_DATA = "市場データ提供なし (Yahoo Finance にデータなし)"
+#: The earlier score, written out: each metric's points, the bonuses, what the indicators give.
+_LEGACY = f"""WITH v AS (SELECT code, sector, coalesce(roe, 0) AS roe, coalesce(per, 0) AS per, coalesce(pbr, 0) AS pbr, coalesce(equity_ratio, 0) AS eq, coalesce(dividend_yield, 0) AS dy, coalesce(debt_equity_ratio, 0) AS de,
+      CASE WHEN {_K} % 6 = 5 THEN 0.0 ELSE coalesce(payout_ratio, 0) END AS po, CASE WHEN {_K} % 5 = 4 THEN 0.0 ELSE {_K} % 5 * 40.0 END AS cap, coalesce(macd_hist, 0) AS mh, coalesce(rsi_14, 0) AS rsi, turnaround_status AS ts FROM {{inputs}}),
+    p AS (SELECT *, 50 + 10 * CASE WHEN roe <= 5 THEN 0 WHEN roe >= 15 THEN 1 ELSE (roe - 5) / 10 END + 8 * CASE WHEN per >= 15 THEN 0 WHEN per <= 10 THEN 1 ELSE (15 - per) / 5 END
+        + CASE WHEN pbr <= 1 THEN 6 ELSE 0 END + CASE WHEN eq >= 40 THEN 8 ELSE 0 END
+        + CASE WHEN dy >= 3 THEN 10 * CASE WHEN dy >= 4 THEN 1 ELSE (dy - 2) / 2 END * CASE WHEN po < 100 THEN 1 ELSE 0.5 END ELSE 0 END
+        + 4 * CASE WHEN po <= 30 THEN 0 WHEN po >= 100 THEN 1 ELSE (po - 30) / 70 END - CASE WHEN de >= 150 THEN 5 ELSE 0 END + CASE WHEN ts = 'turnaround_black' THEN 6 ELSE 0 END AS fund,
+      50 + CASE WHEN mh > 0 THEN 5 + least(5, mh * 2) WHEN mh < 0 THEN -5 + greatest(-5, mh * 2) ELSE 0 END + greatest(-15, least(15, (50 - rsi) * 0.5)) AS trend,
+      CASE ts WHEN 'turnaround_black' THEN 6 WHEN 'turnaround_white' THEN -8 ELSE 0 END AS adj, CASE WHEN cap >= 100 THEN 1.0 WHEN cap >= 30 THEN 0.8 ELSE 0.5 END AS size FROM v),
+    q AS (SELECT code, sector, rsi, CAST(greatest(0, least(100, (greatest(0, least(100, fund / 102.0 * 100)) * 0.7 + greatest(0, least(100, trend / 45.0 * 100)) * 0.3 + adj) * size)) AS DOUBLE) AS n FROM p),
+    t AS (SELECT *, round(n + ascii(substr(md5(code), 1, 1)) % 10 * 1e-4, 9) AS noisy, CASE WHEN abs(rsi - 50) < 0.1 THEN least(50.0, round(n + 1e-9, 2)) ELSE round(n + 1e-9, 2) END AS score FROM q),
+    legacy AS (SELECT code, sector, n, score, rank() OVER (PARTITION BY sector ORDER BY noisy DESC) + (count(*) OVER (PARTITION BY sector, noisy) - 1) / 2.0 AS rnk FROM t)"""
+
+_SQL |= {
+    "src_batch_bars": f"SELECT CAST(n AS VARCHAR) AS code, day AS entry_date, {rs('price, high, low')}, volume FROM ({_BATCH}) WHERE dayofmonth(day) % 7 <> n % 7",
+    "src_batch_events": f"SELECT CAST(n AS VARCHAR) AS code, day AS split_date, CAST(n AS DOUBLE) AS ratio FROM (SELECT DISTINCT unnest(range(2, 8)) AS n, CAST(l_shipdate AS DATE) AS day FROM {{lineitem}}) WHERE dayofmonth(day) = n",
+    "src_csv_alias": "SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name, c_mktsegment AS sector, CASE WHEN c_custkey % 3 = 0 THEN 'スタンダード' END AS market FROM {customer}",
+    "src_code_map_csv": "SELECT '提出者' || c_custkey AS filer, CAST(1000 + c_custkey AS VARCHAR)[1:4] AS code FROM {customer} WHERE c_custkey % 2 = 0",
+    "src_facts": f"SELECT doc_id, element, context, {r('value')}, CASE WHEN context = 'CurrentYearInstant' THEN '2001-03-31' END AS period FROM {{facts}} UNION ALL SELECT DISTINCT doc_id, 'Note', 'CurrentYearInstant', CAST(NULL AS DOUBLE), '2001-03-31' FROM {{facts}}",
+    "src_results": f"SELECT code, kind, period_end, {rs('sales, net_assets, eps')} FROM {{results}} WHERE {_K} % 2 = 1",
+    "scan_active_strict": "SELECT code FROM {stocks} WHERE is_active",
+    "lookup_fetched": "SELECT DISTINCT code FROM {bars} WHERE entry_date = DATE '1998-06-15' AND volume % 3 <> 0",
+    "lookup_codes": "SELECT c.code, f.code IS NOT NULL AS present FROM (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS code FROM {customer}) c LEFT JOIN {fundamentals} f ON c.code = f.code",
+    "seed_verified": f"SELECT code, CAST(NULL AS DOUBLE) AS operating_cf, CAST(NULL AS DOUBLE) AS payout_ratio, CAST(NULL AS DOUBLE) AS sales_growth, CAST(NULL AS DOUBLE) AS debt_equity_ratio, {r('sales')} FROM {{fundamentals}}",
+    "scan_window": f"""WITH RECURSIVE runs AS (SELECT d AS run_date, min(CASE WHEN bad THEN s END) AS first_bad, row_number() OVER (ORDER BY d) AS i FROM (
+          SELECT last_day(CAST(o_orderdate AS DATE)) AS d, CAST(o_orderdate AS DATE) AS s, bool_or(o_orderkey % 997 = 1) AS bad FROM {{orders}} GROUP BY 1, 2) GROUP BY d),
+        marks AS (SELECT i, CASE WHEN first_bad IS NULL THEN run_date ELSE first_bad - 1 END AS mark FROM runs WHERE i = 1
+          UNION ALL SELECT r.i, CASE WHEN first_bad IS NULL THEN run_date ELSE least(first_bad - 1, m.mark) END FROM marks m JOIN runs r ON r.i = m.i + 1)
+        SELECT mark, CAST(least(365, greatest(7, DATE '{TODAY}' - mark + 1)) AS INTEGER) AS days FROM marks ORDER BY i DESC LIMIT 1""",
+    "profile_status": "SELECT status, count(*) AS n FROM {stocks} GROUP BY status",
+    "ingest_headers": "SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS name, CAST(CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey + 0.5 WHEN s_suppkey % 2 = 0 THEN 1234.5 END AS DOUBLE) AS per, CAST(2.5 AS DOUBLE) AS dividend_yield, s_nationkey AS other FROM {supplier}",
+    "row_hash": """SELECT code, md5(concat_ws('|', code, coalesce(name, 'NaN'), """ + _text("per") + ", 'NaN', " + _text("roe") + ", 'NaN', 'NaN', " + _text("rsi_14") + ", " + _text("quant_score") + """)) AS row_hash FROM {graded} g""",
+    "tech_summary": f"""WITH m AS (SELECT *, lag(price) OVER w AS before, count(*) OVER (PARTITION BY code) AS n, row_number() OVER (PARTITION BY code ORDER BY entry_date DESC) AS back FROM {{ind}} WINDOW w AS (PARTITION BY code ORDER BY entry_date)),
+        a AS (SELECT code, any_value(n) AS n_rows, avg(greatest(price - before, 0.0)) FILTER (back <= 14) AS up, avg(greatest(before - price, 0.0)) FILTER (back <= 14) AS down, avg(volume) FILTER (back <= 25) AS v,
+          stddev_samp(ln(price / before)) * sqrt(252.0) * 100 AS vol FROM m GROUP BY code),
+        x AS (SELECT i.*, v, vol, CASE WHEN down = 0 THEN CASE WHEN up = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + up / down) END AS rsi FROM (SELECT code, max(entry_date) AS entry_date FROM {{ind}} GROUP BY code) t JOIN {{ind}} i USING (code, entry_date) JOIN a USING (code) WHERE n_rows >= 30),
+        y AS (SELECT *, CAST(coalesce(ma25 > ma75, false) AS INT) + CAST(coalesce(price > ma25, false) AS INT) + CAST(coalesce(macd_hist > 0, false) AS INT) + CAST(rsi > 50 AS INT) AS points FROM x)
+        SELECT code, entry_date, {r('macd_hist', 4)}, {r('rsi', 4, 'rsi_14')}, CAST(points >= 3 AS INTEGER)::DOUBLE AS trend_up, points AS trend_score, {r('ma_divergence', 4)}, {r('volume / v', 4, 'volume_ratio')}, {r('vol', 4, 'real_volatility')},
+          {', '.join(r(f'coalesce(ma25 + {n} * bb_sigma, 0)', 4, name) for name, n in (('bb_p1sig', 1), ('bb_p2sig', 2), ('bb_m1sig', -1), ('bb_m2sig', -2)))} FROM y""",
+    "dedup_events": f"""WITH RECURSIVE ev AS (SELECT code, entry_date AS d, min(2.0 + volume % 3) AS ratio FROM {{bars}} WHERE volume % 13 <> 0 GROUP BY code, entry_date),
+        kept AS (SELECT code, min(d) AS d FROM ev GROUP BY code UNION ALL SELECT k.code, (SELECT min(e.d) FROM ev e WHERE e.code = k.code AND e.d > k.d + 10) FROM kept k WHERE k.d IS NOT NULL)
+        SELECT code, d AS split_date, {r('ratio')} FROM kept JOIN ev USING (code, d)""",
+    "dedup_known": f"""WITH RECURSIVE ev AS (SELECT code, entry_date AS d, min(2.0 + volume % 3) AS ratio FROM {{bars}} b WHERE volume % 13 <> 0
+          AND NOT EXISTS (SELECT 1 FROM {{splits}} s WHERE s.code = b.code AND s.split_date BETWEEN b.entry_date - 10 AND b.entry_date + 10) GROUP BY code, entry_date),
+        kept AS (SELECT code, min(d) AS d FROM ev GROUP BY code UNION ALL SELECT k.code, (SELECT min(e.d) FROM ev e WHERE e.code = k.code AND e.d > k.d + 10) FROM kept k WHERE k.d IS NOT NULL)
+        SELECT code, d AS split_date, {r('ratio')} FROM kept JOIN ev USING (code, d)""",
+    "master_diff": f"SELECT coalesce(s.code, l.code) AS code, {_CHANGE} AS change FROM {{stocks}} s FULL JOIN (SELECT lpad(CAST(s_suppkey * 2 AS VARCHAR), 8, '0') AS code FROM {{supplier}}) l ON s.code = l.code",
+    "master_sync": f"""WITH d AS (SELECT coalesce(s.code, l.code) AS code, {_CHANGE} AS change, s.name AS n0, s.sector AS s0, s.market AS m0, s.status AS st, s.is_active AS ac, s.exclusion_reason AS why, l.name AS n1, l.code IS NOT NULL AS live
+          FROM {{stocks}} s FULL JOIN ({_LIVE}) l ON s.code = l.code),
+        o AS (SELECT *, count(*) FILTER (live) OVER () >= 1 AND count(*) FILTER (change = 'gone') OVER () <= 0.1 * count(*) FILTER (change <> 'new') OVER () AS ok FROM d)
+        SELECT code, CASE WHEN ok AND live THEN n1 ELSE n0 END AS name, CASE WHEN ok AND live THEN 'Other' ELSE s0 END AS sector, CASE WHEN ok AND live THEN 'Prime' ELSE m0 END AS market,
+          CASE WHEN ok AND change = 'gone' THEN 'delisted' WHEN ok AND change IN ('relisted', 'new') THEN 'active' ELSE st END AS status,
+          CASE WHEN ok AND change = 'gone' THEN false WHEN ok AND change IN ('relisted', 'new') THEN true ELSE ac END AS is_active,
+          CASE WHEN ok AND change = 'gone' THEN '上場廃止 (JPX 上場銘柄一覧に掲載なし)' WHEN ok AND change = 'relisted' THEN NULL ELSE why END AS exclusion_reason, change FROM o WHERE ok OR change <> 'new'""",
+    "nodata_tracking": f"""WITH o AS (SELECT *, {_K} % 6 <> 0 AS got, {_K} % 12 = 0 AS hist, avg(CASE WHEN {_K} % 6 <> 0 THEN 1.0 ELSE 0 END) OVER () >= 0.7 AS ok FROM {{stocks}}),
+        f AS (SELECT *, ok AND got AND (coalesce(fail_count, 0) > 0 OR excluded_until IS NOT NULL) AS reset, ok AND NOT got AND NOT hist AS failed FROM o),
+        n AS (SELECT *, failed AND coalesce(last_fail_date < '{TODAY}', true) AS counted FROM f),
+        c AS (SELECT *, CASE WHEN reset THEN 0 WHEN counted THEN coalesce(fail_count, 0) + 1 ELSE fail_count END AS fails FROM n)
+        SELECT code, CAST(fails AS INTEGER) AS fail_count, CASE WHEN reset THEN NULL WHEN counted THEN '{TODAY}' ELSE last_fail_date END AS last_fail_date,
+          CASE WHEN reset THEN NULL WHEN failed AND fails >= 3 THEN '2001-12-31' ELSE excluded_until END AS excluded_until,
+          CASE WHEN reset AND exclusion_reason = '{_NO_DATA}' THEN NULL WHEN failed AND fails >= 3 THEN '{_NO_DATA}' ELSE exclusion_reason END AS exclusion_reason FROM c""",
+    "suspend_codes": "SELECT code, CASE WHEN status = 'delisted' THEN false ELSE is_active END AS is_active, CASE WHEN status = 'delisted' THEN 'suspended' ELSE status END AS status, CASE WHEN status = 'delisted' THEN 'paused' ELSE exclusion_reason END AS exclusion_reason FROM {stocks}",
+    "fail_counts": f"SELECT code, CAST(CASE WHEN {_K} % 10 = 0 THEN 0 WHEN {_K} % 2 = 0 THEN fail_count + 1 ELSE fail_count END AS INTEGER) AS fail_count FROM {{stocks}}",
+    "legacy_filter": f"SELECT code, {r('price')}, volume, {r('equity_ratio')} FROM {{scored}} t WHERE coalesce(t.price >= 1100, true) AND coalesce(volume >= 20, true) AND coalesce(t.equity_ratio >= 10, true) ORDER BY CASE WHEN {_K} % 4 <> 0 THEN quant_score END DESC NULLS LAST, code LIMIT 50",
+    "legacy_dividend": f"SELECT code, {r('CASE WHEN dividend_yield >= 3 AND NOT coalesce(operating_cf < 0, false) THEN CASE WHEN payout_ratio > 100 THEN 0.0 ELSE 20.0 END ELSE 0.0 END', name='dividend_points')} FROM {{inputs}}",
+    "legacy_score": f"{_LEGACY} SELECT code, sector, {r('n', name='quant_score_normalized')}, {r('score', name='quant_score')}, {r('rnk', name='rank')}, 'balanced' AS strategy_name FROM legacy",
+    "legacy_pass": f"{_LEGACY} SELECT l.code, {r('score', name='quant_score')} FROM legacy l JOIN v ON l.code = v.code WHERE v.roe >= 8 AND v.per <= 15 AND v.pbr <= 1 AND v.dy >= 3 AND v.po >= 30 AND v.de >= 150 AND (SELECT equity_ratio FROM {{inputs}} i WHERE i.code = l.code) >= 40",
+}
+
+#: The scores, written out anew from their definition: value of each part by what the metric is.
+_HAND = """SELECT *, CAST(CASE WHEN roe > 0 THEN CASE WHEN roe >= 25 THEN 30 WHEN roe >= 10 THEN roe + 5 WHEN roe >= 5 THEN 2 * roe - 5 ELSE roe END ELSE 0 END AS DOUBLE) AS h_roe,
+    CAST(CASE WHEN pbr > 4 OR pbr <= 0 OR pbr IS NULL THEN 0 WHEN pbr > 2 THEN 8 - 2 * pbr WHEN pbr > 1 THEN 16 - 6 * pbr WHEN pbr > 0.6 THEN 17.5 - 7.5 * pbr ELSE 13 END AS DOUBLE) AS h_pbr,
+    CAST(CASE WHEN per IS NULL OR per <= 0 THEN 0 WHEN per < 4 AND (coalesce(operating_margin, 1) <= 0 OR (coalesce(net_profit, 0) > 0 AND (coalesce(operating_income, net_profit) <= 0 OR coalesce(operating_income, net_profit) < net_profit / 2))) THEN 0
+      WHEN per < 3 THEN 2 WHEN per <= 6 THEN 12 WHEN per <= 10 THEN 18 - per WHEN per <= 15 THEN 16 - 0.8 * per WHEN per <= 25 THEN 10 - 0.4 * per WHEN per > 40 THEN greatest(-3, 4 - 0.1 * per) ELSE 0 END AS DOUBLE) AS h_per,
+    CAST(CASE WHEN equity_ratio IS NULL OR equity_ratio <= 0 THEN 0 WHEN equity_ratio < 25 THEN 0.08 * equity_ratio WHEN equity_ratio < 50 THEN 0.24 * equity_ratio - 4 WHEN equity_ratio < 80 THEN 7 * equity_ratio / 30 - 11 / 3 ELSE 15 END AS DOUBLE) AS h_equity,
+    CAST(CASE WHEN dividend_yield >= 5 THEN 10 WHEN dividend_yield >= 3 THEN 2.5 * dividend_yield - 2.5 WHEN dividend_yield >= 1.5 THEN 8 * dividend_yield / 3 - 3 ELSE 0 END AS DOUBLE) AS h_dividend,
+    CAST(CASE WHEN macd_hist > 0 THEN 6 + least(2, macd_hist) WHEN macd_hist < 0 THEN greatest(0, 2 + macd_hist / 2) ELSE 3 END AS DOUBLE) AS h_macd,
+    CAST(CASE WHEN rsi_14 IS NULL THEN 0 WHEN rsi_14 > 75 THEN greatest(-3, 15 - rsi_14 / 5) WHEN rsi_14 > 65 THEN 18.75 - rsi_14 / 4 WHEN rsi_14 > 50 THEN 9 - rsi_14 / 10 WHEN rsi_14 > 35 THEN 9 - rsi_14 / 10 WHEN rsi_14 > 25 THEN 10.75 - 0.15 * rsi_14 ELSE 7 END AS DOUBLE) AS h_rsi,
+    CAST(CASE WHEN ma_divergence IS NULL THEN 0 WHEN ma_divergence > 25 THEN greatest(-4, 10 - 0.4 * ma_divergence) WHEN ma_divergence > 15 THEN 5 - ma_divergence / 5 WHEN ma_divergence > 5 THEN 3.5 - ma_divergence / 10 WHEN ma_divergence > -5 THEN 3
+      WHEN ma_divergence >= -15 THEN 2 - ma_divergence / 5 WHEN ma_divergence >= -25 THEN 12.5 + ma_divergence / 2 ELSE greatest(-3, 5 + ma_divergence / 5) END AS DOUBLE) AS h_div,
+    coalesce(abs(rsi_14 - 50) < 0.001 AND abs(ma_divergence) < 0.001, false) AS dead FROM {inputs}"""
+
+
+def _hand_total(w: tuple[float, ...]) -> str:
+    parts = ("h_roe", "h_pbr + h_per", "h_equity", "h_dividend", "h_macd + h_rsi + h_div")
+    most = sum(x * m for x, m in zip(w, (30, 25, 15, 10, 20), strict=True))
+    share = " + ".join(f"({p}) * {x}" for p, x in zip(parts, w, strict=True))
+    return f"CAST(CASE WHEN dead THEN 45.0 ELSE round(greatest(15.0, least(98.0, ({share}) * 100 / {most})) + 1e-7, 1) END AS DOUBLE)"
+
+
+def _hand_grade(score: str, names: str) -> str:
+    """names: a SQL list, the worst first."""
+    bear = "coalesce(macd_hist < 0, false)"
+    rank = f"least(CASE WHEN {score} < 50 THEN 1 WHEN {score} < 65 THEN 2 WHEN {score} < 80 THEN 3 ELSE 4 END, CASE WHEN roe < 0 OR operating_margin <= 0 OR operating_income <= 0 OR ({bear} AND ma_divergence < -10) THEN 2 WHEN {bear} THEN 3 ELSE 4 END)"
+    return f"CASE WHEN dead THEN 'PASS' ELSE ({names})[{rank}] END"
+
+
+_GRADE_NAMES, _OLD_NAMES = "['Grade C', 'Grade B', 'Grade A', 'Grade S']", "['PASS', 'WATCH', 'BUY', 'STRONG_BUY']"
+MORE |= {
+    "hand": _HAND,
+    "hand_scored": f"SELECT *, {_hand_total((1, 1, 1, 1, 1))} AS total FROM {{hand}}",
+    "hand_graded": f"SELECT *, {_hand_grade('total', _GRADE_NAMES)} AS grade, {_hand_grade('total', _OLD_NAMES)} AS old_grade FROM {{hand_scored}}",
+}
+_SQL |= {
+    "score_roe": f"SELECT code, {r('h_roe', name='score_roe')} FROM {{hand}}",
+    "score_value": f"SELECT code, {r('h_pbr', name='score_pbr')}, {r('h_per', name='score_per')} FROM {{hand}}",
+    "score_safety": f"SELECT code, {r('h_equity', name='score_equity')} FROM {{hand}}",
+    "score_dividend": f"SELECT code, {r('h_dividend', name='score_dividend')} FROM {{hand}}",
+    "score_tech": f"SELECT code, {r('h_macd', name='score_macd')}, {r('h_rsi', name='score_rsi')}, {r('h_div', name='score_divergence')} FROM {{hand}}",
+    "quant_score": f"SELECT code, {r('total', name='quant_score')} FROM {{hand_scored}}",
+    "grade": "SELECT code, grade AS verdict, old_grade AS legacy_verdict FROM {hand_graded}",
+    "grade_counts": "SELECT grade AS verdict, count(*) AS n FROM {hand_graded} GROUP BY grade",
+    "score_by_preset": " UNION ALL ".join(
+        f"SELECT code, preset, {r('t', name='quant_score')}, {_hand_grade('t', _GRADE_NAMES)} AS verdict FROM (SELECT *, '{k}' AS preset, {_hand_total(w)} AS t FROM {{hand}})"
+        for k, w in (("balanced", (1, 1, 1, 1, 1)), ("dividend_focus", (1, 0.8, 1.2, 2.5, 0.5)), ("deep_value", (0.8, 2.5, 1.2, 0.8, 0.5)), ("growth_quality", (2.5, 0.5, 1, 0.5, 1)))
+    ),
+}
+_num = lambda x, d: f"coalesce(printf('%.{d}f', round(CAST({x} AS DOUBLE) + 1e-7, {d})), '-')"
+_src = lambda v, c, rel, add: f"CASE WHEN {v} > 0 THEN CASE WHEN abs({v} - {c}) <= abs({c}) * {rel} + {add} THEN 'calc' ELSE 'stored' END WHEN {c} IS NOT NULL THEN 'calc' ELSE '-' END"
+_REPORT = f"""WITH v AS (SELECT h.* REPLACE (CASE WHEN {_K} % 7 = 0 THEN NULL ELSE market_cap END AS market_cap) FROM {{hand_graded}} h),
+    w AS (SELECT *, CASE WHEN eps > 0 THEN nullif(price, 0) / eps END AS c1, CASE WHEN bps > 0 THEN nullif(price, 0) / bps END AS c2, CASE WHEN price > 0 THEN dps / price * 100 END AS c3, CASE WHEN shares_outstanding > 0 THEN price * shares_outstanding END AS c4 FROM v),
+    report AS (SELECT CAST(row_number() OVER (ORDER BY total DESC, code) AS INTEGER) AS "Rank", code AS "Code", name AS "Name", sector AS "Sector", market AS "Market", {_src('market_cap', 'c4', 0.001, 1)} AS "Market_Cap_Src",
+      coalesce(CAST(CAST(trunc(CASE WHEN market_cap > 0 THEN market_cap ELSE c4 END) AS BIGINT) AS VARCHAR), '-') AS "Market_Cap", grade AS "Verdict", {_num('total', 2)} AS "Score", {_num('price', 4)} AS "Price", coalesce(CAST(entry_date AS VARCHAR), '-') AS "Price_Date",
+      {_src('per', 'c1', 0.01, 0.01)} AS "PER_Src", {_num('CASE WHEN per > 0 THEN per ELSE c1 END', 2)} AS "PER", {_src('pbr', 'c2', 0.01, 0.01)} AS "PBR_Src", {_num('CASE WHEN pbr > 0 THEN pbr ELSE c2 END', 2)} AS "PBR",
+      CASE WHEN dividend_yield IS NOT NULL THEN CASE WHEN abs(dividend_yield - c3) <= abs(c3) * 0.01 + 0.01 THEN 'calc' ELSE 'stored' END WHEN c3 IS NOT NULL THEN 'calc' ELSE '-' END AS "Div_Yield_Src", {_num('coalesce(dividend_yield, c3)', 2)} AS "Div_Yield",
+      'stored' AS "ROE_Src", {_num('roe', 2)} AS "ROE", {_num('sales_growth', 4)} AS "Sales_Growth", {_num('coalesce(profit_growth_raw, 7.25)', 4)} AS "Profit_Growth", {_num('operating_margin', 4)} AS "Operating_Margin", {_num('equity_ratio', 4)} AS "Equity_Ratio",
+      {_num('rsi_14', 1)} AS "RSI", CAST({_K} % 5 AS VARCHAR) AS "Trend", '2001-12-01 16:00:00' AS "Report_Timestamp" FROM w)"""
+_SQL |= {
+    "report_rows": f"{_REPORT} SELECT * FROM report",
+    "src_report_csv": f"""{_REPORT} SELECT CAST("Rank" AS VARCHAR) AS "Rank", "Code", "Market", nullif("Market_Cap", '-') AS "Market_Cap", nullif("PER", '-') AS "PER", nullif("Profit_Growth", '-') AS "Profit_Growth", nullif("RSI", '-') AS "RSI", "Trend" FROM report""",
+}
+
 ORACLE_SQL = {k: oracle(v, MORE) for k, v in _SQL.items()}

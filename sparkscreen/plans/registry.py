@@ -16,6 +16,8 @@ from ..operators import filings, fundamentals, history, legacy, quality, report,
 from ..operators import technicals as tech
 from ..operators.liquidity import liquidity
 from ..operators.prefilter import prefilter
+from ..sources import loads
+from ..sources.paths import shared_path
 from ..sources.views import sql, view
 from ..streaming import events as streams
 from . import screen as plan
@@ -76,19 +78,96 @@ def src_bars(spark, d):
     return out(wide.filter("price is not null").select(F.split("symbol", "[.]")[0].alias("code"), "entry_date", "open", "high", "low", "price", "volume"))
 
 
+def _batch(g: Given) -> DataFrame:
+    """A wide price batch: a row a day, and for each line number of the items its columns, as a symbol's."""
+    cols = []
+    for n in range(1, 8):
+        q, p = f"CASE WHEN l_linenumber = {n} THEN l_quantity END", f"CASE WHEN l_linenumber = {n} THEN l_extendedprice END"
+        day = "dayofmonth(l_shipdate)"
+        cols += [
+            f"min({p} / {q}) AS `{n}.T|Low`", f"max({p} / {q}) AS `{n}.T|High`", f"CASE WHEN max({day}) % 7 = {n % 7} THEN NULL ELSE sum({p}) / sum({q}) END AS `{n}.T|Close`", f"sum({q}) AS `{n}.T|Volume`",
+            f"CAST(CASE WHEN max({day}) = {n} THEN {n} WHEN max({day}) = {n + 10} THEN 1000 ELSE 0 END AS DOUBLE) AS `{n}.T|Stock Splits`", f"CAST(0 AS DOUBLE) AS `{n}.T|Dividends`",
+        ]
+    return g.sql(f"SELECT CAST(l_shipdate AS DATE) AS Date, {', '.join(cols)} FROM {{lineitem}} GROUP BY CAST(l_shipdate AS DATE)")
+
+
+@query
+def src_batch_bars(spark, d):
+    bars = loads.batch_bars(_batch(Given(spark, d)))
+    return out(tech.normalize_bars(bars), "code", "entry_date", "price", "high", "low", "volume")
+
+
+@query
+def src_batch_events(spark, d):
+    return loads.batch_events(_batch(Given(spark, d)))
+
+
 @query
 def src_listing(spark, d):
-    raw = Given(spark, d).sql("SELECT concat(CAST(1000 + c_custkey % 700 AS STRING), 'X') AS raw_code, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN '-' ELSE c_mktsegment END AS sector, CASE c_custkey % 4 WHEN 0 THEN 'プライム（内国株式）' WHEN 1 THEN 'スタンダード' WHEN 2 THEN NULL ELSE 'PRO Market' END AS market, c_custkey AS ordinal FROM {customer}")
-    m = F.col("market")
-    kind = F.when(m.isNull(), "Unknown").when(m.contains("プライム"), "Prime").when(m.contains("スタンダード"), "Standard").when(m.contains("グロース"), "Growth").otherwise("Other")
-    rows = raw.filter("sector <> '-'").select(F.substring("raw_code", 1, 4).alias("code"), "name", "sector", kind.alias("market"), "ordinal")
-    return rows.groupBy("code").agg(F.min_by(F.struct("name", "sector", "market"), "ordinal").alias("r")).select("code", "r.*")
+    return loads.listing(Given(spark, d).sql("SELECT concat(CAST(1000 + c_custkey % 700 AS STRING), 'X') AS raw_code, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN '-' ELSE c_mktsegment END AS sector, CASE c_custkey % 4 WHEN 0 THEN 'プライム（内国株式）' WHEN 1 THEN 'スタンダード' WHEN 2 THEN NULL ELSE 'PRO Market' END AS market, c_custkey AS ordinal FROM {customer}"))
+
+
+@query
+def src_csv_alias(spark, d):
+    """A listing file with Japanese headers, written and read back."""
+    path = shared_path(spark, "listing")
+    rows = Given(spark, d).sql("SELECT concat(CAST(c_custkey AS STRING), CASE WHEN c_custkey % 2 = 0 THEN '.0' ELSE '' END) AS `コード`, c_name AS `銘柄名`, c_mktsegment AS `33業種区分`, CASE WHEN c_custkey % 3 = 0 THEN 'スタンダード' END AS `市場・商品区分` FROM {customer}")
+    rows.write.option("header", "true").csv(path)
+    return loads.listing_csv(spark, path)
 
 
 @query
 def src_code_map(spark, d):
-    raw = Given(spark, d).sql("SELECT concat('E', lpad(CAST(c_custkey AS STRING), 5, '0')) AS filer, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN concat(CAST(1000 + c_custkey AS STRING), '0') ELSE CAST(1000 + c_custkey AS STRING) END AS sec_code FROM {customer}")
-    return raw.filter("sec_code is not null").select("filer", F.when(F.length("sec_code") == 5, F.substring("sec_code", 1, 4)).otherwise(F.col("sec_code")).alias("code"))
+    return loads.code_map(Given(spark, d).sql("SELECT concat('E', lpad(CAST(c_custkey AS STRING), 5, '0')) AS filer, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN concat(CAST(1000 + c_custkey AS STRING), '0') ELSE CAST(1000 + c_custkey AS STRING) END AS sec_code FROM {customer}"))
+
+
+@query
+def src_code_map_csv(spark, d):
+    """A map as files in Shift_JIS with Japanese headers and a line before them."""
+    rows = Given(spark, d).sql("SELECT concat('提出者', CAST(c_custkey AS STRING)) AS filer, CASE WHEN c_custkey % 2 = 0 THEN concat(CAST(1000 + c_custkey AS STRING), '0') END AS code, c_custkey % 7 AS file FROM {customer}")
+
+    def pack(pdf):
+        import pandas as pd
+
+        text = "一覧\n" + pdf[["filer", "code"]].set_axis(["提出者名", "証券コード"], axis=1).to_csv(index=False)
+        return pd.DataFrame({"content": [text.encode("cp932")]})
+
+    return loads.code_maps(rows.groupBy("file").applyInPandas(pack, "content binary"), "提出者名", "証券コード", skip=1)
+
+
+def _archives(spark, facts: DataFrame) -> DataFrame:
+    """An archive a document, with its facts in the public part, other ones in a larger audit part, and each fact twice."""
+
+    def pack(pdf):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        body = "".join(f'<a:{e} contextRef="{c}">{v!r}</a:{e}>' for e, c, v in zip(pdf["element"], pdf["context"], pdf["value"], strict=True))
+        again = body.replace(">", ">9", 1)
+        ends = '<context id="CurrentYearInstant"><period><instant>2001-03-31</instant></period></context>'
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            z.writestr("XBRL/PublicDoc/a.xbrl", f'<x xmlns:a="u">{ends}{body}{again}<a:Note contextRef="CurrentYearInstant">text</a:Note></x>')
+            z.writestr("XBRL/AuditDoc/b.xbrl", f'<x xmlns:a="u">{again * 3}</x>')
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "content": [b.getvalue()]})
+
+    return facts.groupBy("doc_id").applyInPandas(pack, "doc_id string, content binary")
+
+
+@query
+def src_facts(spark, d):
+    return out(filings.facts_of_archives(_archives(spark, Given(spark, d).facts)))
+
+
+@query
+def src_results(spark, d):
+    """Results as JSON files, a folder for each code and date, of two parser versions; the current one is read."""
+    path = shared_path(spark, "results")
+    rows = Given(spark, d).results.withColumn("parser_version", F.col("code").cast("int") % 2 + 2).withColumn("item", F.concat("code", F.lit("_"), "submit_date"))
+    rows.drop("code").repartition("item").write.partitionBy("item").json(path)
+    return out(filings.parsed_results(spark, path, 3, r"item=([^_/]+)_"), "code", "kind", "period_end", "sales", "net_assets", "eps")
 
 
 @query
@@ -120,18 +199,34 @@ def scan_history(spark, d):
 
 @query
 def scan_active(spark, d):
-    return Given(spark, d).stocks.filter(F.coalesce("is_active", F.lit(True))).select("code", "name", "status")
+    return loads.active(Given(spark, d).stocks).select("code", "name", "status")
+
+
+@query
+def scan_active_strict(spark, d):
+    return loads.active(Given(spark, d).stocks, unknown=False).select("code")
 
 
 @query
 def lookup_status(spark, d):
-    return Given(spark, d).bars.groupBy("entry_date").agg(F.countDistinct("code").alias("n_codes"))
+    return loads.codes_by_day(Given(spark, d).bars)
+
+
+@query
+def lookup_fetched(spark, d):
+    bars = Given(spark, d).bars.withColumn("fetch_status", F.when(F.col("volume") % 3 == 0, "failed").otherwise("success"))
+    return loads.fetched_on(bars, "1998-06-15")
+
+
+@query
+def lookup_codes(spark, d):
+    g = Given(spark, d)
+    return loads.with_presence(g.sql("SELECT lpad(CAST(c_custkey AS STRING), 8, '0') AS code FROM {customer}"), g.fundamentals)
 
 
 @query
 def scan_calendar(spark, d):
-    days = Given(spark, d).bars.agg(F.min("entry_date").alias("a"), F.max("entry_date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    return days.filter(F.weekday("day") < 5).filter(F.col("day").between(SINCE, TODAY))
+    return loads.calendar(Given(spark, d).bars, SINCE, TODAY)
 
 
 @query
@@ -250,8 +345,7 @@ def latest_bar(spark, d):
 @query
 def latest_batch(spark, d):
     g = Given(spark, d)
-    joined = tech.latest(g.bars).join(g.stocks.select("code", "name"), "code").join(g.fundamentals.select("code", "sales"), "code", "left")
-    return out(joined, "code", "entry_date", "price", "name", "sales")
+    return out(loads.latest_batch(g.bars, g.stocks, g.fundamentals), "code", "entry_date", "price", "name", "sales")
 
 
 @query
@@ -274,6 +368,11 @@ def assemble_seed(spark, d):
     return out(fundamentals.assemble_seed(parsed, g.fundamentals.select("code", "sales", "equity_ratio"), g.stocks.filter("status = 'active'")))
 
 
+@query
+def seed_verified(spark, d):
+    return out(fundamentals.drop_unverified(Given(spark, d).fundamentals), "code", "operating_cf", "payout_ratio", "sales_growth", "debt_equity_ratio", "sales")
+
+
 @query
 def backfill_growth(spark, d):
     g = Given(spark, d)
@@ -311,7 +410,8 @@ def filing_sanity(spark, d):
 
 @query
 def scan_window(spark, d):
-    log = Given(spark, d).sql("SELECT CAST(o_orderdate AS DATE) AS scan_date, max(CASE WHEN o_orderkey % 997 = 1 THEN 0 ELSE 1 END) = 1 AS ok FROM {orders} GROUP BY 1")
+    """A run a month over its days. Some days failed; the last runs without one are followed by some with."""
+    log = Given(spark, d).sql("SELECT last_day(CAST(o_orderdate AS DATE)) AS run_date, CAST(o_orderdate AS DATE) AS scan_date, max(CASE WHEN o_orderkey % 997 = 1 THEN 1 ELSE 0 END) = 0 AS ok FROM {orders} GROUP BY CAST(o_orderdate AS DATE)")
     return tables.scan_window(log, TODAY, 7)
 
 
@@ -325,6 +425,17 @@ def profile_nulls(spark, d):
     return out(quality.profile(Given(spark, d).fundamentals, ["roe", "equity_ratio", "eps", "pbr", "dps", "sales_growth", "total_assets"]))
 
 
+@query
+def profile_status(spark, d):
+    return quality.status_counts(Given(spark, d).stocks)
+
+
+@query
+def ingest_headers(spark, d):
+    raw = Given(spark, d).sql("SELECT CAST(s_suppkey AS STRING) AS `コード`, s_name AS `銘柄名`, CASE WHEN s_suppkey % 3 = 0 THEN '-' ELSE concat(CAST(s_suppkey AS STRING), '.5') END AS `予想PER`, CASE WHEN s_suppkey % 2 = 0 THEN '1,234.5' END AS `PER`, '2.5%' AS `配当利回り`, s_nationkey AS other FROM {supplier}")
+    return quality.named(raw)
+
+
 @query
 def integrity_check(spark, d):
     g = Given(spark, d)
@@ -350,8 +461,9 @@ def scrub_text(spark, d):
 
 @query
 def row_hash(spark, d):
-    c = Given(spark, d).customer
-    return c.select("c_custkey", quality.row_hash([F.col("c_custkey"), F.col("c_nationkey"), F.when(F.col("c_custkey") % 3 == 0, None).otherwise(F.floor("c_acctbal"))]).alias("row_hash"))
+    """Texts, whole and broken numbers, missing values and missing columns."""
+    rows = scoring.score(scored_inputs(Given(spark, d))).withColumn("rsi", F.col("rsi_14")).select("code", "name", "per", "roe", "rsi", "quant_score")
+    return rows.select("code", quality.row_hash(rows).alias("row_hash"))
 
 
 @query
@@ -423,6 +535,11 @@ def hist_vol(spark, d):
     return out(tech.historical_volatility(_priced(spark, d)))
 
 
+@query
+def tech_summary(spark, d):
+    return out(tech.summary(Given(spark, d).bars), digits=4)
+
+
 @query
 def price_limit(spark, d):
     return out(Given(spark, d).bars.select("code", "entry_date", splits.price_limit(F.col("price")).alias("most_change")))
@@ -456,6 +573,13 @@ def dedup_events(spark, d):
     return out(splits.dedup_events(Given(spark, d).sql("SELECT code, entry_date AS split_date, CASE WHEN volume % 13 = 0 THEN 1.0 ELSE 2.0 + volume % 3 END AS ratio FROM {bars}")))
 
 
+@query
+def dedup_known(spark, d):
+    g = Given(spark, d)
+    events = g.sql("SELECT code, entry_date AS split_date, CASE WHEN volume % 13 = 0 THEN 1.0 ELSE 2.0 + volume % 3 END AS ratio FROM {bars}")
+    return out(splits.dedup_events(events, g.splits))
+
+
 @query
 def adjust_history(spark, d):
     g = Given(spark, d)
@@ -603,9 +727,23 @@ def report_ranks(spark, d):
     return out(report.ranked(_scored(spark, d)), "rank", "code", "quant_score", "verdict")
 
 
+def _reported(spark, d):
+    g = Given(spark, d)
+    rows = fundamentals.profit_status(_scored(spark, d)).withColumns({"trend_score": F.col("code").cast("bigint") % 5, "profit_growth": F.lit(7.25)})
+    return report.report_rows(rows.withColumn("market_cap", F.when(F.col("code").cast("bigint") % 7 == 0, None).otherwise(F.col("market_cap"))), now="2001-12-01 16:00:00")
+
+
 @query
 def report_rows(spark, d):
-    return report.report_rows(_scored(spark, d))
+    return _reported(spark, d)
+
+
+@query
+def src_report_csv(spark, d):
+    """The report, written as CSV and read back with its null marks."""
+    path = shared_path(spark, "report")
+    _reported(spark, d).coalesce(1).write.option("header", "true").csv(path)
+    return report.read_report(spark, path).select("Rank", "Code", "Market", "Market_Cap", "PER", "Profit_Growth", "RSI", "Trend")
 
 
 @query
@@ -625,17 +763,36 @@ def nodata_tracking(spark, d):
 @query
 def suspend_codes(spark, d):
     g = Given(spark, d)
-    return tables.suspend(g.stocks, g.stocks.filter("status = 'delisted'"), "2002-06-01").select("code", "excluded_until")
+    return tables.suspend(g.stocks, g.stocks.filter("status = 'delisted'"), "paused").select("code", "is_active", "status", "exclusion_reason")
+
+
+@query
+def fail_counts(spark, d):
+    g = Given(spark, d)
+    more = tables.increment_fail_counts(g.stocks, g.stocks.filter("CAST(code AS BIGINT) % 2 = 0"))
+    return tables.reset_fail_counts(more, g.stocks.filter("CAST(code AS BIGINT) % 10 = 0")).select("code", "fail_count")
 
 
 @query
 def legacy_filter(spark, d):
-    return out(legacy.filter_candidates(snapshot(Given(spark, d)), min_price=1100, min_volume=20, n=50), "code", "price", "volume", "equity_ratio")
+    rows = _scored(spark, d).withColumn("quant_score", F.when(F.col("code").cast("bigint") % 4 != 0, F.col("quant_score")))
+    return out(legacy.filter_candidates(rows, min_price=1100, min_volume=20, n=50), "code", "price", "volume", "equity_ratio")
+
+
+def _legacy(spark, d):
+    k = F.col("code").cast("bigint")
+    rows = fundamentals.profit_status(scored_inputs(Given(spark, d)))
+    return rows.withColumns({"market_cap": F.when(k % 5 == 4, None).otherwise(k % 5 * 40.0), "payout_ratio": F.when(k % 6 == 5, None).otherwise(F.col("payout_ratio"))})
 
 
 @query
 def legacy_score(spark, d):
-    return out(legacy.legacy_score(fundamentals.profit_status(scored_inputs(Given(spark, d)))))
+    return out(legacy.legacy_score(_legacy(spark, d)), "code", "sector", "quant_score_normalized", "quant_score", "rank", "strategy_name")
+
+
+@query
+def legacy_pass(spark, d):
+    return out(legacy.filter_and_rank(legacy.legacy_score(_legacy(spark, d)), legacy.STRATEGY), "code", "quant_score")
 
 
 @query

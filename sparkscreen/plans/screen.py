@@ -21,9 +21,12 @@ def candidates(bars: DataFrame, stocks: DataFrame, fundamentals: DataFrame, spli
 
 
 def screen(bars: DataFrame, stocks: DataFrame, fundamentals: DataFrame, splits: DataFrame, config: ScreenConfig = ScreenConfig()) -> DataFrame:
-    """Every security with filter_reason and filter_detail, and for those that pass with quant_score and verdict."""
+    """Every security with filter_reason and filter_detail, and for those that pass with quant_score and verdict.
+
+    Indicators and liquidity read the same columns of the bars, so that Spark makes them once and reuses the exchange."""
     from pyspark.sql import functions as F
 
+    bars = bars.select("code", "entry_date", "price", "volume", "trading_value")
     judged = prefilter(candidates(bars, stocks, fundamentals, splits), liquidity(bars), config)
     scored = scoring.score(judged, config)
     passed = F.col("filter_reason").isNull()

@@ -128,4 +128,4 @@ def oracle(text: str, more: dict[str, str] | None = None) -> str:
     body = plain(text).strip()
     if not head:
         return body
-    return f"WITH {head}{',' + body[4:] if body.upper().startswith('WITH') else ' ' + body}"
+    return f"WITH RECURSIVE {head}{',' + re.sub('^WITH (RECURSIVE )?', ' ', body) if body.startswith('WITH') else ' ' + body}"

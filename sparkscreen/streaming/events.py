@@ -3,20 +3,13 @@ dropping repeated events. State is bounded by the watermark."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import merge_history
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share, or in a local one where the cluster names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkscreen-")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from ..sources.paths import shared_path as shared_path
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

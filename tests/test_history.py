@@ -7,6 +7,7 @@ import zipfile
 import pytest
 
 from sparkscreen.operators import filings, history, splits, tables
+from sparkscreen.sources import loads
 
 
 def weekdays(start, n):
@@ -30,7 +31,7 @@ def prices(df):
     return [round(r["price"], 4) for r in df.orderBy("entry_date").collect()]
 
 
-THREE = [10845.9, 10816.5, 10797.0, 10806.8, 3634.9, 3585.1, 3495.2]
+THREE = [9000.0, 9060.0, 9030.0, 9015.0, 3012.0, 2990.0, 3001.0]
 
 
 def test_split_is_applied_once(spark):
@@ -44,13 +45,19 @@ def test_split_is_applied_once(spark):
 
 @pytest.mark.parametrize(
     ("series", "event"),
-    [([700, 710, 705, 733.7, 664.8], (dt.date(2026, 2, 16), 5)), ([1000, 1001, 1002, 1003, 1004], (dt.date(2026, 2, 16), 2.27e-07)), ([1273.8, 1270, 1294.3, 1264, 1176, 1197, 1179], (dt.date(2026, 2, 18), 1.05))],
+    # A fall within the day's limit, an implausible ratio, a ratio too near 1.
+    [([640, 655, 650, 661, 590], (dt.date(2026, 2, 16), 4)), ([500, 502, 501, 503, 500], (dt.date(2026, 2, 16), 3e-06)), ([2000, 2010, 2030, 1990, 1880, 1900, 1885], (dt.date(2026, 2, 18), 1.06))],
 )
 def test_no_split(spark, series, event):
     assert prices(splits.apply_splits(bars(spark, series), events(spark, event))) == [round(float(p), 4) for p in series]
 
 
-@pytest.mark.parametrize(("series", "want"), [([7625.1, 7870.2, 806.3, 804.4], [10.0]), ([328, 648], [0.5]), ([1000, 700, 699.999, 264.75, 53637025792], []), ([27, 52], []), ([196, 198, 248, 328, 648], []), ([328, 330, 329, 648], [0.5])])
+@pytest.mark.parametrize(
+    ("series", "want"),
+    # Ten for one; two to one back; a glitch of no whole ratio; a doubling within the limit of a low price; one after two days at
+    # their limits; one after quiet days.
+    [([6000, 6060, 607, 604], [10.0]), ([310, 618], [0.5]), ([900, 650, 649, 250, 7e10], []), ([25, 50], []), ([195, 197, 246, 325, 645], []), ([320, 322, 321, 640], [0.5])],
+)
 def test_inferred(spark, series, want):
     assert [r["ratio"] for r in splits.infer_splits(bars(spark, series)).collect()] == want
 
@@ -62,16 +69,16 @@ def test_events_within_ten_days_are_one(spark):
 
 
 def test_adjust_history_finds_the_rest(spark):
-    got = splits.adjust_history(bars(spark, [7625.1, 7870.2, 806.3, 804.4]), events(spark, (dt.date(2020, 1, 1), 2)))
-    assert prices(got)[:2] == [762.51, 787.02] and got.filter("changed").count() == 4
+    got = splits.adjust_history(bars(spark, [6000, 6060, 607, 604]), events(spark, (dt.date(2020, 1, 1), 2)))
+    assert prices(got)[:2] == [600.0, 606.0] and got.filter("changed").count() == 4
 
 
 def test_merge_and_mismatch(spark):
-    day = dt.date(2026, 9, 24)
+    day = dt.date(2026, 5, 12)
     one = lambda *r: spark.createDataFrame([("1", day + dt.timedelta(i), float(p)) for i, p in r], "code string, entry_date date, price double")
     assert prices(history.merge_history(one((0, 100), (1, 0)), one((1, 102), (4, 103)))) == [100, 102, 103]
-    assert history.adjust_mismatch(one((0, 10900), (1, 10935)), one((1, 10935))).first()["mismatch"] is False
-    assert history.adjust_mismatch(one((0, 10900), (1, 10935)), one((1, 3645))).first()["ratio"] == pytest.approx(3.0)
+    assert history.adjust_mismatch(one((0, 8000), (1, 8100)), one((1, 8100))).first()["mismatch"] is False
+    assert history.adjust_mismatch(one((0, 8000), (1, 8100)), one((1, 2700))).first()["ratio"] == pytest.approx(3.0)
 
 
 @pytest.mark.parametrize(("last", "today", "want"), [("2026-09-25", "2026-09-28", "2d"), ("2026-09-25", "2026-10-02", "10d"), ("2026-09-28", "2026-09-28", "2d"), ("2026-08-01", "2026-10-02", "1y")])
@@ -89,13 +96,76 @@ def test_partial_upsert(spark):
     assert sorted(map(tuple, tables.upsert(t, s, ["k"]).collect())) == [("a", None, 2), ("b", 3, 4), ("c", 9, None)]
 
 
+def test_known_events_count_as_recorded(spark):
+    d = dt.date(2026, 1, 1)
+    days = lambda *n: events(spark, *[(d + dt.timedelta(i), 2) for i in n])
+    got = splits.dedup_events(days(0, 5, 16, 40), days(9, 300).drop("ratio"))
+    assert sorted((r["split_date"] - d).days for r in got.collect()) == [40]
+    arrived = days(20, 12, 31, 0).selectExpr("*", "CASE datediff(split_date, DATE '2026-01-01') WHEN 20 THEN 1 WHEN 12 THEN 2 WHEN 31 THEN 3 ELSE 4 END AS at")
+    assert sorted((r["split_date"] - d).days for r in splits.dedup_events(arrived, order="at").collect()) == [0, 20, 31]
+
+
+MASTER = "code string, name string, sector string, market string, status string, is_active boolean, exclusion_reason string, excluded_until string, fail_count int, last_fail_date string"
+
+
+def master(spark, rows):
+    return spark.createDataFrame([(c, "n", "s", "m", *rest) for c, *rest in rows], MASTER)
+
+
 def test_master_guard(spark):
-    stocks = spark.createDataFrame([(str(i), "n", "s", "m", "active", True) for i in range(10)], "code string, name string, sector string, market string, status string, is_active boolean")
+    stocks = master(spark, [(str(i), "active", True, None, None, 0, None) for i in range(10)])
     live = stocks.select("code", "name", "sector", "market").filter("code <> '3'")
     gone = tables.master_sync(stocks, live, least=5).filter("code = '3'").first()
-    assert (gone["status"], gone["is_active"]) == ("delisted", False)
+    assert (gone["status"], gone["is_active"], gone["exclusion_reason"]) == ("delisted", False, tables.DELISTED_REASON)
     kept = tables.master_sync(stocks, live, least=3000).filter("code = '3'").first()
     assert (kept["status"], kept["is_active"]) == ("active", True)
+    many = tables.master_sync(stocks, live.filter("code > '5'"), least=1)
+    assert many.filter("status = 'delisted'").count() == 0
+
+
+def test_only_delisted_codes_are_relisted(spark):
+    stocks = master(spark, [("1", "delisted", False, tables.DELISTED_REASON, None, 0, None), ("2", "suspended", False, "paused", None, 0, None), ("3", "active", True, None, None, 0, None)])
+    live = spark.createDataFrame([(c, f"new {c}", "x", None) for c in "12345"] + [("5", "again", "x", None)], "code string, name string, sector string, market string")
+    got = {r["code"]: (r["name"], r["market"], r["status"], r["is_active"], r["exclusion_reason"], r["change"]) for r in tables.master_sync(stocks, live, least=1).collect()}
+    assert got["1"] == ("new 1", None, "active", True, None, "relisted") and got["2"] == ("new 2", None, "suspended", False, "paused", "kept")
+    assert got["3"][2:] == ("active", True, None, "kept") and got["4"][2:] == ("active", True, None, "new") and len(got) == 5
+
+
+@pytest.mark.parametrize(("last", "due"), [(None, True), ("", True), ("soon", True), ("2026-05-01", True), ("2026-05-02T09:00", False), ("2026-05-30", False)])
+def test_the_master_is_due_after_thirty_days(last, due):
+    assert tables.refresh_due(last, "2026-05-31") is due and tables.refresh_due(last, "2026-05-31", force=True)
+
+
+def test_codes_without_data_pause_at_the_third_failure(spark):
+    rows = [("a", "active", True, None, None, 2, "2026-05-01"), ("b", "active", True, None, None, 1, "2026-05-10"), ("c", "active", True, tables.NO_DATA_REASON, "2026-06-01", 3, "2026-05-01"), ("d", "active", True, "other", None, 0, "2026-01-01"), ("e", "active", True, None, None, 5, "2026-05-10"), ("f", "active", True, None, None, 1, None)]
+    stocks = master(spark, rows + [(f"g{i}", "active", True, None, None, 0, None) for i in range(20)])
+    codes = lambda *c: spark.createDataFrame([(x,) for x in c], "code string")
+    asked, got = stocks.select("code"), codes("c", "d", *[f"g{i}" for i in range(20)])
+    found = {r["code"]: tuple(r)[1:] for r in tables.track_no_data(stocks, asked, got, codes("f"), "2026-05-10").collect()}
+    assert found["a"] == (3, "2026-05-10", "2026-06-09", tables.NO_DATA_REASON)
+    assert found["b"] == (1, "2026-05-10", None, None) and found["e"] == (5, "2026-05-10", "2026-06-09", tables.NO_DATA_REASON)
+    assert found["c"] == (0, None, None, None) and found["d"] == (0, "2026-01-01", None, "other") and found["f"] == (1, None, None, None)
+    bad = {r["code"]: tuple(r)[1:] for r in tables.track_no_data(stocks, asked, codes("c"), codes("f"), "2026-05-10").collect()}
+    assert bad["a"] == (2, "2026-05-01", None, None)
+
+
+@pytest.mark.parametrize(
+    ("log", "want"),
+    # run, days scanned, and those that failed
+    [
+        ([("2026-01-05", ["2026-01-05"], ["2026-01-05"]), ("2026-06-01", ["2026-06-01"], [])], ("2026-06-01", 7)),
+        ([("2026-05-20", ["2026-05-20"], []), ("2026-06-01", ["2026-05-21", "2026-05-25", "2026-06-01"], ["2026-05-25"])], ("2026-05-20", 14)),
+        ([("2026-05-20", ["2026-05-20"], []), ("2026-06-01", ["2026-05-01", "2026-06-01"], ["2026-06-01"])], ("2026-05-20", 14)),
+        ([("2026-06-01", ["2026-06-01"], ["2026-06-01"])], ("2026-05-31", 7)),
+        ([("2020-06-01", ["2020-06-01"], [])], ("2020-06-01", 365)),
+    ],
+)
+def test_scan_window(spark, log, want):
+    rows = [(dt.date.fromisoformat(run), dt.date.fromisoformat(d), d not in bad) for run, days, bad in log for d in days]
+    got = tables.scan_window(spark.createDataFrame(rows, "run_date date, scan_date date, ok boolean"), "2026-06-02", 7).first()
+    assert (str(got["mark"]), got["days"]) == want
+    none = tables.scan_window(spark.createDataFrame([], "run_date date, scan_date date, ok boolean"), "2026-06-02", 7).first()
+    assert (none["mark"], none["days"]) == (None, 7)
 
 
 XML = b"""<x xmlns:a="u"><context id="CurrentYearDuration"><period><endDate>2026-03-31</endDate></period></context>
@@ -117,6 +187,41 @@ def test_archives_to_fields(spark, tmp_path):
     assert (r["doc_id"], r["kind"], r["sales"], r["equity_ratio"], r["prev_net_profit"], r["dps"], r["bps"]) == ("S100", "annual", 1000.0, 41.5, 40.0, 13.0, None)
 
 
+def test_archives_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    for name, files in (("other", {"XBRL/AuditDoc/a.xbrl": XML}), ("broken", {"XBRL/PublicDoc/a.xbrl": b"<x>"}), ("none", {"readme.txt": b""})):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for path, text in files.items():
+                z.writestr(path, text)
+    facts = filings.archive_facts(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in facts} == {"other"} and {(r["element"], r["value"]) for r in facts} >= {("Note", None), ("NetSalesSummaryOfBusinessResults", 1000.0)}
+
+
+def test_results_of_the_current_version(spark, tmp_path):
+    for name, version in (("7203_S1.json", 3), ("130A.json", 3), ("9999_S2.json", 2)):
+        (tmp_path / name).write_text(f'{{"parser_version": {version},\n "sales": 5}}')
+    assert {r["code"] for r in filings.parsed_results(spark, str(tmp_path), 3).collect()} == {"7203", "130A"}
+
+
+def test_a_price_batch(spark):
+    nan = float("nan")
+    wide = spark.createDataFrame(
+        [("2026-01-05", 1.0, 10.0, 0.0, nan, nan), ("2026-01-06", 2.0, nan, 3.0, 20.0, 1e-7), ("2026-01-07", nan, nan, nan, 21.0, 0.5)],
+        "Date string, `7203.T|Open` double, `7203.T|Close` double, `7203.T|Stock Splits` double, `130A.T|Close` double, `130A.T|Stock Splits` double",
+    )
+    bars = sorted((r["code"], r["Date"], r["Open"], r["Close"]) for r in loads.batch_bars(wide).collect())
+    assert bars == [("130A", "2026-01-06", None, 20.0), ("130A", "2026-01-07", None, 21.0), ("7203", "2026-01-05", 1.0, 10.0)]
+    assert loads.batch_bars(wide).columns == ["code", "Date", "Close", "Open"]
+    assert sorted((r["code"], str(r["split_date"]), r["ratio"]) for r in loads.batch_events(wide).collect()) == [("130A", "2026-01-07", 0.5), ("7203", "2026-01-06", 3.0)]
+
+
+def test_lookups(spark):
+    stocks = master(spark, [("1", "active", True, None, None, 0, None), ("2", "active", None, None, None, 0, None), ("3", "active", False, None, None, 0, None)])
+    assert [loads.active(stocks, u).count() for u in (True, False)] == [2, 1]
+    assert loads.exists(stocks, "2") and not loads.exists(stocks, "9") and loads.by_code(stocks, "3").first()["is_active"] is False
+    assert stocks.filter("code = '1'").count() == tables.suspend(stocks, stocks.filter("code = '1'"), "why").filter("status = 'suspended' and not is_active and exclusion_reason = 'why'").count()
+
+
 def test_document_index_codes(spark):
     raw = spark.createDataFrame([("d1", "72030", "120", None, "report (2025/04/01-2026/03/31)", "s"), ("d2", "00000", "120", "2026-03-31", "", "s"), ("d3", None, "160", "2026-03-31", "", "s"), ("d4", "130A0", "160", "2026-09-30", "", "s"), ("d5", "72030", "140", "x", "", "s")], "doc_id string, sec_code string, doc_type string, period_end string, description string, submitted string")
     assert sorted(map(tuple, filings.document_index(raw).collect())) == [("d1", "7203", True, "2026-03-31", "s"), ("d4", "130A", False, "2026-09-30", "s")]

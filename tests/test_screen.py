@@ -3,11 +3,12 @@
 import pytest
 
 from sparkscreen.config import ScreenConfig
-from sparkscreen.operators import fundamentals, legacy, quality, report, scoring
+from sparkscreen.operators import fundamentals, quality, report, scoring
 from sparkscreen.operators.liquidity import liquidity
 from sparkscreen.operators.prefilter import prefilter
 
 COLUMNS = "code sector market price net_assets equity_ratio sales operating_income operating_margin operating_cf net_profit per pbr roe dividend_yield rsi_14 ma25_divergence macd_hist macd_status avg zero last recent".split()
+#: Golden securities, with the score and grade or the reason and detail that they must get.
 KNOWN = """
 1001|情報・通信業|Prime|2000|5e10|75|8e10|1e10|12.5|1.2e10|7e9|12|1.1|18|3.5|55|3|0.5|Bullish|5e8|0|2026-03-27|1|71.9 Grade A
 1002|サービス業|Growth|3500|2e10|60|3e10|5e9|16.7|4.5e9|3.5e9|35|4.5|28|0.5|68|12|1.2|Bullish|8e8|0|2026-03-27|1|51.6 Grade B
@@ -91,11 +92,11 @@ def test_contract_and_report(known, tmp_path):
     full = fundamentals.profit_status(fundamentals.repair_valuation(s)).selectExpr("*", "code AS name", "ma25_divergence AS ma_div_shown")
     report.write_reports(full, str(tmp_path))
     passed = report.read_report(df.sparkSession, f"{tmp_path}/passed")
-    assert passed.count() == 9 and "rank" in passed.columns
-
-
-def test_legacy_points(spark):
-    df = spark.createDataFrame([("a", "s", 20.0, 8.0, 0.9, 60.0, 3.0, 50.0, 1.0, 50.1, 2.0, 5.0, "normal"), ("b", "s", None, None, None, None, 4.0, 120.0, None, None, None, -1.0, "normal")], "code string, sector string, roe double, per double, pbr double, equity_ratio double, dividend_yield double, payout_ratio double, macd_hist double, rsi_14 double, ma_divergence double, operating_cf double, turnaround_status string")
-    got = {r["code"]: r for r in legacy.legacy_score(df).collect()}
-    assert got["a"]["legacy_score"] == 50.0 and got["b"]["income_points"] == 10.0
-    assert got["a"]["sector_rank"] == 1
+    assert passed.count() == 9 and tuple(passed.columns) == report.COLUMNS
+    (file,) = (tmp_path / "passed").glob("*.csv")
+    assert file.read_bytes().startswith("\ufeffRank,Code,".encode())
+    rejected = report.read_report(df.sparkSession, f"{tmp_path}/rejected")
+    assert rejected.count() == 6 and {"filter_reason", "filter_detail"} <= set(rejected.columns)
+    quality.require_contract(s).count()
+    with pytest.raises(Exception, match="essential"):
+        quality.require_contract(s.selectExpr("code", "price", "CAST(NULL AS STRING) AS verdict")).count()

@@ -42,7 +42,7 @@ def test_long_history_keeps_precision(spark):
     assert (got - want).abs().max() < 1e-9
 
 
-@pytest.mark.parametrize(("prices", "want"), [([100] * 40, 50.0), ([100 + i for i in range(40)], 100.0), ([200 - i for i in range(40)], 0.0)])
+@pytest.mark.parametrize(("prices", "want"), [([64] * 45, 50.0), ([30 + 2 * i for i in range(45)], 100.0), ([300 - 3 * i for i in range(45)], 0.0)])
 def test_rsi_patterns(spark, prices, want):
     last = tech.latest(tech.add_rsi(bars(spark, {"1": prices}))).first()
     assert last["rsi_14"] == pytest.approx(want, abs=1e-9)
@@ -50,18 +50,17 @@ def test_rsi_patterns(spark, prices, want):
 
 
 def test_flat_series_is_neutral(spark):
-    assert tech.latest(tech.add_macd(bars(spark, {"1": [100.1] * 60}))).first()["macd_status"] == "Neutral"
+    assert tech.latest(tech.add_macd(bars(spark, {"1": [73.3] * 70}))).first()["macd_status"] == "Neutral"
 
 
 def test_glitches_become_null(spark):
-    prices = [1630.0] * 20 + [53637025792.0] * 11 + [1630.0] * 20
-    got = [r["price"] for r in tech.clean_prices(bars(spark, {"1": prices})).orderBy("entry_date").collect()]
-    assert got == [1630.0] * 20 + [None] * 11 + [1630.0] * 20
-    start = [53637025792.0] * 11 + [1630.0] * 200
-    got = [r["price"] for r in tech.clean_prices(bars(spark, {"1": start})).orderBy("entry_date").collect()]
-    assert got[:11] == [None] * 11 and got[12:] == [1630.0] * 199
-    odd = [100.0] * 15 + [-50.0, 10000.0] + [100.0] * 18
-    assert [i for i, r in enumerate(tech.clean_prices(bars(spark, {"1": odd})).orderBy("entry_date").collect()) if r["price"] is None] == [15, 16]
+    """A long run of far too large prices, one at the start of a history, and single odd days."""
+    def nulls(prices):
+        return [i for i, r in enumerate(tech.clean_prices(bars(spark, {"1": prices})).orderBy("entry_date").collect()) if r["price"] is None]
+
+    assert nulls([820.0] * 22 + [4.1e10] * 9 + [820.0] * 25) == list(range(22, 31))
+    assert set(nulls([4.1e10] * 9 + [820.0] * 150)) >= set(range(9)) and max(nulls([4.1e10] * 9 + [820.0] * 150)) <= 9
+    assert nulls([60.0] * 14 + [-3.0, 7000.0] + [60.0] * 20) == [14, 15]
 
 
 def test_weekend_goes_after_it_counted(spark):
@@ -75,3 +74,20 @@ def test_normalize_and_conform(spark):
     assert (got[0]["entry_date"], got[0]["price"], got[0]["volume"]) == (dt.date(2026, 1, 5), 10.0, 7)
     assert got[1]["entry_date"] is None and got[1]["volume"] == 0
     assert tech.conform_schema(tech.normalize_bars(raw)).columns == list(tech.SCHEMA)
+
+
+def test_summary_needs_thirty_bars(spark):
+    got = {r["code"]: r for r in tech.summary(bars(spark, {"1": wave(29), "2": wave(40), "3": wave(120)})).collect()}
+    assert set(got) == {"2", "3"} and got["2"]["trend_score"] <= 3
+    p = pd.Series(wave(120))
+    assert got["3"]["bb_p1sig"] == pytest.approx(p[-25:].mean() + p[-25:].std()) and got["3"]["volume_ratio"] == pytest.approx(1119 / (1000 + 107))
+    assert got["3"]["real_volatility"] == pytest.approx((p / p.shift(1)).map(math.log, na_action="ignore").std() * 252**0.5 * 100)
+
+
+def test_both_averages_in_one_pass_are_those_apart(spark):
+    df = bars(spark, {"1": wave(90), "2": [100 + (i * 37 % 101) for i in range(80)]})
+    columns = ["code", "entry_date", "rsi_14", "macd", "macd_signal", "macd_hist", "macd_status"]
+    both, apart = tech.add_rsi_and_macd(df), tech.add_macd(tech.add_rsi(df))
+    assert both.columns == apart.columns
+    for x, y in zip(both.select(columns).orderBy("code", "entry_date").collect(), apart.select(columns).orderBy("code", "entry_date").collect(), strict=True):
+        assert tuple(x)[:2] == tuple(y)[:2] and all(a == b if a is None or isinstance(a, str) else a == pytest.approx(b, rel=1e-12) for a, b in zip(tuple(x)[2:], tuple(y)[2:], strict=True))
