@@ -165,13 +165,13 @@ def facts_of_archives(archives: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
-                yield facts_of(doc, bytes(content))
+            rows = [x for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True) for x in facts_of(doc, bytes(content))]
+            yield pd.DataFrame(rows, columns=["doc_id", "element", "context", "value", "period"]).astype({"value": "float64"})
 
     return archives.select("doc_id", "content").mapInPandas(read, "doc_id string, element string, context string, value double, period string")
 
 
-def facts_of(doc_id: str, archive: bytes) -> pd.DataFrame:
+def facts_of(doc_id: str, archive: bytes) -> list[tuple]:
     local = lambda tag: tag.rsplit("}", 1)[-1]
     periods, found = {}, {}
     try:
@@ -191,7 +191,7 @@ def facts_of(doc_id: str, archive: bytes) -> pd.DataFrame:
                 found[local(e.tag), ref] = float((e.text or "").strip())
             except ValueError:
                 found[local(e.tag), ref] = None
-    return pd.DataFrame([(doc_id, t, c, v, periods.get(c)) for (t, c), v in found.items()], columns=["doc_id", "element", "context", "value", "period"]).astype({"value": "float64"})
+    return [(doc_id, t, c, v, periods.get(c)) for (t, c), v in found.items()]
 
 
 def parsed_results(spark: SparkSession, path: str, version: int, code: str = r"([^/_.]+)[^/]*\.json$") -> DataFrame:

@@ -395,7 +395,7 @@ _SQL |= {
     "legacy_filter": f"SELECT code, {r('price')}, volume, {r('equity_ratio')} FROM {{scored}} t WHERE coalesce(t.price >= 1100, true) AND coalesce(volume >= 20, true) AND coalesce(t.equity_ratio >= 10, true) ORDER BY CASE WHEN {_K} % 4 <> 0 THEN quant_score END DESC NULLS LAST, code LIMIT 50",
     "legacy_dividend": f"SELECT code, {r('CASE WHEN dividend_yield >= 3 AND NOT coalesce(operating_cf < 0, false) THEN CASE WHEN payout_ratio > 100 THEN 0.0 ELSE 20.0 END ELSE 0.0 END', name='dividend_points')} FROM {{inputs}}",
     "legacy_score": f"{_LEGACY} SELECT code, sector, {r('n', name='quant_score_normalized')}, {r('score', name='quant_score')}, {r('rnk', name='rank')}, 'balanced' AS strategy_name FROM legacy",
-    "legacy_pass": f"{_LEGACY} SELECT l.code, {r('score', name='quant_score')} FROM legacy l JOIN v ON l.code = v.code WHERE v.roe >= 8 AND v.per <= 15 AND v.pbr <= 1 AND v.dy >= 3 AND v.po >= 30 AND v.de >= 150 AND (SELECT equity_ratio FROM {{inputs}} i WHERE i.code = l.code) >= 40",
+    "legacy_pass": f"{_LEGACY} SELECT l.code, {r('score', name='quant_score')} FROM legacy l JOIN v ON l.code = v.code WHERE v.roe >= 8 AND v.per <= 15 AND v.po >= 30",
 }
 
 #: The scores, written out anew from their definition: value of each part by what the metric is.

@@ -6,6 +6,7 @@ Values that come out of long sums are rounded to 6 decimals after a nudge, here
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,30 +136,34 @@ def src_code_map_csv(spark, d):
     return loads.code_maps(rows.groupBy("file").applyInPandas(pack, "content binary"), "提出者名", "証券コード", skip=1)
 
 
-def _archives(spark, facts: DataFrame) -> DataFrame:
+def _archives(facts: DataFrame) -> DataFrame:
     """An archive a document, with its facts in the public part, other ones in a larger audit part, and each fact twice."""
 
-    def pack(pdf):
+    def pack(frames):
         import io
         import zipfile
 
         import pandas as pd
 
-        body = "".join(f'<a:{e} contextRef="{c}">{v!r}</a:{e}>' for e, c, v in zip(pdf["element"], pdf["context"], pdf["value"], strict=True))
-        again = body.replace(">", ">9", 1)
-        ends = '<context id="CurrentYearInstant"><period><instant>2001-03-31</instant></period></context>'
-        b = io.BytesIO()
-        with zipfile.ZipFile(b, "w") as z:
-            z.writestr("XBRL/PublicDoc/a.xbrl", f'<x xmlns:a="u">{ends}{body}{again}<a:Note contextRef="CurrentYearInstant">text</a:Note></x>')
-            z.writestr("XBRL/AuditDoc/b.xbrl", f'<x xmlns:a="u">{again * 3}</x>')
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "content": [b.getvalue()]})
+        for pdf in frames:
+            archives = []
+            for own in pdf["facts"]:
+                body = "".join(f'<a:{f["element"]} contextRef="{f["context"]}">{f["value"]!r}</a:{f["element"]}>' for f in own)
+                again = body.replace(">", ">9", 1)
+                ends = '<context id="CurrentYearInstant"><period><instant>2001-03-31</instant></period></context>'
+                b = io.BytesIO()
+                with zipfile.ZipFile(b, "w") as z:
+                    z.writestr("XBRL/PublicDoc/a.xbrl", f'<x xmlns:a="u">{ends}{body}{again}<a:Note contextRef="CurrentYearInstant">text</a:Note></x>')
+                    z.writestr("XBRL/AuditDoc/b.xbrl", f'<x xmlns:a="u">{again * 3}</x>')
+                archives.append(b.getvalue())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "content": archives})
 
-    return facts.groupBy("doc_id").applyInPandas(pack, "doc_id string, content binary")
+    return facts.groupBy("doc_id").agg(F.collect_list(F.struct("element", "context", "value")).alias("facts")).mapInPandas(pack, "doc_id string, content binary")
 
 
 @query
 def src_facts(spark, d):
-    return out(filings.facts_of_archives(_archives(spark, Given(spark, d).facts)))
+    return out(filings.facts_of_archives(_archives(Given(spark, d).facts)))
 
 
 @query
@@ -792,7 +797,8 @@ def legacy_score(spark, d):
 
 @query
 def legacy_pass(spark, d):
-    return out(legacy.filter_and_rank(legacy.legacy_score(_legacy(spark, d)), legacy.STRATEGY), "code", "quant_score")
+    strategy = replace(legacy.STRATEGY, thresholds={"roe": 8, "per": 15, "payout_ratio": 30})
+    return out(legacy.filter_and_rank(legacy.legacy_score(_legacy(spark, d)), strategy), "code", "quant_score")
 
 
 @query
