@@ -11,8 +11,9 @@ steps: token sums of sqrt(rows) equal ranges of the order, then a running sum in
 task sees a whole leaf, however large it is. Only DataFrame functions are used.
 
 Defined cases: a null text has 0 tokens and is never taken; null domain, language or source are leaves of their own;
-rows of one leaf with the same id move together; an empty table, or a budget or weight of 0, gives no rows; other
-columns of the input aren't read.
+rows of one leaf with the same id move together; a text of any length counts all its tokens, and only the one at the end
+of a prefix is taken in part; an empty table, or a budget or weight of 0, gives no rows; other columns of the input,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -146,7 +147,10 @@ STAGE_MIX = Mix(budget_percent=90, epochs=1)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mix, whole, also the one at the end of a leaf's prefix."""
+    """Pipeline stage: the documents of the mix, whole, also the one at the end of a leaf's prefix.
+
+    Texts that are null or blank have no token to take and go; null ids, languages and sources are kept as they are; rows
+    that repeat an id stay or go together; columns of any name pass through; an empty table stays empty."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return chosen(docs, STAGE_MIX, "doc_id", "text", "source", "lang", row).select("row.*")
 

@@ -3,9 +3,10 @@
 Every measure is a built-in expression over the whole text, so the operator is one scan without a shuffle and
 without Python. The table is data: a rule names a measure and the closed range in which a text passes.
 
-Defined cases: a null or blank text has no words and all counts 0, and fails the base rule (fewer than 50 words);
-repeated rows are judged alike; an empty table gives an empty result; other columns of the input, whatever their
-names, are not read; ratios over nothing are 0.
+Defined cases: a null or blank text has no words and all counts 0, and fails the base rule (fewer than 50 words); null
+ids are kept; a very long text is measured whole, and one of over a million words fails the rule not_endless; repeated
+rows are judged alike; an empty table gives an empty result; other columns of the input, whatever their names, are not
+read; ratios over nothing are 0.
 """
 
 from __future__ import annotations
@@ -138,7 +139,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go. The verdict is a column of the row itself, so nothing is joined."""
+    """Pipeline stage: rejected documents go. The verdict is a column of the row itself, so nothing is joined.
+
+    Null and blank texts go, null ids pass; rows that repeat each other are judged alike; columns of any name pass through;
+    an empty table stays empty."""
     judged = quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty("text").alias("_t")), id_col="_row", text_col="_t")
     # A filter isn't pushed below a column that isn't deterministic; pushed down, it would count each measure anew for
     # every rule that names it.

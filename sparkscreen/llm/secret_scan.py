@@ -9,9 +9,9 @@ Texts are keyed by a hash of id and text. A collision would only let a pattern l
 decides. All work on rows is done by built-in functions; Python only reads the rules' patterns.
 
 Places are in code points, end exclusive, leftmost and non-overlapping within a rule; a match is dropped if the group
-that a rule names is shorter than it asks. Defined cases: a null text is empty and has no spans; repeated rows give
-repeated results; an empty table gives an empty result; other columns of the input aren't read by the query and are
-kept by the pipeline stage.
+that a rule names is shorter than it asks. Defined cases: a null text is empty and has no spans; null ids are kept; a text
+of any length is matched whole; repeated rows give repeated results; an empty table gives an empty result; other columns
+of the input aren't read by the query and are kept by the pipeline stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -198,7 +198,8 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets in texts are replaced by a mark, and n_chars follows; all documents stay."""
+    """Pipeline stage: secrets in texts are replaced by a mark, and n_chars follows; all documents stay, also repeated rows,
+    null ids and null texts, which stay null."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     found = scan(rows, F.col("_row.doc_id"), F.coalesce(F.col("_row.text"), F.lit("")), REPLACED)
     new = found.withColumn("_new", F.when(F.size("spans") > 0, redacted(F.col("_row.text"), F.col("spans"))).otherwise(F.col("_row.text")))
