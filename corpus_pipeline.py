@@ -1,4 +1,8 @@
-"""The training-data pipeline: stages over the documents table, each written as Parquet and read again for the next."""
+"""The training-data pipeline: stages over the documents table, each written as Parquet and read again for the next.
+
+Cases are those of the stages: null and blank texts go at the first; a null id passes all of them and stays null; of rows
+that repeat an id and a text one stays; very long texts are judged, compared, searched and packed whole; other columns pass
+through up to the last stage, which returns pieces; an empty table gives no pieces."""
 
 from __future__ import annotations
 
