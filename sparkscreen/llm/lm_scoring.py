@@ -52,10 +52,11 @@ def grams_of(texts: list[bytes], depth: int = DEPTH):
     import numpy as np
 
     raw = b"".join(bytes([START] * depth) + t + bytes([END]) for t in texts)
-    a = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    g = np.zeros(len(a) - depth, np.uint64)
-    for i in range(depth + 1):
-        g = (g << np.uint64(8)) | a[i : len(a) - depth + i]
+    a = np.frombuffer(raw, np.uint8)
+    g = a[: len(a) - depth].astype(np.uint64)
+    for i in range(1, depth + 1):
+        g <<= np.uint64(8)
+        g |= a[i : len(a) - depth + i]
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes + depth)[:-1]])
     keep = np.ones(len(g), bool)
@@ -65,6 +66,28 @@ def grams_of(texts: list[bytes], depth: int = DEPTH):
     return g[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
+def most_texts(depth: int) -> int:
+    """How many texts a batch may have, so that a text's number and a gram fit one 64-bit number."""
+    return 2 ** min(24, 64 - 8 * (depth + 1))
+
+
+def text_grams(texts: list[bytes], depth: int = DEPTH):
+    """The distinct grams of each text: (text's place, gram, times), by text and gram; and the distinct grams of all texts.
+
+    One plain sort of numbers that hold both. At most most_texts(depth) texts."""
+    import numpy as np
+
+    g, starts = grams_of(texts, depth)
+    bits = np.uint64(8 * (depth + 1))
+    if len(texts) == 1:  # the only case in which a gram may fill all 64 bits
+        u, times = np.unique(g, return_counts=True)
+        return np.zeros(len(u), np.int64), u, times, u
+    sizes = np.diff(np.concatenate([starts, [len(g)]]))
+    both, times = np.unique(g | np.repeat(np.arange(len(texts), dtype=np.uint64) << bits, sizes), return_counts=True)
+    own = both & ((np.uint64(1) << bits) - np.uint64(1))
+    return (both >> bits).astype(np.int64), own, times, np.unique(own)
+
+
 def word_key(word: bytes) -> bytes:
     """A word itself, or for one of over LONGEST bytes a digest, which no word equals; so keys are of bounded size."""
     return word if len(word) <= LONGEST else b"\0" + hashlib.sha512(word).digest()
@@ -109,11 +132,12 @@ def _partial_counts(texts: DataFrame, depth: int) -> DataFrame:
         for batch, training in batches():
             g, _ = grams_of(batch, depth)
             u, n = np.unique(g, return_counts=True)
-            both, where = np.unique(np.concatenate([seen, u]), return_inverse=True)
-            sums = np.zeros((2, len(both)), np.int64)
-            sums[:, where[: len(seen)]] = many
-            sums[training, where[len(seen) :]] += n
-            seen, many = both, sums
+            at = np.searchsorted(seen, u)
+            old = seen[np.minimum(at, len(seen) - 1)] == u if len(seen) else np.zeros(len(u), bool)
+            many[training, at[old]] += n[old]
+            fresh = np.zeros((2, len(u) - int(old.sum())), np.int64)
+            fresh[training] = n[~old]
+            seen, many = np.insert(seen, at[~old], u[~old]), np.insert(many, at[~old], fresh, axis=1)
             if len(seen) > 2_000_000:
                 yield grams_out()
                 seen, many = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
@@ -241,17 +265,16 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
         (grams, logs), hot = hot_chances.value, known.value
 
         def out(keys: list, ids: list, training: list, texts: list[bytes]) -> list[pd.DataFrame]:
-            g, starts = grams_of(texts, depth)
-            u, where = np.unique(g, return_inverse=True)
+            place, own_grams, times, u = text_grams(texts, depth)
             at = np.minimum(np.searchsorted(grams, u), max(len(grams) - 1, 0))
             found_hot = grams[at] == u if len(grams) else np.zeros(len(u), bool)
             of_u = np.zeros(len(u))
             of_u[found_hot] = logs[at[found_hot]]
-            chance = np.add.reduceat(of_u[where], starts)
+            where = np.searchsorted(u, own_grams)
+            chance = np.bincount(place, of_u[where] * times, len(texts))
             # Grams that aren't broadcast, by text: for the join.
-            places = np.flatnonzero(~found_hot[where])
-            pairs, times = np.unique((np.searchsorted(starts, places, side="right") - 1) * len(u) + where[places], return_counts=True)
-            c = pd.DataFrame({"key": np.array(keys)[pairs // len(u)], "gram": u[pairs % len(u)].astype(np.int64), "n": times})
+            cold = ~found_hot[where]
+            c = pd.DataFrame({"key": np.array(keys)[place[cold]], "gram": own_grams[cold].astype(np.int64), "n": times[cold]})
             own, rest = [], []
             for key, i, tr, t, s in zip(keys, ids, training, texts, chance, strict=True):
                 found = t.split()
@@ -272,7 +295,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
             texts = [folded(t) for t in pdf["text"]]
             for i, t in enumerate(texts):
                 size += len(t) + 1
-                if size > BATCH or i + 1 == len(texts):
+                if size > BATCH or i + 1 - at == most_texts(depth) or i + 1 == len(texts):
                     part = slice(at, i + 1)
                     yield from out(pdf["key"].iloc[part].tolist(), pdf["id"].iloc[part].tolist(), pdf["training"].iloc[part].tolist(), texts[part])
                     at, size = i + 1, 0
