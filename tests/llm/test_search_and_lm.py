@@ -243,3 +243,15 @@ def test_chances_are_a_distribution(spark):
     grams = [(0x4142 << 8 | b, int(rng.integers(0, 5)), 1) for b in range(256)] + [(0x4342 << 8 | b, 3, 3) for b in range(9)]
     got = lm_scoring.gram_chances(spark.createDataFrame(grams, "gram long, n long, times long"), DEPTH).filter("shiftright(gram, 8) = 16706").collect()
     assert len(got) == 256 and sum(10 ** r["chance"] for r in got) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("depth", [0, 2, 4, 6, 7])
+def test_grams_of_each_text(depth):
+    texts = [b"", b"abab abab", "ü\U0001f600".encode(), b"", b"a" * 999, b"abab abab"][: lm_scoring.most_texts(depth)]
+    want = Counter()
+    for i, t in enumerate(texts):
+        whole = bytes([lm_scoring.START] * depth) + t + bytes([lm_scoring.END])
+        want.update((i, int.from_bytes(whole[k : k + depth + 1], "big")) for k in range(len(t) + 1))
+    place, grams, times, distinct = (x.tolist() for x in lm_scoring.text_grams(texts, depth))
+    assert dict(zip(zip(place, grams, strict=True), times, strict=True)) == want
+    assert distinct == sorted({g for _, g in want})
