@@ -99,11 +99,19 @@ def search_segment(qids, qs, bounds, ids, v, top: float, order, values, k: int =
 
     m = len(order)
     width = reach(m, threshold, sure)
-    length = np.sqrt((qs * qs).sum(axis=1))
-    projected = (np.column_stack([qs / length[:, None], np.zeros(len(qs))]) @ directions(v.shape[1] + 1, m).T).astype("<f4")
+    length = _norms(qs)
+    projected = (np.column_stack([_unit(qs), np.zeros(len(qs))]) @ directions(v.shape[1] + 1, m).T).astype("<f4")
+    whole = np.abs(projected).max(axis=1) + np.abs(values).max() + SLACK  # windows as wide hold everything
+
+    def cosine(bound):
+        """Of a vector of the longest norm at that score; nothing is known (-inf) where a score or a norm overflows."""
+        with np.errstate(all="ignore"):
+            out = bound / length / top
+        return np.where(np.isfinite(out), out, -np.inf)
 
     def half_for(bound: float, q: int) -> float:
-        return width * math.sqrt(max(0.0, 2 - 2 * bound / (length[q] * top))) + SLACK
+        c = cosine(np.full(len(length), bound))[q]
+        return min(float(whole[q]), width * math.sqrt(max(0.0, 2 - 2 * c)) + SLACK)
 
     out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     verified = 0
@@ -112,7 +120,8 @@ def search_segment(qids, qs, bounds, ids, v, top: float, order, values, k: int =
         nonlocal verified
         c = np.flatnonzero(counts >= threshold)
         c = c[ids[c] != qids[q]]
-        score = (v[c] * qs[q]).sum(axis=1)
+        with np.errstate(all="ignore"):
+            score = (v[c] * qs[q]).sum(axis=1)
         verified += len(c)
         best = np.lexsort((ids[c], -score))[:k]
         return ids[c[best]], score[best]
@@ -122,7 +131,7 @@ def search_segment(qids, qs, bounds, ids, v, top: float, order, values, k: int =
         out[1].append(found[0])
         out[2].append(found[1])
 
-    known = np.flatnonzero((bounds > -np.inf) & (bounds <= length * top * (1 + SLACK)))
+    known = np.flatnonzero((bounds != -np.inf) & (cosine(bounds) <= 1 + SLACK))
     if len(known):
         half = np.array([half_for(bounds[q], q) for q in known], "<f4")
         for q, counts in zip(known, collisions(projected[known], half, order, values), strict=True):
@@ -133,7 +142,7 @@ def search_segment(qids, qs, bounds, ids, v, top: float, order, values, k: int =
         while True:
             (counts,) = collisions(projected[q : q + 1], np.float32(half), order, values)
             found = best_of(q, counts) if np.count_nonzero(counts >= threshold) > k else None
-            if found is not None or counts.min() == m:
+            if found is not None or half >= whole[q]:
                 break
             half *= WIDEN
         start = max(START, half / WIDEN)  # a query's neighbour is likely to need about as much
@@ -160,6 +169,15 @@ def _norm_range(v: Column) -> Column:
     return F.round((F.ln(longest) + 0.5 * F.ln(squares)) / math.log(RANGE)).cast("int")
 
 
+def _norms(v):
+    """Norms, by way of the longest component, so that squares neither vanish nor overflow."""
+    import numpy as np
+
+    longest = np.abs(v).max(axis=1)
+    with np.errstate(over="ignore"):
+        return longest * np.sqrt(((v / longest[:, None]) ** 2).sum(axis=1))
+
+
 def _unit(v):
     import numpy as np
 
@@ -167,8 +185,18 @@ def _unit(v):
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
+def _nearest_pivot(x, pivots):
+    """x, pivots: unit vectors. Products of at most 1024 rows are held at a time, 32 MB with MOST_PIVOTS."""
+    import numpy as np
+
+    return np.concatenate([(x[i : i + 1024] @ pivots.T).argmax(axis=1) for i in range(0, len(x), 1024)])
+
+
 def _pivots(rows: DataFrame) -> dict:
-    """(dim, norms) -> pivots, for ranges of more than a segment. At most MOST_PIVOTS, and one more for each such range."""
+    """(dim, norms) -> pivots, for ranges of more than a segment. At most MOST_PIVOTS, and one more for each such range.
+
+    Spherical k-means on a sample of SAMPLE vectors a pivot: each round's tasks add up their vectors by nearest pivot, and
+    only those sums, one row a pivot and task, are shuffled. The driver holds the pivots alone."""
     import numpy as np
 
     n = rows.groupBy("dim", "norms").agg(F.count("*").alias("n"))
@@ -176,20 +204,36 @@ def _pivots(rows: DataFrame) -> dict:
     sized = n.select("dim", "norms", F.ceil(F.ceil(F.col("n") / SEGMENT) * share).alias("pivots")).filter("pivots > 1")
     ranked = rows.join(sized, ["dim", "norms"]).withColumn("place", F.row_number().over(Window.partitionBy("dim", "norms").orderBy(F.xxhash64("id"), "id")))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, c = _unit(np.stack(pdf["v"].to_numpy())), int(pdf["pivots"].iloc[0])
-        p = x[:c]
-        for _ in range(ROUNDS):
-            near = (x @ p.T).argmax(axis=1)
-            sums = np.zeros_like(p)
-            np.add.at(sums, near, x)
-            length = np.sqrt((sums * sums).sum(axis=1))
-            p = np.where(length[:, None] > 0, sums / np.maximum(length, 1e-300)[:, None], p)
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "norms": pdf["norms"].iloc[:1], "p": [p.tobytes()]})
+    picked = ranked.filter((F.col("place") <= F.lit(SAMPLE * MOST_PIVOTS)) & (F.col("place") <= F.lit(SAMPLE) * F.col("pivots")))
+    sample = materialize(picked.select("dim", "norms", "v", "place", "pivots"), "pivot-sample")
+    first = sample.filter("place <= pivots").groupBy("dim", "norms", "place").agg(F.first("v").alias("v")).orderBy("dim", "norms", "place").collect()
+    found: dict = {}
+    for r in first:
+        found.setdefault((r["dim"], r["norms"]), []).append(r["v"])
+    found = {k: _unit(np.array(v)) for k, v in found.items()}
 
-    sample = ranked.filter((F.col("place") <= F.lit(SAMPLE * MOST_PIVOTS)) & (F.col("place") <= F.lit(SAMPLE) * F.col("pivots")))
-    fitted = sample.groupBy("dim", "norms").applyInPandas(fit, "dim int, norms int, p binary").collect()
-    return {(r["dim"], r["norms"]): np.frombuffer(bytes(r["p"])).reshape(-1, r["dim"]) for r in fitted}
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in frames:
+            for key, part in pdf.groupby(["dim", "norms"]):
+                pivots, x = shared.value[key], _unit(np.stack(part["v"].to_numpy()))
+                np.add.at(sums.setdefault(key, np.zeros_like(pivots)), _nearest_pivot(x, pivots), x)
+        for (dim, norms), total in sums.items():
+            some = np.flatnonzero(np.abs(total).sum(axis=1))
+            yield pd.DataFrame({"dim": dim, "norms": norms, "pivot": some, "total": [t.tobytes() for t in total[some]]})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(t) for t in pdf["total"]], axis=0)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "norms": pdf["norms"].iloc[:1], "pivot": pdf["pivot"].iloc[:1], "total": [total.tobytes()]})
+
+    kinds = "dim int, norms int, pivot long, total binary"
+    for _ in range(ROUNDS if found else 0):
+        shared = rows.sparkSession.sparkContext.broadcast(found)
+        for r in sample.select("dim", "norms", "v").mapInPandas(added, kinds).groupBy("dim", "norms", "pivot").applyInPandas(merged, kinds).collect():  # a row a pivot
+            total = np.frombuffer(bytes(r["total"]))
+            if np.abs(total).max() > 0:
+                found[r["dim"], r["norms"]][r["pivot"]] = _unit(total[None, :])[0]
+    return found
 
 
 def _with_cells(rows: DataFrame, pivots) -> DataFrame:
@@ -202,7 +246,7 @@ def _with_cells(rows: DataFrame, pivots) -> DataFrame:
             cell = pd.Series(0, index=pdf.index, dtype="int64")
             for key, part in pdf.groupby(["dim", "norms"]):
                 if key in pivots.value:
-                    cell.loc[part.index] = (_unit(np.stack(part["v"].to_numpy())) @ pivots.value[key].T).argmax(axis=1)
+                    cell.loc[part.index] = _nearest_pivot(_unit(np.stack(part["v"].to_numpy())), pivots.value[key])
             yield pdf.assign(cell=cell)
 
     return rows.select("id", "v", "dim", "norms").mapInPandas(near, "id long, v array<double>, dim int, norms int, cell long")
@@ -215,8 +259,9 @@ def _index(rows: DataFrame) -> DataFrame:
         import numpy as np
 
         v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        top = float(np.sqrt((v * v).sum(axis=1)).max())
-        unit = v / top
+        top, longest = float(_norms(v).max()), np.abs(v).max()
+        unit = v / longest
+        unit = unit / np.sqrt((unit * unit).sum(axis=1)).max()
         x = np.column_stack([unit, np.sqrt(np.maximum(1.0 - (unit * unit).sum(axis=1), 0.0))])
         centre = x.mean(axis=0)
         order, values = sorted_arrays(x, directions(x.shape[1]))
@@ -241,7 +286,10 @@ def _blocks(queries: DataFrame) -> DataFrame:
         q, bounds = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["bound"].to_numpy(np.float64)
         unit = np.column_stack([_unit(q), np.zeros(len(q))])
         centre = unit.mean(axis=0)
-        one = [*[pdf[c].iloc[0] for c in HOME], pdf["block"].iloc[0], centre, float(np.sqrt(((unit - centre) ** 2).sum(axis=1)).max()), float((bounds / np.sqrt((q * q).sum(axis=1))).min()),
+        with np.errstate(all="ignore"):
+            asked = bounds / _norms(q)
+        least = float(np.where(np.isfinite(asked), asked, -np.inf).min())  # where it can't be told, every segment is searched
+        one = [*[pdf[c].iloc[0] for c in HOME], pdf["block"].iloc[0], centre, float(np.sqrt(((unit - centre) ** 2).sum(axis=1)).max()), least,
                pdf["id"].to_numpy(np.int64).tobytes(), q.tobytes(), bounds.tobytes()]
         return pd.DataFrame([one], columns=[*HOME, "block", "q_centre", "q_radius", "q_bound", "qids", "qs", "bounds"])
 
@@ -329,7 +377,7 @@ def found_by_segment(vectors: DataFrame, is_query: Column, k: int = K, id_col: s
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query its k nearest found: query_id, rank, vec_id, score. is_query: a condition on the column id."""
     found = found_by_segment(vectors, is_query, k, id_col, vector_col)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

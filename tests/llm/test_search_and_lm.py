@@ -255,3 +255,35 @@ def test_grams_of_each_text(depth):
     place, grams, times, distinct = (x.tolist() for x in lm_scoring.text_grams(texts, depth))
     assert dict(zip(zip(place, grams, strict=True), times, strict=True)) == want
     assert distinct == sorted({g for _, g in want})
+
+
+@pytest.mark.parametrize("huge", [1e200, 1e-200, 1e-310, 1e308])
+def test_norms_beyond_a_square(spark, huge):
+    """Vectors whose squares vanish or overflow, as queries and as candidates, change nothing for the others."""
+    rng = np.random.default_rng(3)
+    v = {i: rng.standard_normal(4) for i in range(60)}
+    v[7], v[20], v[23] = np.array([huge, 0, huge / 2, 0]), np.array([huge, 0, 2 * huge if huge < 1e300 else huge, 0]), np.array([0, huge, 0, 0])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann_search.nearest(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {0, 20, 40}
+    with np.errstate(all="ignore"):
+        for q, found in got.items():
+            score = {i: float((x * v[q]).sum()) for i, x in v.items() if i != q}
+            best = sorted(score, key=lambda i: (-score[i] if not math.isnan(score[i]) else math.inf, i))[:20]
+            assert len(found) == 20 and all(s == score[i] or math.isnan(s) and math.isnan(score[i]) for _, i, s in found)
+            assert len(set(best) & {i for _, i, _ in found}) >= 18
+
+
+def test_pivots_of_many_vectors(spark, monkeypatch):
+    """Pivots from sums that tasks add up: as many as asked for, unit vectors, and near their own vectors."""
+    monkeypatch.setattr(ann_search, "SEGMENT", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((8, 6))
+    rows = [(i, (centres[i % 8] + 0.05 * rng.standard_normal(6)).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("dim", F.size("v")).withColumn("norms", F.lit(0))
+    ((key, pivots),) = ann_search._pivots(df).items()
+    assert key == (6, 0) and pivots.shape == (16, 6) and np.allclose((pivots**2).sum(axis=1), 1)
+    unit = centres / np.linalg.norm(centres, axis=1)[:, None]
+    assert (unit @ pivots.T).max(axis=1).mean() > 0.9
