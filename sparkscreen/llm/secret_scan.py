@@ -10,7 +10,7 @@ decides. All work on rows is done by built-in functions; Python only reads the r
 
 Places are in code points, end exclusive, leftmost and non-overlapping within a rule; a match is dropped if the group
 that a rule names is shorter than it asks. Defined cases: a null text is empty and has no spans; null ids are kept; a text
-of any length is matched whole; repeated rows give repeated results; an empty table gives an empty result; other columns
+of any length and with any number of matches is matched whole; repeated rows give repeated results; an empty table gives an empty result; other columns
 of the input aren't read by the query and are kept by the pipeline stage, whatever their names.
 """
 
@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, materialize, table, text_or_empty
 
+STRETCH, PIECE = 128, 1024
 MOST_WAYS = 64  # alternatives that a pattern is spelled out into, at most; beyond, that part asks for nothing
 
 
@@ -49,24 +51,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
 )
+#: A private key to its END line or, without one, to the end of its base64 lines.
+_KEY_LINE, _KEY_BODY = r"PRIVATE KEY-----", r"(?:\s+[A-Z][A-Za-z-]{1,30}: [^\r\n]{1,200}){0,20}[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,30}"
+_KEY_LINES = r"(?:\s+[A-Za-z0-9+/=]{40,}){1,1000}(?:\s+[A-Za-z0-9+/]+=*(?=\s*(?:[\r\n]|$)))?"
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("login_url", r"[a-z]{3,10}://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.%-]{1,64}@"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,30}}{_KEY_LINE}(?:{_KEY_BODY}{_KEY_LINE}|{_KEY_LINES})?"),
+    Rule("login_url", r"[a-z]{3,10}://[A-Za-z0-9_.-]+:[A-Za-z0-9_.%-]+@"),
 )
 RULES = BASE + MORE
-#: What the pipeline replaces: a private key to its END line or, without one, to the end of its base64 lines; any length of
-#: user and password. The query keeps the rules of its SQL.
-_KEY_LINE, _KEY_BODY = r"PRIVATE KEY-----", r"(?:\s+[A-Z][A-Za-z-]{1,30}: [^\r\n]{1,200}){0,20}[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,30}"
-_KEY_LINES = r"(?:\s+[A-Za-z0-9+/=]{40,}){1,1000}(?:\s+[A-Za-z0-9+/]+=*(?=\s*(?:[\r\n]|$)))?"
-WHOLE = {
-    "private_key": rf"-----BEGIN [A-Z ]{{0,30}}{_KEY_LINE}(?:{_KEY_BODY}{_KEY_LINE}|{_KEY_LINES})?",
-    "login_url": r"[a-z]{3,10}://[A-Za-z0-9_.-]+:[A-Za-z0-9_.%-]+@",
-}
-REPLACED = tuple(replace(r, pattern=WHOLE.get(r.kind, r.pattern)) for r in RULES)
 
 
 def _ways(parsed) -> list[list[str | None]]:
@@ -140,6 +136,19 @@ def candidates(index: DataFrame, grams: list[str], queries: dict[str, list[froze
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of an array what join makes of 0 and all before it: sums or maxima. Values go through in
+    stretches of STRETCH, whose ends are then carried on, so work stays in proportion to the array's length."""
+
+    def run(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRETCH).cast("int")), lambda i: run(F.slice(values, i * STRETCH + 1, F.lit(STRETCH))))
+    carried = lambda c: F.flatten(F.zip_with(c, run(F.transform(c, lambda x: x["at"]))["out"], lambda x, at: F.transform(x["out"], lambda y: join(at, y))))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(stretches, carried))
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Places of a rule's matches: what lies between matches and the matches take turns."""
     pattern = F.lit(rule.pattern)
@@ -147,30 +156,30 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         F.arrays_zip(F.regexp_extract_all(t, pattern, F.lit(0)).alias("m"), F.regexp_extract_all(t, pattern, F.lit(rule.group)).alias("k"), F.split(t, rule.pattern, -1).alias("gap")),
         lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("n"), F.length(x["k"]).alias("k")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    step = lambda acc, x: F.when(x["n"].isNull(), acc).otherwise(
-        F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.when(x["k"] >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["n"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        )
-    )
-    found = F.aggregate(parts(text), start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(_SPAN))
+
+    def placed(found: Column) -> Column:
+        at = _before(F.transform(found, lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0))), lambda a, b: a + b)
+        spans = F.zip_with(found, at, lambda x, y: F.when(x["k"] >= rule.least, F.struct((y + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (y + x["gap"] + x["n"]).alias("end"))))
+        return F.filter(spans, lambda x: x.isNotNull())
+
+    return F.when(F.rlike(text, pattern), let(parts(text), placed)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(rows: DataFrame, key: Column, text: Column, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """rows with spans: an array of (start, rank of the rule, end), by start, then rank. key: tells texts apart."""
+    """rows with spans: an array of (start, rank of the rule, end), by start, then rank; a column spans that they have is
+    replaced. key: tells texts apart."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     grams = sorted({g for q in indexed.values() for way in q for g in way})
-    keyed = rows.withColumn("_key", F.xxhash64(key, text)).withColumn("_text", text)
-    index = materialize(postings(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")), grams), "postings")
-    found = candidates(index, grams, indexed)
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "spans"])
+    keyed = rows.select(F.xxhash64(key, text).alias("scan_key"), text.alias("scan_text"), own.alias("scan_row"))
+    index = materialize(postings(keyed.select(F.col("scan_key").alias("key"), F.col("scan_text").alias("text")), grams), "postings")
+    found = candidates(index, grams, indexed).withColumnRenamed("key", "found_key")
     rank = {r.kind: i for i, r in enumerate(rules)}
-    everywhere = [_spans(F.col("_text"), r, rank[r.kind]) for r in rules if queries[r.kind] is None]
-    joined = keyed.withColumn("_all", F.concat(F.array().cast(_SPAN), *everywhere)).join(found, F.col("_key") == F.col("key"), "left")
-    chosen = [F.when(F.array_contains("rules", r.kind), _spans(F.col("_text"), r, rank[r.kind])).otherwise(F.array().cast(_SPAN)) for r in rules if queries[r.kind] is not None]
-    return joined.withColumn("spans", F.array_sort(F.concat("_all", *chosen))).select(*rows.columns, "spans")
+    everywhere = [_spans(F.col("scan_text"), r, rank[r.kind]) for r in rules if queries[r.kind] is None]
+    joined = keyed.withColumn("scan_all", F.concat(F.array().cast(_SPAN), *everywhere)).join(found, F.col("scan_key") == F.col("found_key"), "left")
+    chosen = [F.when(F.array_contains("rules", r.kind), _spans(F.col("scan_text"), r, rank[r.kind])).otherwise(F.array().cast(_SPAN)) for r in rules if queries[r.kind] is not None]
+    return joined.select("scan_row.*", F.array_sort(F.concat("scan_all", *chosen)).alias("spans"))
 
 
 def _text_of(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -187,31 +196,40 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """text with each span, or run of overlapping spans, replaced by mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-    )
-    rebuilt = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rebuilt).otherwise(text)
+    """text with each span, or run of overlapping spans, replaced by mark. The text is cut into pieces of PIECE characters
+    first, so that a place in it is found without counting from its start each time."""
+
+    def rebuilt(pieces: Column) -> Column:
+        def part(at: Column, n: Column) -> Column:
+            first, skip = F.floor(at / PIECE).cast("int"), F.pmod(at, F.lit(PIECE))
+            return F.substring(F.array_join(F.slice(pieces, first + 1, F.floor((skip + n) / PIECE).cast("int") + 1), ""), skip + 1, n)
+
+        def kept(ends: Column) -> Column:
+            return F.zip_with(spans, ends, lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(part(at, s["start"] - at), F.lit(mark))))
+
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(let(_before(F.transform(spans, lambda s: s["end"]), F.greatest), kept), ""), part(last, F.length(text) - last))
+
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), rebuilt)).otherwise(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets in texts are replaced by a mark, and n_chars follows; all documents stay, also repeated rows,
     null ids and null texts, which stay null."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    found = scan(rows, F.col("_row.doc_id"), F.coalesce(F.col("_row.text"), F.lit("")), REPLACED)
+    found = scan(rows, F.col("_row.doc_id"), F.coalesce(F.col("_row.text"), F.lit("")))
     new = found.withColumn("_new", F.when(F.size("spans") > 0, redacted(F.col("_row.text"), F.col("spans"))).otherwise(F.col("_row.text")))
     value = {"text": F.col("_new"), "n_chars": F.when(F.size("spans") > 0, F.length("_new").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("_row")["n_chars"])} if "n_chars" in docs.columns else {"text": F.col("_new")}
     return new.select(*[value.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def _sql_rule(r: Rule, rank: int) -> str:
-    p = r.pattern.replace("'", "''")
-    return f"""SELECT rid, {rank} AS rank, s AS start, s + n AS stop FROM (
-      SELECT rid, n, k, CAST(sum(g) OVER w + sum(n) OVER w - n AS BIGINT) AS s FROM (
-        SELECT rid, unnest(range(1, len(m) + 1)) AS i, length(m[i]) AS n, length(key[i]) AS k, length(gaps[i]) AS g FROM (
+    """DuckDB's patterns have no look-ahead, so white space behind a key's last line is matched and then cut off; nor
+    have they large nested repetitions, so lines of a key aren't bounded there."""
+    p = r.pattern.replace("(?=\\s*(?:[\\r\\n]|$))", "\\s*?(?:[\\r\\n]|$)").replace("*+", "*").replace("{1,1000}", "+").replace("{0,20}", "*").replace("'", "''")
+    return f"""SELECT rid, {rank} AS rank, s AS start, s + cut AS stop FROM (
+      SELECT rid, cut, k, CAST(sum(g) OVER w + sum(n) OVER w - n AS BIGINT) AS s FROM (
+        SELECT rid, unnest(range(1, len(m) + 1)) AS i, length(m[i]) AS n, length(rtrim(m[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS cut, length(key[i]) AS k, length(gaps[i]) AS g FROM (
           SELECT rid, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {r.group}) AS key, regexp_split_to_array(t, '{p}') AS gaps
           FROM docs WHERE regexp_matches(t, '{p}')))
       WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE k >= {r.least}"""
