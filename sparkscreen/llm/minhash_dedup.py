@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 from .components import components
 
-WORDS, THRESHOLD, REGISTERS, BANDS, BAND, BLOCK = 5, 0.8, 128, 25, 5, 128
+WORDS, THRESHOLD, REGISTERS, BANDS, BAND, BLOCK, TOGETHER, HOT_SHARE = 5, 0.8, 128, 25, 5, 128, 8, 1000
 SLACK = 1e-12  # sums of fractions that are the threshold exactly may come out a little below it
 _ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -164,8 +164,16 @@ def _set(s: bytes, w: bytes) -> tuple:
 
 
 def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b: nodes) whose exact similarity reaches the threshold. found: features."""
-    left = found.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
+    """pairs (a, b: nodes) whose exact similarity reaches the threshold. found: features.
+
+    An a with over a thousandth of all pairs, as the centre of many near copies is, is copied once for each thousandth, and
+    its pairs are dealt to the copies; those a are at most a thousand rows whatever the data."""
+    times = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    total = F.broadcast(times.agg(F.sum("n").alias("total")))
+    hot = F.broadcast(times.crossJoin(total).filter(F.col("n") * HOT_SHARE > F.col("total")).select("a", F.ceil(F.col("n") * HOT_SHARE / F.col("total")).alias("copies")))
+    pairs = pairs.join(hot, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1)))).drop("copies")
+    left = found.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa")).join(hot, "a", "left")
+    left = left.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
     right = found.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +181,7 @@ def _verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame
             ok = [probability_jaccard(_set(sa, wa), _set(sb, wb)) >= threshold - SLACK for sa, wa, sb, wb in zip(pdf["sa"], pdf["wa"], pdf["sb"], pdf["wb"], strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
-    return materialize(pairs.join(right, "b").join(left, "a").mapInPandas(linked, "a long, b long"), "verified")
+    return materialize(pairs.join(right, "b").join(left, ["a", "copy"]).mapInPandas(linked, "a long, b long"), "verified")
 
 
 def block_links(x: list[tuple], y: list[tuple], threshold: float) -> list[tuple[int, int]]:
@@ -206,18 +214,22 @@ def block_links(x: list[tuple], y: list[tuple], threshold: float) -> list[tuple[
 def _block_verified(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """rows: bucket, node, cls, side (0: the bucket's main class, 1: others), n0, n1. Links (a, b) between members of
     different classes of one bucket. Members are dealt by hash into blocks of about BLOCK; a block of others meets every
-    block of its bucket, so nothing but links comes out, and no task holds more than two blocks at a time."""
+    block of its bucket, so nothing but links comes out. TOGETHER blocks of others and as many of all meet in a task, so a
+    large bucket is spread over the square of its groups of blocks, and a task holds few of them at a time."""
     n = F.ceil(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")) / BLOCK)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), n)).select("bucket", "side", "block", "node", "cls").join(found, "node")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), n)).select("bucket", "side", "block", "n0", "n1", "node", "cls").join(found, "node")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = [*pdf[["bucket", "side", "block"]].iloc[0].tolist(), pdf["node"].tolist(), pdf["cls"].tolist(), pdf["s"].tolist(), pdf["w"].tolist()]
-        return pd.DataFrame([one], columns=["bucket", "side", "block", "nodes", "classes", "s", "w"])
+        one = [*pdf[["bucket", "side", "block", "n0", "n1"]].iloc[0].tolist(), pdf["node"].tolist(), pdf["cls"].tolist(), pdf["s"].tolist(), pdf["w"].tolist()]
+        return pd.DataFrame([one], columns=["bucket", "side", "block", "n0", "n1", "nodes", "classes", "s", "w"])
 
-    cols = "bucket long, side int, block long, nodes array<long>, classes array<long>, s array<binary>, w array<binary>"
+    cols = "bucket long, side int, block long, n0 long, n1 long, nodes array<long>, classes array<long>, s array<binary>, w array<binary>"
     blocks = materialize(dealt.groupBy("bucket", "side", "block").applyInPandas(pack, cols), "blocks")
-    x = blocks.filter("side = 1").select("bucket", F.col("block").alias("xb"), *[F.col(c).alias(f"x_{c}") for c in ("nodes", "classes", "s", "w")])
-    meet = x.join(blocks, "bucket").filter("side = 0 or xb <= block")
+    g0, g1 = (F.ceil(F.ceil(F.col(c) / BLOCK) / TOGETHER) for c in ("n0", "n1"))  # groups of blocks; those of others come last
+    group, upto = F.floor(F.col("block") / TOGETHER), lambda c: F.sequence(F.lit(0).cast("long"), c - 1)
+    x = blocks.filter("side = 1").select("bucket", group.alias("gx"), F.explode(upto(g0 + g1)).alias("g"), F.col("block").alias("xb"), *[F.col(c).alias(f"x_{c}") for c in ("nodes", "classes", "s", "w")])
+    y = blocks.select("*", F.explode(upto(g1)).alias("gx"), F.when(F.col("side") == 0, group).otherwise(g0 + group).alias("g")).drop("n0", "n1")
+    meet = x.join(y, ["bucket", "gx", "g"]).filter("side = 0 or xb <= block")
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -260,7 +272,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     few = rest.filter(F.col("n0") + F.col("n1") <= BLOCK // 2)
     a, b = few.filter("side = 1").select("bucket", F.col("node").alias("a"), F.col("cls").alias("ca")), few.select("bucket", F.col("node").alias("b"), F.col("cls").alias("cb"), "side")
     cross = a.join(b, "bucket").filter("ca <> cb and (side = 0 or ca < cb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), found, threshold)
+    new = materialize(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross-pairs")
+    more = _verified(new, found, threshold)
     more = more.unionByName(_block_verified(rest.filter(F.col("n0") + F.col("n1") > BLOCK // 2), found, threshold))
     # The new links join classes: components of classes, not of all nodes again.
     of = classes.select("node", "component")
