@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -11,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+MOST_DOCUMENT = 256 << 20  # bytes of an unpacked document that a task reads
 ANNUAL_TYPES, INTERIM_TYPES = ("120", "130"), ("160", "170")
 NON_CONSOLIDATED = "_NonConsolidatedMember"
 _S = "SummaryOfBusinessResults"
@@ -161,7 +164,8 @@ def archive_facts(spark: SparkSession, path: str) -> DataFrame:
 def facts_of_archives(archives: DataFrame) -> DataFrame:
     """archives: doc_id, content (a zip). doc_id, element, context, value, period of the largest public .xbrl of each (of any
     .xbrl, if none is public). The first fact of an element and context counts, also one that is no number, which has no
-    value. An archive or a document that can't be read gives no facts. A task reads one archive after the other."""
+    value. An archive or a document that can't be read, or that says it has over
+    MOST_DOCUMENT bytes, gives no facts. A task reads one archive after the other."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -178,8 +182,9 @@ def facts_of(doc_id: str, archive: bytes) -> list[tuple]:
         with zipfile.ZipFile(io.BytesIO(archive)) as z:
             every = [i for i in z.infolist() if i.filename.endswith(".xbrl")]
             names = [i for i in every if "PublicDoc" in i.filename] or every
-            root = ElementTree.fromstring(z.read(max(names, key=lambda i: i.file_size))) if names else ElementTree.Element("none")
-    except (zipfile.BadZipFile, EOFError, ElementTree.ParseError):
+            one = max(names, key=lambda i: i.file_size) if names else None
+            root = ElementTree.fromstring(z.read(one)) if one is not None and one.file_size <= MOST_DOCUMENT else ElementTree.Element("none")
+    except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, NotImplementedError, ElementTree.ParseError):  # damaged, encrypted, or packed in another way
         root = ElementTree.Element("none")
     for e in root.iter():
         if local(e.tag) == "context":

@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 #: Metrics whose points grow linearly from the first value to the second.
 LINEAR = {"roe": (5.0, 15.0), "per": (15.0, 10.0), "payout_ratio": (30.0, 100.0), "dividend_yield": (2.0, 4.0), "sales_growth": (5.0, 20.0), "profit_growth": (5.0, 30.0)}
 #: The most that indicators can give, and prefixes of columns that a result doesn't show.
@@ -23,8 +25,10 @@ class Strategy:
     base_score: float = 50.0
     points: dict = field(default_factory=dict)  # metric -> points
     thresholds: dict = field(default_factory=dict)  # metric -> threshold; a metric without one gives no points
-    categories: dict = field(default_factory=dict)  # metric -> value, growth or quality (else quality)
+    categories: dict = field(default_factory=dict)  # metric -> base, value, growth, quality, trend or final_adjustment (else quality)
     lower_is_better: frozenset = frozenset()
+    directions: dict = field(default_factory=dict)  # metric -> lower or higher, before lower_is_better
+    defaults: dict = field(default_factory=dict)  # thresholds of all strategies: metric -> threshold, or group -> {metric: threshold}
     status_bonuses: dict = field(default_factory=dict)  # column -> {value: points}
     fund_weight: float = 0.7
     trend_weight: float = 0.3
@@ -34,7 +38,16 @@ class Strategy:
         return self.base_score + sum(float(p) for p in self.points.values() if p > 0) + bonuses
 
     def lower(self, metric: str) -> bool:
-        return metric in self.lower_is_better or metric.endswith("_max")
+        told = self.directions.get(metric)
+        return told == "lower" if told in ("lower", "higher") else metric in self.lower_is_better or metric.endswith("_max")
+
+    def threshold(self, metric: str) -> float | None:
+        """The strategy's own, else that of all strategies, else the first group's that has one."""
+        groups = [g for g in self.defaults.values() if isinstance(g, dict)]
+        for table in (self.thresholds, {k: v for k, v in self.defaults.items() if not isinstance(v, dict)}, *groups):
+            if metric in table:
+                return float(table[metric])
+        return None
 
 
 #: An example over the columns of a candidate.
@@ -73,7 +86,7 @@ def metric_points(strategy: Strategy, metric: str, has_payout: bool) -> Column:
     """All points beyond the threshold, or linear ones; a dividend counts beyond its threshold only, and half if all that is
     earned, or more, is paid out."""
     x, most = F.col(metric), float(strategy.points[metric])
-    beyond = x <= strategy.thresholds[metric] if strategy.lower(metric) else x >= strategy.thresholds[metric]
+    beyond = x <= strategy.threshold(metric) if strategy.lower(metric) else x >= strategy.threshold(metric)
     if metric in LINEAR:
         low, target = LINEAR[metric]
         got = _clip((x - low) / (target - low), 0.0, 1.0) * most
@@ -88,16 +101,18 @@ def legacy_score(df: DataFrame, strategy: Strategy | None = STRATEGY) -> DataFra
     """df with quant_score (0 to 100), quant_score_normalized (before rounding and cap), rank within the sector (the mean of
     tied ranks) and strategy_name. Columns of intermediate sums don't show. Without a strategy the score is 0.
 
-    Scores are set apart for ranking by a hash of the code, of less than a thousandth."""
+    Points go to their metric's category: base, value, growth and quality make the fundamental part, trend the part of
+    indicators, final_adjustment what is added in the end. A category of another name (a penalty, which no sum takes) doesn't
+    count. Scores are set apart for ranking by a hash of the code, of less than a thousandth."""
     if strategy is None:
         return df.withColumns({"quant_score": F.lit(0.0), "strategy_name": F.lit("")})
     d = as_numbers(df, strategy)
-    sums: dict[str, list[Column]] = {"value": [], "growth": [], "quality": []}
+    sums: dict[str, list[Column]] = {"base": [], "value": [], "growth": [], "quality": [], "trend": [F.lit(50.0)], "final_adjustment": []}
     for metric in strategy.points:
         cat = strategy.categories.get(metric, "quality")
-        if metric in d.columns and metric in strategy.thresholds and cat in sums:
+        if metric in d.columns and strategy.threshold(metric) is not None and cat in sums:
             sums[cat].append(metric_points(strategy, metric, "payout_ratio" in d.columns))
-    trend, bonuses = [F.lit(50.0)], []
+    trend, bonuses = sums["trend"], sums["final_adjustment"]
     if "macd_hist" in d.columns:
         m = F.col("macd_hist")
         trend.append(F.when(m > 0, 5 + _clip(m * 2, 0.0, 5.0)).when(m < 0, -5 + _clip(m * 2, -5.0, 0.0)).otherwise(0.0))
@@ -110,26 +125,26 @@ def legacy_score(df: DataFrame, strategy: Strategy | None = STRATEGY) -> DataFra
             if points > 0:
                 sums["growth"].append(bonuses[-1])
     add = lambda parts: sum(parts, F.lit(0.0))
-    fund = add([F.lit(strategy.base_score), *sums["value"], *sums["growth"], *sums["quality"]])
-    d = d.withColumns({"fund_norm": _clip(fund / max(strategy.most_fund(), 1.0) * 100, 0.0, 100.0), "trend_norm": _clip(add(trend) / MOST_TREND * 100, 0.0, 100.0), "score_final_adj": add(bonuses)})
+    fund = add([F.lit(strategy.base_score), *sums["base"], *sums["value"], *sums["growth"], *sums["quality"]])
+    d = d.withColumns({"_own_fund": _clip(fund / max(strategy.most_fund(), 1.0) * 100, 0.0, 100.0), "_own_trend": _clip(add(trend) / MOST_TREND * 100, 0.0, 100.0), "_own_bonus": add(bonuses)})
     size = F.when(F.col("market_cap") >= 100, 1.0).when(F.col("market_cap") >= 30, 0.8).otherwise(0.5) if "market_cap" in d.columns else F.lit(1.0)
-    d = d.withColumn("raw_score", (F.col("fund_norm") * strategy.fund_weight + F.col("trend_norm") * strategy.trend_weight + F.col("score_final_adj")) * size)
-    d = d.withColumn("quant_score_normalized", _clip(F.col("raw_score"), 0.0, 100.0))
-    d = d.withColumn("raw_with_noise", F.round(F.col("quant_score_normalized") + F.ascii(F.substring(F.md5(F.col("code").cast("string")), 1, 1)) % 10 * 1e-4, 9))
-    by_sector = Window.partitionBy("sector").orderBy(F.desc("raw_with_noise"))
-    tied = F.count("*").over(Window.partitionBy("sector", "raw_with_noise"))
+    d = d.withColumn("_own_raw", (F.col("_own_fund") * strategy.fund_weight + F.col("_own_trend") * strategy.trend_weight + F.col("_own_bonus")) * size)
+    d = d.withColumn("quant_score_normalized", _clip(F.col("_own_raw"), 0.0, 100.0))
+    d = d.withColumn("_own_noisy", F.round(F.col("quant_score_normalized") + F.ascii(F.substring(F.md5(F.col("code").cast("string")), 1, 1)) % 10 * 1e-4, 9))
+    by_sector = Window.partitionBy("sector").orderBy(F.desc("_own_noisy"))
+    tied = F.count("*").over(Window.partitionBy("sector", "_own_noisy"))
     score = F.round(F.col("quant_score_normalized") + 1e-9, 2)
     if "rsi_14" in d.columns:
         score = F.when(F.abs(F.col("rsi_14") - 50) < 0.1, _clip(score, 0.0, 50.0)).otherwise(score)
     d = d.withColumns({"rank": F.rank().over(by_sector) + (tied - 1) / 2, "quant_score": score, "strategy_name": F.lit(strategy.name)})
-    return d.select(*[c for c in d.columns if c in CONTRACT or not c.startswith(PURGED)])
+    return d.select(*[c for c in d.columns if not c.startswith("_own_") and (c in CONTRACT or not c.startswith(PURGED))])
 
 
 def legacy_rank(df: DataFrame, bounds: dict[str, tuple[str, float]], by: str) -> DataFrame:
-    """bounds: column -> (min or max, value); rows without a value fail. Best first. One row a security is ranked."""
+    """bounds: column -> (min or max, value); rows without a value fail. Best first, ranked over ranges of the order."""
     for c, (side, v) in bounds.items():
         df = df.filter(F.col(c) >= v if side == "min" else F.col(c) <= v)
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), "code")))
+    return numbered(df, F.desc(by), F.col("code"))
 
 
 def filter_and_rank(df: DataFrame, strategy: Strategy, bypass: bool = False) -> DataFrame:

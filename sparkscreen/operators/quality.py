@@ -12,26 +12,26 @@ from ..functions.exprs import safe_float
 ESSENTIAL = ("code", "price", "verdict")
 
 
-def contract_check(df: DataFrame, essential: tuple[str, ...] = ESSENTIAL) -> DataFrame:
-    """column, n_bad: nulls and NaNs; a missing column counts all rows."""
+def missing(df: DataFrame, c: str) -> Column:
+    """Whether a row has no value in a column: null, NaN, or no such column."""
     kinds = dict(df.dtypes)
+    if c not in kinds:
+        return F.lit(True)
+    return F.col(c).isNull() | (F.coalesce(F.isnan(c), F.lit(False)) if kinds[c] in ("double", "float") else F.lit(False))
 
-    def bad(c: str) -> Column:
-        if c not in kinds:
-            return F.count("*")
-        nan = F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)
-        return F.count_if(F.col(c).isNull() | F.coalesce(nan, F.lit(False)))
 
-    one = df.agg(*[bad(c).alias(c) for c in essential])
+def contract_check(df: DataFrame, essential: tuple[str, ...] = ESSENTIAL) -> DataFrame:
+    """column, n_bad: nulls and NaNs; a missing column counts all rows."""
+    one = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in essential])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_bad")) for c in essential])).alias("x")).select("x.*")
 
 
 def require_contract(df: DataFrame, essential: tuple[str, ...] = ESSENTIAL) -> DataFrame:
-    """df itself; a row that breaks the contract stops the job that reads it."""
-    missing = [c for c in essential if c not in df.columns]
-    if missing:
-        raise ValueError(f"columns are missing: {missing}")
-    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in essential])
+    """df itself; a row that breaks the contract, by a null or NaN, stops the job that reads it."""
+    absent = [c for c in essential if c not in df.columns]
+    if absent:
+        raise ValueError(f"columns are missing: {absent}")
+    ok = reduce(lambda a, b: a & b, [~missing(df, c) for c in essential])
     return df.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("an essential value is missing")).cast("boolean")))
 
 

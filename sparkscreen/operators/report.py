@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
+from .ranks import numbered
 
 
 def with_sources(df: DataFrame) -> DataFrame:
@@ -32,9 +33,11 @@ def with_sources(df: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Ranks by score, then code. The rank is over one row a code; a limit keeps the top of a report."""
-    out = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("quant_score"), "code")))
-    return out if limit is None else out.filter(F.col("rank") <= limit)
+    """Ranks by score, then code, over ranges of the order. A limit keeps the top of a report, which is ranked alone."""
+    order = F.desc_nulls_last("quant_score"), F.col("code")
+    if limit is None:
+        return numbered(df, *order)
+    return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 #: The columns of a report.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.paths import shared_path
+from ..sources.paths import stored
 
 #: Fixed values: (price below, most change in a day).
 PRICE_LIMITS = (
@@ -16,6 +17,7 @@ PRICE_LIMITS = (
 )
 LIKELY, NEAR, GAP_DAYS, MATCH = 1.9, 0.05, 7, 0.12
 BEFORE, AFTER, APART = 14, 5, 10
+LOOK_BACK = 3  # rows before a row that its limit depends on
 
 
 def by_code():
@@ -39,11 +41,14 @@ def _hit(prev: Column, cur: Column) -> Column:
     return F.when(F.coalesce(big, F.lit(False)), F.when(cur > prev, 1).otherwise(-1)).otherwise(0)
 
 
-def impossible_jump(bars: DataFrame) -> DataFrame:
+def impossible_jump(bars: DataFrame, keys: tuple[str, ...] = ("code",), place: Column | None = None) -> DataFrame:
     """Adds prev_price, prev_date and impossible: a change beyond the day's limit, unless the two days before both hit
-    their limits the same way, which widens it."""
-    lag = lambda n: F.lag("price", n).over(by_code())
-    d = bars.select("*", lag(1).alias("_p1"), lag(2).alias("_p2"), lag(3).alias("_p3"), F.lag("entry_date").over(by_code()).alias("prev_date"), F.row_number().over(by_code()).alias("_n"))
+    their limits the same way, which widens it. keys: whose bars these are; place: a bar's number among all bars of its
+    code, if these aren't all."""
+    own = Window.partitionBy(*keys).orderBy("entry_date")
+    lag = lambda n: F.lag("price", n).over(own)
+    n = F.row_number().over(own) if place is None else place
+    d = bars.select("*", lag(1).alias("_p1"), lag(2).alias("_p2"), lag(3).alias("_p3"), F.lag("entry_date").over(own).alias("prev_date"), n.alias("_n"))
     one, two = _hit(F.col("_p2"), F.col("_p1")), _hit(F.col("_p3"), F.col("_p2"))
     widened = (F.col("_n") > 3) & (one != 0) & (one == two)
     beyond = (F.col("_p1") > 0) & (F.col("price") > 0) & (F.abs(F.col("price") - F.col("_p1")) > price_limit(F.col("_p1")))
@@ -58,12 +63,24 @@ def infer_splits(bars: DataFrame) -> DataFrame:
     return j.filter(ok).select("code", F.col("entry_date").alias("split_date"), F.when(F.col("_r") >= 1, F.col("_w")).otherwise(1 / F.col("_w")).alias("ratio"))
 
 
+def plausible(events: DataFrame) -> DataFrame:
+    """Events of a ratio that a jump can show."""
+    return events.filter(F.col("ratio").between(0.02, 100) & (F.col("ratio") != 1) & (F.abs(F.ln("ratio")) >= F.ln(F.lit(LIKELY)))).withColumn("ratio", F.col("ratio").cast("double"))
+
+
+def _stretch(date: Column) -> Column:
+    """A date's stretch of as many days as an event's window has."""
+    return F.floor(F.unix_date(date) / (BEFORE + AFTER)).cast("int")
+
+
 def split_jump(bars: DataFrame, events: DataFrame) -> DataFrame:
     """For each event (code, split_date, ratio) the day of the jump that fits it best, if one fits: a range join on
-    code and days, then an arg-min; the earliest day wins a tie."""
-    e = events.filter(F.col("ratio").between(0.02, 100) & (F.col("ratio") != 1) & (F.abs(F.ln("ratio")) >= F.ln(F.lit(LIKELY))))
+    code and days, then an arg-min; the earliest day wins a tie. Both meet by code and stretch of days, an event in each
+    stretch that its days reach, so a code with many events and jumps isn't all pairs of them."""
+    e = plausible(events)
     hit = impossible_jump(bars.join(e.select("code").distinct(), "code", "left_semi")).filter("impossible").select("code", F.col("entry_date").alias("jump_date"), "prev_price", "price")
-    near = e.join(hit, "code").filter(F.col("jump_date").between(F.date_sub("split_date", BEFORE), F.date_add("split_date", AFTER)))
+    e = e.withColumn("_s", F.explode(F.sequence(_stretch(F.date_sub("split_date", BEFORE)), _stretch(F.date_add("split_date", AFTER)))))
+    near = e.join(hit.withColumn("_s", _stretch(F.col("jump_date"))), ["code", "_s"]).filter(F.col("jump_date").between(F.date_sub("split_date", BEFORE), F.date_add("split_date", AFTER)))
     near = near.withColumn("err", F.abs(F.ln(F.col("prev_price") / F.col("price")) - F.ln("ratio"))).filter(F.col("err") <= MATCH)
     return near.groupBy("code", "split_date", "ratio").agg(F.min(F.struct("err", "jump_date"))["jump_date"].alias("jump_date"))
 
@@ -80,54 +97,62 @@ def apply_once(bars: DataFrame, events: DataFrame) -> DataFrame:
     return j.withColumns(out).select(*bars.columns)
 
 
+def _event_rows(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """Events that can be applied, in a code's order (k), each with the first and last row (numbers lo, hi) of its days, in
+    clusters: an event belongs to the cluster of the one before if that one's jump could be a row that it looks at. r: its
+    place in the cluster. Events without a row in their days find no jump and are left out."""
+    e = plausible(events).withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("split_date", "ratio")))
+    e = e.withColumn("_s", F.explode(F.sequence(_stretch(F.date_sub("split_date", BEFORE)), _stretch(F.date_add("split_date", AFTER)))))
+    met = e.join(rows.select("code", "i", "entry_date", _stretch(F.col("entry_date")).alias("_s")), ["code", "_s"]).filter(F.col("entry_date").between(F.date_sub("split_date", BEFORE), F.date_add("split_date", AFTER)))
+    e = met.groupBy("code", "k", "ratio").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    order = Window.partitionBy("code").orderBy("k")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumn("_new", F.coalesce(F.col("lo") - LOOK_BACK >= reached, F.lit(True)).cast("int"))
+    e = e.withColumn("cluster", F.sum("_new").over(order))
+    return e.withColumn("r", F.row_number().over(Window.partitionBy("code", "cluster").orderBy("k"))).drop("_new")
+
+
+def jumps_in_order(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """code, k, jump_date, ratio: the jump of each event that has one, events by code in the order k of their dates, each
+    searched in the prices that the earlier ones left.
+
+    An event changes only prices before its jump, so what a later one sees differs by those events alone whose jump is
+    among the rows that it looks at. Such events make a cluster; a cluster has its own copy of the few rows that its events
+    look at, and all clusters of all codes go through their events at once, the r-th in round r. A round is one exchange by
+    cluster, written so that the next starts from a table; there are as many rounds as the largest cluster has events."""
+    with_events = plausible(events).select("code").distinct()
+    rows = stored(bars.join(with_events, "code", "left_semi").select("code", "entry_date", F.col("price").cast("double").alias("price"), F.row_number().over(by_code()).alias("i")), "split-rows")
+    e = stored(_event_rows(events, rows), "split-events")
+    spans = e.groupBy("code", "cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("r").alias("last"))
+    work = spans.select("code", "cluster", "last", F.explode(F.sequence(F.greatest(F.col("lo") - LOOK_BACK, F.lit(1)), F.col("hi"))).alias("i")).join(rows, ["code", "i"])
+    cluster = Window.partitionBy("code", "cluster")
+    found = []
+    for r in range(1, (e.agg(F.max("r")).first()[0] or 0) + 1):
+        now = e.filter(F.col("r") == r).select("code", "cluster", "k", "ratio", "lo", "hi")
+        j = impossible_jump(work.filter(F.col("last") >= r), ("code", "cluster"), F.col("i")).join(now, ["code", "cluster"])
+        err = F.abs(F.ln(F.col("prev_price") / F.col("price")) - F.ln("ratio"))
+        fits = F.col("impossible") & F.col("i").between(F.col("lo"), F.col("hi")) & (err <= MATCH)
+        best = F.min(F.when(fits, F.struct(err.alias("err"), "i"))).over(cluster)["i"]
+        j = stored(j.withColumn("jump", best), "split-round")
+        found.append(j.filter("i = jump").select("code", "k", F.col("entry_date").alias("jump_date"), "ratio"))
+        work = j.select("code", "cluster", "last", "i", "entry_date", F.when(F.col("i") < F.col("jump"), F.col("price") / F.col("ratio")).otherwise(F.col("price")).alias("price"))
+    none = e.limit(0).select("code", "k", F.lit(None).cast("date").alias("jump_date"), "ratio")
+    return functools.reduce(DataFrame.unionByName, found, none)
+
+
 def apply_splits(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """All events, each searched in what the earlier ones left, as limits are in money. Only codes with events are
-    grouped, one group a code's history (thousands of rows); the others pass by."""
+    """All events, each searched in what the earlier ones left, as limits are in money: prices before an event's jump are
+    divided by its ratio, volume multiplied. Codes without events pass by; the others are read for their events' rows, and
+    once to be changed."""
     prices = [c for c in ("open", "high", "low", "price", "adj_close") if c in bars.columns]
-    bars = bars.withColumn("volume", F.col("volume").cast("double")) if "volume" in bars.columns else bars
-    touched = bars.join(events.select("code").distinct(), "code", "left_semi")
-    rest = bars.join(events.select("code").distinct(), "code", "left_anti")
-
-    def adjust(own: pd.DataFrame, ev: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        own = own.sort_values("entry_date", ignore_index=True)
-        days = pd.to_datetime(own["entry_date"]).to_numpy().astype("datetime64[D]")
-        money = own[prices].to_numpy(float, copy=True)
-        p = money[:, prices.index("price")]  # a view: it follows what is done to money
-        volume = own["volume"].to_numpy(float, copy=True) if "volume" in own else None
-        for day, ratio in ev.sort_values(["split_date", "ratio"])[["split_date", "ratio"]].itertuples(index=False):
-            if not (0.02 <= ratio <= 100) or ratio == 1 or abs(np.log(ratio)) < np.log(LIKELY):
-                continue
-            day = np.datetime64(day, "D")
-            lo, hi = np.searchsorted(days, day - BEFORE, "left"), np.searchsorted(days, day + AFTER, "right")
-            best = min(((abs(np.log(p[i - 1] / p[i]) - np.log(ratio)), i) for i in range(max(lo, 1), hi) if _impossible(p, i)), default=None)
-            if best and best[0] <= MATCH:
-                money[: best[1]] /= ratio
-                if volume is not None:
-                    volume[: best[1]] *= ratio
-        own[prices] = money
-        if volume is not None:
-            own["volume"] = volume
-        return own
-
-    ev = events.select(F.concat("code", F.lit("")).alias("ev_code"), F.col("split_date").alias("split_date"), F.col("ratio").alias("ratio"))
-    return touched.groupBy("code").cogroup(ev.groupBy("ev_code")).applyInPandas(adjust, touched.schema).unionByName(rest)
-
-
-def _limit(x: float) -> float:
-    return next((float(n) for p, n in PRICE_LIMITS if x < p), x * 0.3)
-
-
-def _impossible(p, i: int) -> bool:
-    def hit(j: int) -> int:
-        if j < 1 or not (p[j - 1] > 0 and p[j] > 0) or abs(p[j] - p[j - 1]) < 0.8 * _limit(p[j - 1]):
-            return 0
-        return 1 if p[j] > p[j - 1] else -1
-
-    if not (p[i - 1] > 0 and p[i] > 0) or abs(p[i] - p[i - 1]) <= _limit(p[i - 1]):
-        return False
-    return not (i >= 3 and hit(i - 1) != 0 and hit(i - 1) == hit(i - 2))
+    bars = bars.withColumns({c: F.col(c).cast("double") for c in (*prices, "volume") if c in bars.columns})
+    jumps = jumps_in_order(bars, events).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("k", "jump_date", "ratio"))).alias("_jumps"))
+    after = F.filter("_jumps", lambda x: F.col("entry_date") < x["jump_date"])
+    change = lambda c, f: F.when(F.col("_jumps").isNull(), F.col(c)).otherwise(F.aggregate(after, F.col(c), f))
+    out = {c: change(c, lambda acc, x: acc / x["ratio"]) for c in prices}
+    if "volume" in bars.columns:
+        out["volume"] = change("volume", lambda acc, x: acc * x["ratio"])
+    return bars.join(jumps, "code", "left").withColumns(out).select(*bars.columns)
 
 
 def dedup_events(events: DataFrame, known: DataFrame | None = None, order: str | None = None) -> DataFrame:
@@ -156,11 +181,8 @@ def dedup_events(events: DataFrame, known: DataFrame | None = None, order: str |
 
 def adjust_history(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Recorded events, then those inferred from the result, then the result's own adjustment; changed tells codes whose
-    prices moved. What the recorded events leave is written once, as three steps read it."""
-    spark, path = bars.sparkSession, shared_path(bars.sparkSession, "adjusted")
-    first = apply_splits(bars, dedup_events(events))
-    first.write.parquet(path)
-    first = spark.read.schema(first.schema).parquet(path)
+    prices moved."""
+    first = stored(apply_splits(bars, dedup_events(events)), "adjusted")
     second = apply_splits(first, infer_splits(first))
     old = bars.select("code", "entry_date", F.col("price").alias("_old"))
     both = second.join(old, ["code", "entry_date"])

@@ -461,4 +461,71 @@ _SQL |= {
     "src_report_csv": f"""{_REPORT} SELECT CAST("Rank" AS VARCHAR) AS "Rank", "Code", "Market", nullif("Market_Cap", '-') AS "Market_Cap", nullif("PER", '-') AS "PER", nullif("Profit_Growth", '-') AS "Profit_Growth", nullif("RSI", '-') AS "RSI", "Trend" FROM report""",
 }
 
+
+_GOING_ON = f"code, entry_date, {rs('ma25, ma75, bb_sigma, macd, macd_signal, macd_hist', 4)}, macd_status, {r('rsi_14', 4)}"
+
+
+def _rounds(bars: str, events: str, out: str) -> str:
+    """Two recursive relations: the bars of codes with events, after each event in its order; out has the last ones and the
+    bars of all other codes. The k-th round looks for the jump of the k-th event in what the rounds before left."""
+    jumps = _JUMPS.replace("{bars}", f"{out}_r")
+    return f"""{out}_e AS (SELECT code, split_date, CAST(ratio AS DOUBLE) AS ratio, row_number() OVER (PARTITION BY code ORDER BY split_date, ratio) AS k FROM {events} WHERE ratio BETWEEN 0.02 AND 100 AND ratio <> 1 AND abs(ln(ratio)) >= ln(1.9)),
+      {out}_r AS (SELECT 0 AS k, code, entry_date, price, CAST(volume AS DOUBLE) AS volume FROM {bars} WHERE code IN (SELECT code FROM {out}_e)
+        UNION ALL SELECT k, code, entry_date, price / f, volume * f FROM (
+          SELECT k + 1 AS k, code, entry_date, price, volume, CASE WHEN entry_date < (min(fit) OVER (PARTITION BY code)).d THEN ratio ELSE 1.0 END AS f FROM (
+            SELECT j.*, e.ratio, CASE WHEN impossible AND entry_date BETWEEN e.split_date - 14 AND e.split_date + 5 AND abs(ln(p1 / price) - ln(e.ratio)) <= 0.12 THEN {{'err': abs(ln(p1 / price) - ln(e.ratio)), 'd': entry_date}} END AS fit
+            FROM ({jumps}) j LEFT JOIN {out}_e e ON e.code = j.code AND e.k = j.k + 1)) WHERE k <= (SELECT coalesce(max(k), 0) FROM {out}_e)),
+      {out} AS MATERIALIZED (SELECT code, entry_date, price, volume FROM {out}_r WHERE k = (SELECT coalesce(max(k), 0) FROM {out}_e)
+        UNION ALL SELECT code, entry_date, price, CAST(volume AS DOUBLE) FROM {bars} WHERE code NOT IN (SELECT code FROM {out}_e))"""
+
+
+MORE |= {
+    "changed_bars": "SELECT * REPLACE (CASE WHEN entry_date >= DATE '2001-06-01' AND entry_date < DATE '2001-06-20' AND CAST(code AS BIGINT) % 7 = 3 THEN price * 1.5 ELSE price END AS price) FROM {bars}",
+    "changed_ind": _indicators("{changed_bars}"),
+    "s_judged": f"SELECT f.*, l.* EXCLUDE (code), {_REASONS} AS filter_reason FROM {{s_fixed}} f LEFT JOIN {{liq}} l ON f.code = l.code",
+    "hand_s": _HAND.replace("{inputs}", "{s_judged}"),
+    "hand_s_scored": f"SELECT *, {_hand_total((1, 1, 1, 1, 1))} AS total FROM {{hand_s}}",
+}
+_TARGETS = "coalesce(market, 'None') NOT IN ('ASIA', 'EUROPE')"
+_SQL |= {
+    "indicators_resumed": f"SELECT {_GOING_ON} FROM {{ind}} WHERE isodow(entry_date) < 6 AND entry_date >= DATE '2001-03-01'",
+    "indicators_renewed": f"""SELECT {_GOING_ON} FROM {{changed_ind}} WHERE isodow(entry_date) < 6 AND (entry_date >= DATE '2001-03-01'
+        OR code IN (SELECT code FROM {{bars}} WHERE entry_date >= DATE '2001-06-01' AND entry_date < DATE '2001-06-20' AND CAST(code AS BIGINT) % 7 = 3))""",
+    "stored_bars_rsi": _SQL["tech_rsi"],
+    "stored_bars_recent": f"SELECT code, entry_date, {r('price')}, volume FROM {{bars}} WHERE entry_date >= DATE '2001-05-15' AND code IN (SELECT code FROM {{stocks}} WHERE market = 'ASIA')",
+    "monthly_merge": _SQL["merge_history"],
+    "monthly_partial": f"""SELECT coalesce(o.code, n.code) AS code, coalesce(o.entry_date, n.entry_date) AS entry_date, {r('CASE WHEN n.code IS NOT NULL THEN n.price * 2 ELSE o.price END', name='price')}, o.volume AS volume
+        FROM {{old_bars}} o FULL JOIN (SELECT * FROM {{new_bars}} WHERE volume % 3 = 0) n ON o.code = n.code AND o.entry_date = n.entry_date""",
+    "prefilter_markets": f"""SELECT code, coalesce(filter_reason, CASE WHEN {_TARGETS} THEN '対象外市場' END) AS filter_reason,
+        coalesce(filter_detail, CASE WHEN {_TARGETS} THEN '指定対象市場 ([''ASIA'', ''EUROPE'']) に含まれない市場 (' || coalesce(market, 'None') || ')' END) AS filter_detail FROM {{filtered}}""",
+    "repair_scaled": f"""SELECT code, {r('CASE WHEN abs(x) > 0 AND abs(x) < 0.5 THEN x * 100 ELSE x END', name='roe')}, {r('greatest(0, least(100, CASE WHEN abs(y) > 0 AND abs(y) < 0.5 THEN y * 100 ELSE y END))', name='equity_ratio')}
+        FROM (SELECT code, roe / 50 AS x, equity_ratio AS y FROM {{fundamentals}}) WHERE y IS NOT NULL
+        UNION ALL SELECT code, {r('CASE WHEN abs(roe / 50) > 0 AND abs(roe / 50) < 0.5 THEN roe / 50 * 100 ELSE roe / 50 END', name='roe')}, NULL FROM {{fundamentals}} WHERE equity_ratio IS NULL""",
+    "report_top": f"SELECT CAST(row_number() OVER (ORDER BY g.total DESC NULLS LAST, code) AS INTEGER) AS rank, code, {r('total', name='quant_score')}, grade AS verdict FROM {{hand_graded}} g QUALIFY rank <= 25",
+    "report_ranks": f"SELECT CAST(row_number() OVER (ORDER BY g.total DESC NULLS LAST, code) AS INTEGER) AS rank, code, {r('total', name='quant_score')}, grade AS verdict FROM {{hand_graded}} g",
+    "top_candidates": f"""SELECT code, {r('total', name='quant_score')}, grade AS verdict FROM {{hand_graded}} WHERE grade IN ('Grade S', 'Grade A') OR NOT (SELECT coalesce(bool_or(grade IN ('Grade S', 'Grade A')), false) FROM {{hand_graded}})
+        ORDER BY total DESC, code LIMIT 10""",
+    "grade_map": "SELECT code, CASE old_grade WHEN 'STRONG_BUY' THEN 'Grade S' WHEN 'BUY' THEN 'Grade A' WHEN 'WATCH' THEN 'Grade B' WHEN 'PASS' THEN 'Grade C' END AS grade FROM {hand_graded}",
+    "contract_check": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({x} IS NULL OR {n}) AS n_bad FROM {{hand_graded}}" for c, x, n in (("code", "code", "false"), ("price", "price", "isnan(price)"), ("verdict", "grade", "false"), ("equity_ratio", "equity_ratio", "isnan(equity_ratio)"))) + " UNION ALL SELECT 'not_there', count(*) FROM {hand_graded}",
+    "screen": f"""SELECT code, {r('price', 4)}, filter_reason, {r('CASE WHEN filter_reason IS NULL THEN total END', 4, 'quant_score')},
+        CASE WHEN filter_reason IS NULL THEN {_hand_grade('total', _GRADE_NAMES)} END AS verdict FROM {{hand_s_scored}}""",
+    "legacy_categories": f"""{_LEGACY.split(chr(10) + '    p AS')[0].rstrip(',')},
+        p AS (SELECT *, greatest(0, least(100, (50 + CASE WHEN eq >= 40 THEN 8 ELSE 0 END + CASE WHEN de <= 150 THEN 5 ELSE 0 END + CASE WHEN ts = 'turnaround_black' THEN 6 ELSE 0 END) / 92.0 * 100)) AS fund,
+          greatest(0, least(100, (50 + 10 * CASE WHEN roe <= 5 THEN 0 WHEN roe >= 15 THEN 1 ELSE (roe - 5) / 10 END + CASE WHEN mh > 0 THEN 5 + least(5, mh * 2) WHEN mh < 0 THEN -5 + greatest(-5, mh * 2) ELSE 0 END + greatest(-15, least(15, (50 - rsi) * 0.5))) / 45.0 * 100)) AS trend,
+          CASE WHEN pbr >= 1 THEN 6 ELSE 0 END + CASE ts WHEN 'turnaround_black' THEN 6 WHEN 'turnaround_white' THEN -8 ELSE 0 END AS adj, CASE WHEN cap >= 100 THEN 1.0 WHEN cap >= 30 THEN 0.8 ELSE 0.5 END AS size FROM v),
+        q AS (SELECT code, rsi, CAST(greatest(0, least(100, (fund * 0.7 + trend * 0.3 + adj) * size)) AS DOUBLE) AS n FROM p)
+        SELECT code, {r('n', name='quant_score_normalized')}, {r('CASE WHEN abs(rsi - 50) < 0.1 THEN least(50.0, round(n + 1e-9, 2)) ELSE round(n + 1e-9, 2) END', name='quant_score')} FROM q""",
+    "apply_splits": f"WITH RECURSIVE {_rounds('{bars}', '{events_split}', 'applied')} SELECT code, entry_date, {r('price')}, {r('volume')} FROM applied",
+}
+
+_SQL["adjust_history_log"] = f"""WITH RECURSIVE dated AS (SELECT code, split_date, ratio, row_number() OVER (PARTITION BY code ORDER BY split_date, ratio) AS i FROM {{events_split}} WHERE ratio BETWEEN 0.02 AND 100 AND ratio <> 1),
+    judged AS (SELECT code, i, split_date AS kept_on, true AS kept, split_date, ratio FROM dated WHERE i = 1
+      UNION ALL SELECT d.code, d.i, CASE WHEN d.split_date - j.kept_on > 10 THEN d.split_date ELSE j.kept_on END, d.split_date - j.kept_on > 10, d.split_date, d.ratio FROM judged j JOIN dated d ON d.code = j.code AND d.i = j.i + 1),
+    recorded AS (SELECT code, split_date, ratio FROM judged WHERE kept),
+    {_rounds('{bars}', 'recorded', 'adjusted')},
+    guessed AS MATERIALIZED ({MORE['inferred'].replace('{jumps}', '(' + _JUMPS.replace('{bars}', 'adjusted') + ')')}),
+    {_rounds('adjusted', 'guessed', 'again')}
+    SELECT a.code, a.entry_date, {r('ln(a.price)', name='log_price')}, {r('ln(a.volume)', name='log_volume')}, bool_or(coalesce(abs(a.price / b.price - 1) > 1e-12, false)) OVER (PARTITION BY a.code) AS changed
+    FROM again a JOIN {{bars}} b ON a.code = b.code AND a.entry_date = b.entry_date"""
+
 ORACLE_SQL = {k: oracle(v, MORE) for k, v in _SQL.items()}

@@ -5,6 +5,7 @@ Values that come out of long sums are rounded to 6 decimals after a nudge, here
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from ..config import ScreenConfig
 from ..functions.exprs import date_text, rounded, safe_float
 from ..operators import filings, fundamentals, history, legacy, quality, report, scoring, splits, tables
+from ..operators import indicator_state as states
 from ..operators import technicals as tech
 from ..operators.liquidity import liquidity
 from ..operators.prefilter import prefilter
 from ..sources import loads
-from ..sources.paths import shared_path
+from ..sources.paths import shared_path, stored
+from ..sources.stored_bars import MonthlyBars, read_bucketed, store_bucketed
 from ..sources.views import sql, view
 from ..streaming import events as streams
 from . import screen as plan
@@ -591,6 +594,14 @@ def adjust_history(spark, d):
     return out(splits.adjust_history(g.bars, g.events_split), "code", "entry_date", "price", "volume", "changed")
 
 
+@query
+def adjust_history_log(spark, d):
+    """As logarithms, as many splits in a row make numbers of any size."""
+    g = Given(spark, d)
+    found = splits.adjust_history(g.bars, g.events_split)
+    return out(found.withColumns({"log_price": F.ln("price"), "log_volume": F.ln("volume")}), "code", "entry_date", "log_price", "log_volume", "changed")
+
+
 @query
 def load_plan(spark, d):
     g = Given(spark, d)
@@ -822,3 +833,104 @@ def stream_settled_bars(spark, d):
     """A stream over the events, run to its end: days that the watermark has closed."""
     bars = streams.settled_bars(streams.read_events(spark, f"{d}/events*.parquet"))
     return out(streams.run_to_table(bars, streams.shared_path(spark, "stream")), "code", "entry_date", "price", "volume", "trading_value")
+
+
+#: Where a state is cut, and where the second piece of new bars begins.
+CUT, SECOND = "2001-03-01", "2001-10-20"
+_GOING_ON = ("code", "entry_date", "ma25", "ma75", "bb_sigma", "macd", "macd_signal", "macd_hist", "macd_status", "rsi_14")
+
+
+def _resumed(bars: DataFrame, again: DataFrame) -> DataFrame:
+    """Indicators of all bars from CUT on, in two pieces of new bars, each from the state before it. again: bars that come
+    with the second piece although a state has seen them."""
+    at = lambda day: F.lit(day).cast("date")
+    held = bars.filter(F.col("entry_date") < at(CUT))
+    state = stored(states.whole_run(held).state, "state")
+    first = states.advance(state, bars.filter(F.col("entry_date").between(F.date_sub(at(CUT), 10), F.date_sub(at(SECOND), 1))), bars)
+    later = bars.filter(F.col("entry_date") >= at(SECOND)).unionByName(again)
+    second = states.advance(stored(first.state, "state"), later, history.merge_history(bars, again))
+    renewed = second.rows.select("code", "entry_date")
+    return first.rows.join(renewed, ["code", "entry_date"], "left_anti").unionByName(second.rows, allowMissingColumns=True)
+
+
+@query
+def indicators_resumed(spark, d):
+    """New bars continue from saved states; some of them come twice."""
+    bars = stored(Given(spark, d).bars, "bars")
+    return out(_resumed(bars, bars.filter("entry_date >= date'2001-10-01' and entry_date < date'2001-10-20'")), *_GOING_ON, digits=4)
+
+
+@query
+def indicators_renewed(spark, d):
+    """A seventh of the codes comes with another old price: they are computed anew, and their whole history is returned."""
+    bars = stored(Given(spark, d).bars, "bars")
+    again = bars.filter("entry_date >= date'2001-06-01' and entry_date < date'2001-06-20' and cast(code as bigint) % 7 = 3").withColumn("price", F.col("price") * 1.5)
+    return out(_resumed(bars, again), *_GOING_ON, digits=4)
+
+
+def _bucketed(spark, d) -> str:
+    name = f"bars_{uuid.uuid4().hex}"
+    store_bucketed(Given(spark, d).bars, name, shared_path(spark, name), 4)
+    return name
+
+
+@query
+def stored_bars_rsi(spark, d):
+    """Indicators over a table that is bucketed by code."""
+    return out(tech.add_rsi(tech.priced(read_bucketed(spark, _bucketed(spark, d)))), "code", "entry_date", "rsi_14", digits=4)
+
+
+@query
+def stored_bars_recent(spark, d):
+    """Days that prune months of a bucketed table."""
+    codes = Given(spark, d).stocks.filter("market = 'ASIA'").select("code")
+    return out(read_bucketed(spark, _bucketed(spark, d), since="2001-05-15").join(codes, "code", "left_semi"), "code", "entry_date", "price", "volume")
+
+
+@query
+def monthly_merge(spark, d):
+    """Stored bars, then new ones merged into the months that they touch."""
+    g = Given(spark, d)
+    store = MonthlyBars(spark, shared_path(spark, "monthly"))
+    store.write(g.old_bars, lambda old, new: new)
+    store.write(g.new_bars, history.merge_history)
+    return out(store.read(), "code", "entry_date", "price", "volume")
+
+
+@query
+def monthly_partial(spark, d):
+    """Stored bars, then a source that brings some columns of some rows, as one write of the months that it touches."""
+    g = Given(spark, d)
+    store = MonthlyBars(spark, shared_path(spark, "monthly"))
+    store.write(g.old_bars, lambda old, new: new)
+    store.write(g.sql("SELECT code, price * 2 AS price, entry_date FROM {new_bars} WHERE volume % 3 = 0"), lambda old, new: tables.upsert(old, new, ["code", "entry_date"]))
+    return out(store.read(), "code", "entry_date", "price", "volume")
+
+
+@query
+def prefilter_markets(spark, d):
+    """The screen's filter with target markets."""
+    g = Given(spark, d)
+    return prefilter(fundamentals.repair(snapshot(g)), liquidity(g.bars), replace(CONFIG, target_markets=("ASIA", "EUROPE"))).select("code", "filter_reason", "filter_detail")
+
+
+@query
+def repair_scaled(spark, d):
+    """Ratios that look like fractions as percent, then the bounds."""
+    return out(fundamentals.repair_clip(Given(spark, d).fundamentals.withColumn("roe", F.col("roe") / 50), scale_below=0.5, most_per=30.0), "code", "roe", "equity_ratio")
+
+
+@query
+def report_top(spark, d):
+    """The report's first 25 ranks."""
+    return out(report.ranked(_scored(spark, d), limit=25), "rank", "code", "quant_score", "verdict")
+
+
+@query
+def legacy_categories(spark, d):
+    """The earlier scorer with points of indicators and of final adjustments, directions, and thresholds of all strategies."""
+    strategy = replace(
+        legacy.STRATEGY, points={"roe": 10, "pbr": 6, "equity_ratio": 8, "per": 7, "debt_equity_ratio": 5}, thresholds={"roe": 8}, defaults={"pbr": 1, "group": {"equity_ratio": 40, "pbr": 9}, "more": {"per": 15, "debt_equity_ratio": 150}},
+        categories={"roe": "trend", "pbr": "final_adjustment", "equity_ratio": "base", "per": "penalty", "debt_equity_ratio": "quality"}, directions={"pbr": "higher", "debt_equity_ratio": "lower"},
+    )
+    return out(legacy.legacy_score(_legacy(spark, d), strategy), "code", "quant_score_normalized", "quant_score")

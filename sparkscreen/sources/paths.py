@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 @functools.cache
@@ -27,3 +28,15 @@ def shared_path(spark: SparkSession, what: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_dir()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to a new path and read back."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_field(df: DataFrame, name: str) -> T.StructType:
+    """The schema of df and one more column of whole numbers."""
+    return T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
