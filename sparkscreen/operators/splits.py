@@ -17,7 +17,7 @@ PRICE_LIMITS = (
 )
 LIKELY, NEAR, GAP_DAYS, MATCH = 1.9, 0.05, 7, 0.12
 BEFORE, AFTER, APART = 14, 5, 10
-LOOK_BACK = 3  # rows before a row that its limit depends on
+LOOK_BACK, AT_ONCE = 3, 4  # rows before a row that its limit depends on; rounds between two writes
 
 
 def by_code():
@@ -118,24 +118,30 @@ def jumps_in_order(bars: DataFrame, events: DataFrame) -> DataFrame:
 
     An event changes only prices before its jump, so what a later one sees differs by those events alone whose jump is
     among the rows that it looks at. Such events make a cluster; a cluster has its own copy of the few rows that its events
-    look at, and all clusters of all codes go through their events at once, the r-th in round r. A round is one exchange by
-    cluster, written so that the next starts from a table; there are as many rounds as the largest cluster has events."""
+    look at, and all clusters of all codes go through their events at once, the r-th in round r. One exchange by cluster
+    serves AT_ONCE rounds, which are then written, so that the next ones start from a table; there are as many rounds as the
+    largest cluster has events."""
     with_events = plausible(events).select("code").distinct()
     rows = stored(bars.join(with_events, "code", "left_semi").select("code", "entry_date", F.col("price").cast("double").alias("price"), F.row_number().over(by_code()).alias("i")), "split-rows")
     e = stored(_event_rows(events, rows), "split-events")
-    spans = e.groupBy("code", "cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("r").alias("last"))
-    work = spans.select("code", "cluster", "last", F.explode(F.sequence(F.greatest(F.col("lo") - LOOK_BACK, F.lit(1)), F.col("hi"))).alias("i")).join(rows, ["code", "i"])
+    spans = e.groupBy("code", "cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("r", "k", "ratio", "lo", "hi"))).alias("events"))
+    work = spans.select("code", "cluster", "events", F.explode(F.sequence(F.greatest(F.col("lo") - LOOK_BACK, F.lit(1)), F.col("hi"))).alias("i")).join(rows, ["code", "i"])
     cluster = Window.partitionBy("code", "cluster")
-    found = []
-    for r in range(1, (e.agg(F.max("r")).first()[0] or 0) + 1):
-        now = e.filter(F.col("r") == r).select("code", "cluster", "k", "ratio", "lo", "hi")
-        j = impossible_jump(work.filter(F.col("last") >= r), ("code", "cluster"), F.col("i")).join(now, ["code", "cluster"])
-        err = F.abs(F.ln(F.col("prev_price") / F.col("price")) - F.ln("ratio"))
-        fits = F.col("impossible") & F.col("i").between(F.col("lo"), F.col("hi")) & (err <= MATCH)
-        best = F.min(F.when(fits, F.struct(err.alias("err"), "i"))).over(cluster)["i"]
-        j = stored(j.withColumn("jump", best), "split-round")
-        found.append(j.filter("i = jump").select("code", "k", F.col("entry_date").alias("jump_date"), "ratio"))
-        work = j.select("code", "cluster", "last", "i", "entry_date", F.when(F.col("i") < F.col("jump"), F.col("price") / F.col("ratio")).otherwise(F.col("price")).alias("price"))
+    found, most = [], e.agg(F.max("r")).first()[0] or 0
+    for first in range(1, most + 1, AT_ONCE):
+        work = work.filter(F.size("events") >= first)
+        for r in range(first, min(first + AT_ONCE, most + 1)):
+            now = F.try_element_at("events", F.lit(r))
+            j = impossible_jump(work, ("code", "cluster"), F.col("i"))
+            err = F.abs(F.ln(F.col("prev_price") / F.col("price")) - F.ln(now["ratio"]))
+            fits = F.col("impossible") & F.col("i").between(now["lo"], now["hi"]) & (err <= MATCH)
+            j = j.withColumn(f"jump{r}", F.min(F.when(fits, F.struct(err.alias("err"), "i"))).over(cluster)["i"])
+            work = j.withColumn("price", F.when(F.col("i") < F.col(f"jump{r}"), F.col("price") / now["ratio"]).otherwise(F.col("price"))).drop("impossible", "prev_price", "prev_date")
+        work = stored(work, "split-rounds")
+        jumps = [c for c in work.columns if c.startswith("jump")]
+        hit = F.filter(F.array(*[F.when(F.col("i") == F.col(c), F.lit(int(c[4:]))) for c in jumps]), lambda x: x.isNotNull())
+        found.append(work.select("code", "entry_date", F.explode(F.transform(hit, lambda r: F.try_element_at("events", r))).alias("e")).select("code", "e.k", F.col("entry_date").alias("jump_date"), "e.ratio"))
+        work = work.drop(*jumps)
     none = e.limit(0).select("code", "k", F.lit(None).cast("date").alias("jump_date"), "ratio")
     return functools.reduce(DataFrame.unionByName, found, none)
 
