@@ -72,7 +72,7 @@ class PieceCounter:
         for t in texts:
             lines = _LINE.split(t)
             cut.append(([p for line in lines for p in _cut(line)], len(lines) - 1))
-        new = set().union(*(p for p, _ in cut)) - kept.keys()
+        new = set().union(*(p for p, _ in cut)).difference(kept)
         here = dict(zip(new, self._lengths(list(new)), strict=True)) if new else {}
         long = {p: n for p, n in here.items() if len(p) > LONGEST_KEPT}
         kept.update((p, n) for p, n in here.items() if p not in long)
