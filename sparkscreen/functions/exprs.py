@@ -35,3 +35,8 @@ def date_text(c: Column) -> Column:
     t = F.trim(c)
     tries = [F.try_to_date(F.substring(t, 1, 10), f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd")] + [F.try_to_date(F.substring(t, 1, 8), "yyyyMMdd")]
     return F.coalesce(F.date_format(F.coalesce(*tries), "yyyy-MM-dd"), F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

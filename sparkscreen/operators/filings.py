@@ -203,3 +203,22 @@ def parsed_results(spark: SparkSession, path: str, version: int, code: str = r"(
     """Landed JSON results of the current parser version; the code is a part of the file's path, by default how its name begins."""
     df = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true").json(path).withColumn("code", F.regexp_extract(F.col("_metadata.file_path"), code, 1))
     return df.filter(F.col("parser_version") == version)
+
+
+#: The fields of landed results and their types, where a parser's version may have written another type.
+RESULT_FIELDS = {
+    "kind": "string", "period_end": "string", "submit_date": "string", "sales": "double", "net_profit": "double", "operating_income": "double", "net_assets": "double", "total_assets": "double",
+    "equity_ratio": "double", "shares_outstanding": "double", "eps": "double", "bps": "double", "dps": "double", "roe": "double",
+}
+
+
+def results_of_versions(spark: SparkSession, path: str, versions: tuple[int, ...], fields: dict[str, str] | None = None, code: str = r"([^/_.]+)[^/]*\.json$") -> DataFrame:
+    """Landed JSON results, one in a line, of several parser versions: code, parser_version and the fields.
+
+    A line becomes a variant once and each field is taken from it with its type, so files are read once, without a pass that
+    guesses a schema of all of them, and a field that versions wrote with different types (a number as text) is one column.
+    A value that can't be of the type is null, as is a field that a version lacks; a line that is no JSON gives no row."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.try_parse_json("value").alias("v"), F.regexp_extract(F.col("_metadata.file_path"), code, 1).alias("code"))
+    version = F.try_variant_get("v", "$.parser_version", "int")
+    rows = lines.filter(version.isin(*versions)).select("code", version.alias("parser_version"), *[F.try_variant_get("v", f"$.{c}", t).alias(c) for c, t in (fields or RESULT_FIELDS).items()])
+    return rows

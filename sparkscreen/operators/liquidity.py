@@ -10,7 +10,8 @@ def liquidity(bars: DataFrame, target_date: str | None = None, least_fill: float
     """code, avg_trading_value_20d, zero_volume_days_5d, latest_trade_date, is_recent_trade.
 
     The newest day is skipped if, of at least 100 rows over at least two days, less than least_fill percent of its rows
-    were traded. Dates are ranked among distinct dates, never among bars; what follows is one aggregate by code. A
+    were traded. Dates are ranked among distinct dates, never among bars; bars of older days than the 20 newest
+    don't go on to the aggregate by code. A
     target_date that the market has makes the days end there."""
     value = F.coalesce(F.col("trading_value"), F.col("volume") * F.col("price"), F.lit(0.0))
     rows = bars.select("code", "entry_date", "volume", value.alias("yen"))
@@ -24,7 +25,7 @@ def liquidity(bars: DataFrame, target_date: str | None = None, least_fill: float
         at = F.max(F.when(F.col("entry_date") == F.lit(target_date).cast("date"), F.col("rank"))).over(market)
         skip = F.coalesce(at - 1, thin)
     ranked = ranked.select("entry_date", "rank", (F.col("rank") - skip).alias("place"))
-    joined = rows.join(ranked, "entry_date")
+    joined = rows.join(F.broadcast(ranked.filter("place <= 20")), "entry_date")  # a few days of the market
     late = F.col("place").between(1, 20)
     last = F.col("place").between(1, 5)
     zero = (F.col("yen") <= 0) | (F.col("volume") <= 0) | F.col("volume").isNull()

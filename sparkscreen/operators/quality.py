@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_float
@@ -35,6 +35,29 @@ def require_contract(df: DataFrame, essential: tuple[str, ...] = ESSENTIAL) -> D
     return df.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("an essential value is missing")).cast("boolean")))
 
 
+class ContractError(ValueError):
+    """Rows that were written break the contract."""
+
+
+def write_observed(df: DataFrame, path: str, essential: tuple[str, ...] = ESSENTIAL, counts: dict[str, Column] | None = None, stop: bool = True) -> dict[str, int]:
+    """Write df, and count on the way: n, how many rows miss each essential value, and how many meet each condition of counts.
+
+    The write that happens anyway is the only pass. If the contract is broken, what was written is removed and the job ends
+    with an error; with stop=False it stays, and the counts tell."""
+    counts = counts or {}
+    seen = Observation()
+    told = [F.count(F.lit(1)).alias("n"), *[F.count_if(missing(df, c)).alias(f"missing {c}") for c in essential], *[F.count_if(F.coalesce(x, F.lit(False))).alias(f"count {k}") for k, x in counts.items()]]
+    df.observe(seen, *told).write.parquet(path)
+    got = {k: int(v) for k, v in seen.get.items()}
+    bad = {c: got[f"missing {c}"] for c in essential if got[f"missing {c}"]}
+    if bad and stop:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        raise ContractError(f"essential values are missing: {bad}")
+    return got
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, share: filled values."""
     one = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in columns])

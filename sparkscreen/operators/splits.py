@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import let
 from ..sources.paths import stored
 
 #: Fixed values: (price below, most change in a day).
@@ -17,7 +16,7 @@ PRICE_LIMITS = (
 )
 LIKELY, NEAR, GAP_DAYS, MATCH = 1.9, 0.05, 7, 0.12
 BEFORE, AFTER, APART = 14, 5, 10
-LOOK_BACK, AT_ONCE = 3, 4  # rows before a row that its limit depends on; rounds between two writes
+LOOK_BACK = 3  # rows before a row that its limit depends on
 
 
 def by_code():
@@ -41,14 +40,11 @@ def _hit(prev: Column, cur: Column) -> Column:
     return F.when(F.coalesce(big, F.lit(False)), F.when(cur > prev, 1).otherwise(-1)).otherwise(0)
 
 
-def impossible_jump(bars: DataFrame, keys: tuple[str, ...] = ("code",), place: Column | None = None) -> DataFrame:
+def impossible_jump(bars: DataFrame) -> DataFrame:
     """Adds prev_price, prev_date and impossible: a change beyond the day's limit, unless the two days before both hit
-    their limits the same way, which widens it. keys: whose bars these are; place: a bar's number among all bars of its
-    code, if these aren't all."""
-    own = Window.partitionBy(*keys).orderBy("entry_date")
-    lag = lambda n: F.lag("price", n).over(own)
-    n = F.row_number().over(own) if place is None else place
-    d = bars.select("*", lag(1).alias("_p1"), lag(2).alias("_p2"), lag(3).alias("_p3"), F.lag("entry_date").over(own).alias("prev_date"), n.alias("_n"))
+    their limits the same way, which widens it."""
+    lag = lambda n: F.lag("price", n).over(by_code())
+    d = bars.select("*", lag(1).alias("_p1"), lag(2).alias("_p2"), lag(3).alias("_p3"), F.lag("entry_date").over(by_code()).alias("prev_date"), F.row_number().over(by_code()).alias("_n"))
     one, two = _hit(F.col("_p2"), F.col("_p1")), _hit(F.col("_p3"), F.col("_p2"))
     widened = (F.col("_n") > 3) & (one != 0) & (one == two)
     beyond = (F.col("_p1") > 0) & (F.col("price") > 0) & (F.abs(F.col("price") - F.col("_p1")) > price_limit(F.col("_p1")))
@@ -117,33 +113,35 @@ def jumps_in_order(bars: DataFrame, events: DataFrame) -> DataFrame:
     searched in the prices that the earlier ones left.
 
     An event changes only prices before its jump, so what a later one sees differs by those events alone whose jump is
-    among the rows that it looks at. Such events make a cluster; a cluster has its own copy of the few rows that its events
-    look at, and all clusters of all codes go through their events at once, the r-th in round r. One exchange by cluster
-    serves AT_ONCE rounds, which are then written, so that the next ones start from a table; there are as many rounds as the
-    largest cluster has events."""
+    among the rows that it looks at. Such events make a cluster; its few rows are gathered, and its events folded over them
+    by built-in functions. All clusters of all codes are worked on at once, and a code's whole history is never gathered."""
     with_events = plausible(events).select("code").distinct()
     rows = stored(bars.join(with_events, "code", "left_semi").select("code", "entry_date", F.col("price").cast("double").alias("price"), F.row_number().over(by_code()).alias("i")), "split-rows")
     e = stored(_event_rows(events, rows), "split-events")
     spans = e.groupBy("code", "cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("r", "k", "ratio", "lo", "hi"))).alias("events"))
-    work = spans.select("code", "cluster", "events", F.explode(F.sequence(F.greatest(F.col("lo") - LOOK_BACK, F.lit(1)), F.col("hi"))).alias("i")).join(rows, ["code", "i"])
-    cluster = Window.partitionBy("code", "cluster")
-    found, most = [], e.agg(F.max("r")).first()[0] or 0
-    for first in range(1, most + 1, AT_ONCE):
-        work = work.filter(F.size("events") >= first)
-        for r in range(first, min(first + AT_ONCE, most + 1)):
-            now = F.try_element_at("events", F.lit(r))
-            j = impossible_jump(work, ("code", "cluster"), F.col("i"))
-            err = F.abs(F.ln(F.col("prev_price") / F.col("price")) - F.ln(now["ratio"]))
-            fits = F.col("impossible") & F.col("i").between(now["lo"], now["hi"]) & (err <= MATCH)
-            j = j.withColumn(f"jump{r}", F.min(F.when(fits, F.struct(err.alias("err"), "i"))).over(cluster)["i"])
-            work = j.withColumn("price", F.when(F.col("i") < F.col(f"jump{r}"), F.col("price") / now["ratio"]).otherwise(F.col("price"))).drop("impossible", "prev_price", "prev_date")
-        work = stored(work, "split-rounds")
-        jumps = [c for c in work.columns if c.startswith("jump")]
-        hit = F.filter(F.array(*[F.when(F.col("i") == F.col(c), F.lit(int(c[4:]))) for c in jumps]), lambda x: x.isNotNull())
-        found.append(work.select("code", "entry_date", F.explode(F.transform(hit, lambda r: F.try_element_at("events", r))).alias("e")).select("code", "e.k", F.col("entry_date").alias("jump_date"), "e.ratio"))
-        work = work.drop(*jumps)
-    none = e.limit(0).select("code", "k", F.lit(None).cast("date").alias("jump_date"), "ratio")
-    return functools.reduce(DataFrame.unionByName, found, none)
+    looked_at = spans.select("code", "cluster", F.explode(F.sequence(F.greatest(F.col("lo") - LOOK_BACK, F.lit(1)), F.col("hi"))).alias("i")).join(rows, ["code", "i"])
+    gathered = looked_at.groupBy("code", "cluster").agg(F.sort_array(F.collect_list(F.struct("i", "entry_date", "price"))).alias("rows")).join(spans.select("code", "cluster", "events"), ["code", "cluster"])
+    start = F.get("rows", F.lit(0))["i"]
+
+    def step(acc: Column, e: Column) -> Column:
+        def fit(at: Column) -> Column:
+            p = [F.get(acc["prices"], at - n) for n in range(4)]  # a row's price and the three before
+            one, two = _hit(p[2], p[1]), _hit(p[3], p[2])
+            widened = (at + start > 3) & (one != 0) & (one == two)
+            beyond = (p[1] > 0) & (p[0] > 0) & (F.abs(p[0] - p[1]) > price_limit(p[1]))
+            err = F.abs(F.ln(p[1] / p[0]) - F.ln(e["ratio"]))
+            return F.when(F.coalesce(beyond & ~widened & (err <= MATCH), F.lit(False)), F.struct(err.alias("err"), at.alias("at")))
+
+        def applied(best: Column) -> Column:
+            prices = F.transform(acc["prices"], lambda x, at: F.when(at < best["at"], x / e["ratio"]).otherwise(x))
+            return F.struct(F.when(best.isNull(), acc["prices"]).otherwise(prices).alias("prices"), F.concat(acc["jumps"], F.array(best["at"])).alias("jumps"))
+
+        return let(F.array_min(F.transform(F.sequence(e["lo"] - start, e["hi"] - start), fit)), applied)
+
+    begin = F.struct(F.transform("rows", lambda x: x["price"]).alias("prices"), F.array().cast("array<int>").alias("jumps"))
+    jumps = F.aggregate("events", begin, step, lambda acc: acc["jumps"])
+    found = gathered.select("code", "rows", F.explode(F.arrays_zip("events", jumps.alias("at"))).alias("x")).filter("x.at is not null")
+    return stored(found.select("code", F.col("x.events.k").alias("k"), F.get("rows", F.col("x.at"))["entry_date"].alias("jump_date"), F.col("x.events.ratio").alias("ratio")), "jumps")
 
 
 def apply_splits(bars: DataFrame, events: DataFrame) -> DataFrame:

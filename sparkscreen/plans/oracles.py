@@ -528,4 +528,13 @@ _SQL["adjust_history_log"] = f"""WITH RECURSIVE dated AS (SELECT code, split_dat
     SELECT a.code, a.entry_date, {r('ln(a.price)', name='log_price')}, {r('ln(a.volume)', name='log_volume')}, bool_or(coalesce(abs(a.price / b.price - 1) > 1e-12, false)) OVER (PARTITION BY a.code) AS changed
     FROM again a JOIN {{bars}} b ON a.code = b.code AND a.entry_date = b.entry_date"""
 
+_SQL["stream_distinct_splits"] = _SQL["dedup_events"]
+_SQL["src_results_versions"] = f"""SELECT code, v AS parser_version, kind, period_end, {r('sales', 2)}, CASE WHEN v = 2 AND {_K} % 2 = 0 THEN NULL ELSE {r('eps', 2, 'eps').removesuffix(' AS eps')} END AS eps,
+    CASE WHEN v = 3 THEN {r('bps', 2, 'bps').removesuffix(' AS bps')} END AS bps FROM (SELECT *, CAST({_K} % 3 + 1 AS INTEGER) AS v FROM {{results}}) WHERE v > 1"""
+_SQL["screen_observed"] = (
+    "SELECT 'n' AS metric, count(*) AS n FROM {s_judged} UNION ALL SELECT 'missing code', count(*) FILTER (code IS NULL) FROM {s_judged} UNION ALL SELECT 'missing price', count(*) FILTER (price IS NULL) FROM {s_judged}"
+    " UNION ALL SELECT 'missing filter_reason', count(*) FILTER (filter_reason IS NULL) FROM {s_judged} UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'count {x}', count(*) FILTER (filter_reason IS NULL AND {_hand_grade('total', _GRADE_NAMES)} = '{x}') FROM {{hand_s_scored}}" for x in ("Grade S", "Grade A", "Grade B", "Grade C"))
+)
+
 ORACLE_SQL = {k: oracle(v, MORE) for k, v in _SQL.items()}

@@ -24,6 +24,7 @@ from ..sources.paths import shared_path, stored
 from ..sources.stored_bars import MonthlyBars, read_bucketed, store_bucketed
 from ..sources.views import sql, view
 from ..streaming import events as streams
+from ..streaming.splits import distinct_splits
 from . import screen as plan
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -934,3 +935,37 @@ def legacy_categories(spark, d):
         categories={"roe": "trend", "pbr": "final_adjustment", "equity_ratio": "base", "per": "penalty", "debt_equity_ratio": "quality"}, directions={"pbr": "higher", "debt_equity_ratio": "lower"},
     )
     return out(legacy.legacy_score(_legacy(spark, d), strategy), "code", "quant_score_normalized", "quant_score")
+
+
+@query
+def src_results_versions(spark, d):
+    """Results of two parser versions, of which the older one wrote numbers as text, and some that are no numbers."""
+    path = shared_path(spark, "results")
+    rows = Given(spark, d).results.withColumn("parser_version", F.col("code").cast("int") % 3 + 1).withColumn("item", F.concat("code", F.lit("_"), "submit_date"))
+    for version in (1, 2, 3):
+        own = rows.filter(F.col("parser_version") == version)
+        if version == 2:
+            own = own.withColumns({"sales": F.format_string("%.2f", "sales"), "eps": F.when(F.col("code").cast("int") % 2 == 0, "n/a").otherwise(F.col("eps").cast("string"))}).drop("bps")
+        own.drop("code").repartition("item").write.mode("append").partitionBy("item").json(f"{path}/v{version}")
+    return out(filings.results_of_versions(spark, path, (2, 3), code=r"item=([^_/]+)_"), "code", "parser_version", "kind", "period_end", "sales", "eps", "bps", digits=2)
+
+
+@query
+def screen_observed(spark, d):
+    """The screen, written once, and what was counted on the way."""
+    g = Given(spark, d)
+    rows = plan.screen(g.bars, g.stocks, g.fundamentals, g.splits, CONFIG)
+    grades = {x: F.col("verdict") == x for x in ("Grade S", "Grade A", "Grade B", "Grade C")}
+    got = quality.write_observed(rows, shared_path(spark, "screen"), ("code", "price", "filter_reason"), grades, stop=False)
+    return spark.createDataFrame(sorted(got.items()), "metric string, n long")
+
+
+@query
+def stream_distinct_splits(spark, d):
+    """Split events in three pieces by date; the stream stops after each and goes on from its checkpoint."""
+    events = Given(spark, d).sql("SELECT code, entry_date AS split_date, CASE WHEN volume % 13 = 0 THEN 1.0 ELSE 2.0 + volume % 3 END AS ratio FROM {bars}")
+    path, found = shared_path(spark, "split-stream"), None
+    for since, until in (("1900-01-01", "1997-05-01"), ("1997-05-01", "1999-06-01"), ("1999-06-01", "2100-01-01")):
+        events.filter(F.col("split_date").between(since, until) & (F.col("split_date") < until)).coalesce(1).write.mode("append").parquet(f"{path}-in")
+        found = streams.run_to_table(distinct_splits(spark.readStream.schema(events.schema).parquet(f"{path}-in")), f"{path}-out")
+    return out(found)
