@@ -23,7 +23,8 @@ def candidates(bars: DataFrame, stocks: DataFrame, fundamentals: DataFrame, spli
 def screen(bars: DataFrame, stocks: DataFrame, fundamentals: DataFrame, splits: DataFrame, config: ScreenConfig = ScreenConfig()) -> DataFrame:
     """Every security with filter_reason and filter_detail, and for those that pass with quant_score and verdict.
 
-    Indicators and liquidity read the same columns of the bars, so that Spark makes them once and reuses the exchange."""
+    The bars are read three times: for indicators, for the market's days, and for liquidity over the newest of those. Where
+    they are made by a costly plan rather than stored, store them first."""
     from pyspark.sql import functions as F
 
     bars = bars.select("code", "entry_date", "price", "volume", "trading_value")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import io
+import math
+import random
 import zipfile
 
 import pytest
@@ -31,16 +33,76 @@ def prices(df):
     return [round(r["price"], 4) for r in df.orderBy("entry_date").collect()]
 
 
-THREE = [9000.0, 9060.0, 9030.0, 9015.0, 3012.0, 2990.0, 3001.0]
-
-
-def test_split_is_applied_once(spark):
-    ev = events(spark, (dt.date(2026, 2, 19), 3))
-    once = splits.apply_splits(bars(spark, THREE), ev)
-    assert prices(once) == [round(p / 3, 4) for p in THREE[:4]] + THREE[4:]
-    assert [r["volume"] for r in once.orderBy("entry_date").collect()] == [300.0] * 4 + [100.0] * 3
-    assert prices(splits.apply_splits(once, ev)) == prices(once)
-    assert prices(splits.apply_once(bars(spark, THREE), ev)) == prices(once)
+def folded(series, found):
+    """Bars (day, price, volume) after split events in the order of their dates, one after the other."""
+    series = [list(b) for b in sorted(series)]
+
+    def limit(p):
+        return next((float(n) for below, n in splits.PRICE_LIMITS if p < below), p * 0.3)
+
+    def side(i):
+        if i < 1 or abs(series[i][1] - series[i - 1][1]) < 0.8 * limit(series[i - 1][1]):
+            return 0
+        return 1 if series[i][1] > series[i - 1][1] else -1
+
+    for day, ratio in sorted(found):
+        if not 0.02 <= ratio <= 100 or abs(math.log(ratio)) < math.log(1.9):
+            continue
+        fits = []
+        for i in range(1, len(series)):
+            before, now = series[i - 1][1], series[i][1]
+            wide = i >= 3 and side(i - 1) == side(i - 2) != 0
+            err = abs(math.log(before / now) - math.log(ratio))
+            if -14 <= (series[i][0] - day).days <= 5 and abs(now - before) > limit(before) and not wide and err <= 0.12:
+                fits.append((err, i))
+        for b in series[: min(fits)[1]] if fits else []:
+            b[1] /= ratio
+            b[2] *= ratio
+    return series
+
+
+def test_splits_equal_a_plain_fold(spark):
+    """Histories of random lengths and gaps with splits planted in them, events near and off those days, dense runs of
+    events, events of other codes, and ratios that don't count."""
+    r = random.Random(11)
+    data, told = {}, {}
+    for n in range(14):
+        day, price, series, found = dt.date(2011, 5, 3) + dt.timedelta(days=n), r.uniform(80, 9000), [], []
+        for _ in range(r.randrange(2, 160)):
+            if r.random() < (0.3 if n % 3 == 0 else 0.05):
+                ratio = r.choice([2, 3, 5, 10, 0.5, 0.2, 0.1])
+                price /= ratio
+                if r.random() < 0.8:
+                    found.append((day + dt.timedelta(days=r.randrange(-6, 16)), ratio * r.choice([1.0, 1.0, 1.05, 1.3])))
+            series.append((day, price, float(r.randrange(1, 500))))
+            price = max(2.0, price * r.uniform(0.97, 1.03))
+            day += dt.timedelta(days=r.choice([1, 1, 1, 3, 4, 12]))
+        data[f"c{n}"], told[f"c{n}"] = series, [*found, (day, 1.0), (day, 1.2), (series[0][0], 5000.0)]
+    told["nowhere"] = [(dt.date(2011, 7, 1), 2.0)]
+    data["plain"] = data["c1"]
+    df = spark.createDataFrame([(c, *b) for c, s in data.items() for b in s], "code string, entry_date date, price double, volume double")
+    ev = spark.createDataFrame([(c, *e) for c, s in told.items() for e in s], "code string, split_date date, ratio double")
+    got: dict = {}
+    for row in splits.apply_splits(df, ev).orderBy("code", "entry_date").collect():
+        got.setdefault(row["code"], []).append([row["entry_date"], row["price"], row["volume"]])
+    changed = 0
+    for c, series in data.items():
+        want = folded(series, told.get(c, []))
+        changed += want != [list(b) for b in series]
+        assert [g[0] for g in got[c]] == [w[0] for w in want]
+        assert [x for g in got[c] for x in g[1:]] == pytest.approx([x for w in want for x in w[1:]], rel=1e-12), c
+    assert changed >= 8
+    assert splits.apply_splits(df, ev.limit(0)).exceptAll(df).count() == 0 and splits.apply_splits(df.limit(0), ev).count() == 0
+
+
+def test_an_event_is_applied_once(spark):
+    """What an event has changed no longer shows its jump; one event alone has the simple form as well."""
+    series = [(d, float(p), 60.0) for d, p in zip(weekdays(dt.date(2018, 9, 3), 11), [4400, 4431, 4380, 4402, 4399, 887, 880, 891, 902, 899, 884], strict=True)]
+    df = spark.createDataFrame([("1", *b) for b in series], "code string, entry_date date, price double, volume double")
+    ev = events(spark, (dt.date(2018, 9, 11), 5))
+    once = splits.apply_splits(df, ev)
+    assert prices(once) == [round(b[1], 4) for b in folded(series, [(dt.date(2018, 9, 11), 5.0)])] != prices(df)
+    assert prices(splits.apply_splits(once, ev)) == prices(once) == prices(splits.apply_once(df, ev))
 
 
 @pytest.mark.parametrize(
@@ -225,3 +287,32 @@ def test_lookups(spark):
 def test_document_index_codes(spark):
     raw = spark.createDataFrame([("d1", "72030", "120", None, "report (2025/04/01-2026/03/31)", "s"), ("d2", "00000", "120", "2026-03-31", "", "s"), ("d3", None, "160", "2026-03-31", "", "s"), ("d4", "130A0", "160", "2026-09-30", "", "s"), ("d5", "72030", "140", "x", "", "s")], "doc_id string, sec_code string, doc_type string, period_end string, description string, submitted string")
     assert sorted(map(tuple, filings.document_index(raw).collect())) == [("d1", "7203", True, "2026-03-31", "s"), ("d4", "130A", False, "2026-09-30", "s")]
+
+
+def test_archives_that_cannot_be_read_give_no_facts(spark):
+    def packed(name, text, how=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", how) as z:
+            z.writestr(name, text)
+        return bytearray(out.getvalue())
+
+    fine = packed("XBRL/PublicDoc/a.xbrl", '<x><context id="c"><period><instant>2001-03-31</instant></period></context><Sales contextRef="c">5</Sales></x>' * 1)
+    noise = "".join(random.Random(2).choice("<ab>") for _ in range(4000))
+    damaged, encrypted, unknown = packed("PublicDoc/a.xbrl", noise), bytearray(fine), bytearray(fine)
+    damaged[60:400] = bytes(340)  # within the deflated bytes
+    for z, local, central, value in ((encrypted, 6, 8, 1), (unknown, 8, 10, 99)):
+        at = bytes(z).index(b"PK\x01\x02")
+        z[local], z[at + central] = value, value
+    short = fine[: len(fine) // 2]
+    rows = [("fine", bytes(fine)), ("damaged", bytes(damaged)), ("encrypted", bytes(encrypted)), ("unknown", bytes(unknown)), ("short", bytes(short)), ("none", b"")]
+    got = filings.facts_of_archives(spark.createDataFrame(rows, "doc_id string, content binary")).collect()
+    assert [tuple(r) for r in got] == [("fine", "Sales", "c", 5.0, "2001-03-31")]
+
+
+def test_results_of_versions_have_one_type(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "7203_1.json").write_text('{"parser_version": 3, "sales": "1200.5", "eps": 4, "kind": "annual", "extra": [1]}\n')
+    (tmp_path / "a" / "7203_2.json").write_text('{"parser_version": 2, "sales": 10, "eps": "n/a"}\nno json\n{"sales": 3}\n\n')
+    (tmp_path / "a" / "9984_1.json").write_text('{"parser_version": 1, "sales": 1}\n')
+    got = filings.results_of_versions(spark, str(tmp_path), (2, 3), {"sales": "double", "eps": "double", "kind": "string"})
+    assert sorted(tuple(r) for r in got.collect()) == [("7203", 2, 10.0, None, None), ("7203", 3, 1200.5, 4.0, "annual")]

@@ -100,3 +100,25 @@ def test_contract_and_report(known, tmp_path):
     quality.require_contract(s).count()
     with pytest.raises(Exception, match="essential"):
         quality.require_contract(s.selectExpr("code", "price", "CAST(NULL AS STRING) AS verdict")).count()
+
+
+def test_contract_counts_nan_as_missing(spark):
+    rows = [("a", 1.0, "x"), ("b", float("nan"), "x"), ("c", None, None)]
+    df = spark.createDataFrame(rows, "code string, price double, verdict string")
+    assert {r["column"]: r["n_bad"] for r in quality.contract_check(df, ("code", "price", "verdict", "gone")).collect()} == {"code": 0, "price": 2, "verdict": 1, "gone": 3}
+    quality.require_contract(df.filter("code = 'a'")).count()
+    with pytest.raises(Exception, match="essential value"):
+        quality.require_contract(df.filter("code = 'b'")).count()
+
+
+def test_a_write_counts_its_contract(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a", 1.0, "x"), ("b", float("nan"), "y"), ("c", 2.0, None)], "code string, price double, verdict string")
+    got = quality.write_observed(df, f"{tmp_path}/all", counts={"x": F.col("verdict") == "x"}, stop=False)
+    assert got == {"n": 3, "missing code": 0, "missing price": 1, "missing verdict": 1, "count x": 1} and spark.read.parquet(f"{tmp_path}/all").count() == 3
+    with pytest.raises(quality.ContractError, match="price"):
+        quality.write_observed(df, f"{tmp_path}/broken")
+    assert not (tmp_path / "broken").exists()
+    assert quality.write_observed(df.limit(1), f"{tmp_path}/fine")["n"] == 1
+    assert quality.write_observed(df.limit(0), f"{tmp_path}/none", ("code", "absent"))["n"] == 0

@@ -36,3 +36,22 @@ def test_merge_batches(spark, tmp_path):
     merge = st.merge_batches(lambda: state["now"], save)
     merge(spark.createDataFrame([("1", day, 2.0), ("2", day, 3.0)], kind), 0)
     assert sorted((r["code"], r["price"]) for r in state["now"].collect()) == [("1", 2.0), ("2", 3.0)]
+
+
+def test_distinct_splits_go_on_after_a_restart(spark, tmp_path):
+    """Pieces in the order of their dates, each a run of its own: as the batch keeps them; state and timers outlive a run."""
+    import random
+
+    from sparkscreen.operators.splits import dedup_events
+    from sparkscreen.streaming.splits import distinct_splits
+
+    r, start = random.Random(6), dt.date(2015, 1, 1)
+    rows = [(f"c{r.randrange(4)}", start + dt.timedelta(days=r.randrange(700)), r.choice([2.0, 3.0, 1.0, 500.0])) for _ in range(260)]
+    kind = "code string, split_date date, ratio double"
+    whole = spark.createDataFrame(rows, kind)
+    for low, high in ((0, 250), (250, 255), (255, 256), (256, 700)):
+        piece = [x for x in rows if low <= (x[1] - start).days < high]
+        spark.createDataFrame(piece, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = st.run_to_table(distinct_splits(spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"))
+    want = sorted(tuple(x) for x in dedup_events(whole).collect())
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 60
