@@ -47,9 +47,20 @@ def test_verdicts_follow_labels(spark, data):
     assert sum(r["kept"] == bool(r["quality"]) for r in judged) >= 0.97 * len(judged)
 
 
-@pytest.mark.parametrize("rule", q.RULES)
-def test_each_rule_is_a_bound(rule):
-    assert rule.low is not None or rule.high is not None
+@pytest.mark.parametrize("rule", (*q.RULES, q.NOT_ENDLESS))
+def test_each_rule_is_a_bound(spark, rule):
+    """A value at a bound passes, one beyond it fails."""
+    bounds = [(x, sign) for x, sign in ((rule.low, -1), (rule.high, 1)) if x is not None]
+    cases = [(float(x), True) for x, _ in bounds] + [(x + sign * 1e-6, False) for x, sign in bounds]
+    df = spark.createDataFrame(cases, f"{rule.measure} double, want boolean")
+    assert cases and all(r["got"] == r["want"] for r in df.select("want", *[c.alias("got") for c in q.compile_rules((rule,))]).collect())
+
+
+def test_a_very_long_text_is_judged_by_the_same_rules(spark):
+    text = " ".join(f"the a{i} of b{i}" for i in range(300_000))
+    got = q.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_words"] == 1_200_000 and got["kept"] and "not_endless" not in got["failed_rules"]
+    assert q.quality(spark.createDataFrame([(1, text)], "doc_id long, text string"), (*q.RULES, q.NOT_ENDLESS)).first()["failed_rules"] == ["not_endless"]
 
 
 def test_empty_and_repeated(spark):
