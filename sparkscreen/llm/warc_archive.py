@@ -7,7 +7,8 @@ of its block is held against the rebuilt record; a mismatch stops the job, so a
 written with.
 
 A payload of at least min_revisit bytes that several records share belongs to the record with the largest id, the
-response; the others are revisits that name it in WARC-Refers-To. Smaller payloads make responses only. The choice is a
+response; the others are revisits that name its record's id in WARC-Refers-To. Record ids are unique: the page's id and a
+number of the record. Smaller payloads make responses only. The choice is a
 grouped maximum, combined before the shuffle. A payload that a third of all pages share is no hot group: its narrow facts
 reach the records by broadcast (at most a thousand such payloads), and on reading its bytes are copied once for each
 SPREAD of its records, so that a task joins about that many at most.
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from .common import join_skewed, materialize, new_path, table
 
 MIN_REVISIT, SPREAD = 1000, 1000
-END = "\r\n"
+END, NO_DATE = "\r\n", "1970-01-01T00:00:00Z"
 
 
-def _urn(id_col: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(">"))
+def _urn(id_col: Column, number: Column) -> Column:
+    """A record's own id: the page's and the record's number, as pages may share an id or have none."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), number.cast("string"), F.lit(">"))
 
 
 def _header() -> Column:
@@ -40,29 +42,33 @@ def _header() -> Column:
     fields = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
-        F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("id"))),
+        F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("id"), F.col("number"))),
+        F.concat(F.lit("WARC-Date: "), F.col("date")),
         F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("keeper")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("keeper.id"), -F.col("keeper.back")))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes")).cast("string")),
     ]
     return F.encode(F.concat(F.concat_ws(END, *fields), F.lit(END + END)), "UTF-8")
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", target_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> str:
-    """One record a row; returns the archive's path."""
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", target_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, date_col: str | None = None) -> str:
+    """One record a row; returns the archive's path. date_col: when a page was fetched, a timestamp; a page without one, and
+    every page where no such column is named, has the date NO_DATE."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    hashed = pages.select(F.col(id_col).alias("id"), F.col(target_col).alias("target"), payload.alias("payload")).select(
-        "id", "target", "payload", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest")
+    fetched = F.date_format(F.to_utc_timestamp(F.col(date_col).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
+    hashed = pages.select(F.col(id_col).alias("id"), F.col(target_col).alias("target"), F.coalesce(fetched, F.lit(NO_DATE)).alias("date"), payload.alias("payload")).select(
+        "id", "target", "date", "payload", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest")
     )
     store = hashed.groupBy("digest").agg(F.first("payload").alias("payload"), F.count("*").alias("uses"))
     store.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    records = materialize(hashed.select("id", "target", "n_bytes", "digest", F.sha1("payload").alias("sha1")), "warc-records")
-    keepers = records.groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("uses"))
+    numbered = hashed.select("id", "target", "date", "n_bytes", "digest", F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("number"))
+    records = materialize(numbered, "warc-records")  # the numbers are fixed by writing them
+    keepers = records.groupBy("digest").agg(F.max(F.struct("id", (-F.col("number")).alias("back"))).alias("keeper"), F.count("*").alias("uses"))
     typed = join_skewed(records, keepers, "digest", "uses")
-    shared = (F.col("n_bytes") >= min_revisit) & F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
+    shared = (F.col("n_bytes") >= min_revisit) & F.col("keeper.id").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper.id"))
     typed = typed.withColumn("record_type", F.when(shared, "revisit").otherwise("response"))
     typed.select("digest", "uses", _header().alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
@@ -79,7 +85,7 @@ def _parsed(headers: DataFrame) -> DataFrame:
     get = lambda name, pattern: F.regexp_extract(text, rf"(?md)^{name}: {pattern}\r\n", 1)
     number = lambda s: F.expr(f"try_cast({s} AS BIGINT)")
     found = headers.select(
-        "*", get("WARC-Type", "(.*?)").alias("record_type"), get("WARC-Record-ID", "<urn:page:(.*?)>").alias("_id"), get("WARC-Refers-To", "<urn:page:(.*?)>").alias("_to"),
+        "*", get("WARC-Type", "(.*?)").alias("record_type"), get("WARC-Record-ID", "<urn:page:(.*?):[0-9]+>").alias("_id"), get("WARC-Refers-To", "<urn:page:(.*?):[0-9]+>").alias("_to"),
         F.when(F.contains(text, F.lit(f"{END}WARC-Target-URI: ")), get("WARC-Target-URI", "(.*?)")).alias("target"), get("WARC-Payload-Digest", "sha1:(.*?)").alias("sha1"), get("Content-Length", "([0-9]+)").cast("long").alias("length"),
     )
     return found.withColumns({"id": number("_id"), "refers_to": number("_to")}).drop("_id", "_to")

@@ -38,7 +38,7 @@ def test_records_are_exact(spark, pages):
         length = int(head.split(b"Content-Length: ")[1])
         assert len(rest) == length + 4
         if r["id"] == 2:
-            assert b"WARC-Refers-To: <urn:page:3>" in head and length == 0 and bytes(r["payload"]) == BIG.encode()
+            assert b"WARC-Refers-To: <urn:page:3:" in head and length == 0 and bytes(r["payload"]) == BIG.encode()
         if r["id"] == 4:
             assert b"http://a%0D%0AWARC-Type: x" in head
 
@@ -82,3 +82,21 @@ def test_damage_is_noticed(spark, pages):
 def test_empty(spark, pages):
     path = w.write_archive(pages.limit(0), new_path(spark, "w"))
     assert w.read_records(spark, path).count() == 0
+
+
+def test_record_ids_are_unique_and_can_be_looked_up(spark, pages):
+    """Every record has the lines that the format demands; a revisit names the one response it refers to."""
+    from pyspark.sql import functions as F
+
+    dated = pages.withColumn("at", F.when(F.col("page_id") == 2, F.lit("2024-02-03 04:05:06").cast("timestamp")))
+    path = w.write_archive(dated, new_path(spark, "w"), date_col="at")
+    heads = [dict(x.split(": ", 1) for x in bytes(r["record"]).split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for r in w.reconstruct(spark, path).collect()]
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(by_id) == len(heads) == pages.count()
+    for h in heads:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(h)
+        assert h["WARC-Date"] == ("2024-02-03T04:05:06Z" if h["WARC-Record-ID"].startswith("<urn:page:2:") else w.NO_DATE)
+        if h["WARC-Type"] == "revisit":
+            kept = by_id[h["WARC-Refers-To"]]
+            assert kept["WARC-Type"] == "response" and kept["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    assert sum(h["WARC-Type"] == "revisit" for h in heads) == 4
