@@ -42,7 +42,7 @@ def distinct(rows):
 def redacted(t):
     from sparkscreen.llm import secret_scan as s
 
-    spans = sorted((m.start(), m.end()) for r in s.REPLACED for m in re.finditer(r.pattern, t, re.ASCII) if len(m.group(r.group)) >= r.least)
+    spans = sorted((m.start(), m.end()) for r in s.RULES for m in re.finditer(r.pattern, t, re.ASCII) if len(m.group(r.group)) >= r.least)
     out, at = "", 0
     for a, b in spans:
         if a >= at:
