@@ -67,7 +67,8 @@ def vocabulary(docs: DataFrame, least: int = LEAST_COUNT, id_col: str = "doc_id"
                 if len(found) > FLUSH:
                     yield pd.DataFrame({"word": list(found), "n": list(found.values())})
                     found = Counter()
-        yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
