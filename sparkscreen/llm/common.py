@@ -78,8 +78,9 @@ def text_or_empty(col: str | Column = "text") -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The words of text in order; none for a null or blank text."""
-    trimmed = F.regexp_replace(text, rf"^{WORD_GAP}|{WORD_GAP}$", "")
+    """The words of text in order; none for a null or blank text. Trimming isn't left to a pattern, which would go through
+    each run of blanks once from each of its places."""
+    trimmed = F.btrim(text, F.lit(GAP_CHARS))
     return F.when(F.length(F.coalesce(trimmed, F.lit(""))) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP, -1))
 
 

@@ -48,56 +48,55 @@ RULES = (
 NOT_ENDLESS = Rule("not_endless", "n_words", high=1_000_000)
 
 
+#: The half of a hash that is kept beside a window's place in one long.
+HASH_HALF = -(1 << 32)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a window of three found twice or more.
 
-    The windows are sorted (by a hash first, then by their words, so equality is exact), equal neighbours give the
-    places of repeated windows, and each place in order adds the words that the one before did not cover.
+    Half of each window's hash and its place make one long, and longs sort fast; windows that share the half with no other
+    occur once and go. The rest, few in most texts, are sorted by their whole hash and then their words, so equality is
+    exact; equal neighbours give the places of repeated windows, and each place in order adds the words that the one before
+    did not cover.
     """
-    windows = lambda w: F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), F.size(w) - 2),
-            lambda i: F.struct(
-                F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"),
-                F.struct(F.get(w, i - 1).alias("a"), F.get(w, i).alias("b"), F.get(w, i + 1).alias("c")).alias("g"),
-                i.alias("i"),
-            ),
-        )
-    )
-    same = lambda x, y: (x["h"] == y["h"]) & (x["g"] == y["g"])
-    places = lambda s: F.array_sort(
+    hashed = lambda w, i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))
+    beside = lambda s, x, k, same: F.coalesce(same(F.get(s, k - 1), x), F.lit(False)) | F.coalesce(same(F.get(s, k + 1), x), F.lit(False))
+    keys = lambda w: F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: hashed(w, i).bitwiseAND(F.lit(HASH_HALF)).bitwiseOR(i.cast("long"))))
+    alike = lambda s: F.filter(s, lambda x, k: beside(s, x, k, lambda p, q: F.shiftright(p, 32) == F.shiftright(q, 32)))
+    windows = lambda w, s: F.sort_array(
         F.transform(
-            F.filter(s, lambda x, k: F.coalesce((k > 0) & same(F.get(s, k - 1), x), F.lit(False)) | F.coalesce(same(F.get(s, k + 1), x), F.lit(False))),
-            lambda x: x["i"],
+            F.transform(s, lambda x: x.bitwiseAND(F.lit(~HASH_HALF)).cast("int")),
+            lambda i: F.struct(hashed(w, i).alias("h"), F.struct(F.get(w, i - 1).alias("a"), F.get(w, i).alias("b"), F.get(w, i + 1).alias("c")).alias("g"), i.alias("i")),
         )
     )
+    places = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: beside(s, x, k, lambda p, q: (p["h"] == q["h"]) & (p["g"] == q["g"]))), lambda x: x["i"]))
     covered = lambda p: F.aggregate(
-        F.transform(p, lambda at, k: F.least(F.lit(3), F.coalesce(F.when(k > 0, at - F.get(p, k - 1)), F.lit(3)))), F.lit(0).cast("long"), lambda acc, x: acc + x
-    )
-    return F.when(F.size(words) >= 4, let(let(windows(words), places), covered)).otherwise(F.lit(0).cast("long"))
-
-
-def measures(text: Column) -> Column:
-    """All measures of a text as one struct."""
-    return let(
-        text,
-        lambda t: let(
-            words_of(t),
-            lambda w: let(
-                F.filter(F.split(t, "\n", -1), lambda line: F.length(F.translate(line, GAP_CHARS, "")) > 0),
-                lambda lines: F.struct(
-                    F.size(w).cast("long").alias("n_words"),
-                    F.length(F.translate(t, GAP_CHARS, "")).cast("long").alias("word_chars"),
-                    (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                    (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-                    _repeat_words(w).alias("n_repeat_words"),
-                    F.size(lines).cast("long").alias("n_lines"),
-                    (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("n_shouts"),
-                    F.size(F.filter(F.split(F.lower(t), r"[\s.,!?;:]+", -1), lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-                ),
-            ),
-        ),
+        F.transform(p, lambda at, k: F.least(F.lit(3), F.coalesce(at - F.get(p, k - 1), F.lit(3)))), F.lit(0).cast("long"), lambda acc, x: acc + x
     )
+    return F.when(F.size(words) >= 4, let(let(let(keys(words), alike), lambda s: let(windows(words, s), places)), covered)).otherwise(F.lit(0).cast("long"))
+
+
+def _without(text: Column, chars: str) -> Column:
+    """text without these characters. Each is looked for in the bytes; translate would look up every character in a map."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def measures(text: Column) -> list[Column]:
+    """All measures of a text. What needs no words or lines stays outside of lambdas, so that Spark compiles it."""
+    lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(GAP_CHARS))) > 0)
+    of_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    return [
+        of_words.alias("_words"),
+        of_lines.alias("_lines"),
+        F.length(_without(text, GAP_CHARS)).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(_without(text, "!"))).cast("long").alias("n_shouts"),
+        F.size(F.filter(F.split(F.lower(text), r"[\s.,!?;:]+", -1), lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+    ]
 
 
 def _over(a: str, b: str) -> Column:
@@ -118,7 +117,7 @@ def compile_rules(rules: tuple[Rule, ...]) -> list[Column]:
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, the measures, base_failed, failed_rules and kept."""
-    counted = docs.select(F.col(id_col), measures(text_or_empty(text_col)).alias("_m")).select(id_col, "_m.*")
+    counted = docs.select(F.col(id_col), *measures(text_or_empty(text_col))).select(id_col, "_words.*", "_lines.*", "word_chars", "n_symbols", "n_shouts", "n_stop_words")
     ratios = counted.select(
         "*",
         _over("word_chars", "n_words").alias("mean_word_chars"),
