@@ -182,7 +182,7 @@ WITH base AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND n_words <= 1000000 AND word_chars >= 2.0 * n_words AND word_chars <= 12.0 * n_words
+       (NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 12.0 * n_words
         AND n_symbols <= 0.1 * n_words AND n_shouts <= 0.5 * n_words AND n_stop >= 0.03 * n_words
         AND n_dup_lines <= 0.5 * n_lines) AS kept
 FROM v
