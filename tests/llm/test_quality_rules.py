@@ -8,7 +8,7 @@ from sparkscreen.llm import quality_rules as q
 from sparkscreen.llm.common import GAP_CHARS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = [None, "", " ", "\n\n", "a", "a b c", "a b c a b c", "x " * 200, "é ü\n\né ü\nz", "# * % a", "one\ttwo\x0bthree\x0cfour\r\nfive", "a\n" * 60, "the of " * 40 + "end", "\x85a\xa0b", "word " + "y" * 100_000, "\n a \n a \na"]
+ODD = [None, "", " ", "\n\n", "a", "a b c", "a b c a b c", "x " * 200, "é ü\n\né ü\nz", "# * % a", "one\ttwo\x0bthree\x0cfour\r\nfive", "a\n" * 60, "the of " * 40 + "end", "\x85a\xa0b", "word " + "y" * 100_000, "\n a \n a \na", "a" + " " * 300_000 + "b", " ".join(str(i * i % 37) for i in range(300))]
 
 
 def plain(t):
