@@ -63,8 +63,9 @@ def refresh_due(last: str | None, today: str, force: bool = False, days: int = 3
 def master_sync(stocks: DataFrame, live: DataFrame, least: int = 3000, most_gone: float = 0.10) -> DataFrame:
     """The master after a live list: gone codes become inactive and delisted with the reason, delisted ones that are back
     active without one, new ones come in, and names, sectors and markets are the list's. A code that is paused otherwise
-    stays so. If the list is short or too many would go, nothing changes; that guard is one row, joined to every row."""
-    live = live.dropDuplicates(["code"])
+    stays so. If the list is short or too many would go, nothing changes; that guard is one row, joined to every row. Of
+    several rows of a code in the list the first by name, sector and market counts."""
+    live = live.groupBy("code").agg(F.min(F.struct("name", "sector", "market")).alias("r")).select("code", "r.*")
     diff = master_diff(stocks, live)
     guard = diff.agg((F.count_if(F.col("change").isin("new", "kept", "relisted")) >= least).alias("_long"), (F.count_if(F.col("change") == "gone") <= most_gone * F.count_if(F.col("change") != "new")).alias("_few"))
     l = live.select("code", *[F.col(c).alias(f"_{c}") for c in ("name", "sector", "market")], F.lit(True).alias("_live"))  # noqa: E741

@@ -316,3 +316,11 @@ def test_results_of_versions_have_one_type(spark, tmp_path):
     (tmp_path / "a" / "9984_1.json").write_text('{"parser_version": 1, "sales": 1}\n')
     got = filings.results_of_versions(spark, str(tmp_path), (2, 3), {"sales": "double", "eps": "double", "kind": "string"})
     assert sorted(tuple(r) for r in got.collect()) == [("7203", 2, 10.0, None, None), ("7203", 3, 1200.5, 4.0, "annual")]
+
+
+def test_a_code_listed_twice_takes_its_first_row(spark):
+    stocks = spark.createDataFrame([("1", "old", "s", "m", "active", True, None)], "code string, name string, sector string, market string, status string, is_active boolean, exclusion_reason string")
+    live = [("1", n, "s", "m") for n in "zyxbcdefg"] + [("2", "q", s, "m") for s in "zyxbcdefg"]
+    for rows in (live, live[::-1]):
+        got = tables.master_sync(stocks, spark.createDataFrame(rows, "code string, name string, sector string, market string"), least=1)
+        assert sorted((r["code"], r["name"], r["sector"]) for r in got.collect()) == [("1", "b", "s"), ("2", "q", "b")]
