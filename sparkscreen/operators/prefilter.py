@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CASH_EXEMPT_SECTORS, ScreenConfig
+from ..functions.exprs import rounded
 
 LIQUIDITY = ("avg_trading_value_20d", "zero_volume_days_5d", "latest_trade_date", "is_recent_trade")
 
@@ -19,8 +20,13 @@ def attach_liquidity(df: DataFrame, liquidity: DataFrame | None) -> DataFrame:
     return df.select("*", own.alias("avg_trading_value_20d"), F.lit(0).cast("long").alias("zero_volume_days_5d"), F.col("entry_date").cast("string").alias("latest_trade_date"), F.lit(True).alias("is_recent_trade"))
 
 
-def _number(c: Column, digits: int = 0) -> Column:
-    return F.format_number(c, digits)
+def _number(c: Column) -> Column:
+    """Whole numbers with thousands separators; halves go away from zero, as everywhere."""
+    return F.format_number(rounded(c, 0), 0)
+
+
+def _percent(c: Column) -> Column:
+    return F.format_string("%.1f", rounded(c, 1))
 
 
 def rejection(config: ScreenConfig, columns: list[str]) -> Column:
@@ -42,9 +48,9 @@ def rejection(config: ScreenConfig, columns: list[str]) -> Column:
         (tv < least, out(illiquid, F.concat(F.lit("20日平均売買代金不足 ("), _number(tv / 10_000.0), F.lit("万円 < "), _number(F.lit(least / 10_000.0)), F.lit("万円)")))),
         (F.col("price") < config.min_price, out("超低位ボロ株", F.concat(F.lit("株価基準未満 ("), _number(F.col("price")), F.lit("円 < "), _number(F.lit(config.min_price)), F.lit("円)")))),
         (F.col("net_assets") <= 0, out(broke, F.concat(F.lit("純資産マイナス ("), _number(F.col("net_assets")), F.lit("円)")))),
-        (F.col("equity_ratio") <= config.min_equity_ratio, out(broke, F.concat(F.lit("自己資本比率マイナス/ゼロ ("), F.format_string("%.1f", "equity_ratio"), F.lit(f"% <= {config.min_equity_ratio:.1f}%)")))),
+        (F.col("equity_ratio") <= config.min_equity_ratio, out(broke, F.concat(F.lit("自己資本比率マイナス/ゼロ ("), _percent(F.col("equity_ratio")), F.lit(f"% <= {config.min_equity_ratio:.1f}%)")))),
         (F.col("equity_ratio").isNull(), out("重要指標未開示/算出不能", "自己資本比率等の財務諸表データ未開示または欠損")),
-        (~F.coalesce(F.col("sector").isin(*CASH_EXEMPT_SECTORS), F.lit(False)) & (margin < config.min_cash_margin), out("致命的キャッシュ枯渇", F.concat(F.lit("営業CFマージン大幅赤字 ("), F.format_string("%.1f", margin * 100), F.lit(f"% < {config.min_cash_margin * 100:.1f}%)")))),
+        (~F.coalesce(F.col("sector").isin(*CASH_EXEMPT_SECTORS), F.lit(False)) & (margin < config.min_cash_margin), out("致命的キャッシュ枯渇", F.concat(F.lit("営業CFマージン大幅赤字 ("), _percent(margin * 100), F.lit(f"% < {config.min_cash_margin * 100:.1f}%)")))),
     ]
     if config.target_markets is not None:
         market = F.coalesce("market", F.lit("None"))

@@ -122,3 +122,12 @@ def test_a_write_counts_its_contract(spark, tmp_path):
     assert not (tmp_path / "broken").exists()
     assert quality.write_observed(df.limit(1), f"{tmp_path}/fine")["n"] == 1
     assert quality.write_observed(df.limit(0), f"{tmp_path}/none", ("code", "absent"))["n"] == 0
+
+
+def test_details_round_halves_away_from_zero(spark):
+    """Also a half that a sum in another order misses by its last bit."""
+    row = "'s' AS sector, 'm' AS market, 1e6D AS net_assets, 50D AS equity_ratio, 1e6D AS sales, 1e6D AS operating_cf, 1e9D AS trading_value, 1L AS volume, date'2001-11-30' AS entry_date"
+    cases = {"1": (112.5, "113"), "2": (113.5, "114"), "3": (112.49999999999999, "113"), "4": (112.4, "112"), "5": (1012.5, "1,013")}
+    df = spark.createDataFrame([(c, p) for c, (p, _) in cases.items()], "code string, price double").selectExpr("*", *row.split(", "))
+    got = {r["code"]: r["filter_detail"] for r in prefilter(df, config=ScreenConfig(min_trading_value=0.0, min_price=1100.0)).collect()}
+    assert got == {c: f"株価基準未満 ({t}円 < 1,100円)" for c, (_, t) in cases.items()}
