@@ -48,7 +48,8 @@ COLUMNS = (
 
 
 def report_rows(df: DataFrame, limit: int | None = None, now: str | None = None) -> DataFrame:
-    """Text rows with - for what is missing. Ratios have two decimals, other numbers four; the growth of profit is the one
+    """Text rows with - for what is missing. Ratios have two decimals, other numbers four; the market value is cut to a whole
+    number after rounding to three, so that a price whose last bit is off gives the same; the growth of profit is the one
     computed from filings if there is one; now: the report's time."""
     r = ranked(with_sources(df), limit)
     there = lambda *names: [F.col(c) for c in names if c in r.columns]
@@ -58,7 +59,7 @@ def report_rows(df: DataFrame, limit: int | None = None, now: str | None = None)
     label = lambda c: dash(F.when(~F.lower(F.trim(c)).isin("", "nan", "none"), c))
     out = {
         "Rank": F.col("rank"), "Code": F.col("code"), "Name": F.coalesce("name", F.lit("")), "Sector": label(first("sector_17", "sector").cast("string")), "Market": label(F.col("market")),
-        "Market_Cap": dash(F.col("market_cap_value").cast("bigint").cast("string")), "Verdict": dash(F.col("verdict")), "Score": F.format_string("%.2f", rounded(F.coalesce("quant_score", F.lit(0.0)), 2)),
+        "Market_Cap": dash(rounded(F.col("market_cap_value"), 3).cast("bigint").cast("string")), "Verdict": dash(F.col("verdict")), "Score": F.format_string("%.2f", rounded(F.coalesce("quant_score", F.lit(0.0)), 2)),
         "Price": number(F.col("price"), 4), "Price_Date": dash(F.substring(first("entry_date").cast("string"), 1, 10)),
         **{n: number(F.col(f"{n.lower()}_value"), 2) for n in ("PER", "PBR", "Div_Yield", "ROE")}, **{f"{n}_Src": F.col(f"{n.lower()}_src") for n in ("Market_Cap", "PER", "PBR", "Div_Yield", "ROE")},
         "Sales_Growth": number(first("sales_growth"), 4), "Profit_Growth": number(first("profit_growth_raw", "profit_growth"), 4), "Operating_Margin": number(first("operating_margin"), 4),

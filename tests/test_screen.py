@@ -131,3 +131,13 @@ def test_details_round_halves_away_from_zero(spark):
     df = spark.createDataFrame([(c, p) for c, (p, _) in cases.items()], "code string, price double").selectExpr("*", *row.split(", "))
     got = {r["code"]: r["filter_detail"] for r in prefilter(df, config=ScreenConfig(min_trading_value=0.0, min_price=1100.0)).collect()}
     assert got == {c: f"株価基準未満 ({t}円 < 1,100円)" for c, (_, t) in cases.items()}
+
+
+def test_market_value_of_a_price_off_by_its_last_bit(spark):
+    """20,368,700 as 8,000 shares of a mean price, whose sum may end a bit lower; real fractions are still cut."""
+    values = {"1": 20368700.0, "2": 20368699.999999996, "3": 20368699.75, "4": 362909799.9375}
+    nothing = "price eps bps dps shares_outstanding per pbr dividend_yield roe".split()
+    columns = [f"cast(null AS double) AS {c}" for c in nothing] + ["'n' AS name", "'s' AS sector", "'m' AS market", "'Grade B' AS verdict", "60D AS quant_score", "date'2001-11-02' AS entry_date"]
+    df = spark.createDataFrame(list(values.items()), "code string, market_cap double").selectExpr("*", *columns)
+    got = {r["Code"]: r["Market_Cap"] for r in report.report_rows(df, now="x").collect()}
+    assert got == {"1": "20368700", "2": "20368700", "3": "20368699", "4": "362909799"}
