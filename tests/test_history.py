@@ -324,3 +324,11 @@ def test_a_code_listed_twice_takes_its_first_row(spark):
     for rows in (live, live[::-1]):
         got = tables.master_sync(stocks, spark.createDataFrame(rows, "code string, name string, sector string, market string"), least=1)
         assert sorted((r["code"], r["name"], r["sector"]) for r in got.collect()) == [("1", "b", "s"), ("2", "q", "b")]
+
+
+def test_packed_results_keep_their_names(spark, tmp_path):
+    rows = [("7203", "2026-06-25", 3, 5.0), ("130A", "2026-06-26", 3, 6.0), ("9999", "2026-06-27", 2, 7.0)]
+    filings.land_packed(spark.createDataFrame(rows, "code string, submit_date string, parser_version int, sales double").coalesce(1), f"{tmp_path}/r")
+    assert sorted((r["code"], r["sales"]) for r in filings.parsed_results(spark, f"{tmp_path}/r", 3, packed=True).collect()) == [("130A", 6.0), ("7203", 5.0)]
+    got = filings.results_of_versions(spark, f"{tmp_path}/r", (2, 3), {"sales": "double"}, packed=True)
+    assert sorted(tuple(r) for r in got.collect()) == [("130A", 3, 6.0), ("7203", 3, 5.0), ("9999", 2, 7.0)]
