@@ -17,6 +17,15 @@ def month_of(date: str | Column) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 
+#: Rows of a bucket at most, on average: a task sorts a bucket in some hundred MB, however many rows a table has.
+BUCKET_ROWS = 1 << 20
+
+
+def buckets_for(rows: int, least: int = 4) -> int:
+    """Buckets for so many rows."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def store_bucketed(bars: DataFrame, table: str, path: str, buckets: int) -> None:
     """Bars as a table that is bucketed by code, sorted by code and date, and partitioned by month.
 

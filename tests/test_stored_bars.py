@@ -120,3 +120,21 @@ def test_ranks_are_whole_and_no_task_has_all_rows(spark):
     want = sorted(values, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
     assert [(x["code"], x["rank"]) for x in sorted(got.collect(), key=lambda x: x["rank"])] == [(c, i + 1) for i, (c, _) in enumerate(want)]
     assert got.columns == ["code", "score", "rank"] and ranks.numbered(df.limit(0), F.col("code")).count() == 0
+
+
+def test_buckets_grow_with_the_rows():
+    """A task's rows are bounded: with four buckets at any size they grew with the table."""
+    from sparkscreen.sources.stored_bars import BUCKET_ROWS, buckets_for
+
+    assert buckets_for(0) == buckets_for(600_000) == buckets_for(4 * BUCKET_ROWS) == 4
+    assert all(rows / buckets_for(rows) <= BUCKET_ROWS for rows in (5_000_000, 36_000_000, 216_000_000))
+
+
+def test_the_stored_queries_take_buckets_by_rows(spark, data, monkeypatch):
+    from sparkscreen.plans import registry
+
+    monkeypatch.setattr("sparkscreen.sources.stored_bars.BUCKET_ROWS", 500)
+    seen = []
+    monkeypatch.setattr(registry, "store_bucketed", lambda bars, name, path, buckets: seen.append(buckets))
+    registry._bucketed(spark, data)
+    assert seen == [-(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)]
