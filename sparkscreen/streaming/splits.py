@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 from collections.abc import Iterator
 
@@ -41,13 +42,15 @@ class KeptDates(StatefulProcessor):
             self.kept.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [r[0] for r in self.kept.get()] if self.kept.exists() else []
-        new = pd.concat(rows).sort_values(["split_date", "ratio"])
+        kept = sorted(r[0].toordinal() for r in self.kept.get()) if self.kept.exists() else []
+        new = sorted((date.toordinal(), ratio) for pdf in rows for date, ratio in zip(pdf["split_date"], pdf["ratio"], strict=True))
         out = []
-        for date, ratio in zip(new["split_date"], new["ratio"], strict=True):
-            if all(abs((date - k).days) > APART for k in kept):
-                kept.append(date)
-                out.append((key[0], date, ratio))
+        for day, ratio in new:  # only the kept dates on both sides of a day can be near it
+            at = bisect.bisect_left(kept, day)
+            if (at == 0 or day - kept[at - 1] > APART) and (at == len(kept) or kept[at] - day > APART):
+                kept.insert(at, day)
+                out.append((key[0], datetime.date.fromordinal(day), ratio))
+        kept = [datetime.date.fromordinal(k) for k in kept]
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self._keep(kept)

@@ -1,6 +1,7 @@
 """Streaming forms against the batch."""
 
 import datetime as dt
+import glob
 
 from sparkscreen.streaming import events as st
 
@@ -55,3 +56,18 @@ def test_distinct_splits_go_on_after_a_restart(spark, tmp_path):
         got = st.run_to_table(distinct_splits(spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"))
     want = sorted(tuple(x) for x in dedup_events(whole).collect())
     assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 60
+
+
+def test_split_pieces_are_written_by_many_tasks(spark, data, monkeypatch):
+    """A piece isn't one task's: with coalesce(1) a single task made and wrote all events of a piece."""
+    from sparkscreen.plans import registry
+
+    made = []
+    monkeypatch.setattr(registry.streams, "run_to_table", lambda stream, path: made.append(len(glob.glob(f"{path.removesuffix('-out').removeprefix('file://')}-in/*.parquet"))) or spark.createDataFrame([(1.0,)], "ratio double"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        registry.QUERIES["stream_distinct_splits"](spark, data)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert made[0] > 1
