@@ -199,12 +199,15 @@ def historical_volatility(df: DataFrame, least: int = 20) -> DataFrame:
 
 def summary(df: DataFrame, least: int = 30) -> DataFrame:
     """Per code of at least so many bars its latest values, in the simple form: RSI over plain means, volume ratio, yearly
-    volatility, trend score, and bands, which are 0 where a code has too few bars for them."""
-    d = volume_ratio(simple_rsi(add_macd(add_bands(priced(df)))))
-    d = d.withColumn("_n", F.count("*").over(Window.partitionBy("code"))).filter(F.col("_n") >= least)
+    volatility, trend score, and bands, which are 0 where a code has too few bars for them.
+
+    What goes by date comes before what goes by block, and the latest row is the last by number, so two sorts serve all."""
+    d = volume_ratio(simple_rsi(add_bands(priced(df))))
+    d = d.withColumns({"_at": F.row_number().over(by_code()), "_n": F.count("*").over(Window.partitionBy("code"))})
+    d = add_macd(d.filter(F.col("_n") >= least)).filter(F.col("_at") == F.col("_n"))
     holds = [F.col("ma25") > F.col("ma75"), F.col("price") > F.col("ma25"), F.col("macd_hist") > 0, F.col("rsi_sma") > 50]
     score = sum((F.coalesce(c, F.lit(False)).cast("int") for c in holds), F.lit(0))
-    d = latest(d.withColumn("trend_score", score)).join(historical_volatility(priced(df)).select("code", F.col("volatility").alias("real_volatility")), "code")
+    d = d.withColumn("trend_score", score).join(historical_volatility(priced(df)).select("code", F.col("volatility").alias("real_volatility")), "code")
     bands = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("bb_p1sig", "bb_p2sig", "bb_m1sig", "bb_m2sig")]
     ratio = F.when(F.col("price") != 0, (F.col("price") - F.col("ma25")) / F.col("ma25") * 100)
     return d.select("code", "entry_date", "macd_hist", F.col("rsi_sma").alias("rsi_14"), F.when(F.col("trend_score") >= 3, 1.0).otherwise(0.0).alias("trend_up"), "trend_score", ratio.alias("ma_divergence"), "volume_ratio", "real_volatility", *bands)

@@ -91,3 +91,17 @@ def test_both_averages_in_one_pass_are_those_apart(spark):
     assert both.columns == apart.columns
     for x, y in zip(both.select(columns).orderBy("code", "entry_date").collect(), apart.select(columns).orderBy("code", "entry_date").collect(), strict=True):
         assert tuple(x)[:2] == tuple(y)[:2] and all(a == b if a is None or isinstance(a, str) else a == pytest.approx(b, rel=1e-12) for a, b in zip(tuple(x)[2:], tuple(y)[2:], strict=True))
+
+
+def test_the_summary_sorts_bars_twice(spark, data):
+    """By date and by block; every further sort of all columns would hold a task's rows once more."""
+    from sparkscreen.sources.views import view
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = tech.summary(view(spark, data, "bars"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sorts = [x for x in plan.splitlines() if "Sort [code" in x and "entry_date" in x]
+    assert len(sorts) == 3, sorts  # two of the summary, one of the volatility
