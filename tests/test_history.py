@@ -135,6 +135,22 @@ def test_adjust_history_finds_the_rest(spark):
     assert prices(got)[:2] == [600.0, 606.0] and got.filter("changed").count() == 4
 
 
+def test_adjust_history_joins_no_bars_again(spark):
+    """A row takes its old price along, and jumps come among the rows: no join of a whole history is left."""
+    got = splits.adjust_history(bars(spark, [6000, 6060, 607, 604]), events(spark, (dt.date(2020, 1, 1), 2)))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_long_chain_of_splits(spark):
+    """6,000 events, each near the next, make one cluster of a code's whole history, and each row has one factor."""
+    days = weekdays(dt.date(1970, 1, 5), 12_000)
+    series = [("1", d, 250.0 if (i + 1) // 2 % 2 else 1000.0, 100) for i, d in enumerate(days)]
+    found = [("1", d, 4.0 if i % 4 == 1 else 0.25) for i, d in enumerate(days) if i % 2]
+    df = spark.createDataFrame(series, "code string, entry_date date, price double, volume long")
+    ev = spark.createDataFrame(found, "code string, split_date date, ratio double")
+    assert {r["price"] for r in splits.apply_splits(df, ev).collect()} == {series[-1][2]}
+
+
 def test_merge_and_mismatch(spark):
     day = dt.date(2026, 5, 12)
     one = lambda *r: spark.createDataFrame([("1", day + dt.timedelta(i), float(p)) for i, p in r], "code string, entry_date date, price double")
