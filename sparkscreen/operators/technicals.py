@@ -43,18 +43,26 @@ def conform_schema(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in SCHEMA.items()])
 
 
+def _off_median(c: str, near: str) -> Column:
+    """Whether c is off the median of near, an array of at least 5 values, by over 5 times. A median lies between the least and
+    the largest value, so values are put in order only where c is so far off one of those."""
+    lo, hi, n = F.array_min(near), F.array_max(near), F.size(near)
+    may = (F.col(c) / lo > 5) | (F.col(c) / hi < 0.2) | F.isnan(hi)
+    ordered = F.sort_array(near)
+    ratio = F.col(c) / (0.5 * F.get(ordered, F.floor((n - 1) / 2).cast("int")) + 0.5 * F.get(ordered, F.floor(n / 2).cast("int")))
+    return F.when((n >= 5) & may, (ratio > 5) | (ratio < 0.2)).otherwise(F.lit(False))
+
+
 def clean_prices(df: DataFrame) -> DataFrame:
     """Glitches become null: not positive; off the centred 31-row median by over 5 times; off the code's median by over
     20 times; then, on what is left, off the day before by over 5 times. Negative volume becomes 0."""
     df = df.withColumn("price", F.when(F.col("price") > 0, F.col("price")))
     if "volume" in df.columns:
         df = df.withColumn("volume", F.when(F.col("volume") < 0, F.lit(0).cast("long")).otherwise(F.col("volume")))
-    near = by_code().rowsBetween(-15, 15)
-    whole = Window.partitionBy("code")
-    local = F.when(F.count("price").over(near) >= 5, F.percentile("price", 0.5).over(near))
-    df = df.withColumn("_local", F.col("price") / local).withColumn("_whole", F.col("price") / F.percentile("price", 0.5).over(whole))
-    far = (F.col("_local") > 5) | (F.col("_local") < 0.2) | (F.col("_whole") > 20) | (F.col("_whole") < 0.05)
-    df = df.withColumn("price", F.when(F.coalesce(far, F.lit(False)), None).otherwise(F.col("price"))).drop("_local", "_whole")
+    df = df.withColumn("_near", F.collect_list("price").over(by_code().rowsBetween(-15, 15)))
+    df = df.withColumn("_whole", F.col("price") / F.percentile("price", 0.5).over(Window.partitionBy("code")))
+    far = _off_median("price", "_near") | (F.col("_whole") > 20) | (F.col("_whole") < 0.05)
+    df = df.withColumn("price", F.when(F.coalesce(far, F.lit(False)), None).otherwise(F.col("price"))).drop("_near", "_whole")
     step = F.col("price") / F.lag("price").over(by_code())
     df = df.withColumn("_step", step)
     return df.withColumn("price", F.when(F.coalesce((F.col("_step") > 5) | (F.col("_step") < 0.2), F.lit(False)), None).otherwise(F.col("price"))).drop("_step")
@@ -73,9 +81,10 @@ def rolling(c: str, n: int, f=F.avg) -> Column:
 def numbered(df: DataFrame) -> DataFrame:
     """Adds a code's row number _i, its block _b and its place there _p. Blocks are in date order, so every window after
     this one orders by block and date: one sort serves them all."""
-    if "_i" in df.columns:
+    if "_b" in df.columns:
         return df
-    df = df.withColumn("_i", F.row_number().over(by_code()) - 1)
+    if "_i" not in df.columns:
+        df = df.withColumn("_i", F.row_number().over(by_code()) - 1)
     return df.withColumn("_b", F.floor(F.col("_i") / BLOCK)).withColumn("_p", F.pmod(F.col("_i"), F.lit(BLOCK)))
 
 
@@ -111,9 +120,9 @@ def add_bands(df: DataFrame) -> DataFrame:
 
 
 def _moves(df: DataFrame, stable: int) -> DataFrame:
-    """Adds gains, losses and the number of the last stable rows."""
+    """Adds gains, losses, the number of the last stable rows, and a code's row number, all by one window."""
     move = F.coalesce(F.col("price") - F.lag("price").over(by_code()), F.lit(0.0))
-    df = df.withColumns({"_move": move, "_n": F.count("price").over(by_code().rowsBetween(-(stable - 1), 0))})
+    df = df.withColumns({"_move": move, "_n": F.count("price").over(by_code().rowsBetween(-(stable - 1), 0)), "_i": F.row_number().over(by_code()) - 1})
     return df.withColumns({"_gain": F.greatest("_move", F.lit(0.0)), "_loss": F.greatest(-F.col("_move"), F.lit(0.0))}).drop("_move")
 
 
@@ -122,18 +131,38 @@ def _rsi(df: DataFrame, stable: int) -> DataFrame:
     return df.withColumn("rsi_14", F.when(F.col("_n") >= stable, index)).drop("_n", "_gain", "_loss", "_g", "_l")
 
 
+WILDER, FAST, SLOW, STABLE = 1 / 14, 2 / 13, 2 / 27, 30
+SIGNAL = 0.2
+_GAINS = {"_g": ("_gain", WILDER), "_l": ("_loss", WILDER)}
+_PRICES = {"_e12": ("price", FAST), "_e26": ("price", SLOW), "_e9": ("price", SIGNAL)}
+
+
+def _smoothed(alpha: float) -> tuple[float, float]:
+    """(k, m) of ewm(ewm(x, alpha), SIGNAL) = k * ewm(x, alpha) - m * ewm(x, SIGNAL): both sides obey the same recursion and
+    begin with x0, so an average of an average needs no pass of its own."""
+    a, b = 1.0 - alpha, 1.0 - SIGNAL
+    return SIGNAL * a / (a - b), alpha * b / (a - b)
+
+
+def signal_of(fast: str, slow: str, plain: str) -> Column:
+    """The recursive average of fast - slow, of averages of the price by FAST, SLOW and SIGNAL."""
+    (k, m), (l, n) = _smoothed(FAST), _smoothed(SLOW)  # noqa: E741
+    return k * F.col(fast) - l * F.col(slow) - (m - n) * F.col(plain)
+
+
+def plain_of(fast: str, slow: str, signal: str) -> Column:
+    """The other way: the price's average by SIGNAL that belongs to a signal."""
+    (k, m), (l, n) = _smoothed(FAST), _smoothed(SLOW)  # noqa: E741
+    return (k * F.col(fast) - l * F.col(slow) - F.col(signal)) / (m - n)
+
+
 def _macd(df: DataFrame) -> DataFrame:
-    df = ewms(df.withColumn("macd", F.col("_e12") - F.col("_e26")), {"macd_signal": ("macd", 0.2)})
+    df = df.withColumns({"macd": F.col("_e12") - F.col("_e26"), "macd_signal": signal_of("_e12", "_e26", "_e9")})
     h = F.col("macd") - F.col("macd_signal")
-    df = df.withColumn("macd_hist", F.when(F.abs(h) < 1e-9 * F.col("price"), 0.0).otherwise(h)).drop("_e12", "_e26")
+    df = df.withColumn("macd_hist", F.when(F.abs(h) < 1e-9 * F.col("price"), 0.0).otherwise(h)).drop("_e12", "_e26", "_e9")
     return df.withColumn("macd_status", F.when(F.col("macd_hist") > 0, "Bullish").when(F.col("macd_hist") < 0, "Bearish").otherwise("Neutral"))
 
 
-WILDER, FAST, SLOW, STABLE = 1 / 14, 2 / 13, 2 / 27, 30
-_GAINS = {"_g": ("_gain", WILDER), "_l": ("_loss", WILDER)}
-_PRICES = {"_e12": ("price", FAST), "_e26": ("price", SLOW)}
-
-
 def add_rsi(df: DataFrame, stable: int = STABLE) -> DataFrame:
     """Wilder's index, null for a code's first rows; 50 without moves, 100 without losses."""
     return _rsi(ewms(numbered(_moves(df, stable)), _GAINS), stable).drop("_i", "_b", "_p")
@@ -173,7 +202,9 @@ def purge_weekend(df: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("entry_date")))).filter("_r = 1").drop("_r")
+    """Each code's row of the newest date; of several one. Only rows of that date are put in order."""
+    newest = df.withColumn("_r", F.max("entry_date").over(Window.partitionBy("code"))).filter(F.col("entry_date").eqNullSafe(F.col("_r")))
+    return newest.withColumn("_r", F.row_number().over(by_code())).filter("_r = 1").drop("_r")
 
 
 def simple_rsi(df: DataFrame, n: int = 14) -> DataFrame:

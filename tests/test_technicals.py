@@ -105,3 +105,26 @@ def test_the_summary_sorts_bars_twice(spark, data):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     sorts = [x for x in plan.splitlines() if "Sort [code" in x and "entry_date" in x]
     assert len(sorts) == 3, sorts  # two of the summary, one of the volatility
+
+
+def test_local_medians_without_an_aggregate_a_row(spark):
+    """Glitches against plain medians of 31 rows, also beside NaN and infinity; no percentile slides over the rows."""
+    import random
+    import statistics
+
+    r, start = random.Random(5), dt.date(2020, 1, 1)
+    prices = [r.choice([None, -1.0, 9.0, 21.0, 30.0, 100.0, 101.0, 102.0, 400.0, 520.0]) for _ in range(300)]
+    df = spark.createDataFrame([("a", start + dt.timedelta(days=i), p) for i, p in enumerate(prices)], "code string, entry_date date, price double")
+    cleaned = tech.clean_prices(df)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1  # a code's own median
+    own = [p if p is not None and p > 0 else None for p in prices]
+    whole, left = statistics.median([p for p in own if p is not None]), []
+    for i, p in enumerate(own):
+        near = [x for x in own[max(0, i - 15) : i + 16] if x is not None]
+        local = p / statistics.median(near) if p is not None and len(near) >= 5 else 1.0
+        left.append(None if p is None or local > 5 or local < 0.2 or p / whole > 20 or p / whole < 0.05 else p)
+    want = [None if p is None or i and left[i - 1] is not None and not 0.2 <= p / left[i - 1] <= 5 else p for i, p in enumerate(left)]
+    assert [x["price"] for x in cleaned.orderBy("entry_date").collect()] == want and want.count(None) > own.count(None)
+    odd = [100.0] * 8 + [float("nan"), 1.0, float("inf")] + [100.0] * 8
+    df = spark.createDataFrame([("b", start + dt.timedelta(days=i), p) for i, p in enumerate(odd)], "code string, entry_date date, price double")
+    assert [x["price"] for x in tech.clean_prices(df).orderBy("entry_date").collect()] == [100.0] * 8 + [None] * 3 + [100.0] * 8
