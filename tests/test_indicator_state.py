@@ -105,3 +105,22 @@ def test_history_is_not_read_for_codes_that_go_on(spark, bars, tmp_path):
     rows = ist.advance(state, frame(spark, {"mid": bars["mid"][-3:]}), history).rows
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 2 and rows.count() == 0
+
+
+def test_what_both_results_read_is_kept_once(spark, bars, tmp_path):
+    """Rows and state come from stored frames, without a window of their own; a whole run's state takes three windows."""
+    run = ist.whole_run(frame(spark, {"mid": bars["mid"][:-9]}))
+    assert run.state._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3
+    names, state = [], keep(run.state, tmp_path, "state")
+
+    def put(df, what):
+        names.append(what)
+        return keep(df, tmp_path, what)
+
+    new = frame(spark, {"mid": bars["mid"][-12:], "new": bars["new"]})
+    found, lazy = ist.advance(state, new, lambda codes: new.join(codes, "code", "left_semi"), keep=put), ist.advance(state, new, new)
+    assert sorted(names) == ["ahead", "going-on", "renewed", "stale"] and found.renewed.count() == 0
+    for df in (found.rows, found.state):
+        assert "Window [" not in df._jdf.queryExecution().optimizedPlan().toString()
+    compare(found.rows, lazy.rows)
+    assert sorted(found.state.collect()) == sorted(lazy.state.collect())
