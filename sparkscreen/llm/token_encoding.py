@@ -1,9 +1,10 @@
 """Encoding whole texts with a public tokenizer inside tasks, each distinct piece once.
 
 word_bpe_49k folds case, cuts a text into pieces (letters, single digits, other marks; white space is dropped) and
-encodes each piece by itself. For texts within Latin-1, where folding and Unicode composition change no lengths, a worker
-cuts pieces by the same pattern, keeps the ids of pieces it has met in a bounded table, and gives only new ones to the
-library's model. Any other text, and one that may hold a special token's string, goes to the library whole; so does every
+encodes each piece by itself. No piece holds white space, so a word's ids are its pieces' ids. For texts within Latin-1,
+where folding and Unicode composition change no lengths, a worker cuts words at white space, keeps the ids of words it has
+met in a bounded table, cuts new ones into pieces by the same pattern, keeps those in another, and gives only new pieces to
+the library's model. Any other text, and one that may hold a special token's string, goes to the library whole; so does every
 text, if the file's own steps aren't the ones that are written here.
 """
 
@@ -11,12 +12,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from .common import single_threaded
 
-#: Bounds of a worker's table: longer pieces are encoded each time, and a full table starts anew.
-LONGEST_KEPT, MOST_KEPT = 40, 1_200_000
+#: Bounds of a worker's tables: longer words and pieces are encoded each time, and a full table starts anew.
+LONGEST_KEPT, MOST_KEPT = 40, 600_000
 #: The steps of word_bpe_49k that pieces are cut for.
 _STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -30,6 +31,9 @@ _STEPS = {
 }
 _LETTER, _NUMBER, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+#: Marks at which str.split cuts but the pattern doesn't: words with these are cut at _SPACE alone.
+_INNER = re.compile("[\x1c-\x1f]")
+_WORD = re.compile(f"[^{_SPACE}]+")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -38,6 +42,22 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+class _Kept(dict):
+    """A table of texts' ids as bytes that find makes when a text is met first."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.find(text)
+        if len(text) <= LONGEST_KEPT:
+            if len(self) >= MOST_KEPT:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class WordEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's encode(text, add_special_tokens=False)."""
 
@@ -51,13 +71,16 @@ class WordEncoder:
         self.by_piece = all(own.get(k) == v for k, v in _STEPS.items())
         self.letters = _byte_letters()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\Z\A")
-        self.kept: dict[str, bytes] = {}
+        self.pieces, self.words = _Kept(self._piece), _Kept(self._word)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii() or not piece.isprintable():
             piece = piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         import numpy as np
 
@@ -70,17 +93,8 @@ class WordEncoder:
             if not plain:
                 yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
-            kept = self.kept
-            if len(kept) > MOST_KEPT:
-                kept = self.kept = {}
-            pieces = _PIECE.findall(t.lower())
-            long = {}
-            for p in set(pieces).difference(kept):
-                if len(p) <= LONGEST_KEPT:
-                    kept[p] = self._piece(p)
-                else:
-                    long[p] = self._piece(p)
-            yield b"".join([kept[p] if p in kept else long[p] for p in pieces] if long else map(kept.__getitem__, pieces))
+            low = t.lower()
+            yield b"".join(map(self.words.__getitem__, _WORD.findall(low) if _INNER.search(low) else low.split()))
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -263,3 +263,22 @@ def test_packing(spark, docs, word, group):
     n = check_packing(rows, want, 64)
     assert n <= 1.2 * -(-sum(len(x) for _, x in want) // 64) + 2
     assert packing.pack(packing.pieces(docs.limit(0), tokenizer_path(WORD_FILE)), 64).count() == 0
+
+
+def test_words_are_cut_into_pieces_once(monkeypatch):
+    """A repeated word is cut once; words with separators that str.split knows but the pattern doesn't are as the library has them."""
+    from sparkscreen.llm import token_encoding as te
+
+    tok, cut, pieces = tokenizers.Tokenizer.from_file(tokenizer_path(WORD_FILE)), [], te._PIECE
+
+    class Counted:
+        def findall(self, text):
+            cut.append(text)
+            return pieces.findall(text)
+
+    monkeypatch.setattr(te, "_PIECE", Counted())
+    monkeypatch.setattr(te, "MOST_KEPT", 3)
+    texts = ["Don't stop, don't STOP, 1234 don't " * 9, "a\x1cb \x1d\x1e c\x1f\x85d\xa0e", "x" * 50 + " word " + "x" * 50, "'s''s it'll ''ve", ""]
+    got = list(WordEncoder(tokenizer_path(WORD_FILE)).encode(texts))
+    assert [list(memoryview(g).cast("I")) for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert cut.count("don't") == 1 and cut.count("x" * 50) == 2
