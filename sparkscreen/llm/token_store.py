@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,17 +36,15 @@ from .token_encoding import encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
+RUN = 500_000  # ids that are marked at once, if they aren't one longer text's
 FAN = 16  # bits: a node of the manifest has at most 65,536 children
 _MIX, _STEP = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 
 
-def cut_points(ids) -> list[int]:
-    """Ends of the chunks of ids (a numpy array), by their content alone."""
+def marked(ids):
+    """The places after which a chunk may end, by the WINDOW ids before them (of ids, a numpy array), in ascending order."""
     import numpy as np
 
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
     x ^= x >> np.uint64(29)
     h, reach, factor = x, 1, _STEP
@@ -55,8 +53,13 @@ def cut_points(ids) -> list[int]:
         longer[reach:] += h[:-reach] * np.uint64(factor)
         h, reach, factor = longer, 2 * reach, factor * factor % 2**64
     h = h ^ (h >> np.uint64(32))
+    return np.flatnonzero((h * np.uint64(_MIX)) >> np.uint64(40) & np.uint64(MEAN - 1) == 0) + 1
+
+
+def ends_at(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of n ids with such marks."""
     ends, last = [], 0
-    for e in (np.flatnonzero((h * np.uint64(_MIX)) >> np.uint64(40) & np.uint64(MEAN - 1) == 0) + 1).tolist():
+    for e in marks:
         while e - last > MOST:
             last += MOST
             ends.append(last)
@@ -71,6 +74,35 @@ def cut_points(ids) -> list[int]:
     return ends
 
 
+def cut_points(ids) -> list[int]:
+    """Ends of the chunks of ids (a numpy array), by their content alone."""
+    return ends_at(len(ids), marked(ids).tolist())
+
+
+def cut_together(texts: Iterable[bytes]) -> Iterator[tuple]:
+    """Per text, ids in four bytes: the ids of a run of texts (a numpy array), where in it the text starts, and the ends of its
+    chunks. A run is marked at once: no mark before a text's id LEAST counts, and LEAST is more than WINDOW, so the texts before
+    a text don't matter."""
+    import numpy as np
+
+    def cut(run: list[bytes]) -> Iterator[tuple]:
+        ids = np.frombuffer(b"".join(run), "<u4")
+        marks, starts = marked(ids), np.cumsum([0] + [len(t) // 4 for t in run])
+        among = np.searchsorted(marks, starts, "right").tolist()
+        for start, end, first, last in zip(starts.tolist(), starts[1:].tolist(), among, among[1:], strict=False):
+            yield ids, start, ends_at(end - start, (marks[first:last] - start).tolist())
+
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t) // 4
+        if size >= RUN:
+            yield from cut(run)
+            run, size = [], 0
+    if run:
+        yield from cut(run)
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Leaves and inner nodes are hashed with different first bytes; an odd last node moves up as it is."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"\0").digest()]
@@ -84,27 +116,29 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_I
     spark, end = docs.sparkSession, end_id.to_bytes(4, "little")
 
     def chunked(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         enc = encoder(vocabulary)
-        schema = pa.schema([("id", pa.string()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("parts", pa.list_(pa.binary()))])
+        kinds = {"id": pa.string(), "n_tokens": pa.int64(), "root": pa.binary(), "digests": pa.list_(pa.binary()), "parts": pa.list_(pa.binary())}
         for batch in batches:
-            sizes, roots, all_digests, all_parts, met = [], [], [], [], set()
-            for data in enc.encode(batch.column(1).to_pylist()):
-                ids = np.frombuffer(data + end, "<u4")
-                if width == 2 and int(ids.max()) > 65535:
-                    raise ValueError("an id doesn't fit two bytes; write the store with width=4")
-                raw = ids.astype(f"<u{width}").tobytes()
-                cuts = [0, *cut_points(ids)]
-                parts = [raw[a * width : b * width] for a, b in zip(cuts, cuts[1:], strict=False)]
-                digests = [hashlib.sha256(p).digest() for p in parts]
-                sizes.append(len(ids))
-                roots.append(merkle_root(digests))
-                all_digests.append(digests)
-                all_parts.append([p if d not in met else None for d, p in zip(digests, parts, strict=True)])
-                met.update(digests)
-            yield pa.record_batch([batch.column(0), sizes, roots, pa.array(all_digests, schema.field(3).type), pa.array(all_parts, schema.field(4).type)], schema=schema)
+            sizes, roots, ends_of, digests, parts, met, held, raw = [], [], [0], [], [], set(), None, b""
+            for ids, start, ends in cut_together(data + end for data in enc.encode(batch.column(1).to_pylist())):
+                if ids is not held:
+                    if width == 2 and int(ids.max()) > 65535:
+                        raise ValueError("an id doesn't fit two bytes; write the store with width=4")
+                    held, raw = ids, ids.astype(f"<u{width}").tobytes()
+                own = []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    part = raw[(start + a) * width : (start + b) * width]
+                    own.append(d := hashlib.sha256(part).digest())
+                    parts.append(None if d in met else part)
+                    met.add(d)
+                sizes.append(ends[-1])
+                roots.append(merkle_root(own))
+                digests += own
+                ends_of.append(len(digests))
+            lists = [pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), pa.array(x, pa.binary())) for x in (digests, parts)]
+            yield pa.record_batch([batch.column(0), sizes, roots, *lists], schema=pa.schema(kinds))
 
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     text = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))

@@ -282,3 +282,43 @@ def test_words_are_cut_into_pieces_once(monkeypatch):
     got = list(WordEncoder(tokenizer_path(WORD_FILE)).encode(texts))
     assert [list(memoryview(g).cast("I")) for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert cut.count("don't") == 1 and cut.count("x" * 50) == 2
+
+
+def test_a_word_of_many_texts_is_looked_up_once():
+    looked_up = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            looked_up.append(key)
+            return super().get(key, default)
+
+    enc, tok = WordEncoder(tokenizer_path(WORD_FILE)), tokenizers.Tokenizer.from_file(tokenizer_path(WORD_FILE))
+    enc.kept, texts = Counted(), ["One word, and\tone word more"] * 500
+    assert set(enc.encode(texts)) == {np.array(tok.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()}
+    assert len(looked_up) <= 2 * 5 + 1
+
+
+@pytest.mark.parametrize(("run", "words", "most"), [(1, 3, 2), (60, 7, 5), (10**6, 10**6, 10**6)])
+def test_runs_of_any_size_equal_the_library(monkeypatch, word, run, words, most):
+    """Runs and slices that end within texts, a table that starts anew, and texts that go to the library between others."""
+    from sparkscreen.llm import token_encoding as te
+
+    for name, value in (("RUN", run), ("WORDS", words), ("MOST_KEPT", most)):
+        monkeypatch.setattr(te, name, value)
+    odd = [*ODD, "", " \x0b\x0c ", "\x85", "a\x85\xa0b \x1c", "y" * 41 + " " + "z'll" * 30 + ",1" * 30, "É" * 60 + "!" * 50, "<|endoftext|>"]
+    for texts in (odd, ["", ""], []):
+        assert list(WordEncoder(tokenizer_path(WORD_FILE)).encode(texts)) == [np.array(word.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("run", [1, 5000, 10**6])
+def test_texts_cut_together_are_cut_as_alone(monkeypatch, run):
+    monkeypatch.setattr(token_store, "RUN", run)
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 49000, n).astype("<u4") for n in (1, 16, 63, 64, 65, 9000, 2, *r.integers(1, 3000, 60))] + [np.zeros(n, "<u4") for n in (1, 4096, 9000)]
+    whole, got, marked = token_store.marked, [], []
+    monkeypatch.setattr(token_store, "marked", lambda ids: marked.append(len(ids)) or whole(ids))
+    for t, (ids, start, ends) in zip(texts, token_store.cut_together(t.tobytes() for t in texts), strict=True):
+        assert (ids[start : start + len(t)] == t).all()
+        got.append(ends)
+    assert sum(marked) == sum(map(len, texts)) and len(marked) == (len(texts) if run == 1 else 1 if run == 10**6 else len(marked))
+    assert got == [token_store.cut_points(t) for t in texts]
